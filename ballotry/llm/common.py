@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of a side that may be broadcast after they have been counted (about 16 to 64 bytes each).
 BROADCAST_ROWS = 500_000
@@ -112,13 +113,14 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def by_runs(df: DataFrame, key: str, work: Callable[[pa.Table], dict[str, list]], schema: str, partitions: int | None = None) -> DataFrame:
+def by_runs(df: DataFrame, key: str, work: Callable[[pa.Table], dict[str, list]], schema: str | StructType, partitions: int | None = None) -> DataFrame:
     """Apply ``work`` to all rows of each key. One sort and one Python call a partition, so that
     many small groups cost little; groups must be bounded by the caller."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    schema = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = {name: [] for name in arrow.names}, 0

@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, tokens
+
+#: Vocabulary files of the public tokenizers that the contracts name; change to use others.
+TOKENIZER_JSON = "byte_bpe_50k.json"
+TOKENIZER_RANKS = "byte_bpe_50k.tiktoken"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +21,22 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.weighted_fair_mix(_read(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER_JSON), public_tokenizers.PATTERN)
+
+
+def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokens.load_ranks(public_tokenizers.path(TOKENIZER_RANKS))
+    return tokens.encode_decode(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_token_counts": op6_token_counts,
+    "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_mix_sources": op8_mix_sources,
 }
 
