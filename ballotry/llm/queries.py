@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, tokens
+from . import main_text, mixing, tokens, toxicity
 
 #: Vocabulary files of the public tokenizers that the contracts name; change to use others.
 TOKENIZER_JSON = "byte_bpe_50k.json"
@@ -34,10 +34,20 @@ def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_decode(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(_read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_mix_sources": op8_mix_sources,
+    "op9_toxicity": op9_toxicity,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLES: dict[str, str] = {
