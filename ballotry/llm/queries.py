@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import main_text, mixing, tokens, toxicity
+from . import main_text, mixing, ngram_join, tokens, toxicity
 
 #: Vocabulary files of the public tokenizers that the contracts name; change to use others.
 TOKENIZER_JSON = "byte_bpe_50k.json"
@@ -21,6 +21,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.weighted_fair_mix(_read(spark, sf_dir, "documents"))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(_read(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,6 +47,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_mix_sources": op8_mix_sources,

@@ -6,8 +6,11 @@ numpy operations over the whole batch, never from a Python loop over words.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Fixed odd constants (public 64-bit mixers).
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -59,6 +62,17 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have ``most`` bytes or so, one row at least, so that the arrays
+    made of them stay small."""
+    size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, size[at] + most, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 #: Bytes that separate words: 0x20 and 0x09 to 0x0D.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
