@@ -53,7 +53,7 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array and its n+1 offsets; nulls are empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_binary()).fill_null(b"")
     buffers = column.buffers()
     offsets = np.frombuffer(buffers[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     if not len(column) or buffers[2] is None:
