@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import main_text, mixing, ngram_join, repeats, tokens, toxicity
+from . import cover_tree, main_text, mixing, ngram_join, repeats, tokens, toxicity
 
 #: Vocabulary files of the public tokenizers that the contracts name; change to use others.
 TOKENIZER_JSON = "byte_bpe_50k.json"
@@ -25,6 +25,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_read(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(_read(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.suffix_dedup(_read(spark, sf_dir, "documents"), length=400)
 
@@ -52,6 +56,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
