@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree, main_text, mixing, ngram_join, repeats, tokens, toxicity
+from . import cover_tree, main_text, mixing, ngram_join, posting_lists, repeats, tokens, toxicity
 
 #: Vocabulary files of the public tokenizers that the contracts name; change to use others.
 TOKENIZER_JSON = "byte_bpe_50k.json"
@@ -33,6 +33,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.suffix_dedup(_read(spark, sf_dir, "documents"), length=400)
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.nearest_neighbours(_read(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_mix_sources": op8_mix_sources,
