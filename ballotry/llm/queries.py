@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree, main_text, mixing, ngram_join, posting_lists, repeats, tokens, toxicity
+from . import cover_tree, licenses, main_text, mixing, ngram_join, posting_lists, repeats, tokens, toxicity
 
 #: Vocabulary files of the public tokenizers that the contracts name; change to use others.
 TOKENIZER_JSON = "byte_bpe_50k.json"
@@ -37,6 +37,10 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posting_lists.nearest_neighbours(_read(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_read(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_nearest_neighbours": op4_nearest_neighbours,
+    "op5_license_scan": op5_license_scan,
     "op6_token_counts": op6_token_counts,
     "op7_bpe_encode_decode": op7_bpe_encode_decode,
     "op8_mix_sources": op8_mix_sources,
@@ -71,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_license_scan": licenses.license_sql(),
     "op8_mix_sources": mixing.MIX_SQL,
 }
