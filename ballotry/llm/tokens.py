@@ -3,28 +3,33 @@
 Counting proves once, offline, which vocabulary strings encode alone as one token; a pre-token
 found in that table costs one look-up, and only the rest is merged.
 
-Encoding shuffles distinct words, not token streams. A block of documents is reduced to one row for
-each distinct pre-token with the positions where it stands; rows meet by word, each distinct word
-is encoded once in its task, and the rows return to their block with ids, where the streams are put
-together by position. Decoding joins the fixed token-byte table.
+Encoding shuffles distinct words, not token streams. A block of documents gives its distinct
+pre-tokens and the positions where they stand; words meet by hash, each distinct word is encoded
+once, and its ids return to the blocks, where the streams are put together by position. Decoding
+joins the fixed token-byte table.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import json
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Scratch, by_runs
+from .common import by_runs
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -165,29 +170,28 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512) ->
 # Encoding by a shuffle of distinct words
 
 #: Bytes of text in a block: what one reassembling call holds, whatever the corpus.
-BLOCK_BYTES = 4_000_000
-#: Pre-tokens in a row of positions at most; a hot word of a huge document takes several rows.
-ROW_POSITIONS = 100_000
+BLOCK_BYTES = 24_000_000
+BLOCK_DOCS = 20_000
+#: Bytes that one gather of the reassembly makes at most, long documents aside.
+GATHER_BYTES = 4_000_000
 
 
-def _block_words(texts: list[str], pattern) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words of a block, the word index of every pre-token, and pre-tokens by document."""
-    index: dict[str, int] = {}
-    codes, sizes = [], []
-    for t in texts:
-        words = pattern.findall(t) if t else []
-        for w in set(words):
-            if w not in index:
-                index[w] = len(index)
-        codes.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
-        sizes.append(len(words))
-    flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-    return list(index), flat, np.array(sizes, np.int64)
+def _pack(*arrays: np.ndarray | bytes) -> bytes:
+    """Byte strings and arrays of known types as one compressed cell."""
+    raw = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
+    head = np.array([len(r) for r in raw], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(len(raw).to_bytes(4, "little") + head + b"".join(raw))
+
 
+def _unpack(cell: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(cell)
+    n = int.from_bytes(raw[:4], "little")
+    end = np.cumsum(np.frombuffer(raw, "<i8", n, 4)) + 4 + 8 * n
+    return [raw[b - s : b] for b, s in zip(end.tolist(), np.frombuffer(raw, "<i8", n, 4).tolist())]
 
-def _varint(gaps: np.ndarray, split: np.ndarray) -> list[bytes]:
-    """Each piece of non-negative numbers as bytes of 7 bits; pieces end at split."""
-    x = gaps.astype(np.uint64)
+
+def _varint(x: np.ndarray) -> bytes:
+    """Non-negative numbers below 2**35, 7 bits a byte: frequent words have small numbers."""
     width = np.ones(len(x), np.int64)
     for k in (7, 14, 21, 28):
         width += x >= (1 << k)
@@ -195,139 +199,188 @@ def _varint(gaps: np.ndarray, split: np.ndarray) -> list[bytes]:
     out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
     begin = end - width
     for k in range(5):
-        here = width > k
-        byte = (x[here] >> np.uint64(7 * k)) & np.uint64(127)
+        here = np.flatnonzero(width > k)
+        if not len(here):
+            break
         more = (width[here] > k + 1).astype(np.uint8) << 7
-        out[begin[here] + k] = byte.astype(np.uint8) | more
-    cut = np.concatenate(([0], end[split - 1])) if len(split) else np.zeros(1, np.int64)
-    return [out[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
+        out[begin[here] + k] = ((x[here] >> (7 * k)) & 127).astype(np.uint8) | more
+    return out.tobytes()
 
 
-def _unvarint(data: np.ndarray) -> np.ndarray:
+def _unvarint(cell: bytes) -> np.ndarray:
+    data = np.frombuffer(cell, np.uint8)
     if not len(data):
         return np.zeros(0, np.int64)
-    last = data < 128
-    end = np.flatnonzero(last)
+    end = np.flatnonzero(data < 128)
     begin = np.concatenate(([0], end[:-1] + 1))
-    group = np.repeat(begin, end - begin + 1)
-    shift = (np.arange(len(data)) - group) * 7
-    parts = (data & 127).astype(np.int64) << shift
-    return np.add.reduceat(parts, begin)
+    out = (data[begin] & 127).astype(np.int64)
+    for k in range(1, int((end - begin).max()) + 1):
+        here = np.flatnonzero(end - begin >= k)
+        out[here] |= (data[begin[here] + k] & 127).astype(np.int64) << (7 * k)
+    return out
+
+
+def _gather(table: np.ndarray, begin: np.ndarray, size: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The table's pieces in the order of pick, end to end, and where each ends."""
+    length = size[pick]
+    end = np.cumsum(length)
+    total = int(end[-1]) if len(end) else 0
+    return table[np.arange(total) + np.repeat(begin[pick] - (end - length), length)], end
+
+
+def _table(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.array([len(p) for p in parts], np.int64)
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
 
 
 def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), with ids and decoded bytes if asked for.
 
+    Rows of the word shuffle are packed: one for each block of documents and hash bucket of words,
+    with the block's distinct words of that bucket; the positions of a block travel as the sequence
+    of its word numbers. A bucket gathers the same word from all blocks and encodes it once.
+
     Defined results: null and empty texts have no ids; repeated rows are encoded each for itself;
     an empty table gives no rows. A block is a run of documents in a task of docs' own partitioning,
     so docs should be a scan (or another input whose retried tasks see the same rows), as tables are.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark)
     shared = spark.sparkContext.broadcast((ranks, pattern))  # a fixed vocabulary
+    n_buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     id_type = docs.schema["doc_id"].dataType
+    arrow_id = to_arrow_type(id_type)
+    ids_type = T.ArrayType(id_type)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         pat = regex.compile(shared.value[1])
         task, n = TaskContext.get().partitionId(), 0
 
-        def close(ids: list, texts: list) -> pa.RecordBatch:
+        def close(ids: list, codes: list[np.ndarray], index: dict[str, int]) -> pa.RecordBatch:
             nonlocal n
-            words, codes, sizes = _block_words(texts, pat)
-            order = np.argsort(codes, kind="stable")
-            count = np.bincount(codes, minlength=len(words))
-            pieces = np.repeat(np.arange(len(words)), -(-count // ROW_POSITIONS))
-            end = np.cumsum(count)
-            begin = end - count
-            part = np.arange(len(pieces)) - np.searchsorted(pieces, pieces)
-            first = begin[pieces] + part * ROW_POSITIONS
-            last = np.minimum(first + ROW_POSITIONS, end[pieces])
-            gaps = np.diff(order, prepend=0)
-            gaps[first] = order[first]
-            rows = _varint(gaps, last)
+            sequence = np.concatenate(codes)
+            order = np.argsort(-np.bincount(sequence, minlength=len(index)), kind="stable")  # frequent words first
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            words = list(index)
+            words = [words[i].encode() for i in order.tolist()]
+            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % n_buckets
+            by_bucket = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[by_bucket], np.arange(n_buckets + 1))
+            cells, buckets = [], []
+            for b in np.flatnonzero(np.diff(cut)).tolist():
+                own = [words[i] for i in by_bucket[cut[b] : cut[b + 1]].tolist()]
+                cells.append(_pack(np.array([len(w) for w in own], "<i4"), b"".join(own)))
+                buckets.append(b)
             block = (task << 32) | n
             n += 1
-            row = len(pieces)
+            cells.append(_pack(_varint(number[sequence]), np.array([len(c) for c in codes], "<i8"), bucket.astype("<i4")))
+            buckets.append(block % n_buckets)
+            rows = len(cells)
             return pa.record_batch(
-                [pa.array(np.full(row + 1, block), pa.int64()), pa.array([words[i] for i in pieces] + [None], pa.string()), pa.array([*rows, sizes.astype("<i8").tobytes()], pa.binary()), pa.array([None] * row + [ids], pa.list_(arrow_id))],
-                ["block", "word", "at", "ids"],
+                [pa.array([block] * rows, pa.int64()), pa.array(buckets, pa.int32()), pa.array([False] * (rows - 1) + [True]), pa.array(cells, pa.binary()), pa.array([None] * (rows - 1) + [ids], pa.list_(arrow_id))],
+                ["block", "bucket", "head", "cell", "ids"],
             )
 
         ids: list = []
-        texts: list = []
+        codes: list[np.ndarray] = []
+        index: dict[str, int] = {}
         held = 0
         for batch in batches:
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                found = pat.findall(t) if t else []
+                for w in set(found).difference(index):
+                    index[w] = len(index)
                 ids.append(i)
-                texts.append(t)
+                codes.append(np.fromiter(map(index.__getitem__, found), np.int32, len(found)))
                 held += len(t) if t else 0
-                if held >= BLOCK_BYTES or len(ids) >= 20_000:
-                    yield close(ids, texts)
-                    ids, texts, held = [], [], 0
+                if held >= BLOCK_BYTES or len(ids) >= BLOCK_DOCS:
+                    yield close(ids, codes, index)
+                    ids, codes, index, held = [], [], {}, 0
         if ids:
-            yield close(ids, texts)
-
-    from pyspark.sql.pandas.types import to_arrow_type
+            yield close(ids, codes, index)
 
-    arrow_id = to_arrow_type(id_type)
-    shape = T.StructType([T.StructField("block", T.LongType()), T.StructField("word", T.StringType()), T.StructField("at", T.BinaryType()), T.StructField("ids", T.ArrayType(id_type))])
+    shape = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("head", T.BooleanType()), T.StructField("cell", T.BinaryType()), T.StructField("ids", ids_type)])
     rows = docs.select("doc_id", "text").mapInArrow(explode, shape)
-    heads = lambda df: df.where("word is null")
-    rows = scratch.table(rows)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = _Joined(shared.value[0])
-        last, ids = None, b""
+        known: dict[bytes, list[int]] = {}
+        last = None
         for batch in batches:
-            out = []
-            for w in batch.column("word").to_pylist():
-                if w != last:  # rows come sorted by word, so each is encoded once
-                    last, ids = w, np.array([rank.ranks[p] for p in merge_pairs(w.encode(), rank)], "<i4").tobytes()
-                out.append(ids)
-            yield pa.record_batch([batch.column("block"), batch.column("at"), pa.array(out, pa.binary())], ["block", "at", "codes"])
-
-    words = rows.where("word is not null").select("block", "word", "at")
-    # a word of many blocks is split by its block's hash: it is encoded once in each part
-    salt = F.pmod(F.xxhash64("block"), F.lit(16))
-    coded = words.repartition("word", salt).sortWithinPartitions("word").mapInArrow(encode, "block long, at binary, codes binary")
-    together = coded.select("block", "at", "codes", F.lit(None).cast(T.ArrayType(id_type)).alias("ids")).unionByName(heads(rows).select("block", "at", F.lit(None).cast("binary").alias("codes"), "ids"))
+            cells = []
+            for bucket, head, cell in zip(batch.column("bucket").to_pylist(), batch.column("head").to_pylist(), batch.column("cell").to_pylist()):
+                if bucket != last:  # rows come sorted by bucket: a word's only one, so it is encoded once
+                    known, last = {}, bucket
+                if head:
+                    cells.append(cell)
+                    continue
+                sizes, plain = _unpack(cell)
+                end = np.cumsum(np.frombuffer(sizes, "<i4"))
+                own, start = [], 0
+                for e in end.tolist():
+                    w = plain[start:e]
+                    start = e
+                    ids = known.get(w)
+                    if ids is None:
+                        ids = known[w] = [rank.ranks[p] for p in merge_pairs(w, rank)]
+                    own.append(ids)
+                cells.append(_pack(np.array([len(x) for x in own], "<i4"), np.fromiter(itertools.chain.from_iterable(own), "<i4")))
+            yield pa.record_batch([batch.column("block"), batch.column("bucket"), batch.column("head"), pa.array(cells, pa.binary()), batch.column("ids")], ["block", "bucket", "head", "cell", "ids"])
+
+    coded = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encode, shape)
     fields = [T.StructField("doc_id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
-    decimal = max(ranks.values(), default=0) + 1
 
     def assemble(group: pa.Table) -> dict[str, list]:
-        token_bytes: list[bytes] = [b""] * decimal
+        # the token-byte table that decoding joins, and the decimal ids with a space before each
+        by_id = [b""] * (max(shared.value[0].values()) + 1)
         for k, v in shared.value[0].items():
-            token_bytes[v] = k
-        ids = at = None
-        codes, places = [], []
-        for c, a, i in zip(group.column("codes").to_pylist(), group.column("at").to_pylist(), group.column("ids").to_pylist()):
-            if c is None:
-                ids, at = i, np.frombuffer(a, "<i8")
+            by_id[v] = k
+        plain, decimal = _table(by_id), _table([b" %d" % i for i in range(len(by_id))])
+        cells: dict[int, bytes] = {}
+        for bucket, head, cell, own in zip(group.column("bucket").to_pylist(), group.column("head").to_pylist(), group.column("cell").to_pylist(), group.column("ids").to_pylist()):
+            if head:
+                doc_ids, (sequence, sizes, bucket_of) = own, _unpack(cell)
             else:
-                codes.append(np.frombuffer(c, "<i4"))
-                places.append(np.cumsum(_unvarint(np.frombuffer(a, np.uint8))))
-        seq = np.zeros(int(at.sum()), np.int64)
-        for i, p in enumerate(places):
-            seq[p] = i
-        text_ids = [b" ".join(b"%d" % t for t in c.tolist()) for c in codes]
-        decoded = [b"".join([token_bytes[t] for t in c.tolist()]) for c in codes]
-        lengths = np.array([len(c) for c in codes], np.int64)
-        end = np.cumsum(at)
+                cells[bucket] = cell
+        bucket_of = np.frombuffer(bucket_of, "<i4")
+        count, flat = np.zeros(len(bucket_of), np.int64), []
+        by_bucket = np.argsort(bucket_of, kind="stable")
+        at = 0
+        for b in sorted(cells):
+            counts, ids = _unpack(cells[b])
+            counts = np.frombuffer(counts, "<i4")
+            count[by_bucket[at : at + len(counts)]] = counts
+            at += len(counts)
+            flat.append(np.frombuffer(ids, "<i4"))
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        begin = np.zeros(len(bucket_of), np.int64)
+        begin[by_bucket] = np.cumsum(count[by_bucket]) - count[by_bucket]
+        words, ends = _unvarint(sequence), np.cumsum(np.frombuffer(sizes, "<i8"))
         out: dict[str, list] = {f.name: [] for f in fields}
-        out["doc_id"] = ids
-        for a, b in zip((end - at).tolist(), end.tolist()):
-            own = seq[a:b].tolist()
-            out["n_tokens"].append(int(lengths[seq[a:b]].sum()) if own else 0)
-            out["ids_sha256"].append(hashlib.sha256(b" ".join([text_ids[i] for i in own])).hexdigest())
-            plain = b"".join([decoded[i] for i in own])
-            out["decoded_sha256"].append(hashlib.sha256(plain).hexdigest())
-            if with_ids:
-                out["ids"].append(np.concatenate([codes[i] for i in own]).tolist() if own else [])
-                out["decoded"].append(plain)
+        out["doc_id"] = doc_ids
+        first, n_docs = 0, len(ends)
+        while first < n_docs:  # a few documents at a time
+            start = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, start + GATHER_BYTES // 8, side="right")))
+            tokens, token_end = _gather(flat, begin, count, words[start : int(ends[last - 1])])
+            text, text_end = _gather(*plain, tokens)
+            digits, digit_end = _gather(*decimal, tokens)
+            text, digits = text.tobytes(), digits.tobytes()
+            upto = lambda end, i: int(end[i - 1]) if i else 0
+            t0 = 0
+            for e in (ends[first:last] - start).tolist():
+                t1 = upto(token_end, e)
+                d = text[upto(text_end, t0) : upto(text_end, t1)]
+                out["n_tokens"].append(t1 - t0)
+                out["ids_sha256"].append(hashlib.sha256(digits[upto(digit_end, t0) + (t1 > t0) : upto(digit_end, t1)]).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(d).hexdigest())
+                if with_ids:
+                    out["ids"].append(tokens[t0:t1].tolist())
+                    out["decoded"].append(d)
+                t0 = t1
+            first = last
         return out
 
-    return by_runs(together, "block", assemble, T.StructType(fields))
+    return by_runs(coded, "block", assemble, T.StructType(fields))

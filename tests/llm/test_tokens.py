@@ -42,9 +42,9 @@ def test_ids_equal_the_library_and_decode_to_the_text(spark):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
-def test_many_blocks_and_split_rows(spark, monkeypatch):
+def test_many_blocks_and_small_gathers(spark, monkeypatch):
     monkeypatch.setattr(tk, "BLOCK_BYTES", 50)
-    monkeypatch.setattr(tk, "ROW_POSITIONS", 3)
+    monkeypatch.setattr(tk, "GATHER_BYTES", 80)
     ranks = tk.load_ranks(P.path("byte_bpe_50k.tiktoken"))
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = [f"the the the the the cat {i} sat" for i in range(40)]
