@@ -180,7 +180,7 @@ def _pack(*arrays: np.ndarray | bytes) -> bytes:
     """Byte strings and arrays of known types as one compressed cell."""
     raw = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
     head = np.array([len(r) for r in raw], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(len(raw).to_bytes(4, "little") + head + b"".join(raw))
+    return zstandard.ZstdCompressor(level=3).compress(len(raw).to_bytes(4, "little") + head + b"".join(raw))
 
 
 def _unpack(cell: bytes) -> list[bytes]:
@@ -192,6 +192,8 @@ def _unpack(cell: bytes) -> list[bytes]:
 
 def _varint(x: np.ndarray) -> bytes:
     """Non-negative numbers below 2**35, 7 bits a byte: frequent words have small numbers."""
+    if len(x) > 1 << 20:
+        return b"".join(_varint(x[i : i + (1 << 20)]) for i in range(0, len(x), 1 << 20))
     width = np.ones(len(x), np.int64)
     for k in (7, 14, 21, 28):
         width += x >= (1 << k)
@@ -233,8 +235,9 @@ def _table(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
 
 
-def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), with ids and decoded bytes if asked for.
+def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False, packed: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), with ids and decoded bytes if asked for, or
+    with token_ids, the ids as little-endian 32-bit integers, if packed.
 
     Rows of the word shuffle are packed: one for each block of documents and hash bucket of words,
     with the block's distinct words of that bucket; the positions of a block travel as the sequence
@@ -331,6 +334,8 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_i
     fields = [T.StructField("doc_id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
+    if packed:
+        fields += [T.StructField("token_ids", T.BinaryType())]
 
     def assemble(group: pa.Table) -> dict[str, list]:
         # the token-byte table that decoding joins, and the decimal ids with a space before each
@@ -379,6 +384,8 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_i
                 if with_ids:
                     out["ids"].append(tokens[t0:t1].tolist())
                     out["decoded"].append(d)
+                if packed:
+                    out["token_ids"].append(tokens[t0:t1].astype("<i4").tobytes())
                 t0 = t1
             first = last
         return out
