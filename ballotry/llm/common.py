@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows of a side that may be broadcast after they have been counted (about 16 to 64 bytes each).
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
+#: Arrow batches to Python workers: records and bytes at most, so that long texts don't add up.
+BATCH_RECORDS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,6 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
     return have
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's defaults (10,000 rows) unless the session asks for fewer rows."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_RECORDS or int(spark.conf.get(rows)) <= 0:
+        spark.conf.set(rows, str(BATCH_RECORDS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors.
 
@@ -32,6 +42,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}

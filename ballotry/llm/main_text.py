@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bound_batches
+
 # Element names of the HTML standard by their role here.
 RAW = frozenset("script style noscript template title textarea iframe object svg math select canvas audio video noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label input".split())
@@ -236,6 +238,7 @@ def extract_main_text(pages: DataFrame, tree: tuple | None = None) -> DataFrame:
     Defined results: null, empty or text-free pages give an empty text; repeated rows are worked on
     each for itself; an empty table gives no rows; other columns don't matter.
     """
+    bound_batches(pages.sparkSession)
     tree = tree or trained_tree()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ CUT_LESS = 30
 #: Contexts of one k-gram up to which a bucket is sorted in one task; windows of larger ones are counted.
 BUCKET_CONTEXTS = 2_000
 #: Bytes of contexts that are sorted at once.
-SORT_BYTES = 1 << 21
+SORT_BYTES = 1 << 20
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
@@ -307,7 +307,8 @@ def repeated_starts(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame
     ranges = scratch.table(docs.where(F.octet_length("text") >= length).mapInArrow(_ranges_of(length, k1, "text", ["r1", "r2"]), flat))
     opened = ranges.withColumn("open", F.lit(True))
     twice, rest, _ = _decide(opened, scratch)
-    found = ranges.join(small(twice, twice.count()), ["g", "f"], "left_semi").select("r1", "r2", "a1", "a2")
+    # spans grow with the corpus: joined by shuffle at every size
+    found = ranges.join(twice, ["g", "f"], "left_semi").select("r1", "r2", "a1", "a2")
     # bytes of the undecided ranges and of one of each repeated span beside them
     wanted = F.collect_list(F.struct("a1", "a2", (~F.col("twice") & F.col("open")).alias("open"), "g", "contexts")).alias("wanted")
     by_row = scratch.table(rest.groupBy("r1", "r2").agg(wanted))
@@ -317,7 +318,7 @@ def repeated_starts(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame
     inner = contexts.select("r1", "r2", F.col("a1").alias("base"), "open", F.col("context"))
     parts = scratch.table(inner.mapInArrow(_ranges_of(length, k2, "context", ["r1", "r2", "base", "open"], "base"), f"{_ROW}, base long, open boolean, a1 long, a2 long, g long, f long"))
     twice2, rest2, _ = _decide(parts, scratch)
-    found2 = parts.where("open").join(small(twice2, twice2.count()), ["g", "f"], "left_semi").select("r1", "r2", "a1", "a2")
+    found2 = parts.where("open").join(twice2, ["g", "f"], "left_semi").select("r1", "r2", "a1", "a2")
     wanted2 = F.collect_list(F.struct("a1", "a2", (~F.col("twice") & F.col("open")).alias("open"), "g", "contexts")).alias("wanted")
     # a range lies in the context with the last base up to it
     bases = parts.select("r1", "r2", "a1", "base").distinct()

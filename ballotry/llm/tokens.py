@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import by_runs
+from .common import bound_batches, by_runs
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -146,6 +146,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512) ->
     Defined results: null and empty texts have 0 bytes and 0 tokens; a special string inside a text
     is one token; repeated rows are counted each for itself; an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     rank, vocab, special = load_merges(path)
     # the pairs of a fixed vocabulary: a few MB, whatever the input
     shared = docs.sparkSession.sparkContext.broadcast((whole_tokens(rank, vocab), rank, special, pattern))
@@ -248,6 +249,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_i
     so docs should be a scan (or another input whose retried tasks see the same rows), as tables are.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast((ranks, pattern))  # a fixed vocabulary
     n_buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     id_type = docs.schema["doc_id"].dataType

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bound_batches
+
 #: Training bounds: documents of each class at most, and characters of each.
 SAMPLE = {1: 2000, 0: 5000}
 SAMPLE_CHARS = 20_000
@@ -188,6 +190,7 @@ def toxicity_scores(docs: DataFrame, model: Model | None, keep: list[str] | None
     Defined results: null and empty texts have the features of a text without windows; repeated rows
     are scored each for itself; nulls elsewhere don't matter.
     """
+    bound_batches(docs.sparkSession)
     names = keep or docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of some 50 KB
     made = str(id(model)) + str(hash(model.weights) if model else 0)
