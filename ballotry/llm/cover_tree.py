@@ -11,7 +11,9 @@ as sums by vector and a spanning set of pairs, so that a dense cluster gives no
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,8 @@ from .common import Scratch, by_runs, connected_components, small
 PIVOTS = 64
 #: Vectors of a part of a cell at most, about.
 PART_ROWS = 3_000
-#: Slack for rounding in bounds: no pair is dropped by it.
-SLACK = 1e-6
+#: Slack for rounding of single-precision products in bounds: no pair is dropped by it.
+SLACK = 2e-3
 
 
 def usable(column: str) -> Column:
@@ -41,6 +43,7 @@ class CoverTree:
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
+        self.single = vectors.astype(np.float32)
         n = len(vectors)
         # a level: centre of each node, its parent in the level above, its true covering radius
         self.centre: list[np.ndarray] = []
@@ -84,7 +87,7 @@ class CoverTree:
             else:
                 left = np.ones(len(own), bool)
                 pick = []
-                rows = _distances(self.vectors[own], self.vectors[own])
+                rows = _distances(self.single[own], self.single[own])
                 i = 0
                 while True:
                     near = left & (rows[i] <= bound)
@@ -108,17 +111,19 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def dual_pairs(a: CoverTree, b: CoverTree, same: bool, reach: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of vectors (x of a, y of b; x before y if both trees are one) that bounds don't part."""
-    la, lb = 0, 0
-    x, y = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    # the two roots pair all nodes of the first levels below them: one matrix product
+    la, lb = min(1, len(a.centre) - 1), min(1, len(b.centre) - 1)
+    ca, cb = a.centre[la], b.centre[lb]
+    near = reach + SLACK + a.radius[la][:, None].astype(np.float32) + b.radius[lb][None, :].astype(np.float32)
+    x, y = np.nonzero(a.single[ca] @ b.single[cb].T >= 1 - np.minimum(near, 2) ** 2 / 2 - 1e-6)
+    if same:
+        x, y = x[x <= y], y[x <= y]
     while len(x):
         ca, cb = a.centre[la], b.centre[lb]
-        if 8 * len(x) >= len(ca) * len(cb):
-            d = _distances(a.vectors[ca], b.vectors[cb])[x, y]
-        else:
-            d = np.empty(len(x))
-            for i in range(0, len(x), 1 << 17):
-                s = slice(i, i + (1 << 17))
-                d[s] = np.linalg.norm(a.vectors[ca[x[s]]] - b.vectors[cb[y[s]]], axis=1)
+        d = np.empty(len(x))
+        for i in range(0, len(x), 1 << 17):
+            s = slice(i, i + (1 << 17))
+            d[s] = np.linalg.norm(a.vectors[ca[x[s]]] - b.vectors[cb[y[s]]], axis=1)
         keep = d <= reach + a.radius[la][x] + b.radius[lb][y] + SLACK
         x, y = x[keep], y[keep]
         end_a, end_b = la == len(a.centre) - 1, lb == len(b.centre) - 1
@@ -149,14 +154,28 @@ def _children(parent: np.ndarray, n: int, node: np.ndarray, other: np.ndarray) -
     return order[pick], np.repeat(other, size)
 
 
-def block_links(ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray, cosine: float, a: np.ndarray, b: np.ndarray | None):
-    """Links in one block (b is None) or between two: (id, links) sums by vector and spanning pairs."""
-    norm = np.linalg.norm(vectors, axis=1)
-    unit = vectors / norm[:, None]
+@dataclass
+class Block:
+    ids: np.ndarray
+    copies: np.ndarray
+    vectors: np.ndarray
+    tree: CoverTree
+
+    @classmethod
+    def of(cls, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray) -> Block:
+        return cls(ids, copies, vectors, CoverTree(vectors / np.linalg.norm(vectors, axis=1)[:, None]))
+
+
+def block_links(one: Block, other: Block | None, cosine: float):
+    """Links in one block (other is None) or between two: (ids, sums of links) by vector and spanning pairs."""
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    ta = CoverTree(unit[a])
-    x, y = dual_pairs(ta, ta if b is None else CoverTree(unit[b]), b is None, reach)
-    x, y = a[x], (a if b is None else b)[y]
+    two = one if other is None else other
+    x, y = dual_pairs(one.tree, two.tree, other is None, reach)
+    ids, copies, vectors = one.ids, one.copies, one.vectors
+    if other is not None:
+        y = y + len(ids)
+        ids, copies, vectors = np.concatenate((ids, two.ids)), np.concatenate((copies, two.copies)), np.concatenate((vectors, two.vectors))
+    norm = np.linalg.norm(vectors, axis=1)
     exact = np.zeros(len(x), bool)
     for i in range(0, len(x), 1 << 17):
         p, q = x[i : i + (1 << 17)], y[i : i + (1 << 17)]
@@ -177,7 +196,7 @@ def block_links(ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray, cosine
         if i != j:
             parent[j] = i
             span.append((int(ids[p]), int(ids[q])))
-    return links.astype(np.int64), span
+    return ids, links.astype(np.int64), span
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
@@ -231,24 +250,30 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     sides = pairs.select("dim", F.col("c1").alias("cell"), "c1", "c2", "parts1", "parts2", F.lit(1).alias("side"))
     sides = sides.unionByName(pairs.where("c1 <> c2").select("dim", F.col("c2").alias("cell"), "c1", "c2", "parts1", "parts2", F.lit(2).alias("side")))
     # the blocks of a row's cell pairs: its part with each part of the other cell
-    own = placed.join(cells.select("dim", "cell", "parts"), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    to = own.drop("parts").join(F.broadcast(sides), ["dim", "cell"])
+    own = placed.join(F.broadcast(cells.select("dim", "cell", "parts")), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    own = own.select("dim", "cell", "part", "node", "copies", "embedding", F.xxhash64("dim", "cell", "part").alias("k"))
+
+    def plant(group: pa.Table) -> dict[str, list]:
+        ids, copies = group.column("node").to_numpy(), group.column("copies").to_numpy()
+        block = Block.of(ids, copies, np.stack([np.asarray(x.values) for x in group.column("embedding").combine_chunks()]))
+        return {"dim": [group.column("dim")[0].as_py()], "cell": [group.column("cell")[0].as_py()], "part": [group.column("part")[0].as_py()], "block": [pickle.dumps(block)]}
+
+    blocks = scratch.table(by_runs(own, "k", plant, "dim int, cell int, part int, block binary"))
+    to = blocks.join(F.broadcast(sides), ["dim", "cell"])
     other = F.when(F.col("side") == 1, F.col("parts2")).otherwise(F.col("parts1"))
     to = to.withColumn("q", F.explode(F.sequence(F.lit(0), other - 1)))
     inner = F.col("c1") == F.col("c2")
     p1 = F.when(inner, F.least("part", "q")).when(F.col("side") == 1, F.col("part")).otherwise(F.col("q"))
     p2 = F.when(inner, F.greatest("part", "q")).when(F.col("side") == 1, F.col("q")).otherwise(F.col("part"))
     side = F.when(~inner, F.col("side")).when(F.col("part") == F.col("q"), F.lit(3)).when(F.col("part") < F.col("q"), F.lit(1)).otherwise(F.lit(2))
-    dealt = to.select(F.xxhash64("dim", "c1", "c2", p1, p2).alias("k"), side.alias("side"), "node", "copies", "embedding")
+    dealt = to.select(F.xxhash64("dim", "c1", "c2", p1, p2).alias("k"), side.alias("side"), "block")
 
     def work(group: pa.Table) -> dict[str, list]:
-        ids, copies, sides_ = (group.column(c).to_numpy() for c in ("node", "copies", "side"))
-        flat = group.column("embedding").combine_chunks()
-        v = np.stack([np.asarray(x.values) for x in flat]) if len(ids) else np.zeros((0, 1))
-        a, b = np.flatnonzero(sides_ & 1), np.flatnonzero(sides_ & 2)
-        if not len(a) or not len(b):
+        sides_ = group.column("side").to_pylist()
+        if len(sides_) == 1 and sides_ != [3]:  # the other cell's part is empty
             return {"a": [], "b": [], "n": []}
-        links, span = block_links(ids, v, copies, cosine, a, None if (sides_ == 3).all() else b)
+        two = [pickle.loads(b) for b in group.column("block").to_pylist()]
+        ids, links, span = block_links(two[0], two[1] if len(two) > 1 else None, cosine)
         hit = np.flatnonzero(links)
         return {"a": ids[hit].tolist() + [p for p, _ in span], "b": [None] * len(hit) + [q for _, q in span], "n": links[hit].tolist() + [None] * len(span)}
 
@@ -261,7 +286,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     lowest = named.groupBy("component").agg(F.min("id").alias("component_id"))
     named = named.join(lowest, "component").join(counts, "node", "left")
     named = scratch.table(named.select("embedding", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    scratch.drop(placed, cells, found, components)
+    scratch.drop(placed, cells, blocks, found, components)
     key = F.when(part, F.col("embedding"))
     out = slim.select("vec_id", key.alias("embedding")).join(named, "embedding", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
