@@ -4,8 +4,9 @@ Centroids are fitted on a bounded sample and kept balanced by splitting the larg
 the smallest lists. Every vector is put in the list of its nearest centroid and, where it lies near
 a boundary, in further ones whose centroids are hardly farther. A query searches the centroids by a
 best-first walk over their neighbour graph, in memory, and probes the lists that a distance ratio
-keeps. Queries meet lists in one shuffle; lists are cut in parts of bounded size, so that copies of
-one vector fill many tasks rather than one, and each part returns its best for each query.
+keeps. Queries meet lists in one shuffle: neighbouring lists are packed in shards of bounded size, a
+list larger than that is cut in parts, so that copies of one vector fill many tasks rather than one,
+and each shard returns its best for each query once.
 
 The nearness is the largest inner product. Vectors get one more component that makes all norms equal
 (the square root of the largest squared norm less their own), which turns it into the smallest
@@ -28,12 +29,13 @@ from .cover_tree import usable
 #: Rows that the centroids are fitted on at most, and centroids at most: what is broadcast.
 SAMPLE_ROWS = 20_000
 MOST_CENTROIDS = 256
-#: Rows of a list aimed at, and of a part of a list in a task.
+#: Rows of a list aimed at, and of a shard of lists (or a part of a large list) in a task.
 LIST_ROWS = 400
-PART_ROWS = 4_000
+PART_ROWS = 8_000
 #: A vector joins further lists whose centroids are at most so many times as far as its nearest one's.
 BOUNDARY_RATIO, MOST_COPIES = 1.03, 3
-#: A query probes lists whose centroids are at most so many times as far as the nearest one's.
+#: A query probes lists whose centroids are at most so many times as far as the nearest one's, or as
+#: the sample's median vector is from its nearest one, so that a query on a centroid looks around too.
 PROBE_RATIO = 1.25
 #: Neighbours of a centroid in the graph, and centroids that a walk keeps open.
 GRAPH_LINKS, WALK_WIDTH = 24, 256
@@ -70,7 +72,12 @@ class CentroidGraph:
         self.centres = centres
         d = distances(centres, centres)
         np.fill_diagonal(d, np.inf)
-        self.links = np.argsort(d, axis=1)[:, : min(GRAPH_LINKS, len(centres) - 1)]
+        near = np.argsort(d, axis=1)[:, : min(GRAPH_LINKS, len(centres) - 1)]
+        # links go both ways: a centroid far from all others is among no one's nearest
+        linked = np.zeros(d.shape, bool)
+        np.put_along_axis(linked, near, True, axis=1)
+        linked |= linked.T
+        self.links = [np.flatnonzero(row) for row in linked]
         self.entry = int(((centres - centres.mean(0)) ** 2).sum(1).argmin())
 
     def nearest(self, query: np.ndarray, width: int = WALK_WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +110,34 @@ def _lifted(v: np.ndarray, top: float) -> np.ndarray:
     return np.column_stack([v, np.sqrt(np.maximum(0.0, top - (v * v).sum(1)))])
 
 
+def shards(sizes: dict[tuple[int, int], int], index: dict[int, tuple[float, np.ndarray, float]]) -> tuple[dict[int, list[int]], dict[int, list[int]]]:
+    """By vector length: the shard of each list, and the parts of each shard. Lists are packed along
+    a chain of near centroids, so that a query's lists share shards."""
+    shard_of, parts_of = {}, {}
+    for dim, (_, centres, _) in index.items():
+        d = distances(centres, centres)
+        left = set(range(len(centres)))
+        at = 0
+        chain = []
+        while left:
+            chain.append(at)
+            left.discard(at)
+            if left:
+                rest = sorted(left)
+                at = rest[int(d[at, rest].argmin())]
+        shard_of[dim], parts_of[dim] = [0] * len(centres), []
+        held = PART_ROWS
+        for c in chain:
+            n = sizes.get((dim, c), 0)
+            if held + n > PART_ROWS:
+                parts_of[dim].append(0)
+                held = 0
+            held += n
+            shard_of[dim][c] = len(parts_of[dim]) - 1
+            parts_of[dim][-1] = max(1, -(-held // PART_ROWS))
+    return shard_of, parts_of
+
+
 def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): of each row whose vec_id divides by ``every`` the k nearest found.
 
@@ -117,26 +152,28 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> Data
     slim = slim.where(usable("v") & F.col("vec_id").isNotNull())
     # equal vectors of one id are one row with a count
     rows = scratch.table(slim.groupBy("vec_id", "v").agg(F.count("*").alias("copies")).withColumn("dim", F.size("v")))
-    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("top")).collect()  # one row a vector length
-    index: dict[int, tuple[float, np.ndarray]] = {}
-    for s in sizes:
+    lengths = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("top")).collect()  # one row a vector length
+    index: dict[int, tuple[float, np.ndarray, float]] = {}
+    for s in lengths:
         drawn = rows.where(F.col("dim") == s["dim"]).orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE_ROWS).select("v").collect()
         lists = int(min(MOST_CENTROIDS, max(1, s["n"] // LIST_ROWS)))
-        index[s["dim"]] = (s["top"], balanced_centroids(_lifted(np.array([r[0] for r in drawn]), s["top"]), lists))
+        sample = _lifted(np.array([r[0] for r in drawn]), s["top"])
+        centres = balanced_centroids(sample, lists)
+        index[s["dim"]] = (s["top"], centres, float(np.median(distances(sample, centres).min(1))))
     shared = spark.sparkContext.broadcast(index)  # at most MOST_CENTROIDS for each vector length
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graphs = {d: CentroidGraph(c) for d, (_, c) in shared.value.items()}
+        graphs = {d: CentroidGraph(c) for d, (_, c, _) in shared.value.items()}
         for batch in batches:
             out: list[list[int]] = []
             for v, query in zip(batch.column("v").to_pylist(), batch.column("query").to_pylist()):
-                top, centres = shared.value[len(v)]
+                top, centres, usual = shared.value[len(v)]
                 u = np.array(v)
                 # a query's own lift is 0: only then is the distance the inner product's order
                 p = np.append(u, 0.0) if query else _lifted(u[None], top)[0]
                 if query:
                     c, d = graphs[len(v)].nearest(p)
-                    out.append(c[d <= PROBE_RATIO * d[0] + 1e-12].tolist())
+                    out.append(c[d <= PROBE_RATIO * max(d[0], usual) + 1e-12].tolist())
                 else:
                     d = np.linalg.norm(centres - p, axis=1)
                     c = np.argsort(d, kind="stable")[:MOST_COPIES]
@@ -145,11 +182,15 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> Data
 
     both = rows.withColumn("query", F.lit(False)).unionByName(rows.where(F.col("vec_id") % every == 0).withColumn("query", F.lit(True)))
     placed = both.mapInArrow(place, "vec_id long, v array<double>, copies long, dim int, query boolean, lists array<int>")
-    placed = scratch.table(placed.select("vec_id", "v", "copies", "dim", "query", F.explode("lists").alias("list")))
-    parts = placed.groupBy("dim", "list").agg(F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("query")) / PART_ROWS)).cast("int").alias("parts"))
-    cut = placed.join(F.broadcast(parts), ["dim", "list"])
+    placed = scratch.table(placed)
+    sizes = placed.where(~F.col("query")).select("dim", F.explode("lists").alias("list")).groupBy("dim", "list").count().collect()  # a row a list
+    shard_of, parts_of = shards({(r["dim"], r["list"]): r["count"] for r in sizes}, index)
+    pick = lambda table, d, i: F.element_at(F.array(*[F.lit(x) for x in table[d]]), i + 1)
+    by_dim = lambda table, i: F.coalesce(*[F.when(F.col("dim") == d, pick(table, d, i)) for d in index]) if index else F.lit(0)
+    cut = placed.withColumn("shard", F.explode(F.array_distinct(F.transform("lists", lambda x: by_dim(shard_of, x)))))
+    cut = cut.withColumn("lists", F.filter("lists", lambda x: by_dim(shard_of, x) == F.col("shard"))).withColumn("parts", by_dim(parts_of, F.col("shard")))
     part = F.when(F.col("query"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int")))
-    dealt = cut.withColumn("part", F.explode(part)).select(F.xxhash64("dim", "list", "part").alias("key"), "vec_id", "v", F.xxhash64("v").alias("vh"), "copies", "query")
+    dealt = cut.withColumn("part", F.explode(part)).select(F.xxhash64("dim", "shard", "part").alias("key"), "vec_id", "v", F.xxhash64("v").alias("vh"), "copies", "query", "lists")
 
     def probe(group: pa.Table) -> dict[str, list]:
         ids, copies, query, vh = (group.column(c).to_numpy() for c in ("vec_id", "copies", "query", "vh"))
@@ -162,13 +203,21 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> Data
         # equal vectors are scored once, so that they tie exactly
         unique, which = np.unique(v[c], axis=0, return_inverse=True)
         which = which.ravel()
+        lists = group.column("lists").to_pylist()
+        number = {x: i for i, x in enumerate(sorted({x for own in lists for x in own}))}
+        member = np.zeros((len(number), len(c)), bool)
+        for j, i in enumerate(c.tolist()):
+            member[[number[x] for x in lists[i]], j] = True
         for at in range(0, len(q), 256):
             some = q[at : at + 256]
             for i, row in zip(some.tolist(), v[some] @ unique.T):
-                row = row[which]
-                enough = min(len(c), k + 1)  # one more for the query's own row
+                probed = np.flatnonzero(member[[number[x] for x in lists[i]]].any(0))
+                if not len(probed):
+                    continue
+                row = row[which[probed]]
+                enough = min(len(probed), k + 1)  # one more for the query's own row
                 floor = np.partition(row, len(row) - enough)[len(row) - enough]
-                own = np.flatnonzero(row >= floor - 1e-9 * max(1.0, abs(floor)))
+                own = probed[row >= floor - 1e-9 * max(1.0, abs(floor))]
                 exact = (unique[which[own]] * v[i]).sum(1)
                 own = own[np.lexsort((ids[c[own]], -exact))[:enough]]
                 pick = c[own]
