@@ -1 +1,104 @@
-"""Queries."""
+"""Closed forms, resampling and rank tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ballotry import fixtures as fx
+from ballotry.functions import closed_forms as cf
+from ballotry.operators import correlation as co
+from ballotry.operators import inference as inf
+from ballotry.operators import votes as vo
+from ballotry.plans import resample as rs
+
+from .registry import query, sql
+from .votes import MV, POOLED, PR, RHO, P
+
+CM = "model, task"
+BB = "list_sum(list_transform(range({k} + 1), lambda i: exp(lgamma({k} + 1.0::double) - lgamma(i + 1.0::double) - lgamma({k} - i + 1.0::double) + lgamma(i + a) + lgamma({k} - i + b) - lgamma({k} + a + b) + lgamma(a + b) - lgamma(a) - lgamma(b)) * case when 2 * i > {k} then 1.0::double when 2 * i = {k} then 0.5::double else 0.0::double end))"
+BI = "list_sum(list_transform(range({k} + 1), lambda i: exp(lgamma({k} + 1.0::double) - lgamma(i + 1.0::double) - lgamma({k} - i + 1.0::double) + i * ln({p}) + ({k} - i) * ln(1 - {p})) * case when 2 * i > {k} then 1.0::double when 2 * i = {k} then 0.5::double else 0.0::double end))"
+SC = "sc as (select model, task, seed, instance_id, path, y, gen_len from paths where arm = 'SC')"
+
+
+def sc(s, d):
+    return P(s, d).where("arm = 'SC'")
+
+
+query("i01_beta_binomial", sql([*PR, POOLED, "ab as (select *, p_bar * (1 - c_hat) / c_hat a, (1 - p_bar) * (1 - c_hat) / c_hat b from c where c_hat > 0)"], f"select c.model, c.task, c.arm, case when c.p_bar < 1 then {BB.format(k=8)} end mv8, case when c.p_bar < 1 then {BB.format(k=32)} end mv32 from c left join ab using (model, task, arm)".replace("c.p_bar < 1", "a is not null"), "model, task, arm", "mv8, mv32"))(
+    lambda s, d: co.pooled_c(vo.records(P(s, d))).select(*vo.CELL, cf.beta_binomial_majority(8, F.col("p_bar"), F.col("c_hat")).alias("mv8"), cf.beta_binomial_majority(32, F.col("p_bar"), F.col("c_hat")).alias("mv32"))
+)
+query("i02_binomial", sql([*PR, POOLED], f"select model, task, arm, {BI.format(k=8, p='p_bar')} mv8, {BI.format(k=32, p='p_bar')} mv32 from c", "model, task, arm", "mv8, mv32"))(
+    lambda s, d: co.pooled_c(vo.records(P(s, d))).select(*vo.CELL, cf.binomial_majority(8, F.col("p_bar")).alias("mv8"), cf.binomial_majority(32, F.col("p_bar")).alias("mv32"))
+)
+KSTAR = "case when {c} > 0 and {c} < 1 then greatest(1, ceil((sqrt((1 - {c}) / {e}) - 1) / {c} + 1)) else 1 end::bigint"
+CLIP = "coalesce(greatest(1, least(32, ceil((sqrt((1 - greatest(0.05::double, least(0.99::double, {c}))) / {e}) - 1) / greatest(0.05::double, least(0.99::double, {c})) + 1))), 1)::bigint"
+query("i03_k_star", sql([*PR, POOLED], f"select model, task, arm, {KSTAR.format(c='c_hat', e='0.025::double')} k_star, {CLIP.format(c='c_hat', e='0.025::double')} k_clipped from c", "model, task, arm, k_star, k_clipped"))(
+    lambda s, d: co.pooled_c(vo.records(P(s, d))).select(*vo.CELL, cf.k_star(F.col("c_hat"), F.lit(0.025)).alias("k_star"), cf.k_star_clipped(F.col("c_hat"), F.lit(0.025)).alias("k_clipped"))
+)
+RECS4 = "recs as (select model, task, arm, seed, instance_id, count(*) k, sum(y)::bigint s, sum((1::bigint << path::int) * y)::bigint mask from paths where path < 4 and arm = 'SC' group by all)"
+ADAPT = f"""ep as (select unnest([0.01::double, 0.025::double, 0.05::double, 0.1::double]) eps),
+pt as (select model, task, rho, eps, {CLIP.format(c='rho', e='eps')} k_star from rho, ep),
+rn as (select model, task, path + 1 k, sum(y) over (partition by model, task, seed, instance_id order by path rows unbounded preceding) s from sc),
+mk as (select model, task, k, avg({MV}) mv from rn group by all),
+ad as (select pt.model, pt.task, pt.rho, pt.eps, pt.k_star, x.mv mv_k, z.mv mv_all, case when z.mv > 0 then x.mv / z.mv end retained, (pt.k_star + 4) / 32 net_cost from pt join mk x on pt.model = x.model and pt.task = x.task and pt.k_star = x.k join mk z on pt.model = z.model and pt.task = z.task and z.k = 32)"""
+EPS = (0.01, 0.025, 0.05, 0.1)
+query("i04_adaptive_k", sql([fx.PATHS_SQL, SC, RECS4, RHO, ADAPT], "select * from ad where eps = 0.025::double", f"{CM}, k_star", "rho, mv_k, mv_all, retained, net_cost"))(lambda s, d: inf.adaptive_k(sc(s, d)).drop("eps"))
+query("i05_amortised_cost", sql([fx.PATHS_SQL, SC, RECS4, RHO, ADAPT], "select model, task, case when k_star < 32 then ceil(400.0::double / (32 - k_star)) end::bigint repay, (1000 * k_star + 400) / 32000 cost_1000 from ad where eps = 0.1::double", f"{CM}, repay", "cost_1000"))(
+    lambda s, d: inf.adaptive_k(sc(s, d), (0.1,)).select("model", "task", cf.repay_queries(F.col("k_star")).alias("repay"), ((1000 * F.col("k_star") + 400) / 32000).alias("cost_1000"))
+)
+query("i06_eps_grid", sql([fx.PATHS_SQL, SC, RECS4, RHO, ADAPT], "select * from ad", f"{CM}, k_star", "eps, mv_k, retained, net_cost"))(lambda s, d: inf.adaptive_k(sc(s, d), EPS).drop("rho", "mv_all"))
+FOLD = """q as (select distinct model, task, instance_id from sc), qp as (select *, row_number() over (partition by model, task order by (instance_id * 7919 + 2026) % 1000003, instance_id) pos, count(*) over (partition by model, task) m from q),
+fo as (select model, task, instance_id, case when pos <= greatest(1, least(m - 1, floor(m * 0.5))) then 'A' else 'B' end fold from qp)"""
+query("i07_held_out_calibration", sql([fx.PATHS_SQL, SC, FOLD, "rf as (select model, task, fold, seed, instance_id, count(*) k, sum(y)::bigint s, sum((1::bigint << path::int) * y)::bigint mask from sc join fo using (model, task, instance_id) where path < 4 group by all)",
+    "recs as (select model, task, fold arm, seed, instance_id, k, s, mask from rf)", RHO, "fit as (select model, task, case when arm = 'A' then 'B' else 'A' end fold, rho, p from rho join (select model, task, arm, sum(s)::double / sum(k) p from recs group by all) using (model, task, arm))",
+    f"ob as (select model, task, fold, kk, avg({MV}) observed from (select model, task, fold, kk, seed, instance_id, count(*) k, sum(y) s from sc join fo using (model, task, instance_id), (select unnest([4, 8, 16, 32])::bigint kk) where path < kk group by all) group by all)",
+    "ab as (select *, p * (1 - rho) / rho a, (1 - p) * (1 - rho) / rho b from ob join fit using (model, task, fold))"],
+    "select *, 100 * (predicted - observed) error_pp from (select model, task, fold, kk, observed, case when rho > 0 and rho < 1 and p > 0 and p < 1 then case kk when 4 then " + BB.format(k=4) + " when 8 then " + BB.format(k=8) + " when 16 then " + BB.format(k=16) + " else " + BB.format(k=32) + " end end predicted, case when p > 0 and p < 1 then case kk when 4 then " + BI.format(k=4, p="p") + " when 8 then " + BI.format(k=8, p="p") + " when 16 then " + BI.format(k=16, p="p") + " else " + BI.format(k=32, p="p") + " end end independent from ab)",
+    f"{CM}, fold, kk", "observed, predicted, independent, error_pp"))(lambda s, d: inf.held_out_calibration(sc(s, d)))
+MANY = 200
+BOOT = """r4 as (select model, task, seed, instance_id, sum(y)::bigint s, count(*) k, sum(y) filter (path < 4)::bigint s4 from sc group by all),
+cl as (select *, dense_rank() over (partition by model, task order by instance_id) - 1 cluster_idx, case when 2 * s > k then 1.0::double when 2 * s = k then 0.5::double else 0.0::double end mv, case when s4 > 2 then 1.0::double when s4 = 2 then 0.5::double else 0.0::double end mv4 from r4),
+cs as (select model, task, cluster_idx, count(*) n, sum(mv4) mv4, sum(mv) mv from cl group by all),
+wt as (select rep, cluster_idx, count(*) w from plan group by all),
+rp as (select model, task, rep, sum(w * mv4) / sum(w * n) mv4, sum(w * mv) / sum(w * n) mv, sum(w * (mv - mv4)) / sum(w * n) diff from cs join wt using (cluster_idx) group by all)"""
+CI = ", ".join(f"quantile_cont({x}, 0.025) {x}_lo, quantile_cont({x}, 0.975) {x}_hi" for x in ("mv4", "mv", "diff"))
+query("i09_clustered_bootstrap", sql([fx.PATHS_SQL, SC, fx.plan_sql(MANY, 100, 100), BOOT], f"select model, task, {CI} from rp group by all", CM, "mv4_lo, mv4_hi, mv_lo, mv_hi, diff_lo, diff_hi"))(lambda s, d: inf.clustered_bootstrap(sc(s, d), fx.plan(s, MANY, 100, 100)))
+query("j08_resample_join", sql([fx.PATHS_SQL, SC, fx.plan_sql(MANY, 100, 100), BOOT], "select model, task, rep, mv, mv4 from rp", f"{CM}, rep", "mv, mv4"))(
+    lambda s, d: (lambda r: rs.bootstrap_sums(inf.cluster_sums(r), fx.plan(s, MANY, 100, 100), ["n", "mv4", "mv"]).select("model", "task", "rep", (F.col("mv") / F.col("n")).alias("mv"), (F.col("mv4") / F.col("n")).alias("mv4")))(
+        sc(s, d).groupBy("model", "task", "seed", "instance_id").agg(F.sum("y").alias("s"), F.count("*").alias("k"), F.sum(F.when(F.col("path") < 4, F.col("y"))).alias("s4")).withColumn("mv", vo.majority(F.col("s"), F.col("k"))).withColumn("mv4", vo.majority(F.col("s4"), F.lit(4))))
+)
+query("i11_pilot_sensitivity", sql([fx.PATHS_SQL, SC] + [fx.plan_sql(100, n, 100).replace("plan as", f"plan{n} as") for n in (25, 50)] + ["r4 as (select model, task, seed, instance_id, sum(y)::bigint s, count(*) k from sc where path < 4 group by all)", "cl as (select *, dense_rank() over (partition by model, task order by instance_id) - 1 cluster_idx from r4)",
+    "cs as (select model, task, cluster_idx, sum(s)::bigint s, sum(k)::bigint k, count(*) n, sum((s * (s - 1))::double / (k * (k - 1))) bo from cl group by all)", "wt as (select 25 questions, rep, cluster_idx, count(*) w from plan25 group by all union all select 50, rep, cluster_idx, count(*) from plan50 group by all)",
+    "bs as (select questions, model, task, rep, sum(w * s)::double / sum(w * k) p, sum(w * bo) / sum(w * n) bo from cs join wt using (cluster_idx) group by all)", "bc as (select *, case when p * (1 - p) > 0 then (bo - p * p) / (p * (1 - p)) end c from bs)"],
+    f"select questions::bigint questions, model, task, avg(c) c_mean, stddev_samp(c) c_std, avg({KSTAR.format(c='c', e='0.025::double')}) k_mean, count(*) filter ({KSTAR.format(c='c', e='0.025::double')} <= 1) at_bound, count(*) filter (c is null) undefined from bc group by all", f"{CM}, questions, at_bound, undefined", "c_mean, c_std, k_mean"))(
+    lambda s, d: inf.pilot_sensitivity(sc(s, d), {n: fx.plan(s, 100, n, 100) for n in (25, 50)})
+)
+
+
+def matched_masks(s, d):
+    r = rs.numbered_clusters(vo.records(vo.prefix(P(s, d), 8)))
+    w = lambda a: F.max(F.when(F.col("arm") == a, F.col("mask")))
+    m = r.groupBy("model", "task", "seed", "instance_id", "cluster_idx").agg(w("SC").alias("sc_mask"), w("PT").alias("pt_mask"))
+    return m.where("sc_mask is not null and pt_mask is not null")
+
+
+query("i12_paired_rho_bootstrap", sql([fx.PATHS_SQL, "recs as (select model, task, arm, seed, instance_id, sum((1::bigint << path::int) * y)::bigint mask from paths where path < 8 group by all)", "cl as (select *, dense_rank() over (partition by model, task order by instance_id) - 1 cluster_idx from recs)", fx.plan_sql(50, 100, 100),
+    "wt as (select rep, cluster_idx, count(*) w from plan group by all)", "ij as (select i.range i, j.range j from range(8) i, range(8) j where i.range < j.range)",
+    "ps as (select model, task, arm, rep, i, j, sum(w)::double n, sum(w * ((mask >> i::int) & 1))::double si, sum(w * ((mask >> j::int) & 1))::double sj, sum(w * ((mask >> i::int) & 1) * ((mask >> j::int) & 1))::double sij from cl join wt using (cluster_idx), ij group by all)",
+    "pr as (select model, task, arm, rep, avg(case when n * si - si * si > 0 and n * sj - sj * sj > 0 then (n * sij - si * sj) / sqrt((n * si - si * si) * (n * sj - sj * sj)) end) rho from ps group by all)",
+    "dr as (select a.model, a.task, a.rep, case when abs(a.rho) >= 0.01::double then 100 * (b.rho - a.rho) / abs(a.rho) end drho from pr a join pr b on a.model = b.model and a.task = b.task and a.rep = b.rep and a.arm = 'SC' and b.arm = 'PT')"],
+    "select model, task, count(drho) draws, quantile_cont(drho, 0.025) drho_lo, quantile_cont(drho, 0.975) drho_hi from dr group by all", f"{CM}, draws", "drho_lo, drho_hi"))(lambda s, d: inf.paired_rho_bootstrap(matched_masks(s, d), fx.plan(s, 50, 100, 100)))
+LD = "ld as (select d.n_chars, l.quality from documents d join labels l using (doc_id))"
+
+
+def quality(s, d):
+    return fx.read(s, d, "documents").join(fx.read(s, d, "labels"), "doc_id").select("n_chars", "quality")
+
+
+query("w04_mid_ranks", sql([LD], "select n_chars, quality, rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2 rk from ld", "n_chars, quality", "rk"))(lambda s, d: inf.mid_ranks(quality(s, d), "n_chars").select("n_chars", "quality", F.col("rank").alias("rk")))
+query("i14_mann_whitney", sql([LD, "r as (select quality, rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2 rk, count(*) over (partition by n_chars) t from ld)"], "select sum(rk) filter (quality = 1) - count(*) filter (quality = 1) * (count(*) filter (quality = 1) + 1) / 2 u, count(*) filter (quality = 1) n1, count(*) filter (quality = 0) n0, sum(t::double * t - 1) tie_term from r", "n1, n0", "u, tie_term"))(lambda s, d: inf.mann_whitney(quality(s, d), "n_chars", "quality").drop("p"))
+query("i14b_mann_whitney_p")(lambda s, d: inf.mann_whitney(quality(s, d), "n_chars", "quality"))
+query("i15_pearson", sql(PR, "select model, count(*) n, corr(s, instance_id) r from recs where arm = 'SC' group by all", "model, n", "r"))(lambda s, d: inf.pearson(vo.records(P(s, d)).where("arm = 'SC'"), "s", "instance_id", ["model"]))
+query("i16_spearman_slots", sql([fx.PATHS_SQL, "sl as (select model, task, seed, path, sum(y)::bigint h from paths where arm = 'PT' and seed in (0, 1) group by all)", "rk as (select *, rank() over (partition by model, task, seed order by h) + (count(*) over (partition by model, task, seed, h) - 1) / 2 r from sl)"], "select a.model, a.task, count(*) n, case when stddev_pop(a.r) > 0 and stddev_pop(b.r) > 0 then corr(a.r, b.r) end r from rk a join rk b on a.model = b.model and a.task = b.task and a.path = b.path and a.seed = 0 and b.seed = 1 group by all", f"{CM}, n", "r"))(
+    lambda s, d: inf.spearman_slots(P(s, d).where("arm = 'PT'").groupBy("model", "task", "seed", "path").agg(F.sum("y").alias("hits")), 0, 1)
+)

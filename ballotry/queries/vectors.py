@@ -1 +1,145 @@
-"""Queries."""
+"""Vector tables, distortion, reports over cells, and the streams."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ballotry import fixtures as fx
+from ballotry.operators import correlation as co
+from ballotry.operators import inference as inf
+from ballotry.operators import quality as ql
+from ballotry.operators import vectors as ve
+from ballotry.operators import votes as vo
+from ballotry.streaming import ingest as st
+
+from .registry import query, sql
+from .votes import DELTA, MV, POOLED, PR, RECS8, RHO, SLOTS, WMV, P
+
+
+def E(s, d):
+    return fx.read(s, d, "embeddings").where("embedding is not null and size(embedding) > 0")
+
+
+def dbl(c="embedding"):
+    return F.transform(c, lambda x: x.cast("double"))
+
+
+EM = "em as (select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings where embedding is not null and len(embedding) > 0)"
+SOFT = "sm as (select *, list_transform(ex, lambda x: x / list_sum(ex)) p from (select *, list_transform(e, lambda x: exp(x - list_max(e))) ex from em))"
+
+
+def _h(p):
+    return f"-list_sum(list_transform(list_filter({p}, lambda x: x > 1e-15), lambda x: x / list_sum(list_filter({p}, lambda z: z > 1e-15)) * log2(x / list_sum(list_filter({p}, lambda z: z > 1e-15)))))"
+
+
+query("v01_entropy", sql([EM, SOFT], f"select vec_id, {_h('p')} bits from sm", "vec_id", "bits"))(lambda s, d: E(s, d).select("vec_id", ve.entropy_bits(ve.softmax(dbl())).alias("bits")))
+TOP = "tp as (select *, list_transform(t, lambda x: x / list_sum(t)) tp from (select *, list_reverse_sort(p)[1:8] t from sm))"
+query("o02_top_probabilities", sql([EM, SOFT, TOP], f"select vec_id, tp[1] first, tp[8] last, {_h('tp')} bits from tp", "vec_id", "first, last, bits"))(
+    lambda s, d: E(s, d).select("vec_id", ve.top_probabilities(dbl(), 8).alias("t")).select("vec_id", F.element_at("t", 1).alias("first"), F.element_at("t", 8).alias("last"), ve.entropy_bits(F.col("t")).alias("bits"))
+)
+query("w07_dominant", sql([EM], "select vec_id, list_position(e, list_max(e))::bigint - 1 dominant from em", "vec_id, dominant"))(lambda s, d: E(s, d).select("vec_id", ve.dominant(dbl()).alias("dominant")))
+UN = "un as (select vec_id, label, unnest(e) x, generate_subscripts(e, 1) i from em)"
+query("v02_participation_ratio", sql([EM, UN, "cv as (select a.label, a.i, b.i j, covar_samp(a.x, b.x) c from un a join un b using (vec_id) group by all)"], "select label, sum(c) filter (i = j) ^ 2 / sum(c * c) ratio from cv group by label", "label", "ratio"))(lambda s, d: ve.participation_ratio(E(s, d), ["label"]))
+CAND = "cd as (select vec_id // 5 output_id, vec_id % 5 slot, (1 + vec_id % 7)::double w, e from em)"
+CONF = "cf as (select a.output_id, sum(a.w * b.w * list_cosine_similarity(a.e, b.e)) / sum(a.w * b.w) c from cd a join cd b on a.output_id = b.output_id and a.slot < b.slot group by all)"
+
+
+def candidates(s, d):
+    return E(s, d).select((F.col("vec_id") - F.col("vec_id") % 5).alias("o"), "vec_id", "embedding").select((F.col("o") / 5).cast("long").alias("output_id"), (F.col("vec_id") % 5).alias("slot"), (1 + F.col("vec_id") % 7).alias("w"), "embedding")
+
+
+query("v03_confusability", sql([EM, CAND, CONF], "select output_id, coalesce(c, 0) confusability from (select distinct output_id from cd) left join cf using (output_id)", "output_id", "confusability"))(lambda s, d: ve.confusability(candidates(s, d), "output_id", "slot", "w"))
+MEANS = "mv as (select label, list(m order by i) m from (select label, i, avg(x) m from un group by all) group by label)"
+query("v04_head_specialisation", sql([EM, UN, MEANS], "select 1 - avg(list_cosine_similarity(a.m, b.m)) specialisation, count(*) pairs from mv a join mv b on a.label < b.label", "pairs", "specialisation"))(lambda s, d: ve.head_specialisation(E(s, d), "label"))
+query("v05_separability")(lambda s, d: ve.separability(E(s, d), "label", fold=F.col("vec_id") % 5))
+query("v06_information_bound")(lambda s, d: ve.information_bound(E(s, d), "label"))
+query("v06b_label_entropy", sql([EM], "select -sum(p * log2(p)) entropy, count(*) classes from (select count(*)::double / sum(count(*)) over () p from em group by label)", "classes", "entropy"))(lambda s, d: ve.label_entropy(E(s, d), "label"))
+query("v07_label_bins", "with q as (select quantile_cont(n_chars, [" + ", ".join(f"{i / 20}" for i in range(1, 20)) + "]) q from documents) select bin, count(*) n from (select len(list_filter(q, lambda e: e < n_chars))::varchar bin from documents, q) group by bin")(
+    lambda s, d: ve.label_bins(fx.read(s, d, "documents").select("n_chars"), "n_chars").groupBy("bin").agg(F.count("*").alias("n"))
+)
+query("v08_pooled_vectors", sql([EM, CAND, "ux as (select output_id, w, unnest(e) x, generate_subscripts(e, 1) i from cd)"], "select output_id, i - 1 i, sum(w * x) / sum(w) m from ux group by all", "output_id, i", "m"))(
+    lambda s, d: ve.mean_vectors(candidates(s, d), ["output_id"], weight=F.col("w")).select("output_id", F.posexplode("mean").alias("i", "m")).withColumn("i", F.col("i").cast("long"))
+)
+query("v09_interference_summary", sql([EM, CAND, CONF], "select avg(coalesce(c, 0)) conf_mean, stddev_pop(coalesce(c, 0)) conf_std, avg((coalesce(c, 0) > 0.8)::int) conf_high, avg(1 - coalesce(c, 0)) sep_mean, avg((1 - coalesce(c, 0) < 0.4)::int) sep_low from (select distinct output_id from cd) left join cf using (output_id)", "", "conf_mean, conf_std, conf_high, sep_mean, sep_low"))(
+    lambda s, d: ve.interference_summary(ve.confusability(candidates(s, d), "output_id", "slot", "w").withColumn("sep", 1 - F.col("confusability")), "confusability", "sep")
+)
+KEY = ["model", "task", "seed", "instance_id"]
+DIST = "me as (select model, task, seed, instance_id, max(y) filter (path = 0) ok, max(y) any_ok from paths where arm = 'PT' group by all), rf as (select model, task, seed, instance_id, case when 2 * sum(y) > 32 then 1.0::double when 2 * sum(y) = 32 then 0.5::double else 0.0::double end ref_ok from paths where arm = 'SC' group by all)"
+
+
+def method(s, d):
+    return P(s, d).where("arm = 'PT'").groupBy(*KEY).agg(F.max(F.when(F.col("path") == 0, F.col("y"))).alias("ok"), F.max("y").alias("any_ok"))
+
+
+query("a27_distortion", sql([fx.PATHS_SQL, DIST], "select model, task, avg(ref_ok) - avg(ok) distortion, avg((ok = 0 and any_ok = 1)::int) coverage_failure, count(*) n from me join rf using (model, task, seed, instance_id) group by all", "model, task, n", "distortion, coverage_failure"))(
+    lambda s, d: ql.distortion(method(s, d), vo.records(P(s, d).where("arm = 'SC'")).select(*KEY, vo.majority(F.col("s"), F.col("k")).alias("ok")), KEY)
+)
+query("j10_rerun_instability", sql([fx.PATHS_SQL, "r as (select model, task, instance_id, answer, count(*) c from paths where arm = 'PT' and path = 0 and answer is not null group by all)"], "select model, task, instance_id, case when sum(c) > 1 then 1 - sum(c * (c - 1)) / (sum(c) * (sum(c) - 1)) end instability from r group by all", "model, task, instance_id", "instability"))(
+    lambda s, d: ql.rerun_instability(P(s, d).where("arm = 'PT' and path = 0"), ["model", "task", "instance_id"], "seed", "answer")
+)
+query("j09_method_reference", sql([fx.PATHS_SQL, DIST], "select model, task, seed, count(*) n, sum(ok)::bigint ok, sum(ref_ok) ref_ok from me join rf using (model, task, seed, instance_id) group by all", "model, task, seed, n, ok", "ref_ok"))(
+    lambda s, d: method(s, d).join(vo.records(P(s, d).where("arm = 'SC'")).select(*KEY, vo.majority(F.col("s"), F.col("k")).alias("ref_ok")), KEY).groupBy("model", "task", "seed").agg(F.count("*").alias("n"), F.sum("ok").alias("ok"), F.sum("ref_ok").alias("ref_ok"))
+)
+query("a28_mean_gain", sql([fx.PATHS_SQL, DIST], "select model, avg(ok) method_acc, avg(any_ok) any_acc from me group by all", "model", "method_acc, any_acc"))(lambda s, d: method(s, d).groupBy("model").agg(F.avg("ok").alias("method_acc"), F.avg("any_ok").alias("any_acc")))
+query("a29_compute_totals", sql([fx.PATHS_SQL], "select model, task, arm, count(*) passes, sum(gen_len)::bigint tokens from paths group by all", "model, task, arm, passes, tokens"))(lambda s, d: P(s, d).groupBy(*vo.CELL).agg(F.count("*").alias("passes"), F.sum("gen_len").alias("tokens")))
+STATS = ["sv as (select model, task, arm, case when avg(acc) = 0 then 0.0::double else stddev_pop(acc) / avg(acc) end slot_cv from sl group by all)", "ws as (select *, 100 * (weighted_acc - mv_acc) gain_pp from wm join sv using (model, task, arm))"]
+
+
+def stats(s, d):
+    p = P(s, d)
+    return vo.weighted_majority(p).join(vo.slot_variation(p).drop("slots"), vo.CELL)
+
+
+query("a25_weighted_summary", sql([fx.PATHS_SQL, SLOTS, WMV, *STATS], "select part, count(*) n, avg(gain_pp) mean_gain, max(med) median_cv from (select *, unnest(list_filter([case when slot_cv > med then 'high' else 'low' end, case when gain_pp > 0 then 'gain' else 'none' end], lambda x: x is not null)) part from ws, (select median(slot_cv) med from ws)) group by part", "part, n", "mean_gain, median_cv"))(lambda s, d: ql.weighted_summary(stats(s, d), "slot_cv", "gain_pp"))
+query("a26_extremes", sql([fx.PATHS_SQL, SLOTS, WMV, *STATS], "select (select model || '/' || task || '/' || arm k from ws order by slot_cv, k limit 1) least, (select model || '/' || task || '/' || arm k from ws order by slot_cv desc, k desc limit 1) most", "least, most"))(lambda s, d: ql.extremes(stats(s, d).withColumn("slot_cv", F.col("slot_cv")), "slot_cv"))
+query("a31_diversity_table", sql([*PR, "kk as (select unnest([1, 4, 8, 16, 32])::bigint kk)", "r as (select kk, model, task, seed, instance_id, count(*) k, sum(y) s from paths, kk where arm = 'SC' and path < kk group by all)"], f"select model, task, kk, avg(case when k > 1 then (s * (s - 1) + (k - s) * (k - s - 1))::double / (k * (k - 1)) end) agreement, avg({MV}) mv_acc from r group by all", "model, task, kk", "agreement, mv_acc"))(
+    lambda s, d: co.exact_k(P(s, d).where("arm = 'SC'"), (1, 4, 8, 16, 32)).select("model", "task", "kk", "agreement", "mv_acc")
+)
+query("a32_cross_model", sql([*PR, "kk as (select unnest([4, 8, 16, 32])::bigint kk)", "r as (select kk, model, task, seed, instance_id, count(*) k, sum(y)::bigint s from paths, kk where arm = 'SC' and path < kk group by all)", "x as (select model, task, kk, sum(s)::double / sum(k) p, avg((s * (s - 1))::double / (k * (k - 1))) bo from r group by all)", "c as (select *, case when p * (1 - p) > 0 then (bo - p * p) / (p * (1 - p)) end c from x)"],
+    "select model, task, " + ", ".join(f"max(c) filter (kk = {k}) c{k}, max(case when c > 0 then {k} / (1 + ({k} - 1) * c) end) filter (kk = {k}) keff{k}" for k in (4, 8, 16, 32)) + " from c group by all", "model, task", ", ".join(f"c{k}, keff{k}" for k in (4, 8, 16, 32))))(
+    lambda s, d: co.exact_k(P(s, d).where("arm = 'SC'"), (4, 8, 16, 32)).groupBy("model", "task").agg(*[x for k in (4, 8, 16, 32) for x in (F.max(F.when(F.col("kk") == k, F.col("c_hat"))).alias(f"c{k}"), F.max(F.when(F.col("kk") == k, F.col("keff"))).alias(f"keff{k}"))])
+)
+query("a18_gls_vote")(lambda s, d: (lambda p: ql.weighted_answer_vote(p, ql.gls_weights(co.slot_covariance(p)), vo.CELL).groupBy(*vo.CELL).agg(F.avg("y").alias("gls_acc"), F.count("*").alias("n")))(vo.prefix(P(s, d), 8)))
+query("i13_bootstrap_summary", sql([fx.PATHS_SQL, RECS8, RHO, DELTA], "select count(*) cells, count(*) filter (drho_pct > 0) up, median(drho_pct) middle, quantile_cont(drho_pct, 0.75) - quantile_cont(drho_pct, 0.25) spread, min(drho_pct) least, max(drho_pct) most from delta", "cells, up", "middle, spread, least, most"))(
+    lambda s, d: co.arm_delta(P(s, d)).agg(F.count("*").alias("cells"), F.count_if(F.col("drho_pct") > 0).alias("up"), F.median("drho_pct").alias("middle"), (F.percentile("drho_pct", F.lit(0.75)) - F.percentile("drho_pct", F.lit(0.25))).alias("spread"), F.min("drho_pct").alias("least"), F.max("drho_pct").alias("most"))
+)
+query("i17_cell_report", sql([*PR, RHO, POOLED], f"select c.model, c.task, c.arm, p_bar, c_hat, rho, mv, cut from c join rho using (model, task, arm) join (select model, task, arm, avg({MV}) mv from recs group by all) using (model, task, arm) join (select model, task, arm, count(*) filter (truncated) cut from paths group by all) using (model, task, arm)", "model, task, arm, cut", "p_bar, c_hat, rho, mv"))(
+    lambda s, d: (lambda p: (lambda r: co.pooled_c(r).join(co.pairwise_rho(r).drop("pairs"), vo.CELL).join(vo.majority_accuracy(r).withColumnRenamed("mv_acc", "mv"), vo.CELL).join(p.groupBy(*vo.CELL).agg(F.count_if("truncated").alias("cut")), vo.CELL))(vo.records(p)))(P(s, d))
+)
+query("i10_paired_difference", sql([*PR, "st as (select model, task, instance_id, sum(case when 2 * s > k then 1.0::double when 2 * s = k then 0.5::double else 0.0::double end) sm, count(*) n from recs where arm = 'SC' group by all)"], "select model, task, count(*) clusters, sum(sm) / sum(n) mv from st group by all", "model, task, clusters", "mv"))(
+    lambda s, d: (lambda r: r.groupBy("model", "task", "instance_id").agg(F.sum(vo.majority(F.col("s"), F.col("k"))).alias("sm"), F.count("*").alias("n")).groupBy("model", "task").agg(F.count("*").alias("clusters"), (F.sum("sm") / F.sum("n")).alias("mv")))(vo.records(P(s, d)).where("arm = 'SC'"))
+)
+
+
+def _stream_folders(s, d):
+    """Events as arriving JSON files in the shared folder, rows of every seventeenth id twice."""
+    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="spark-stream-")
+    base = f"{base}/{uuid.uuid4().hex}"
+    ev = fx.read(s, d, "events").select("event_id", "ts", "user_id", "event_type", F.col("value").cast("double").alias("value"))
+    ev.repartition(4).write.json(f"{base}/in")
+    ev.where("event_id % 17 = 0").coalesce(1).write.mode("append").json(f"{base}/in")
+    return base
+
+
+def _ingest(s, d):
+    base = _stream_folders(s, d)
+    st.ingest(st.once_by_key(st.arriving(s, f"{base}/in", files_per_trigger=2), "event_id"), f"{base}/out", f"{base}/ck")
+    return s.read.schema(st.EVENTS).parquet(f"{base}/out")
+
+
+query("t01_incremental_ingest", "select event_type, count(*) n, count(distinct event_id) keys from events group by all")(lambda s, d: _ingest(s, d).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("keys")))
+
+
+def _live(s, d):
+    base = _stream_folders(s, d)
+    st.live_summary(st.arriving(s, f"{base}/in", files_per_trigger=2), ["event_type"], "value", f"{base}/sum", f"{base}/ck")
+    return st.read_summary(s, f"{base}/sum", ["event_type"])
+
+
+query("t02_live_summary", "select event_type, count(*) + count(*) filter (event_id % 17 = 0) n, round(sum(value) + coalesce(sum(value) filter (event_id % 17 = 0), 0), 6) + 0.0::double total from events group by all")(_live)
