@@ -58,10 +58,6 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PATHS.format(orders=table(sf_dir, "orders"), range32="(select id path from range(32))"))
 
 
-def plan(spark: SparkSession, reps: int, draws: int, clusters: int) -> DataFrame:
-    return spark.sql(PLAN.format(reps=f"(select id rep from range({reps}))", draws=f"(select id draw from range({draws}))", m=clusters))
-
-
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TRACES.format(documents=table(sf_dir, "documents"), slash="\\\\"))
 

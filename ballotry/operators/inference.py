@@ -59,19 +59,27 @@ def cluster_sums(recs: DataFrame) -> DataFrame:
     return rs.numbered_clusters(recs).groupBy(*CELL, "cluster_idx").agg(F.count("*").alias("n"), F.sum("mv4").alias("mv4"), F.sum("mv").alias("mv"))
 
 
-def clustered_bootstrap(sc: DataFrame, plan: DataFrame) -> DataFrame:
-    """95 % intervals of the majority at 4 and all paths and of their difference, questions resampled."""
+def majority_clusters(sc: DataFrame) -> DataFrame:
+    """cluster_sums of sampled paths."""
     recs = sc.groupBy(*CELL, "seed", "instance_id").agg(F.sum("y").alias("s"), F.count("*").alias("k"), F.sum(F.when(F.col("path") < 4, F.col("y"))).alias("s4"))
-    recs = recs.withColumn("mv", majority(F.col("s"), F.col("k"))).withColumn("mv4", majority(F.col("s4"), F.lit(4)))
-    sums = rs.bootstrap_sums(cluster_sums(recs), plan, ["n", "mv4", "mv"])
+    return cluster_sums(recs.withColumn("mv", majority(F.col("s"), F.col("k"))).withColumn("mv4", majority(F.col("s4"), F.lit(4))))
+
+
+def clustered_bootstrap(clusters: DataFrame, plan: DataFrame) -> DataFrame:
+    """95 % intervals of the majority at 4 and all paths and of their difference, questions resampled."""
+    sums = rs.bootstrap_sums(clusters, plan, ["n", "mv4", "mv"])
     reps = sums.select(*CELL, "rep", (F.col("mv4") / F.col("n")).alias("mv4"), (F.col("mv") / F.col("n")).alias("mv"), ((F.col("mv") - F.col("mv4")) / F.col("n")).alias("diff"))
     return reps.groupBy(*CELL).agg(*[c for x in ("mv4", "mv", "diff") for c in rs.percentile_interval(x)])
 
 
-def pilot_sensitivity(sc: DataFrame, plans: dict[int, DataFrame], eps: float = 0.025, pilot: int = 4) -> DataFrame:
-    """Spread of the pooled correlation of a pilot and of K* over draws of n questions, by n."""
+def pilot_clusters(sc: DataFrame, pilot: int = 4) -> DataFrame:
+    """By cell and question: correct paths, paths, records and the sum of pair shares of a pilot."""
     recs = sc.where(F.col("path") < pilot).groupBy(*CELL, "seed", "instance_id").agg(F.sum("y").alias("s"), F.count("*").alias("k"))
-    clusters = rs.numbered_clusters(recs).groupBy(*CELL, "cluster_idx").agg(F.sum("s").alias("s"), F.sum("k").alias("k"), F.count("*").alias("n"), F.sum((F.col("s") * (F.col("s") - 1)).cast("double") / (F.col("k") * (F.col("k") - 1))).alias("both"))
+    return rs.numbered_clusters(recs).groupBy(*CELL, "cluster_idx").agg(F.sum("s").alias("s"), F.sum("k").alias("k"), F.count("*").alias("n"), F.sum((F.col("s") * (F.col("s") - 1)).cast("double") / (F.col("k") * (F.col("k") - 1))).alias("both"))
+
+
+def pilot_sensitivity(clusters: DataFrame, plans: dict[int, DataFrame], eps: float = 0.025) -> DataFrame:
+    """Spread of the pooled correlation of a pilot and of K* over draws of n questions, by n."""
     out = None
     for n, plan in plans.items():
         x = rs.bootstrap_sums(clusters, plan, ["s", "k", "n", "both"]).withColumn("p", F.col("s") / F.col("k"))

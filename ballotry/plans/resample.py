@@ -1,7 +1,8 @@
 """Resampling by plan: replicates are weights on cluster statistics, never copies of rows.
 
 A plan has one row for each (rep, draw) with a cluster index. It is counted to weights first, and
-joined to sums by cluster, so a replicate costs one row for each distinct cluster it draws.
+joined to sums by cluster, so a replicate costs one row for each distinct cluster it draws. Plans that
+callers bring may hold the cell columns; ``own_plan`` makes one over all clusters of each cell.
 """
 
 from __future__ import annotations
@@ -13,7 +14,25 @@ CELL = ["model", "task"]
 
 
 def weights(plan: DataFrame) -> DataFrame:
-    return plan.groupBy("rep", "cluster_idx").agg(F.count("*").alias("w"))
+    own = [c for c in plan.columns if c not in ("rep", "draw", "cluster_idx")]
+    return plan.groupBy(*own, "rep", "cluster_idx").agg(F.count("*").alias("w"))
+
+
+def own_plan(clusters: DataFrame, reps: int, draws: int | None = None, by: list[str] = CELL) -> DataFrame:
+    """(by, rep, draw, cluster_idx): in each replicate a cell of m clusters draws m of them, or ``draws``, with replacement.
+
+    Indices run from 0 to m - 1, so every cluster can be drawn whatever the size of the cell.
+    """
+    spark = clusters.sparkSession
+    own = clusters.select(*by, "cluster_idx").distinct()
+    sizes = own.groupBy(*by).agg(F.count("*").alias("m"))
+    if draws is None:
+        slots = own.withColumnRenamed("cluster_idx", "draw").join(F.broadcast(sizes), by)  # a row a cell
+    else:
+        slots = sizes.crossJoin(F.broadcast(spark.range(draws).withColumnRenamed("id", "draw")))
+    plan = slots.crossJoin(F.broadcast(spark.range(reps).withColumnRenamed("id", "rep")))
+    index = F.pmod(F.xxhash64(*by, "rep", "draw"), F.col("m"))
+    return plan.select(*by, "rep", "draw", index.alias("cluster_idx"))
 
 
 def numbered_clusters(recs: DataFrame) -> DataFrame:
@@ -29,6 +48,6 @@ def percentile_interval(x: str, level: float = 0.95) -> list[Column]:
 
 
 def bootstrap_sums(clusters: DataFrame, plan: DataFrame, sums: list[str], by: list[str] = CELL) -> DataFrame:
-    """Weighted sums of each replicate: clusters (by, cluster_idx, sums) and a plan."""
-    joined = clusters.join(weights(plan), "cluster_idx")
+    """Weighted sums of each replicate: clusters (by, cluster_idx, sums) and a plan, of one cell each where it holds ``by``."""
+    joined = clusters.join(weights(plan), [c for c in by if c in plan.columns] + ["cluster_idx"])
     return joined.groupBy(*by, "rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in sums])

@@ -62,24 +62,23 @@ cs as (select model, task, cluster_idx, count(*) n, sum(mv4) mv4, sum(mv) mv fro
 wt as (select rep, cluster_idx, count(*) w from plan group by all),
 rp as (select model, task, rep, sum(w * mv4) / sum(w * n) mv4, sum(w * mv) / sum(w * n) mv, sum(w * (mv - mv4)) / sum(w * n) diff from cs join wt using (cluster_idx) group by all)"""
 CI = ", ".join(f"quantile_cont({x}, 0.025) {x}_lo, quantile_cont({x}, 0.975) {x}_hi" for x in ("mv4", "mv", "diff"))
-query("i09_clustered_bootstrap", sql([fx.PATHS_SQL, SC, fx.plan_sql(MANY, 100, 100), BOOT], f"select model, task, {CI} from rp group by all", CM, "mv4_lo, mv4_hi, mv_lo, mv_hi, diff_lo, diff_hi"))(lambda s, d: inf.clustered_bootstrap(sc(s, d), fx.plan(s, MANY, 100, 100)))
+query("i09_clustered_bootstrap", sql([fx.PATHS_SQL, SC, fx.plan_sql(MANY, 100, 100), BOOT], f"select model, task, {CI} from rp group by all", CM, "mv4_lo, mv4_hi, mv_lo, mv_hi, diff_lo, diff_hi"))(lambda s, d: (lambda c: inf.clustered_bootstrap(c, rs.own_plan(c, MANY)))(inf.majority_clusters(sc(s, d))))
 query("j08_resample_join", sql([fx.PATHS_SQL, SC, fx.plan_sql(MANY, 100, 100), BOOT], "select model, task, rep, mv, mv4 from rp", f"{CM}, rep", "mv, mv4"))(
-    lambda s, d: (lambda r: rs.bootstrap_sums(inf.cluster_sums(r), fx.plan(s, MANY, 100, 100), ["n", "mv4", "mv"]).select("model", "task", "rep", (F.col("mv") / F.col("n")).alias("mv"), (F.col("mv4") / F.col("n")).alias("mv4")))(
-        sc(s, d).groupBy("model", "task", "seed", "instance_id").agg(F.sum("y").alias("s"), F.count("*").alias("k"), F.sum(F.when(F.col("path") < 4, F.col("y"))).alias("s4")).withColumn("mv", vo.majority(F.col("s"), F.col("k"))).withColumn("mv4", vo.majority(F.col("s4"), F.lit(4))))
+    lambda s, d: (lambda c: rs.bootstrap_sums(c, rs.own_plan(c, MANY), ["n", "mv4", "mv"]).select("model", "task", "rep", (F.col("mv") / F.col("n")).alias("mv"), (F.col("mv4") / F.col("n")).alias("mv4")))(inf.majority_clusters(sc(s, d)))
 )
 query("i11_pilot_sensitivity", sql([fx.PATHS_SQL, SC] + [fx.plan_sql(100, n, 100).replace("plan as", f"plan{n} as") for n in (25, 50)] + ["r4 as (select model, task, seed, instance_id, sum(y)::bigint s, count(*) k from sc where path < 4 group by all)", "cl as (select *, dense_rank() over (partition by model, task order by instance_id) - 1 cluster_idx from r4)",
     "cs as (select model, task, cluster_idx, sum(s)::bigint s, sum(k)::bigint k, count(*) n, sum((s * (s - 1))::double / (k * (k - 1))) bo from cl group by all)", "wt as (select 25 questions, rep, cluster_idx, count(*) w from plan25 group by all union all select 50, rep, cluster_idx, count(*) from plan50 group by all)",
     "bs as (select questions, model, task, rep, sum(w * s)::double / sum(w * k) p, sum(w * bo) / sum(w * n) bo from cs join wt using (cluster_idx) group by all)", "bc as (select *, case when p * (1 - p) > 0 then (bo - p * p) / (p * (1 - p)) end c from bs)"],
     f"select questions::bigint questions, model, task, avg(c) c_mean, stddev_samp(c) c_std, avg({KSTAR.format(c='c', e='0.025::double')}) k_mean, count(*) filter ({KSTAR.format(c='c', e='0.025::double')} <= 1) at_bound, count(*) filter (c is null) undefined from bc group by all", f"{CM}, questions, at_bound, undefined", "c_mean, c_std, k_mean"))(
-    lambda s, d: inf.pilot_sensitivity(sc(s, d), {n: fx.plan(s, 100, n, 100) for n in (25, 50)})
+    lambda s, d: (lambda c: inf.pilot_sensitivity(c, {n: rs.own_plan(c, 500, n) for n in (25, 50, 100, 200)}))(inf.pilot_clusters(sc(s, d)))
 )
 
 
 def matched_masks(s, d):
-    r = rs.numbered_clusters(vo.records(vo.prefix(P(s, d), 8)))
+    r = vo.records(vo.prefix(P(s, d), 8))
     w = lambda a: F.max(F.when(F.col("arm") == a, F.col("mask")))
-    m = r.groupBy("model", "task", "seed", "instance_id", "cluster_idx").agg(w("SC").alias("sc_mask"), w("PT").alias("pt_mask"))
-    return m.where("sc_mask is not null and pt_mask is not null")
+    m = r.groupBy("model", "task", "seed", "instance_id").agg(w("SC").alias("sc_mask"), w("PT").alias("pt_mask"))
+    return rs.numbered_clusters(m.where("sc_mask is not null and pt_mask is not null"))
 
 
 query("i12_paired_rho_bootstrap", sql([fx.PATHS_SQL, "recs as (select model, task, arm, seed, instance_id, sum((1::bigint << path::int) * y)::bigint mask from paths where path < 8 group by all)", "cl as (select *, dense_rank() over (partition by model, task order by instance_id) - 1 cluster_idx from recs)", fx.plan_sql(50, 100, 100),
@@ -87,7 +86,7 @@ query("i12_paired_rho_bootstrap", sql([fx.PATHS_SQL, "recs as (select model, tas
     "ps as (select model, task, arm, rep, i, j, sum(w)::double n, sum(w * ((mask >> i::int) & 1))::double si, sum(w * ((mask >> j::int) & 1))::double sj, sum(w * ((mask >> i::int) & 1) * ((mask >> j::int) & 1))::double sij from cl join wt using (cluster_idx), ij group by all)",
     "pr as (select model, task, arm, rep, avg(case when n * si - si * si > 0 and n * sj - sj * sj > 0 then (n * sij - si * sj) / sqrt((n * si - si * si) * (n * sj - sj * sj)) end) rho from ps group by all)",
     "dr as (select a.model, a.task, a.rep, case when abs(a.rho) >= 0.01::double then 100 * (b.rho - a.rho) / abs(a.rho) end drho from pr a join pr b on a.model = b.model and a.task = b.task and a.rep = b.rep and a.arm = 'SC' and b.arm = 'PT')"],
-    "select model, task, count(drho) draws, quantile_cont(drho, 0.025) drho_lo, quantile_cont(drho, 0.975) drho_hi from dr group by all", f"{CM}, draws", "drho_lo, drho_hi"))(lambda s, d: inf.paired_rho_bootstrap(matched_masks(s, d), fx.plan(s, 50, 100, 100)))
+    "select model, task, count(drho) draws, quantile_cont(drho, 0.025) drho_lo, quantile_cont(drho, 0.975) drho_hi from dr group by all", f"{CM}, draws", "drho_lo, drho_hi"))(lambda s, d: (lambda m: inf.paired_rho_bootstrap(m, rs.own_plan(m, 50)))(matched_masks(s, d)))
 LD = "ld as (select d.n_chars, l.quality from documents d join labels l using (doc_id))"
 
 
