@@ -4,7 +4,7 @@ Centroids are fitted on a bounded sample and kept balanced by splitting the larg
 the smallest lists. Every vector is put in the list of its nearest centroid and, where it lies near
 a boundary, in further ones whose centroids are hardly farther. A query searches the centroids by a
 best-first walk over their neighbour graph, in memory, and probes the lists that a distance ratio
-keeps. Queries meet lists in one shuffle: neighbouring lists are packed in shards of bounded size, a
+keeps, and further ones until they hold enough rows for its answer. Queries meet lists in one shuffle: neighbouring lists are packed in shards of bounded size, a
 list larger than that is cut in parts, so that copies of one vector fill many tasks rather than one,
 and each shard returns its best for each query once.
 
@@ -16,7 +16,7 @@ distance; the scores returned are inner products of the original vectors in doub
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ BOUNDARY_RATIO, MOST_COPIES = 1.03, 3
 #: A query probes lists whose centroids are at most so many times as far as the nearest one's, or as
 #: the sample's median vector is from its nearest one, so that a query on a centroid looks around too.
 PROBE_RATIO = 1.25
+#: It goes on to farther lists until they hold so many rows for each neighbour asked for.
+ROWS_A_NEIGHBOUR = 20
 #: Neighbours of a centroid in the graph, and centroids that a walk keeps open.
 GRAPH_LINKS, WALK_WIDTH = 24, 256
 
@@ -65,6 +67,21 @@ def balanced_centroids(sample: np.ndarray, k: int, rounds: int = 12) -> np.ndarr
     return centres
 
 
+def spanning_tree(d: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a smallest spanning tree of a matrix of distances."""
+    left = np.ones(len(d), bool)
+    left[0] = False
+    least, via = d[0].copy(), np.zeros(len(d), int)
+    edges = []
+    for _ in range(len(d) - 1):
+        b = int(np.where(left, least, np.inf).argmin())
+        edges.append((int(via[b]), b))
+        left[b] = False
+        nearer = d[b] < least
+        least[nearer], via[nearer] = d[b][nearer], b
+    return edges
+
+
 class CentroidGraph:
     """Best-first search over the neighbour graph of the centroids."""
 
@@ -77,6 +94,9 @@ class CentroidGraph:
         linked = np.zeros(d.shape, bool)
         np.put_along_axis(linked, near, True, axis=1)
         linked |= linked.T
+        # groups of centroids that link only within themselves are joined by the smallest spanning tree
+        for a, b in spanning_tree(d):
+            linked[a, b] = linked[b, a] = True
         self.links = [np.flatnonzero(row) for row in linked]
         self.entry = int(((centres - centres.mean(0)) ** 2).sum(1).argmin())
 
@@ -162,32 +182,48 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> Data
         index[s["dim"]] = (s["top"], centres, float(np.median(distances(sample, centres).min(1))))
     shared = spark.sparkContext.broadcast(index)  # at most MOST_CENTROIDS for each vector length
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graphs = {d: CentroidGraph(c) for d, (_, c, _) in shared.value.items()}
-        for batch in batches:
-            out: list[list[int]] = []
-            for v, query in zip(batch.column("v").to_pylist(), batch.column("query").to_pylist()):
-                top, centres, usual = shared.value[len(v)]
-                u = np.array(v)
-                # a query's own lift is 0: only then is the distance the inner product's order
-                p = np.append(u, 0.0) if query else _lifted(u[None], top)[0]
-                if query:
-                    c, d = graphs[len(v)].nearest(p)
-                    out.append(c[d <= PROBE_RATIO * max(d[0], usual) + 1e-12].tolist())
-                else:
-                    d = np.linalg.norm(centres - p, axis=1)
-                    c = np.argsort(d, kind="stable")[:MOST_COPIES]
-                    out.append(c[d[c] <= BOUNDARY_RATIO * d[c[0]] + 1e-12].tolist())
-            yield pa.record_batch([*[batch.column(n) for n in ("vec_id", "v", "copies", "dim", "query")], pa.array(out, pa.list_(pa.int32()))], ["vec_id", "v", "copies", "dim", "query", "lists"])
-
-    both = rows.withColumn("query", F.lit(False)).unionByName(rows.where(F.col("vec_id") % every == 0).withColumn("query", F.lit(True)))
-    placed = both.mapInArrow(place, "vec_id long, v array<double>, copies long, dim int, query boolean, lists array<int>")
-    placed = scratch.table(placed)
-    sizes = placed.where(~F.col("query")).select("dim", F.explode("lists").alias("list")).groupBy("dim", "list").count().collect()  # a row a list
+    def placed(lists_of: Callable[[list[float]], list[int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [lists_of(v) for v in batch.column("v").to_pylist()]
+                yield pa.record_batch([*[batch.column(n) for n in ("vec_id", "v", "copies", "dim", "query")], pa.array(out, pa.list_(pa.int32()))], ["vec_id", "v", "copies", "dim", "query", "lists"])
+
+        return place
+
+    def joined(v: list[float]) -> list[int]:
+        top, centres, _ = shared.value[len(v)]
+        d = np.linalg.norm(centres - _lifted(np.array(v)[None], top)[0], axis=1)
+        c = np.argsort(d, kind="stable")[:MOST_COPIES]
+        return c[d[c] <= BOUNDARY_RATIO * d[c[0]] + 1e-12].tolist()
+
+    schema = "vec_id long, v array<double>, copies long, dim int, query boolean, lists array<int>"
+    held = scratch.table(rows.withColumn("query", F.lit(False)).mapInArrow(placed(joined), schema))
+    place = F.posexplode("lists").alias("nth", "list")
+    sizes = held.select("dim", "copies", place).groupBy("dim", "list").agg(F.count("*").alias("count"), F.sum(F.when(F.col("nth") == 0, F.col("copies")).otherwise(0)).alias("own")).collect()  # a row a list
+    # every row counts in its nearest list only, so that lists add up
+    own = {d: np.zeros(len(c), np.int64) for d, (_, c, _) in index.items()}
+    for r in sizes:
+        own[r["dim"]][r["list"]] = r["own"]
+    filled = spark.sparkContext.broadcast(own)
+    graphs: dict[int, CentroidGraph] = {}
+
+    def probed_by(v: list[float]) -> list[int]:
+        _, centres, usual = shared.value[len(v)]
+        if len(v) not in graphs:
+            graphs[len(v)] = CentroidGraph(centres)
+        # a query's own lift is 0: only then is the distance the inner product's order
+        c, d = graphs[len(v)].nearest(np.append(np.array(v), 0.0))
+        near = int((d <= PROBE_RATIO * max(d[0], usual) + 1e-12).sum())
+        # one more than k for the query's own row
+        enough = int(np.searchsorted(filled.value[len(v)][c].cumsum(), ROWS_A_NEIGHBOUR * k + 1)) + 1
+        return c[: max(near, enough)].tolist()
+
+    asked = rows.where(F.col("vec_id") % every == 0).withColumn("query", F.lit(True)).mapInArrow(placed(probed_by), schema)
+    both = held.unionByName(asked)
     shard_of, parts_of = shards({(r["dim"], r["list"]): r["count"] for r in sizes}, index)
     pick = lambda table, d, i: F.element_at(F.array(*[F.lit(x) for x in table[d]]), i + 1)
     by_dim = lambda table, i: F.coalesce(*[F.when(F.col("dim") == d, pick(table, d, i)) for d in index]) if index else F.lit(0)
-    cut = placed.withColumn("shard", F.explode(F.array_distinct(F.transform("lists", lambda x: by_dim(shard_of, x)))))
+    cut = both.withColumn("shard", F.explode(F.array_distinct(F.transform("lists", lambda x: by_dim(shard_of, x)))))
     cut = cut.withColumn("lists", F.filter("lists", lambda x: by_dim(shard_of, x) == F.col("shard"))).withColumn("parts", by_dim(parts_of, F.col("shard")))
     part = F.when(F.col("query"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int")))
     dealt = cut.withColumn("part", F.explode(part)).select(F.xxhash64("dim", "shard", "part").alias("key"), "vec_id", "v", F.xxhash64("v").alias("vh"), "copies", "query", "lists")

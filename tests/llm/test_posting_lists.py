@@ -63,3 +63,42 @@ def test_few_candidates_and_empty_table(spark):
     got = sorted(map(tuple, pl.nearest_neighbours(df).select("query_id", "rank", "vec_id").collect()))
     assert got == [(0, 1, 20), (0, 2, 3), (20, 1, 0), (20, 2, 3)]
     assert pl.nearest_neighbours(df.limit(0)).count() == 0
+
+
+def separated(rnd, groups=5, size=480, flat=4, spread=0.05):
+    """Unit vectors in groups far from each other; each group is a flat cloud of few dimensions."""
+    x = np.concatenate([np.column_stack([np.tile(m, (size, 1)), spread * rnd.normal(size=(size, flat))]) for m in np.eye(groups)])
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_walk_reaches_every_group_of_centroids():
+    x = separated(np.random.default_rng(5), size=50)
+    graph = pl.CentroidGraph(x)
+    for q in x[::10]:
+        c, d = graph.nearest(q)
+        assert len(c) == len(x) and np.allclose(d, np.sort(np.linalg.norm(x - q, axis=1)))
+
+
+@pytest.mark.parametrize("hot", [0, 2400])
+def test_recall_on_separated_clusters(spark, monkeypatch, hot):
+    monkeypatch.setattr(pl, "LIST_ROWS", 18)  # more lists for each group than a centroid has links
+    rnd = np.random.default_rng(6)
+    x = separated(rnd, size=960)
+    x = np.concatenate([x, np.repeat(x[:1], hot, axis=0)])[rnd.permutation(len(x) + hot)]  # copies: a third of all rows
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = pl.nearest_neighbours(df, 20, 40).toPandas()
+    got = found.groupby("query_id").score.apply(list)
+    queries = np.arange(0, len(x), 40).tolist()
+    assert set(got.index) == set(queries) and set(found.groupby("query_id").size()) == {20}
+    right = []
+    for q in queries:
+        s = np.delete(x @ x[q], q)
+        right.append(np.mean(np.array(got[q]) >= np.sort(s)[-20] - 1e-9))
+    assert np.mean(right) >= 0.9 and min(right) >= 0.5
+
+
+def test_queries_go_on_until_they_have_k_rows(spark, monkeypatch):
+    monkeypatch.setattr(pl, "LIST_ROWS", 4)
+    x = separated(np.random.default_rng(7), size=8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert set(pl.nearest_neighbours(df, 20, 20).toPandas().groupby("query_id").size()) == {20}
