@@ -6,14 +6,15 @@ that the toxic dictionary shortens more than the ordinary one is evidence; a doc
 summed up in four numbers, and a logistic curve fitted on labelled documents that the dictionaries
 haven't seen turns these into a score.
 
-Training uses a bounded sample of labelled rows (``SAMPLE``); scoring covers every window of every
-text in parallel, with nothing but the dictionaries and five coefficients broadcast.
+Training uses a bounded sample of labelled rows (``SAMPLE``), each with its whole text, which never
+reaches the driver: words are counted and features computed in parallel, and a bounded number of
+pieces spread over each text (``PIECES``) makes the dictionaries. Scoring covers every window of every
+text in parallel, with nothing but the dictionaries and the coefficients broadcast.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import Scratch, bound_batches
 
-#: Training bounds: documents of each class at most, and characters of each.
+#: Training bounds: documents of each class at most, and pieces of each text that dictionaries are made of.
 SAMPLE = {1: 2000, 0: 5000}
-SAMPLE_CHARS = 20_000
+PIECES, PIECE_BYTES = 16, 256
 WINDOW = 64  # bytes
 BASE_BYTES, TOXIC_BYTES = 48_000, 8_192
 #: A word marks toxic text if so many of the toxic documents have it, and so many times the ordinary share.
@@ -126,34 +127,67 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in b)
 
 
-def fit(rows: list[tuple[int, int, str]], totals: dict[int, int]) -> Model | None:
-    """rows: (fold, label, text) of the training sample; totals: rows of each label before sampling.
+def spread_pieces(text: str) -> list[bytes]:
+    """Pieces of a text: all of them, or PIECES at even distances from its beginning to its end."""
+    b = text.lower().encode()
+    n = -(-len(b) // PIECE_BYTES)
+    picked = range(n) if n <= PIECES else [i * (n - 1) // (PIECES - 1) for i in range(PIECES)]
+    return [b[i * PIECE_BYTES : (i + 1) * PIECE_BYTES] for i in picked]
+
+
+def marking_words(learn: DataFrame) -> list[str]:
+    """Words of the whole toxic texts that ordinary texts hardly have, rarest first; learn: (toxic, text)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+                words = sorted(set(_WORD.findall(text.lower())))
+                yield pa.record_batch([pa.array([label] * len(words), pa.int32()), pa.array(words, pa.string())], ["toxic", "word"])
+
+    n = {r["toxic"]: r["count"] for r in learn.groupBy("toxic").count().collect()}  # two rows
+    least = max(min(LEAST_DOCS, n[1]), LEAST_SHARE * n[1])
+    counts = learn.select("toxic", "text").mapInArrow(each, "toxic int, word string").groupBy("word").agg(F.sum("toxic").alias("said"), F.sum(1 - F.col("toxic")).alias("usual"))
+    lifted = (F.col("said") >= least) & (F.col("said") / n[1] >= LEAST_LIFT * (F.col("usual") + 0.5) / n[0])
+    # the most frequent ones fill the dictionary: no more words than it has bytes
+    marks = counts.where(lifted).orderBy(F.desc("said"), F.desc("word")).limit(TOXIC_BYTES).collect()
+    return [r["word"] for r in marks[::-1]]
+
+
+def fit(rows: DataFrame, totals: dict[int, int]) -> Model | None:
+    """rows: (fold, toxic, text, o) of the training sample, o being its order; totals: rows of each label before sampling.
 
     Folds 1 to 3 make the dictionaries, fold 4 fits the curve. None without rows of both labels.
     """
-    learn = [r for r in rows if r[0] != FOLDS - 1]
-    check = [r for r in rows if r[0] == FOLDS - 1]
-    if {r[1] for r in check} != {0, 1}:
+    learn, check = rows.where(F.col("fold") != FOLDS - 1), rows.where(F.col("fold") == FOLDS - 1)
+    if len(check.select("toxic").distinct().collect()) != 2:
         check = learn
-    toxic, ordinary = [r[2] for r in learn if r[1]], [r[2] for r in learn if not r[1]]
-    if not toxic or not ordinary:
+    if len(learn.select("toxic").distinct().collect()) != 2:
         return None
-    said, usual = Counter(), Counter()
-    for t in toxic:
-        said.update(set(_WORD.findall(t.lower())))
-    for t in ordinary:
-        usual.update(set(_WORD.findall(t.lower())))
-    least = max(min(LEAST_DOCS, len(toxic)), LEAST_SHARE * len(toxic))
-    marks = [w for w, n in said.items() if n >= least and n / len(toxic) >= LEAST_LIFT * (usual[w] + 0.5) / len(ordinary)]
-    marks.sort(key=lambda w: (said[w], w))
-    own = (" " + " ".join(marks) + " ").encode()[-TOXIC_BYTES:]
-    pieces = [b[i : i + 256] for t in ordinary for b in [t.lower().encode()] for i in range(0, min(len(b), 4_000), 256)]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = [spread_pieces(t) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("o"), pa.array(pieces, pa.list_(pa.binary()))], ["o", "pieces"])
+
+    # PIECES * PIECE_BYTES a document at most
+    cuts = learn.where("toxic = 0").select("o", "text").mapInArrow(cut, "o string, pieces array<binary>").collect()
+    pieces = [bytes(p) for r in sorted(cuts) for p in r["pieces"]]
+    own = (" " + " ".join(marking_words(learn)) + " ").encode()[-TOXIC_BYTES:]
     base = _trained(BASE_BYTES, pieces)
     more = _trained(max(len(own), 256), pieces[::-1])[-len(own) :]
     model = Model(base + more, base + own, ())
-    scorer = Scorer(Model(model.ordinary, model.toxic, (0.0,) * 7))
-    x = scorer.features([r[2] for r in check])
-    y = np.array([float(r[1]) for r in check])
+    blank = rows.sparkSession.sparkContext.broadcast(Model(model.ordinary, model.toxic, (0.0,) * 7))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(blank.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                x = scorer.features(part.column("text").to_pylist())
+                yield pa.record_batch([part.column("o"), part.column("toxic"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["o", "toxic", "x"])
+
+    got = sorted(check.select("o", "toxic", "text").mapInArrow(measure, "o string, toxic int, x array<double>").collect())
+    x, y = np.array([r["x"] for r in got]), np.array([float(r["toxic"]) for r in got])
     have = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     w = np.where(y == 1, totals.get(1, 1) / have[1], totals.get(0, 1) / have[0])
     model.weights = _logistic(x, y, w * len(y) / w.sum())
@@ -174,11 +208,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     for label, most in SAMPLE.items():
         part = marked.where(F.col("toxic") == label).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.where("text is not null").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    bound_batches(docs.sparkSession)
+    texts = docs.where("text is not null").select("doc_id", "text")
     rows = texts.join(F.broadcast(chosen), "doc_id").select("fold", "toxic", "text", F.md5("text").alias("o"))
     # repeated rows of an id could pass the bound; the sort also makes reruns agree
-    rows = rows.orderBy("toxic", "o").limit(2 * sum(SAMPLE.values()))
-    return fit([(int(r[0]), r[1], r[2]) for r in rows.collect()], totals)
+    rows = Scratch(docs.sparkSession).table(rows.orderBy("toxic", "o").limit(2 * sum(SAMPLE.values())))
+    return fit(rows.repartition("o"), totals)
 
 
 _SCORERS: dict[str, Scorer] = {}
