@@ -75,3 +75,20 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, block, percent,
 
 def test_empty_table(spark):
     assert nj.ngram_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_of_each_component_keeps_unlike_rows_of_an_id(spark):
+    say = lambda k: " ".join(f"{k}w{i}" for i in range(30))
+    rows = [(7, None), (7, say("a")), (7, say("b")), (8, say("a")), (9, say("b") + " more"), (9, ""), (10, say("c")), (10, say("c")), (None, say("a")), (11, " \n")]
+    docs = spark.createDataFrame([(t, d, "x", 1) for d, t in rows], "text string, doc_id long, version string, n int")
+    got = nj.one_of_each_component(docs, 5, 80)
+    assert got.columns == docs.columns
+    want = [(7, None), (7, say("a")), (7, say("b")), (9, ""), (10, say("c")), (None, say("a")), (11, " \n")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_very_long_texts_and_tied_sizes(spark):
+    long = [f"t{i}" for i in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-50])), (3, " ".join(long[:50_000])), (4, "a b c d e f"), (5, "a b c d e f"), (6, "A B C D E f")]
+    got = {r.doc_id: r.component_id for r in nj.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 4}
