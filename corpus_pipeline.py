@@ -9,10 +9,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ballotry.llm import mixing, ngram_join, repeats, tokens, toxicity
-from ballotry.llm.common import Scratch, small
+from ballotry.llm.common import Scratch
 
 #: Near copies share 80 % of their five-word shingles or more.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -28,20 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of the smallest id; null ids stay."""
-    scratch = Scratch(spark)
-    found = scratch.table(ngram_join.ngram_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT).select("doc_id", "component_id"))
-    others = found.where("component_id <> doc_id").select("doc_id").distinct()
-    others = scratch.table(others)
-    kept = docs.join(small(others, others.count()), "doc_id", "left_anti").select(*docs.columns)
-    again = scratch.table(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if not again.take(1):
-        return kept
-    # of rows that repeat an id one stays, as they are in one group
-    hint = small(again, again.count())
-    order = Window.partitionBy("doc_id").orderBy(F.md5(F.col("text")), F.col("source"))
-    first = kept.join(hint, "doc_id", "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
-    return kept.join(hint, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
+    """One document of each group of near copies, the one of the smallest id."""
+    return ngram_join.one_of_each_component(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
