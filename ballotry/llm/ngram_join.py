@@ -326,7 +326,7 @@ def _grouped(docs: DataFrame, width: int, percent: int, tie: bool, scratch: Scra
     texts = slim.join(small(wanted, n_kept), ["doc_id", "version"]).select("h1", "text")
     # a column of one row adds to no overlap; rows that have too few others can't link
     whole = scratch.table(texts.mapInArrow(_sets(width), "h1 long, grams array<long>"))
-    sets = shared_columns(whole, n_kept).groupBy("h1").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("f", "gram")))).alias("own"))
+    sets = shared_columns(whole, n_kept).groupBy("h1").agg(F.sort_array(F.collect_set(F.struct("f", "gram"))).alias("own"))
     least = F.ceil(F.col("n") * percent / 100)
     full = sets.join(kept.select("h1", "n"), "h1").where(F.size("own") >= least)
     matrix = scratch.table(full.select("h1", "n", F.col("own.gram").alias("grams"), (F.size("own") - least + 1).cast("int").alias("head")))
