@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import itertools
 import json
 import uuid
@@ -59,23 +60,38 @@ def load_merges(path: str) -> tuple[dict[tuple[bytes, bytes], int], dict[bytes,
 
 
 def merge_pairs(word: bytes, rank: dict[tuple[bytes, bytes], int]) -> list[bytes]:
-    """Byte-pair merging by ranked pairs: the lowest rank first, the leftmost of equals."""
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        ranks = [rank.get(p, 1 << 60) for p in zip(parts, parts[1:])]
-        low = min(ranks)
-        if low == 1 << 60:
-            break
-        out, i = [], 0
-        while i < len(parts):
-            if i < len(ranks) and ranks[i] == low:
-                out.append(parts[i] + parts[i + 1])
-                i += 2
-            else:
-                out.append(parts[i])
-                i += 1
-        parts = out
-    return parts
+    """Byte-pair merging by ranked pairs: the lowest rank first, the leftmost of equals.
+
+    Parts are linked in a list and pairs wait in a heap, so a word of n bytes takes O(n log n).
+    """
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts here; 0 if none does
+    heap = []
+    for i in range(n - 1):
+        r = rank.get((word[i : i + 1], word[i + 1 : i + 2]))
+        if r is not None:
+            heap.append((r, i, i + 1, i + 2))
+    heapq.heapify(heap)
+    while heap:
+        _, i, j, stop = heapq.heappop(heap)
+        if end[i] != j or end[j] != stop:  # one of the two has merged since
+            continue
+        end[i], end[j] = stop, 0
+        if stop < n:
+            before[stop] = i
+            r = rank.get((word[i:stop], word[stop : end[stop]]))
+            if r is not None:
+                heapq.heappush(heap, (r, i, stop, end[stop]))
+        p = before[i]
+        if p >= 0:
+            r = rank.get((word[p:i], word[i:stop]))
+            if r is not None:
+                heapq.heappush(heap, (r, p, i, stop))
+    out, i = [], 0
+    while i < n:
+        out.append(word[i : end[i]])
+        i = end[i]
+    return out
 
 
 class _Joined(dict):
@@ -88,8 +104,8 @@ class _Joined(dict):
         return self.ranks.get(pair[0] + pair[1], default)
 
 
-#: Most words that a worker keeps token counts of between batches; beyond it the memo starts anew.
-MEMO_WORDS = 400_000
+#: Most words that a worker keeps results of at once, beyond which the memo starts anew, and the length of the longest.
+MEMO_WORDS, MEMO_LETTERS = 400_000, 256
 
 
 def whole_tokens(rank: dict[tuple[bytes, bytes], int], vocab: dict[bytes, int]) -> list[str]:
@@ -122,10 +138,13 @@ class Counter:
             return sum(map(memo.__getitem__, words))
         except KeyError:
             pass
+        long = 0
         for w in set(words):
-            if w not in memo:
+            if len(w) > MEMO_LETTERS:
+                long += words.count(w) * len(merge_pairs(w.encode(), self.rank))
+            elif w not in memo:
                 memo[w] = len(merge_pairs(w.encode(), self.rank))
-        n = sum(map(memo.__getitem__, words))
+        n = long + sum(memo[w] for w in words if len(w) <= MEMO_LETTERS)
         if len(memo) > MEMO_WORDS:
             self.memo = dict(self.whole)
         return n
@@ -314,7 +333,8 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_i
         for batch in batches:
             cells = []
             for bucket, head, cell in zip(batch.column("bucket").to_pylist(), batch.column("head").to_pylist(), batch.column("cell").to_pylist()):
-                if bucket != last:  # rows come sorted by bucket: a word's only one, so it is encoded once
+                # rows come sorted by bucket, a word's only one, so it is encoded once unless the bucket is huge
+                if bucket != last or len(known) > MEMO_WORDS:
                     known, last = {}, bucket
                 if head:
                     cells.append(cell)
