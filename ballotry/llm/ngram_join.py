@@ -34,7 +34,7 @@ from .shingles import mix, ngram_sets, pieces, text_buffer
 #: Share of a row's columns that are shuffled beyond the fewest that the bound allows: more of them drop more rows.
 EXTRA = 0.1
 #: Rows of a block in the product, and columns of its rows in sum.
-BLOCK_ROWS, BLOCK_ENTRIES = 400, 1_000_000
+BLOCK_ROWS, BLOCK_ENTRIES = 400, 400_000
 #: Columns that are multiplied at once.
 BLOCK_COLUMNS = 4096
 #: Rounds in which one row of each column is multiplied with the others.

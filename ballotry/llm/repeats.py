@@ -33,7 +33,7 @@ CUT_LESS = 30
 #: Contexts of one k-gram up to which a bucket is sorted in one task; windows of larger ones are counted.
 BUCKET_CONTEXTS = 2_000
 #: Bytes of contexts that are sorted at once.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
@@ -194,42 +194,59 @@ def repeated_suffixes(data: np.ndarray, at: np.ndarray, segment: np.ndarray, len
 
 # ------------------------------------------------------------------------------- the Spark job
 
-_ROW = "r1 long, r2 int"
+#: Bytes of a text (or context) buffer that is hashed at once, long texts aside.
+PIECE_BYTES = 1 << 18
+#: A range of starts as one number: its first start, then how many more it has.
+MORE_BITS = 16
+
+
+def _place(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return (first << MORE_BITS) | (last - first)
+
+
+def _starts(place):
+    """First and last start of a range."""
+    return place >> MORE_BITS, (place >> MORE_BITS) + (place & ((1 << MORE_BITS) - 1))
 
 
 def _ranges_of(length: int, k: int, value: str, keep: list[str], begin: str | None = None):
-    """Task: rows with texts (or contexts) to their ranges (keep..., a1, a2, g, f)."""
+    """Task: rows with texts (or contexts) to their ranges (keep..., place, g, f)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, value, 1 << 20):
+            for batch in pieces(whole, value, PIECE_BYTES):
                 data, at = text_buffer(batch.column(value))
                 prefix = prefix_hashes(data)
                 text, a1, a2, g = window_ranges(prefix, at, length, k)
                 f = span_hash(prefix, a1, a2 + length)
                 pick = pa.array(text)
-                shift = batch.column(begin).to_numpy()[text] if begin else 0
+                shift = (batch.column(begin).to_numpy()[text] if begin else 0) - at[text]
                 yield pa.record_batch(
-                    [*[batch.column(c).take(pick) for c in keep], pa.array(a1 - at[text] + shift), pa.array(a2 - at[text] + shift), pa.array(g.view(np.int64)), pa.array(f.view(np.int64))],
-                    [*keep, "a1", "a2", "g", "f"],
+                    [*[batch.column(c).take(pick) for c in keep], pa.array(_place(a1 + shift, a2 + shift)), pa.array(g.view(np.int64)), pa.array(f.view(np.int64))],
+                    [*keep, "place", "g", "f"],
                 )
 
     return each
 
 
-def _decide(ranges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
-    """Of ranges (r1, r2, a1, a2, g, f, open): spans (g, f) that occur twice, and one range each of the
-    spans whose k-gram also stands in another span, if any of these is open: (g, contexts, twice, r1, ...)."""
-    one = F.min(F.struct("r1", "r2", "a1", "a2", "open")).alias("one")
-    spans = scratch.table(ranges.groupBy("g", "f").agg(F.count("*").alias("c"), one).where("g is not null"))
+def _decide(ranges: DataFrame, scratch: Scratch, name: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of ranges (name..., place, open, g, f): spans f that occur twice, and one range each of the spans whose
+    k-gram also stands in another span, if any of these is open: (name..., place, g, contexts, open)."""
+    one = F.min(F.struct(*name, "place", "open")).alias("one")
+    spans = scratch.table(ranges.groupBy("f").agg(F.min("g").alias("g"), F.count("*").alias("c"), one).where("g is not null"))
     lone = (F.col("c") == 1) & F.col("one.open")
     groups = scratch.table(spans.groupBy("g").agg(F.count("*").alias("contexts"), F.max(lone).alias("some")).where("contexts > 1 and some"))
-    n_groups = groups.count()
-    rest = spans.join(small(groups.drop("some"), n_groups), "g")
-    rest = scratch.table(rest.select("g", "contexts", (F.col("c") > 1).alias("twice"), "one.*"))
-    twice = scratch.table(spans.where("c > 1").select("g", "f"))
+    rest = spans.join(small(groups.drop("some"), groups.count()), "g")
+    rest = scratch.table(rest.select(*[F.col(f"one.{c}") for c in (*name, "place")], "g", "contexts", lone.alias("open")))
+    twice = scratch.table(spans.where("c > 1").select("f"))
     scratch.drop(spans, groups)
-    return twice, rest, n_groups
+    return twice, rest
+
+
+def _wanted(rest: DataFrame, name: list[str], scratch: Scratch) -> DataFrame:
+    """The undecided ranges of each text (or context) as a list."""
+    lists = scratch.table(rest.groupBy(*name).agg(F.collect_list(F.struct("place", "open", "g", "contexts")).alias("wanted")))
+    return small(lists, lists.count())
 
 
 def _cut_out(length: int, value: str, begin: str | None):
@@ -237,61 +254,59 @@ def _cut_out(length: int, value: str, begin: str | None):
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, value, 1 << 20):
-                cols: dict[str, list] = {n: [] for n in ("r1", "r2", "a1", "a2", "open", "g", "contexts", "context")}
+            for batch in pieces(whole, value, PIECE_BYTES):
+                cols: dict[str, list] = {n: [] for n in ("r", "base", "more", "open", "g", "contexts", "context")}
                 data, at = text_buffer(batch.column(value))
                 shift = batch.column(begin).to_pylist() if begin else [0] * batch.num_rows
-                for i, (r1, r2, wanted) in enumerate(zip(batch.column("r1").to_pylist(), batch.column("r2").to_pylist(), batch.column("wanted").to_pylist())):
+                for i, (r, wanted) in enumerate(zip(batch.column("r").to_pylist(), batch.column("wanted").to_pylist())):
                     base = int(at[i]) - shift[i]
                     for w in wanted:
-                        for name in ("a1", "a2", "open", "g", "contexts"):
-                            cols[name].append(w[name])
-                        cols["r1"].append(r1)
-                        cols["r2"].append(r2)
-                        cols["context"].append(data[base + w["a1"] : base + w["a2"] + length].tobytes())
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+                        first, last = _starts(w["place"])
+                        for name, v in (("r", r), ("base", first), ("more", last - first), ("open", w["open"]), ("g", w["g"]), ("contexts", w["contexts"])):
+                            cols[name].append(v)
+                        cols["context"].append(data[base + first : base + last + length].tobytes())
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.record_batch([pa.array(v, t) for v, t in zip(cols.values(), types)], list(cols))
 
     return each
 
 
-_CONTEXT = f"{_ROW}, a1 long, a2 long, open boolean, g long, contexts long, context binary"
+_CONTEXT = "r long, base long, more long, open boolean, g long, contexts long, context binary"
+_FOUND = "r long, place long"
 
 
 def _sorted_repeats(length: int):
-    """Task: contexts sorted by g to runs (r1, r2, a1, a2) of repeated starts in the open ones."""
+    """Task: contexts sorted by g to runs (r, place) of repeated starts in the open ones."""
 
     def work(rows: list[tuple]) -> pa.RecordBatch:
-        data = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
-        size = np.array([len(r[6]) for r in rows])
+        """rows: (r, base, open, g, context)"""
+        data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+        size = np.array([len(r[4]) for r in rows])
         begin = np.cumsum(size) - size
         n = size - length + 1
         at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
         context = np.repeat(np.arange(len(rows)), n)
-        g = np.array([r[5] for r in rows])
+        g = np.array([r[3] for r in rows])
         group = np.cumsum(np.concatenate(([0], g[1:] != g[:-1])))
         hit = repeated_suffixes(data, at, group[context], length)
-        hit &= np.array([r[4] for r in rows])[context]
+        hit &= np.array([r[2] for r in rows])[context]
         first = hit & np.concatenate(([True], ~hit[:-1] | (context[1:] != context[:-1])))
         last = hit & np.concatenate((~hit[1:] | (context[1:] != context[:-1]), [True]))
         a, b = np.flatnonzero(first), np.flatnonzero(last)
-        own = context[a].tolist()
-        base = np.array([r[2] for r in rows])[context[a]]
-        return pa.record_batch(
-            [pa.array([rows[i][0] for i in own], pa.int64()), pa.array([rows[i][1] for i in own], pa.int32()), pa.array(base + at[a] - begin[context[a]], pa.int64()), pa.array(base + at[b] - begin[context[b]], pa.int64())],
-            ["r1", "r2", "a1", "a2"],
-        )
+        shift = np.array([r[1] for r in rows])[context[a]] - begin[context[a]]
+        own = np.array([r[0] for r in rows])[context[a]]
+        return pa.record_batch([pa.array(own, pa.int64()), pa.array(_place(at[a] + shift, at[b] + shift), pa.int64())], ["r", "place"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("r1", "r2", "a1", "a2", "open", "g", "context")]):
-                if held >= SORT_BYTES and row[5] != rows[-1][5]:
+            for row in zip(*[batch.column(c).to_pylist() for c in ("r", "base", "open", "g", "context")]):
+                if held >= SORT_BYTES and row[3] != rows[-1][3]:
                     yield work(rows)
                     rows, held = [], 0
                 rows.append(row)
-                held += len(row[6])
+                held += len(row[4])
         if rows:
             yield work(rows)
 
@@ -299,42 +314,40 @@ def _sorted_repeats(length: int):
 
 
 def repeated_starts(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame:
-    """Runs (r1, r2, a1, a2) of starts of repeated windows; docs: (r1, r2, text), the two hashes
-    standing for a row. Repeated rows share them and count as often as they occur."""
+    """Runs (r, place) of starts of repeated windows; docs: (r, text), r standing for a row. Repeated rows share
+    it and count as often as they occur."""
+    if length >= 1 << MORE_BITS:
+        raise ValueError(f"length must be below {1 << MORE_BITS}")
     k1, k2 = max(1, int(length * SAMPLE_PART)), max(1, length - CUT_LESS)
     k1 = min(k1, k2)
-    flat = f"{_ROW}, a1 long, a2 long, g long, f long"
-    ranges = scratch.table(docs.where(F.octet_length("text") >= length).mapInArrow(_ranges_of(length, k1, "text", ["r1", "r2"]), flat))
-    opened = ranges.withColumn("open", F.lit(True))
-    twice, rest, _ = _decide(opened, scratch)
-    # spans grow with the corpus: joined by shuffle at every size
-    found = ranges.join(twice, ["g", "f"], "left_semi").select("r1", "r2", "a1", "a2")
+    ranges = scratch.table(docs.where(F.octet_length("text") >= length).mapInArrow(_ranges_of(length, k1, "text", ["r"]), "r long, place long, g long, f long"))
+    twice, rest = _decide(ranges.withColumn("open", F.lit(True)), scratch, ["r"])
+    # spans grow with the corpus: joined by shuffle at every size, the result without what only the count needs
+    found = scratch.table(ranges.select("r", "place", "f").join(twice, "f", "left_semi").select("r", "place"))
+    scratch.drop(ranges, twice)
     # bytes of the undecided ranges and of one of each repeated span beside them
-    wanted = F.collect_list(F.struct("a1", "a2", (~F.col("twice") & F.col("open")).alias("open"), "g", "contexts")).alias("wanted")
-    by_row = scratch.table(rest.groupBy("r1", "r2").agg(wanted))
-    asked = docs.join(small(by_row, by_row.count()), ["r1", "r2"])
+    asked = docs.join(_wanted(rest, ["r"], scratch), "r")
     contexts = scratch.table(asked.mapInArrow(_cut_out(length, "text", None), _CONTEXT))
     # the same again with longer k-grams; contexts are named by their row and first start
-    inner = contexts.select("r1", "r2", F.col("a1").alias("base"), "open", F.col("context"))
-    parts = scratch.table(inner.mapInArrow(_ranges_of(length, k2, "context", ["r1", "r2", "base", "open"], "base"), f"{_ROW}, base long, open boolean, a1 long, a2 long, g long, f long"))
-    twice2, rest2, _ = _decide(parts, scratch)
-    found2 = parts.where("open").join(twice2, ["g", "f"], "left_semi").select("r1", "r2", "a1", "a2")
-    wanted2 = F.collect_list(F.struct("a1", "a2", (~F.col("twice") & F.col("open")).alias("open"), "g", "contexts")).alias("wanted")
-    # a range lies in the context with the last base up to it
-    bases = parts.select("r1", "r2", "a1", "base").distinct()
-    by_context = scratch.table(rest2.join(bases, ["r1", "r2", "a1"]).groupBy("r1", "r2", "base").agg(wanted2))
-    asked2 = inner.drop("open").join(small(by_context, by_context.count()), ["r1", "r2", "base"])
+    inner = contexts.select("r", "base", "open", "context")
+    parts = scratch.table(inner.mapInArrow(_ranges_of(length, k2, "context", ["r", "base", "open"], "base"), "r long, base long, open boolean, place long, g long, f long"))
+    twice2, rest2 = _decide(parts, scratch, ["r", "base"])
+    found2 = parts.where("open").select("r", "place", "f").join(twice2, "f", "left_semi").select("r", "place")
+    asked2 = inner.drop("open").join(_wanted(rest2, ["r", "base"], scratch), ["r", "base"])
     pieces2 = scratch.table(asked2.mapInArrow(_cut_out(length, "context", "base"), _CONTEXT))
-    buckets = pieces2.where(F.col("contexts") <= BUCKET_CONTEXTS).drop("contexts")
-    found3 = buckets.repartition("g").sortWithinPartitions("g").mapInArrow(_sorted_repeats(length), f"{_ROW}, a1 long, a2 long")
-    # windows of larger buckets are counted by hash, so that none of them meets in one task
-    hot = pieces2.where(F.col("contexts") > BUCKET_CONTEXTS).select("r1", "r2", F.col("a1").alias("base"), "open", "context")
-    single = scratch.table(hot.mapInArrow(_ranges_of(length, length, "context", ["r1", "r2", "base", "open"], "base"), f"{_ROW}, base long, open boolean, a1 long, a2 long, g long, f long"))
-    equal = single.groupBy("g", "f").agg(F.count("*").alias("c")).where("c > 1").select("g", "f")
-    found4 = single.where("open").join(equal, ["g", "f"], "left_semi").select("r1", "r2", "a1", "a2")
-    out = found.unionByName(found2).unionByName(found3).unionByName(found4)
-    out = scratch.table(out.distinct())
-    scratch.drop(ranges, twice, rest, by_row, contexts, parts, twice2, rest2, by_context, pieces2, single)
+    buckets = pieces2.where(F.col("contexts") <= BUCKET_CONTEXTS).select("r", "base", "open", "g", "context")
+    found3 = buckets.repartition("g").sortWithinPartitions("g").mapInArrow(_sorted_repeats(length), _FOUND)
+    # a larger bucket is cut by whole windows, so that none of them meets in one task: equal windows have equal
+    # hashes, and of each hash two windows are compared by their bytes
+    hot = pieces2.where(F.col("contexts") > BUCKET_CONTEXTS).select("r", "base", "open", "context")
+    single = scratch.table(hot.mapInArrow(_ranges_of(length, length, "context", ["r", "base", "open"], "base"), "r long, base long, open boolean, place long, g long, f long"))
+    ends = single.groupBy("f").agg(F.count("*").alias("c"), F.min(F.struct("r", "base", "place")).alias("lo"), F.max(F.struct("r", "base", "place")).alias("hi")).where("c > 1")
+    window = F.substring("context", (F.shiftright("place", MORE_BITS) - F.col("base") + 1).cast("int"), F.lit(length))
+    seen = ends.select("f", F.explode(F.array("lo", "hi")).alias("x")).select("f", "x.*").join(hot.drop("open"), ["r", "base"]).select("f", window.alias("bytes"))
+    equal = seen.groupBy("f").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).where("a = b").select("f")
+    found4 = single.where("open").join(equal, "f", "left_semi").select("r", "place")
+    out = scratch.table(found.unionByName(found2).unionByName(found3).unionByName(found4).distinct())
+    scratch.drop(found, rest, contexts, parts, twice2, rest2, pieces2, single)
     return out
 
 
@@ -347,7 +360,7 @@ def _remove(length: int, keep: list[str], as_text: bool):
             for text, runs in zip(batch.column("__text").to_pylist(), batch.column("runs").to_pylist()):
                 raw = (text or "").encode()
                 kept, at, gone, n = [], 0, 0, 0
-                for a, b in sorted((r["a1"], r["a2"] + length) for r in runs or []):
+                for a, b in sorted((first, last + length) for first, last in map(_starts, runs or [])):
                     if n == 0 or a > at:
                         kept.append(raw[at:a])
                         n += 1
@@ -378,13 +391,12 @@ def without_repeats(docs: DataFrame, length: int = 400, keep: list[str] | None =
     """
     keep = docs.columns if keep is None else keep
     scratch = Scratch(docs.sparkSession)
-    r1 = F.xxhash64(F.col("doc_id").cast("string"), text_or_empty())
-    r2 = F.hash(text_or_empty(), F.col("doc_id").cast("string"))
-    runs = repeated_starts(docs.select(r1.alias("r1"), r2.alias("r2"), text_or_empty().alias("text")), scratch, length)
-    by_row = scratch.table(runs.groupBy("r1", "r2").agg(F.collect_list(F.struct("a1", "a2")).alias("runs")))
+    r = F.xxhash64(F.col("doc_id").cast("string"), text_or_empty())
+    runs = repeated_starts(docs.select(r.alias("r"), text_or_empty().alias("text")), scratch, length)
+    by_row = scratch.table(runs.groupBy("r").agg(F.collect_list("place").alias("runs")))
     scratch.drop(runs)
-    named = docs.select(*keep, F.col("text").alias("__text"), r1.alias("r1"), r2.alias("r2"))
-    joined = named.join(small(by_row, by_row.count()), ["r1", "r2"], "left")
+    named = docs.select(*keep, F.col("text").alias("__text"), r.alias("r"))
+    joined = named.join(small(by_row, by_row.count()), "r", "left")
     out = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(n, T.LongType()) for n in ("__bytes", "__removed", "__spans")], T.StructField("__rest", T.StringType())])
     return joined.mapInArrow(_remove(length, keep, as_text), out)
 
