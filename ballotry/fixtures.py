@@ -7,6 +7,10 @@ that results can be compared value by value. ``{range}`` and the table names dif
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ballotry.sources.records import nest_paths
+from ballotry.sources.shared import new_folder
 
 #: Sampled paths: 5 models x 3 tasks, two arms (SC with 32 paths, PT with 8) over the orders table.
 PATHS = """
@@ -36,7 +40,7 @@ select rep, draw, (v * v + 31 * v) % 1000003 % {m} cluster_idx from w
 
 #: Texts that end in answer markers.
 TRACES = """
-select doc_id % 5 cell, doc_id, substr(text, 1, 400) || case doc_id % 8
+select doc_id % 5 cell, doc_id, coalesce(text, '') || case doc_id % 8
     when 0 then chr(10) || '#### 1,' || lpad(cast(doc_id % 1000 as varchar(9)), 3, '0')
     when 1 then ' {slash}boxed{{' || cast(doc_id % 97 as varchar(9)) || '}}'
     when 2 then chr(10) || 'The final answer is ' || cast(doc_id % 89 as varchar(9)) || '.'
@@ -62,6 +66,32 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TRACES.format(documents=table(sf_dir, "documents"), slash="\\\\"))
 
 
+def record_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of JSON-lines record files <model>__<task>.<n>.jsonl of the SC arm, one record a line. Records of
+    even questions have the token cap in their provenance, the others at top level."""
+    base = new_folder(spark)
+    at_top = F.col("instance_id") % 2 == 1
+    rows = nest_paths(paths(spark, sf_dir).where("arm = 'SC'")).select(
+        F.concat_ws("__", F.regexp_replace("model", " ", "_"), "task").alias("cell"),
+        F.to_json(F.struct(
+            F.col("model").alias("model_slug"), F.lit("sc").alias("method"), "task", F.size("answers").alias("K"), "seed", "instance_id", F.col("gold").alias("gold_answer"),
+            F.col("answers").alias("all_answers"), "gen_lens", "truncated", F.when(at_top, 512).alias("max_tokens"), F.struct(F.when(~at_top, 256).alias("max_tokens")).alias("provenance"),
+        )).alias("value"),
+    )
+    rows.write.partitionBy("cell").text(f"{base}/parts")
+    # names are metadata: one rename a file
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    files = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(f"{base}/records"))
+    for folder in files.listStatus(path(f"{base}/parts")):
+        name = folder.getPath().getName()
+        if name.startswith("cell="):
+            for n, part in enumerate(files.listStatus(folder.getPath())):
+                files.rename(part.getPath(), path(f"{base}/records/{name[5:]}.{n}.jsonl"))
+    return f"{base}/records"
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

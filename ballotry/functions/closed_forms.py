@@ -35,14 +35,14 @@ def beta_binomial_majority(k: int, p: Column, c: Column) -> Column:
 
 def k_star(c: Column, eps: Column) -> Column:
     """Votes after which more gain less than eps: ceil((sqrt((1 - c) / eps) - 1) / c + 1); 1 where c isn't in (0, 1)."""
-    value = F.ceil((F.sqrt((1 - c) / eps) - 1) / c + 1)
+    value = F.ceil(F.round((F.sqrt((1 - c) / eps) - 1) / c + 1, 9))  # rounding noise adds no vote
     return F.when((c > 0) & (c < 1), F.greatest(value, F.lit(1))).otherwise(F.lit(1)).cast("long")
 
 
 def k_star_clipped(c: Column, eps: Column, most: int = 32) -> Column:
     """The same with c clipped to [0.05, 0.99] and the result to 1..most; null c gives 1."""
     x = F.greatest(F.lit(0.05), F.least(F.lit(0.99), c))
-    value = F.ceil((F.sqrt((1 - x) / eps) - 1) / x + 1)
+    value = F.ceil(F.round((F.sqrt((1 - x) / eps) - 1) / x + 1, 9))
     return F.coalesce(F.greatest(F.lit(1), F.least(F.lit(most), value)), F.lit(1)).cast("long")
 
 

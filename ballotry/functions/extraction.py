@@ -6,13 +6,21 @@ unfinished prose give null there. "Last" is the last match of a pattern.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scoring import strip, thousands_free
+
 NUM = r"-?[$]?[0-9][0-9,]*(?:[.][0-9]+)?"
-BOXED = r"\\boxed\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
+#: A number as the chain of today reads it: digits and commas, then a decimal part.
+LOOSE = r"-?[0-9,]+\.?[0-9]*"
 HASHES = r"####[ \t]*([^\n]*)"
-DECLARED = r"(?i)(?:final )?answer[ \t]*(?:is|=|:)[ \t]*([^\n]*)"
+DECLARES = r"(?i)\b(?:final\s+)?answer\b\s*(?:is\b|=|:)\s*"
+# Chat-turn markers that leak into generated text, tried in this order.
+LEAKS = (r"\nuser\n", r"\nUser:", r"\n<\|im_start\|>", r"\nassistant\n", r"\n<\|eot_id\|>")
+LEAD_IN = r"(?i)^(?:the\s+final\s+answer\s+is|the\s+answer\s+is|it\s+is)\b\s*[:,-]?\s*"
 
 
 def last(text: Column, pattern: str, group: int = 1) -> Column:
@@ -23,14 +31,30 @@ def first(text: Column, pattern: str, group: int = 1) -> Column:
     return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(1))
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def filled(x: Column) -> Column:
     return F.when(F.trim(x) != "", F.trim(x))
 
 
+def strip_reasoning(text: Column) -> Column:
+    """Text after the last </think>, else before a <think> that doesn't begin it."""
+    return F.when(F.contains(text, F.lit("</think>")), strip(F.substring_index(text, "</think>", -1))).when(F.locate("<think>", text) > 1, strip(F.substring_index(text, "<think>", 1))).otherwise(text)
+
+
+def strip_leaks(text: Column) -> Column:
+    """Text before the first leaked chat turn."""
+    for marker in LEAKS:
+        text = F.regexp_replace(text, rf"(?is){marker}.*", "")
+    return strip(text)
+
+
 def strip_artifacts(text: Column) -> Column:
-    """Text before the first leaked chat turn; after the last </think>, else before an open <think>."""
-    cut = F.regexp_replace(text, r"(?is)\n(?:user|assistant|system|human)\n.*$", "")
-    return F.trim(F.when(F.contains(cut, F.lit("</think>")), F.substring_index(cut, "</think>", -1)).otherwise(F.substring_index(cut, "<think>", 1)))
+    """Reasoning, then leaked chat turns cut off."""
+    return strip_leaks(strip_reasoning(text))
 
 
 def final_segment(text: Column, end: str = "</think>", stop: str = "<|end|>") -> Column:
@@ -39,19 +63,42 @@ def final_segment(text: Column, end: str = "</think>", stop: str = "<|end|>") ->
 
 
 def boxed(text: Column) -> Column:
-    """Content of the last \\boxed{...} with balanced braces (to a depth of three)."""
-    return last(text, BOXED)
+    """Content of the last \\boxed{...} if its braces are balanced, at any depth; else null."""
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("size"))
+    grown = lambda step: F.when(step == "{", 1).when(step == "}", -1).otherwise(0)
+    walk = lambda at, step: F.when(at["depth"] == 0, at).otherwise(F.struct((at["depth"] + grown(step)).alias("depth"), (at["size"] + F.char_length(step)).alias("size")))
+
+    def inside(rest: Column) -> Column:
+        end = F.aggregate(F.regexp_extract_all(rest, F.lit(r"([{}]|[^{}]+)"), F.lit(1)), start, walk)
+        return bound(end, lambda e: F.when(e["depth"] == 0, strip(F.substring(rest, F.lit(1), e["size"] - 1))))
+
+    return bound(F.when(F.contains(text, F.lit("\\boxed{")), F.substring_index(text, "\\boxed{", -1)), inside)
 
 
 def tidy_number(x: Column) -> Column:
     return F.regexp_replace(F.translate(x, "$,", ""), r"[.]$", "")
 
 
+def tidy_loose(x: Column) -> Column:
+    """Commas and one final full stop removed."""
+    return F.regexp_replace(strip(F.replace(x, F.lit(","), F.lit(""))), r"\.$", "")
+
+
 def number_answer(text: Column, cut: Column) -> Column:
-    """Boxed number, last ####, last declared answer, then on whole texts result or total, `= x` at a line's end, last number."""
-    rules = [first(boxed(text), rf"({NUM})"), last(text, rf"####[ \t]*({NUM})"), last(text, rf"(?i)(?:final )?answer[ \t]*(?:is|=|:)[ \t]*({NUM})")]
-    prose = [last(text, rf"(?i)(?:result|total)[ \t]*(?:is|=|:)[ \t]*({NUM})"), last(text, rf"(?m)=[ \t]*({NUM})[ \t]*$"), last(text, rf"({NUM})")]
-    return tidy_number(F.coalesce(*rules, F.when(~cut, F.coalesce(*prose))))
+    """Last number in the last box (or all of it), last ####, last declared answer, then on whole texts result or
+    total, `= x` at a line's end, last number. Thousands separators and artefacts are removed first."""
+
+    def of_clean(plain: Column, clean: Column) -> Column:
+        box = lambda b: F.coalesce(last(b, rf"({LOOSE})"), F.when(b != "", b))
+        rules = [bound(F.coalesce(boxed(clean), boxed(plain)), box), last(clean, rf"####\s*({LOOSE})"), last(clean, rf"(?i)\b(?:final\s+answer|answer)\b\s*(?:is\b|=|:)\s*\$?({LOOSE})")]
+        prose = [last(clean, rf"(?i)\b(?:result|total)\b\s*(?:is\b|=|:)\s*\$?({LOOSE})"), last(clean, rf"(?m)=\s*\$?({LOOSE})\s*$"), last(clean, rf"({LOOSE})")]
+        return tidy_loose(F.coalesce(*rules, F.when(~cut, F.coalesce(*prose))))
+
+    def of_plain(plain: Column) -> Column:
+        clean = bound(strip_artifacts(plain), lambda c: F.when(F.char_length(c) < 2, strip_leaks(plain)).otherwise(c))
+        return bound(clean, lambda c: of_clean(plain, c))
+
+    return bound(thousands_free(text), of_plain)
 
 
 def number_answer_old(text: Column) -> Column:
@@ -66,16 +113,33 @@ def yes_no_answer(text: Column, cut: Column) -> Column:
     return F.initcap(F.coalesce(*rules, F.when(~cut, prose)))
 
 
-def span_answer(text: Column, cut: Column, words: int = 15) -> Column:
-    """Boxed, last ####, declared; on whole texts what follows therefore, thus or so, then the last line; long spans don't count but as the last line."""
-    def usable(x: Column) -> Column:
-        t = F.trim(F.regexp_replace(F.trim(x), r"[.]$", ""))
-        t = F.trim(F.regexp_replace(t, r"(?i)^the (?:final )?answer is:?[ \t]*", ""))
-        return F.when((t != "") & (F.size(F.split(t, "[ \t]+")) <= words) & ~t.rlike(r"(?i)^(?:\[?your answer\]?|answer|unknown|n/a)$"), t)
+def span_answer(text: Column, cut: Column, words: int = 15, placeholders: bool = True) -> Column:
+    """Box, last usable ####, last usable declaration; on whole texts the last usable words after therefore, thus
+    or so, then the last line. Spans are short, but for the last line; ``placeholders`` tells whether a
+    repeated prompt (#### or <answer>) counts."""
+
+    def short(t: Column) -> Column:
+        good = (t != "") & (F.size(F.split(t, r"\s+")) <= words)
+        if not placeholders:
+            bare = strip(F.regexp_replace(t, r"^####\s*", ""))
+            good &= (F.lower(bare) != "<answer>") & ~bare.rlike(r"^(?:####\s*)*$")
+        return F.when(good, t)
+
+    def led(x: Column) -> Column:
+        return strip(F.rtrim(strip(F.regexp_replace(strip(x), LEAD_IN, "")), F.lit(".")))
+
+    def of_clean(clean: Column) -> Column:
+        usable = lambda x: bound(led(x), short)
+
+        def last_usable(pattern: str) -> Column:
+            found = F.transform(F.regexp_extract_all(clean, F.lit(pattern), F.lit(1)), usable)
+            return F.try_element_at(F.filter(found, lambda x: x.isNotNull()), F.lit(-1))
+
+        line = bound(led(F.substring_index(clean, "\n", -1)), lambda t: F.when(t != "", t))
+        prose = F.coalesce(last_usable(r"(?i)\b(?:therefore|thus|so)\b\s*,?\s*([^\n]+?)(?:\.|$)"), line)
+        return F.coalesce(usable(F.coalesce(boxed(clean), boxed(text))), last_usable(r"####\s*([^\n]+)"), last_usable(rf"{DECLARES}([^\n]+)"), F.when(~cut, prose))
 
-    line = F.regexp_extract(F.rtrim(F.regexp_replace(text, r"[\n \t]+$", "")), r"([^\n]*)$", 1)
-    prose = F.coalesce(usable(last(text, r"(?i)(?:therefore|thus|so),?[ \t]+([^\n.]*)")), filled(F.regexp_replace(line, r"[.]$", "")))
-    return F.coalesce(usable(boxed(text)), usable(last(text, HASHES)), usable(last(text, DECLARED)), F.when(~cut, prose))
+    return bound(strip_artifacts(text), of_clean)
 
 
 def letter_answer(text: Column, cut: Column, letters: str = "ABCD") -> Column:

@@ -17,17 +17,29 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ARTICLES = r"(?<![A-Za-z0-9_])(a|an|the)(?![A-Za-z0-9_])"
 
 
+#: White space that is stripped from both ends.
+BLANKS = " \t\n\r\f\x0b"
+#: LaTeX thousands separators: {,} and \\, \\; \\! and an escaped or a hard blank.
+SEPARATOR = r"(?:\{,\}|\\[,;! ]|~)"
+#: A separator at the head of a valid number or after one that was just removed.
+_GROUPING = rf"(?:(?<![0-9])(?<![0-9]{SEPARATOR})(?=[0-9]+(?:{SEPARATOR}[0-9]{{3}})+(?![0-9]|{SEPARATOR}[0-9]))|(?<={SEPARATOR})\G)([0-9]+){SEPARATOR}(?=[0-9])"
+
+
+def strip(x: Column) -> Column:
+    """White space off both ends."""
+    return F.btrim(x, F.lit(BLANKS))
+
+
 def thousands_free(x: Column) -> Column:
-    """LaTeX thousands separators removed where every later group has three digits."""
-    for sep in (r"\{,\}", r"\\,", r"\\!"):
-        x = F.regexp_replace(x, rf"(?<=[0-9]){sep}(?=[0-9]{{3}}(?![0-9]))", "")
-    return x
+    """LaTeX thousands separators removed from numbers in which every group after the first has three
+    digits; other numbers stay as they are."""
+    return F.regexp_replace(x, _GROUPING, "$1")
 
 
 def clean_number(x: Column) -> Column:
-    """Separators, commas and one final full stop removed."""
-    plain = F.regexp_replace(F.trim(x), r"\{,\}|\\,|\\!|,", "")
-    return F.trim(F.regexp_replace(plain, r"\.$", ""))
+    """Thousands separators, commas and one final full stop removed."""
+    plain = strip(F.replace(thousands_free(x), F.lit(","), F.lit("")))
+    return strip(F.regexp_replace(plain, r"\.$", ""))
 
 
 def as_number(x: Column) -> Column:

@@ -1,30 +1,72 @@
 """How correlated the votes of a record are, and how many independent ones they are worth.
 
 Agreement and the pooled estimate follow from vote counts alone. The mean pairwise correlation of a
-few paths comes from distinct vote masks: records with equal masks are counted before anything is
-paired, so the work grows with the masks, not with records times pairs.
+paths comes from vote masks: each task multiplies its records' votes to one matrix a cell, and only
+these are shuffled, so no record is ever paired.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .votes import CELL, majority, prefix, records, slot_variation, weighted_majority
-
+from ballotry.functions import closed_forms as cf
 
-def _bit(mask: str, path: str) -> Column:
-    return F.call_function("shiftright", F.col(mask), F.col(path).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+from .votes import CELL, RECORD, majority, prefix, prefix_records, records, slot_variation, weighted_majority
 
 
 def pair_sums(recs: DataFrame, by: list[str] = CELL) -> DataFrame:
-    """n, Si, Sj and Sij of every pair of paths i < j, from masks counted first."""
-    masks = recs.groupBy(*by, "mask").agg(F.count("*").alias("c"), F.max("k").alias("k"))
-    i = masks.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 2))).where("k > 1")
-    ij = i.withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("k") - 1)))
-    a, b = _bit("mask", "i"), _bit("mask", "j")
-    c = F.col("c")
-    return ij.groupBy(*by, "i", "j").agg(F.sum(c).alias("n"), F.sum(c * a).alias("si"), F.sum(c * b).alias("sj"), F.sum(c * a * b).alias("sij"))
+    """n, Si, Sj and Sij of every pair of paths i < j of the records that have both.
+
+    Each task adds up one matrix product of votes a cell and batch, and gives one row for each cell and
+    pair, so what is shuffled doesn't grow with the records.
+    """
+    pairs = 63 * 62 // 2
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def rows() -> pd.DataFrame:
+            out = []
+            for key, (n, a, s) in sums.items():
+                i, j = np.nonzero(np.triu(n, 1))
+                frame = pd.DataFrame({"i": i, "j": j, "n": n[i, j], "si": a[i, j], "sj": a[j, i], "sij": s[i, j]}).astype("int64")
+                for c, v in zip(by, key):
+                    frame[c] = v
+                out.append(frame[[*by, "i", "j", "n", "si", "sj", "sij"]])
+            sums.clear()
+            return pd.concat(out, ignore_index=True)
+
+        for batch in batches:
+            for key, own in batch.groupby(by, dropna=False, sort=False):
+                shift = np.arange(int(own.k.max()), dtype=np.uint64)
+                there = (own.k.to_numpy()[:, None] > shift[None, :]).astype(float)
+                y = (own["mask"].to_numpy().astype(np.uint64)[:, None] >> shift & np.uint64(1)).astype(float)
+                new = np.zeros((3, 63, 63))
+                m = len(shift)
+                new[0, :m, :m], new[1, :m, :m], new[2, :m, :m] = there.T @ there, y.T @ there, y.T @ y
+                key = tuple(None if x != x else x for x in key)
+                sums[key] = sums[key] + new if key in sums else new
+            if len(sums) * pairs > 1_000_000:
+                yield rows()
+        if sums:
+            yield rows()
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in recs.schema if f.name in by]
+    fields.sort(key=lambda f: by.index(f.split("`")[1]))
+    found = recs.select(*by, "k", "mask").mapInPandas(each, ", ".join([*fields, "i long", "j long", "n long", "si long", "sj long", "sij long"]))
+    return found.groupBy(*by, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")])
+
+
+def pair_correlations(recs: DataFrame, by: list[str] = CELL) -> DataFrame:
+    """r of every pair of paths i < j; null where a path is constant."""
+    c = F.col
+    r = pearson_of_sums(c("n"), c("si"), c("sj"), c("si"), c("sj"), c("sij"))
+    return pair_sums(recs, by).select(*by, "i", "j", r.alias("r"))
 
 
 def pearson_of_sums(n: Column, si: Column, sj: Column, sii: Column, sjj: Column, sij: Column) -> Column:
@@ -36,9 +78,7 @@ def pearson_of_sums(n: Column, si: Column, sj: Column, sii: Column, sjj: Column,
 
 def pairwise_rho(recs: DataFrame, by: list[str] = CELL) -> DataFrame:
     """Mean correlation over path pairs; constant paths are skipped, null if none is left."""
-    c = F.col
-    r = pearson_of_sums(c("n"), c("si"), c("sj"), c("si"), c("sj"), c("sij"))
-    return pair_sums(recs, by).groupBy(*by).agg(F.avg(r).alias("rho"), F.count(r).alias("pairs"))
+    return pair_correlations(recs, by).groupBy(*by).agg(F.avg("r").alias("rho"), F.count("r").alias("pairs"))
 
 
 def pairwise_rho_join(paths: DataFrame, by: list[str] = CELL) -> DataFrame:
@@ -81,15 +121,49 @@ def ceiling(c: Column) -> Column:
 
 
 def exact_k(paths: DataFrame, ks: tuple[int, ...] = (1, 2, 4, 8, 16, 32)) -> DataFrame:
-    """Accuracy, vote, agreement, rho and effective votes of the first k paths for every k, one scan."""
-    many = paths.withColumn("kk", F.explode(F.array(*[F.lit(k).cast("long") for k in ks]))).where("path < kk")
+    """Row of the first kk paths for every kk: records n, seeds, path accuracy, plurality vote (mv_acc) and binary
+    vote, agreement, rho over pairs with its K_eff, ceiling and share of it, the pooled c_hat, mean tokens, and
+    mean and standard deviation over seeds of path accuracy.
+
+    All prefixes come from one table of records and one matrix of pair correlations.
+    """
+    recs = prefix_records(paths, {str(k): F.lit(k) for k in ks})
+    one = recs.select(*RECORD, F.explode("prefixes").alias("p")).select(*RECORD, F.col("p.name").cast("long").alias("kk"), "p.k", "p.s", "p.won", "p.tokens")
     key = [*CELL, "kk"]
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("path").cast("int"))
-    recs = many.groupBy(*key, "seed", "instance_id").agg(F.count("*").alias("k"), F.sum("y").alias("s"), F.sum(bit * F.col("y")).alias("mask"))
-    base = recs.groupBy(*key).agg((F.sum("s") / F.sum("k")).alias("mean_path_acc"), F.avg(majority(F.col("s"), F.col("k"))).alias("mv_acc"), F.count("*").alias("n"))
-    out = base.join(agreement(recs, key), key).join(pairwise_rho(recs.where("k <= 8"), key).drop("pairs"), key, "left")
-    out = out.join(pooled_c(recs, key).drop("p_bar"), key)
-    return out.withColumn("keff", k_eff(F.col("kk"), F.col("c_hat"), strict=True)).withColumn("ceiling", ceiling(F.col("c_hat")))
+    s, k = F.col("s"), F.col("k")
+    seeds = one.groupBy(*key, "seed").agg((F.sum("s") / F.sum("k")).alias("acc")).groupBy(*key).agg(F.count("*").alias("n_seeds"), F.avg("acc").alias("seed_mean"), F.stddev_samp("acc").alias("seed_std"))
+    base = one.groupBy(*key).agg(F.count("*").alias("n"), (F.sum("s") / F.sum("k")).alias("mean_path_acc"), F.avg("won").alias("mv_acc"), F.avg(majority(s, k)).alias("binary_acc"), F.avg("tokens").alias("tokens"))
+    r = pair_correlations(recs.select(*CELL, F.col("paths").alias("k"), "mask"))
+    rho = r.withColumn("kk", F.explode(F.array(*[F.lit(k).cast("long") for k in ks]))).where("j < kk").groupBy(*key).agg(F.avg("r").alias("rho"))
+    out = base.join(seeds, key).join(agreement(one, key), key).join(pooled_c(one, key).drop("p_bar"), key).join(rho, key, "left")
+    out = out.withColumn("keff", k_eff(F.col("kk"), F.col("rho"), strict=True)).withColumn("ceiling", ceiling(F.col("rho")))
+    return out.withColumn("pct_ceiling", F.col("keff") / F.col("ceiling"))
+
+
+def cross_model(paths: DataFrame, ks: tuple[int, ...] = (4, 8, 16, 32)) -> DataFrame:
+    """rho and K_eff of each k in columns; at the last k accuracy, observed vote, its beta-binomial and binomial
+    predictions in percent and their errors in points, ceiling and share of it."""
+    rows, last = exact_k(paths, ks), ks[-1]
+    at = lambda k, x: F.max(F.when(F.col("kk") == k, F.col(x)))
+    wide = rows.groupBy(*CELL).agg(
+        *[at(k, x).alias(f"{name}{k}") for k in ks for x, name in (("rho", "rho"), ("keff", "keff"))], at(last, "mean_path_acc").alias("p_bar"),
+        (100 * at(last, "binary_acc")).alias("observed"), at(last, "ceiling").alias("ceiling"), (100 * at(last, "pct_ceiling")).alias("pct_ceiling"),
+    )
+    bb, bi = 100 * cf.beta_binomial_majority(last, F.col("p_bar"), F.col(f"rho{last}")), 100 * cf.binomial_majority(last, F.col("p_bar"))
+    wide = wide.withColumn("predicted", bb).withColumn("independent", bi)
+    return wide.withColumn("error_pp", F.abs(F.col("observed") - F.col("predicted"))).withColumn("independent_error_pp", F.abs(F.col("observed") - F.col("independent")))
+
+
+def cell_report(paths: DataFrame, eps: float = 0.025, pilot: int = 4) -> DataFrame:
+    """One row a cell: accuracy, rho at the pilot and at all paths, K_eff, plurality vote of each prefix, the
+    operating point of the pilot's rho, cap hits."""
+    ks = (1, 2, 4, 8, 16, 32)
+    at = lambda k, x: F.max(F.when(F.col("kk") == k, F.col(x)))
+    wide = exact_k(paths, ks).groupBy(*CELL).agg(
+        at(32, "mean_path_acc").alias("p_bar"), at(pilot, "rho").alias("rho_pilot"), at(32, "rho").alias("rho_all"), at(32, "keff").alias("keff"), *[at(k, "mv_acc").alias(f"mv{k}") for k in ks]
+    )
+    cut = paths.groupBy(*CELL).agg(F.count_if("truncated").alias("cut"))
+    return wide.join(cut, CELL).withColumn("k_star", cf.k_star_clipped(F.col("rho_pilot"), F.lit(eps)))
 
 
 def block_k_eff(recs: DataFrame, least_rows: int = 20, least_p: float = 0.02) -> DataFrame:

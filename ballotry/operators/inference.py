@@ -14,7 +14,7 @@ from ballotry.plans import resample as rs
 
 from .correlation import pairwise_rho, pearson_of_sums
 from .matching import two_folds
-from .votes import majority, prefix, records
+from .votes import majority, prefix, prefix_records, records
 
 CELL = ["model", "task"]
 
@@ -66,12 +66,69 @@ def majority_clusters(sc: DataFrame) -> DataFrame:
 
 
 def clustered_bootstrap(clusters: DataFrame, plan: DataFrame) -> DataFrame:
-    """95 % intervals of the majority at 4 and all paths and of their difference, questions resampled."""
+    """95 % intervals of the majority at 4 and all paths and of their difference in points, questions resampled."""
     sums = rs.bootstrap_sums(clusters, plan, ["n", "mv4", "mv"])
-    reps = sums.select(*CELL, "rep", (F.col("mv4") / F.col("n")).alias("mv4"), (F.col("mv") / F.col("n")).alias("mv"), ((F.col("mv") - F.col("mv4")) / F.col("n")).alias("diff"))
+    reps = sums.select(*CELL, "rep", (F.col("mv4") / F.col("n")).alias("mv4"), (F.col("mv") / F.col("n")).alias("mv"), (100 * (F.col("mv") - F.col("mv4")) / F.col("n")).alias("diff"))
     return reps.groupBy(*CELL).agg(*[c for x in ("mv4", "mv", "diff") for c in rs.percentile_interval(x)])
 
 
+def paired_difference(sc: DataFrame, reps: int, eps: float = 0.025) -> DataFrame:
+    """Majority at the cell's operating point K* less the majority at all paths, with its 95 % interval: questions
+    are drawn, and one draw serves both."""
+    stars = adaptive_k(sc, (eps,)).select(*CELL, "k_star")
+    recs = sc.join(stars, CELL).groupBy(*CELL, "seed", "instance_id").agg(F.sum("y").alias("s"), F.count("*").alias("k"), F.sum(F.when(F.col("path") < F.col("k_star"), F.col("y")).otherwise(0)).alias("sk"), F.max("k_star").alias("k_star"))
+    recs = recs.withColumn("mv", majority(F.col("s"), F.col("k"))).withColumn("mvk", majority(F.col("sk"), F.col("k_star")))
+    clusters = rs.numbered_clusters(recs).groupBy(*CELL, "cluster_idx").agg(F.count("*").alias("n"), F.sum("mvk").alias("mvk"), F.sum("mv").alias("mv"))
+    draws = rs.bootstrap_sums(clusters, rs.own_plan(clusters, reps), ["n", "mvk", "mv"]).withColumn("diff", (F.col("mvk") - F.col("mv")) / F.col("n"))
+    point = clusters.groupBy(*CELL).agg(F.count("*").alias("clusters"), (F.sum("mvk") / F.sum("n")).alias("mv_k"), (F.sum("mv") / F.sum("n")).alias("mv_all"))
+    point = point.withColumn("diff", F.col("mv_k") - F.col("mv_all"))
+    return point.join(stars, CELL).join(draws.groupBy(*CELL).agg(*rs.percentile_interval("diff")), CELL)
+
+
+def interval_summary(points: DataFrame, intervals: DataFrame, value: str) -> DataFrame:
+    """Widths of the intervals (median and quartiles), how many exclude zero, and the range of the point values."""
+    both = points.where(F.col(value).isNotNull()).join(intervals.where(F.col(f"{value}_lo").isNotNull()), CELL)
+    lo, hi = F.col(f"{value}_lo"), F.col(f"{value}_hi")
+    q = lambda x: F.percentile(hi - lo, F.lit(x))
+    return both.agg(F.count("*").alias("cells"), q(0.5).alias("width"), q(0.25).alias("width_25"), q(0.75).alias("width_75"), F.count_if((lo > 0) | (hi < 0)).alias("excluding_zero"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def fold_evaluation(sc: DataFrame, eps: float = 0.025, ks: tuple[int, ...] = (1, 2, 4, 8, 16, 32)) -> DataFrame:
+    """Each fold as pilot of the other, one row a cell and pilot fold: the pilot's accuracy, rho and operating point
+    at 4 paths, plurality votes at it and at 32 paths on both folds, fixed-k votes held out, and six predictions of
+    the held-out vote (votes at 4 reused, beta-binomial, independent; each fitted on the same or on the pilot fold)
+    with their errors in points. Cells whose pilot is constant or has no rho take one path."""
+    folds = two_folds(sc)
+    key = [*CELL, "fold"]
+    first = records(prefix(sc, 4)).join(folds, [*CELL, "instance_id"])
+    p, rho = F.col("p4"), F.col("rho")
+    fit = first.groupBy(*key).agg((F.sum("s") / F.sum("k")).alias("p4"), F.count_distinct("instance_id").alias("n_inst"), F.count_distinct("seed").alias("n_seeds"))
+    fit = fit.join(pairwise_rho(first, key).drop("pairs"), key, "left").withColumn("degenerate", (p <= 0) | (p >= 1) | rho.isNull())
+    fit = fit.withColumn("c", F.when(~F.col("degenerate"), rho)).withColumn("k_star", cf.k_star_clipped(F.col("c"), F.lit(eps)))
+    star = lambda f: F.max(F.when(F.col("fold") == f, F.col("k_star"))).alias(f"k{f}")
+    stars = fit.groupBy(*CELL).agg(star("A"), star("B"))
+    upto = {str(k): F.lit(k) for k in ks} | {f: F.col(f"k{f}") for f in "AB"}
+    votes = prefix_records(sc.join(stars, CELL), upto).join(folds, [*CELL, "instance_id"]).select(*key, F.explode("prefixes").alias("v"))
+    won = [F.avg(F.when(F.col("v.name") == n, F.col("v.won"))).alias(f"won{n}") for n in upto]
+    side = votes.groupBy(*key).agg(*won, F.avg(F.when(F.col("v.name") == "32", majority(F.col("v.s"), F.col("v.k")))).alias("binary32")).join(fit, key)
+    other = side.select(*CELL, F.when(F.col("fold") == "A", "B").otherwise("A").alias("fold"), *[F.col(c).alias(f"e_{c}") for c in side.columns if c not in key])
+    x = side.join(other, key)
+    own = lambda s: F.when(F.col("fold") == "A", F.col(f"{s}wonA")).otherwise(F.col(f"{s}wonB"))
+    ratio = lambda a, b: F.when(b > 0, 100 * a / b)
+    held, binary = F.col("e_won32"), F.col("e_binary32")
+    predictions = {
+        "reuse_same": (F.col("e_won4"), held), "reuse_deploy": (F.col("won4"), held),
+        "bb_same": (cf.beta_binomial_majority(32, F.col("e_p4"), F.col("e_c")), binary), "bb_deploy": (cf.beta_binomial_majority(32, p, F.col("c")), binary),
+        "indep_same": (cf.binomial_majority(32, F.col("e_p4")), binary), "indep_deploy": (cf.binomial_majority(32, p), binary),
+    }
+    return x.select(
+        *key, (F.col("n_inst") + F.col("e_n_inst")).alias("n_instances"), "n_seeds", F.col("n_inst").alias("n_pilot"), F.col("e_n_inst").alias("n_eval"), p.alias("pilot_acc"), F.col("c").alias("c_pilot"), "degenerate", "k_star",
+        own("").alias("same_mv_k"), F.col("won32").alias("same_mv_32"), ratio(own(""), F.col("won32")).alias("same_retained"), own("e_").alias("held_mv_k"), held.alias("held_mv_32"), ratio(own("e_"), held).alias("held_retained"),
+        *[F.col(f"e_won{k}").alias(f"fixed{k}") for k in ks], binary.alias("held_binary_32"),
+        *[c for n, (pred, seen) in predictions.items() for c in (pred.alias(n), (100 * F.abs(pred - seen)).alias(f"{n}_err"))],
+    )
+
+
 def pilot_clusters(sc: DataFrame, pilot: int = 4) -> DataFrame:
     """By cell and question: correct paths, paths, records and the sum of pair shares of a pilot."""
     recs = sc.where(F.col("path") < pilot).groupBy(*CELL, "seed", "instance_id").agg(F.sum("y").alias("s"), F.count("*").alias("k"))
@@ -117,14 +174,18 @@ def paired_rho_bootstrap(matched: DataFrame, plan: DataFrame, least: float = 0.0
     return reps.groupBy(*CELL).agg(F.count("drho").alias("draws"), *rs.percentile_interval("drho"))
 
 
-def mid_ranks(rows: DataFrame, value: str) -> DataFrame:
-    """Mid-ranks with ties: counts of values first, so that only distinct values are ordered.
-
-    The running count works in buckets of the values' own range partitions: a distinct value is one row.
-    """
+def mid_ranks(rows: DataFrame, value: str, buckets: int = 64) -> DataFrame:
+    """Mid-ranks with ties: values are counted first, and distinct values are ordered in range buckets whose
+    totals give the ranks before each, so no task orders them all."""
     counts = rows.groupBy(value).agg(F.count("*").alias("ties"))
-    before = F.coalesce(F.sum("ties").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(value, "ties", (before + (F.col("ties") + 1) / 2).alias("rank"))
+    cuts = sorted(set(rows.where(F.col(value).isNotNull()).approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.01)))
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(value))) if cuts else F.lit(0)
+    placed = counts.withColumn("bucket", bucket)
+    sums = placed.groupBy("bucket").agg(F.sum("ties").alias("s"))
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("bucket", F.coalesce(F.sum("s").over(ahead(Window.orderBy("bucket"))), F.lit(0)).alias("offset"))  # a row a bucket
+    before = F.col("offset") + F.coalesce(F.sum("ties").over(ahead(Window.partitionBy("bucket").orderBy(value))), F.lit(0))
+    ranks = placed.join(F.broadcast(offsets), "bucket").select(value, "ties", (before + (F.col("ties") + 1) / 2).alias("rank"))
     return rows.join(ranks, value)
 
 

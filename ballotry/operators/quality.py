@@ -62,7 +62,7 @@ def gls_weights(cov: DataFrame, ridge: float = 0.5) -> DataFrame:
 
 def weighted_answer_vote(paths: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """Winning answer of each record by summed weights (to nine digits, ties to the first occurrence)."""
-    votes = paths.where("answer is not null").join(F.broadcast(weights), [*keys, "path"])  # cells x paths rows
+    votes = paths.where("answer is not null").join(weights, [*keys, "path"])
     sums = votes.groupBy(*RECORD, "answer").agg(F.round(F.sum("w"), 9).alias("w"), F.min("path").alias("first"), F.max("y").alias("y"))
     best = Window.partitionBy(*RECORD).orderBy(F.desc("w"), "first")
     return sums.withColumn("r", F.row_number().over(best)).where("r = 1").select(*RECORD, "answer", "y")

@@ -14,10 +14,31 @@ CELL = ["model", "task", "arm"]
 RECORD = [*CELL, "seed", "instance_id"]
 
 
-def records(paths: DataFrame) -> DataFrame:
-    """One row a record: k paths, s correct ones, and their bit mask (up to 63 paths)."""
+def _mask() -> Column:
+    """Bits of the correct paths; masks hold paths 0 to 62, a larger one is an error."""
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("path").cast("int"))
-    return paths.groupBy(*RECORD).agg(F.count("*").alias("k"), F.sum("y").alias("s"), F.sum(bit * F.col("y")).alias("mask"))
+    return F.sum(F.when(F.col("path") < 63, bit * F.col("y")).otherwise(F.raise_error(F.lit("vote masks hold 63 paths")).cast("long")))
+
+
+def records(paths: DataFrame) -> DataFrame:
+    """One row a record: k paths, s correct ones, and their bit mask (up to 63 paths, more are an error)."""
+    return paths.groupBy(*RECORD).agg(F.count("*").alias("k"), F.sum("y").alias("s"), _mask().alias("mask"))
+
+
+def prefix_records(paths: DataFrame, upto: dict[str, Column]) -> DataFrame:
+    """One row a record: paths, mask, and for each named bound on path a struct (name, k paths, s correct ones,
+    won: whether the plurality answer is correct, tokens). Missing answers don't vote, ties go to the answer that came first."""
+    first = {n: F.col("path") < bound for n, bound in upto.items()}
+    own = []
+    for n, inside in first.items():
+        own += [F.count_if(inside).alias(f"k_{n}"), F.sum(F.when(inside, F.col("y")).otherwise(0)).alias(f"s_{n}"), F.sum(F.when(inside, F.col("gen_len")).otherwise(0)).alias(f"t_{n}")]
+    by_answer = paths.groupBy(*RECORD, "answer").agg(F.count("*").alias("paths"), _mask().alias("mask"), F.min("path").alias("first"), F.max("y").alias("y"), *own)
+    parts = []
+    for n in first:
+        votes = F.when(F.col("answer").isNotNull() & (F.col(f"k_{n}") > 0), F.struct(F.col(f"k_{n}"), -F.col("first")))
+        won = F.coalesce(F.max_by("y", votes), F.lit(0)).cast("double")
+        parts.append(F.struct(F.lit(n).alias("name"), F.sum(f"k_{n}").alias("k"), F.sum(f"s_{n}").alias("s"), won.alias("won"), F.sum(f"t_{n}").alias("tokens")))
+    return by_answer.groupBy(*RECORD).agg(F.sum("paths").alias("paths"), F.sum("mask").alias("mask"), F.array(*parts).alias("prefixes"))
 
 
 def prefix(paths: DataFrame, k: int) -> DataFrame:
@@ -91,7 +112,7 @@ def weighted_majority(paths: DataFrame) -> DataFrame:
     """Accuracy of votes weighted by slot accuracy (as integer hits, so that ties are exact), and the
     gain over the plain majority in points."""
     slots = paths.groupBy(*CELL, "path").agg(F.sum("y").alias("w"))
-    weighed = paths.join(F.broadcast(slots), [*CELL, "path"])  # cells x paths rows
+    weighed = paths.join(slots, [*CELL, "path"])
     recs = weighed.groupBy(*RECORD).agg(F.sum(F.col("w") * F.col("y")).alias("won"), F.sum("w").alias("all"), F.sum("y").alias("s"), F.count("*").alias("k"))
     mine = F.when(F.col("all") == 0, F.lit(0.0)).otherwise(majority(F.col("won"), F.col("all")))
     out = recs.groupBy(*CELL).agg(F.avg(mine).alias("weighted_acc"), F.avg(majority(F.col("s"), F.col("k"))).alias("mv_acc"))
@@ -103,7 +124,7 @@ def pruned_majority(paths: DataFrame, n_drop: int = 2) -> DataFrame:
     slots = paths.groupBy(*CELL, "path").agg(F.sum("y").alias("hits"))
     rank = F.row_number().over(Window.partitionBy(*CELL).orderBy("hits", "path"))
     kept = slots.withColumn("r", rank).where(F.col("r") > n_drop).select(*CELL, "path")
-    return majority_accuracy(records(paths.join(F.broadcast(kept), [*CELL, "path"]))).withColumnRenamed("mv_acc", "pruned_acc")
+    return majority_accuracy(records(paths.join(kept, [*CELL, "path"]))).withColumnRenamed("mv_acc", "pruned_acc")
 
 
 def oracle_accuracy(recs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,22 @@ def report_lines(df: DataFrame, pattern: str, columns: list[str]) -> DataFrame:
     return df.select(F.format_string(pattern, *columns).alias("line"))
 
 
+def markdown_table(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """(line, text) of a Markdown table: head, rule, then rows in order. For report tables, a row or so a cell."""
+    head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(columns) + " |"), (1, "|" + "---|" * len(columns))], "line long, text string")
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]
+    text = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    line = (F.row_number().over(Window.orderBy(*order)) + 1).cast("long")
+    return head.unionByName(df.select(line.alias("line"), text.alias("text")))
+
+
+def canonical_order(cells: DataFrame, domains: dict[str, str], order: list[str]) -> DataFrame:
+    """Report rows with the domain of their task and their position in the given order."""
+    names = F.create_map(*[F.lit(x) for pair in domains.items() for x in pair])
+    rows = cells.withColumn("domain", names[F.col("task")])
+    return rows.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
 def write_lines(df: DataFrame, path: str) -> None:
     df.select("line").write.mode("overwrite").text(path)
 

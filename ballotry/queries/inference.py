@@ -12,7 +12,7 @@ from ballotry.operators import votes as vo
 from ballotry.plans import resample as rs
 
 from .registry import query, sql
-from .votes import MV, POOLED, PR, RHO, P
+from .votes import DELTA, MV, POOLED, PR, RECS8, RHO, P
 
 CM = "model, task"
 BB = "list_sum(list_transform(range({k} + 1), lambda i: exp(lgamma({k} + 1.0::double) - lgamma(i + 1.0::double) - lgamma({k} - i + 1.0::double) + lgamma(i + a) + lgamma({k} - i + b) - lgamma({k} + a + b) + lgamma(a + b) - lgamma(a) - lgamma(b)) * case when 2 * i > {k} then 1.0::double when 2 * i = {k} then 0.5::double else 0.0::double end))"
@@ -30,8 +30,8 @@ query("i01_beta_binomial", sql([*PR, POOLED, "ab as (select *, p_bar * (1 - c_ha
 query("i02_binomial", sql([*PR, POOLED], f"select model, task, arm, {BI.format(k=8, p='p_bar')} mv8, {BI.format(k=32, p='p_bar')} mv32 from c", "model, task, arm", "mv8, mv32"))(
     lambda s, d: co.pooled_c(vo.records(P(s, d))).select(*vo.CELL, cf.binomial_majority(8, F.col("p_bar")).alias("mv8"), cf.binomial_majority(32, F.col("p_bar")).alias("mv32"))
 )
-KSTAR = "case when {c} > 0 and {c} < 1 then greatest(1, ceil((sqrt((1 - {c}) / {e}) - 1) / {c} + 1)) else 1 end::bigint"
-CLIP = "coalesce(greatest(1, least(32, ceil((sqrt((1 - greatest(0.05::double, least(0.99::double, {c}))) / {e}) - 1) / greatest(0.05::double, least(0.99::double, {c})) + 1))), 1)::bigint"
+KSTAR = "case when {c} > 0 and {c} < 1 then greatest(1, ceil(round((sqrt((1 - {c}) / {e}) - 1) / {c} + 1, 9))) else 1 end::bigint"
+CLIP = "coalesce(greatest(1, least(32, ceil(round((sqrt((1 - greatest(0.05::double, least(0.99::double, {c}))) / {e}) - 1) / greatest(0.05::double, least(0.99::double, {c})) + 1, 9)))), 1)::bigint"
 query("i03_k_star", sql([*PR, POOLED], f"select model, task, arm, {KSTAR.format(c='c_hat', e='0.025::double')} k_star, {CLIP.format(c='c_hat', e='0.025::double')} k_clipped from c", "model, task, arm, k_star, k_clipped"))(
     lambda s, d: co.pooled_c(vo.records(P(s, d))).select(*vo.CELL, cf.k_star(F.col("c_hat"), F.lit(0.025)).alias("k_star"), cf.k_star_clipped(F.col("c_hat"), F.lit(0.025)).alias("k_clipped"))
 )
@@ -55,22 +55,44 @@ query("i07_held_out_calibration", sql([fx.PATHS_SQL, SC, FOLD, "rf as (select mo
     "ab as (select *, p * (1 - rho) / rho a, (1 - p) * (1 - rho) / rho b from ob join fit using (model, task, fold))"],
     "select *, 100 * (predicted - observed) error_pp from (select model, task, fold, kk, observed, case when rho > 0 and rho < 1 and p > 0 and p < 1 then case kk when 4 then " + BB.format(k=4) + " when 8 then " + BB.format(k=8) + " when 16 then " + BB.format(k=16) + " else " + BB.format(k=32) + " end end predicted, case when p > 0 and p < 1 then case kk when 4 then " + BI.format(k=4, p="p") + " when 8 then " + BI.format(k=8, p="p") + " when 16 then " + BI.format(k=16, p="p") + " else " + BI.format(k=32, p="p") + " end end independent from ab)",
     f"{CM}, fold, kk", "observed, predicted, independent, error_pp"))(lambda s, d: inf.held_out_calibration(sc(s, d)))
-MANY = 200
-BOOT = """r4 as (select model, task, seed, instance_id, sum(y)::bigint s, count(*) k, sum(y) filter (path < 4)::bigint s4 from sc group by all),
-cl as (select *, dense_rank() over (partition by model, task order by instance_id) - 1 cluster_idx, case when 2 * s > k then 1.0::double when 2 * s = k then 0.5::double else 0.0::double end mv, case when s4 > 2 then 1.0::double when s4 = 2 then 0.5::double else 0.0::double end mv4 from r4),
+MANY, PAIRED, FEW = 200, 1_000, 50
+
+
+def drawn(reps, draws="m", name="wt"):
+    """How often each replicate draws each cluster of a cell (cs): the plan of plans.resample.own_plan in SQL."""
+    return f"""cm_{name} as (select model, task, count(distinct cluster_idx)::bigint m from cs group by all),
+z_{name} as (select model, task, m, rep, ((rep + 1) * 48271 + (draw + 1) * 69621) % {rs.MODULUS} z from (select model, task, m, unnest(range({draws})) draw from cm_{name}), (select range rep from range({reps}))),
+w_{name} as (select model, task, m, rep, (z * z % {rs.MODULUS}) * 7919 % {rs.MODULUS} w from z_{name}),
+{name} as (select model, task, rep, (w * w + 31 * w) % {rs.MODULUS} % m cluster_idx, count(*) w from w_{name} group by all)"""
+
+
+def interval(*names):
+    return ", ".join(f"quantile_cont({x}, 0.025) {x}_lo, quantile_cont({x}, 0.975) {x}_hi" for x in names)
+
+
+NUMBERED = "dense_rank() over (partition by model, task order by instance_id) - 1 cluster_idx"
+BOOT = f"""r4 as (select model, task, seed, instance_id, sum(y)::bigint s, count(*) k, sum(y) filter (path < 4)::bigint s4 from sc group by all),
+cl as (select *, {NUMBERED}, case when 2 * s > k then 1.0::double when 2 * s = k then 0.5::double else 0.0::double end mv, case when s4 > 2 then 1.0::double when s4 = 2 then 0.5::double else 0.0::double end mv4 from r4),
 cs as (select model, task, cluster_idx, count(*) n, sum(mv4) mv4, sum(mv) mv from cl group by all),
-wt as (select rep, cluster_idx, count(*) w from plan group by all),
-rp as (select model, task, rep, sum(w * mv4) / sum(w * n) mv4, sum(w * mv) / sum(w * n) mv, sum(w * (mv - mv4)) / sum(w * n) diff from cs join wt using (cluster_idx) group by all)"""
-CI = ", ".join(f"quantile_cont({x}, 0.025) {x}_lo, quantile_cont({x}, 0.975) {x}_hi" for x in ("mv4", "mv", "diff"))
-query("i09_clustered_bootstrap", sql([fx.PATHS_SQL, SC, fx.plan_sql(MANY, 100, 100), BOOT], f"select model, task, {CI} from rp group by all", CM, "mv4_lo, mv4_hi, mv_lo, mv_hi, diff_lo, diff_hi"))(lambda s, d: (lambda c: inf.clustered_bootstrap(c, rs.own_plan(c, MANY)))(inf.majority_clusters(sc(s, d))))
-query("j08_resample_join", sql([fx.PATHS_SQL, SC, fx.plan_sql(MANY, 100, 100), BOOT], "select model, task, rep, mv, mv4 from rp", f"{CM}, rep", "mv, mv4"))(
+{drawn(MANY)},
+rp as (select model, task, rep, sum(w * mv4) / sum(w * n) mv4, sum(w * mv) / sum(w * n) mv, 100 * sum(w * (mv - mv4)) / sum(w * n) diff from cs join wt using (model, task, cluster_idx) group by all)"""
+query("i09_clustered_bootstrap", sql([fx.PATHS_SQL, SC, BOOT], f"select model, task, {interval('mv4', 'mv', 'diff')} from rp group by all", CM, "mv4_lo, mv4_hi, mv_lo, mv_hi, diff_lo, diff_hi"))(lambda s, d: (lambda c: inf.clustered_bootstrap(c, rs.own_plan(c, MANY)))(inf.majority_clusters(sc(s, d))))
+query("j08_resample_join", sql([fx.PATHS_SQL, SC, BOOT], "select model, task, rep, mv, mv4 from rp", f"{CM}, rep", "mv, mv4"))(
     lambda s, d: (lambda c: rs.bootstrap_sums(c, rs.own_plan(c, MANY), ["n", "mv4", "mv"]).select("model", "task", "rep", (F.col("mv") / F.col("n")).alias("mv"), (F.col("mv4") / F.col("n")).alias("mv4")))(inf.majority_clusters(sc(s, d)))
 )
-query("i11_pilot_sensitivity", sql([fx.PATHS_SQL, SC] + [fx.plan_sql(100, n, 100).replace("plan as", f"plan{n} as") for n in (25, 50)] + ["r4 as (select model, task, seed, instance_id, sum(y)::bigint s, count(*) k from sc where path < 4 group by all)", "cl as (select *, dense_rank() over (partition by model, task order by instance_id) - 1 cluster_idx from r4)",
-    "cs as (select model, task, cluster_idx, sum(s)::bigint s, sum(k)::bigint k, count(*) n, sum((s * (s - 1))::double / (k * (k - 1))) bo from cl group by all)", "wt as (select 25 questions, rep, cluster_idx, count(*) w from plan25 group by all union all select 50, rep, cluster_idx, count(*) from plan50 group by all)",
-    "bs as (select questions, model, task, rep, sum(w * s)::double / sum(w * k) p, sum(w * bo) / sum(w * n) bo from cs join wt using (cluster_idx) group by all)", "bc as (select *, case when p * (1 - p) > 0 then (bo - p * p) / (p * (1 - p)) end c from bs)"],
+PAIR = f"""r4 as (select model, task, seed, instance_id, sum(y)::bigint s, count(*) k, coalesce(sum(y) filter (path < k_star), 0)::bigint sk, max(k_star) ks from sc join (select model, task, k_star from pt where eps = 0.025::double) using (model, task) group by all),
+cl as (select *, {NUMBERED}, {MV} mv, case when 2 * sk > ks then 1.0::double when 2 * sk = ks then 0.5::double else 0.0::double end mvk from r4),
+cs as (select model, task, cluster_idx, count(*) n, sum(mvk) mvk, sum(mv) mv, max(ks) k_star from cl group by all),
+{drawn(PAIRED)},
+rp as (select model, task, rep, sum(w * (mvk - mv)) / sum(w * n) diff from cs join wt using (model, task, cluster_idx) group by all),
+ci as (select model, task, {interval('diff')} from rp group by all)"""
+query("i10_paired_difference", sql([fx.PATHS_SQL, SC, RECS4, RHO, ADAPT, PAIR], "select *, mv_k - mv_all diff from (select model, task, count(*) clusters, max(k_star) k_star, sum(mvk) / sum(n) mv_k, sum(mv) / sum(n) mv_all from cs group by all) join ci using (model, task)", f"{CM}, clusters, k_star", "mv_k, mv_all, diff, diff_lo, diff_hi"))(lambda s, d: inf.paired_difference(sc(s, d), PAIRED))
+PILOTS = (25, 50, 100, 200)
+query("i11_pilot_sensitivity", sql([fx.PATHS_SQL, SC, "r4 as (select model, task, seed, instance_id, sum(y)::bigint s, count(*) k from sc where path < 4 group by all)", f"cl as (select *, {NUMBERED} from r4)",
+    "cs as (select model, task, cluster_idx, sum(s)::bigint s, sum(k)::bigint k, count(*) n, sum((s * (s - 1))::double / (k * (k - 1))) bo from cl group by all)", *[drawn(500, n, f"wt{n}") for n in PILOTS], "wt as (" + " union all ".join(f"select {n} questions, * from wt{n}" for n in PILOTS) + ")",
+    "bs as (select questions, model, task, rep, sum(w * s)::double / sum(w * k) p, sum(w * bo) / sum(w * n) bo from cs join wt using (model, task, cluster_idx) group by all)", "bc as (select *, case when p * (1 - p) > 0 then (bo - p * p) / (p * (1 - p)) end c from bs)"],
     f"select questions::bigint questions, model, task, avg(c) c_mean, stddev_samp(c) c_std, avg({KSTAR.format(c='c', e='0.025::double')}) k_mean, count(*) filter ({KSTAR.format(c='c', e='0.025::double')} <= 1) at_bound, count(*) filter (c is null) undefined from bc group by all", f"{CM}, questions, at_bound, undefined", "c_mean, c_std, k_mean"))(
-    lambda s, d: (lambda c: inf.pilot_sensitivity(c, {n: rs.own_plan(c, 500, n) for n in (25, 50, 100, 200)}))(inf.pilot_clusters(sc(s, d)))
+    lambda s, d: (lambda c: inf.pilot_sensitivity(c, {n: rs.own_plan(c, 500, n) for n in PILOTS}))(inf.pilot_clusters(sc(s, d)))
 )
 
 
@@ -81,12 +103,35 @@ def matched_masks(s, d):
     return rs.numbered_clusters(m.where("sc_mask is not null and pt_mask is not null"))
 
 
-query("i12_paired_rho_bootstrap", sql([fx.PATHS_SQL, "recs as (select model, task, arm, seed, instance_id, sum((1::bigint << path::int) * y)::bigint mask from paths where path < 8 group by all)", "cl as (select *, dense_rank() over (partition by model, task order by instance_id) - 1 cluster_idx from recs)", fx.plan_sql(50, 100, 100),
-    "wt as (select rep, cluster_idx, count(*) w from plan group by all)", "ij as (select i.range i, j.range j from range(8) i, range(8) j where i.range < j.range)",
-    "ps as (select model, task, arm, rep, i, j, sum(w)::double n, sum(w * ((mask >> i::int) & 1))::double si, sum(w * ((mask >> j::int) & 1))::double sj, sum(w * ((mask >> i::int) & 1) * ((mask >> j::int) & 1))::double sij from cl join wt using (cluster_idx), ij group by all)",
-    "pr as (select model, task, arm, rep, avg(case when n * si - si * si > 0 and n * sj - sj * sj > 0 then (n * sij - si * sj) / sqrt((n * si - si * si) * (n * sj - sj * sj)) end) rho from ps group by all)",
-    "dr as (select a.model, a.task, a.rep, case when abs(a.rho) >= 0.01::double then 100 * (b.rho - a.rho) / abs(a.rho) end drho from pr a join pr b on a.model = b.model and a.task = b.task and a.rep = b.rep and a.arm = 'SC' and b.arm = 'PT')"],
-    "select model, task, count(drho) draws, quantile_cont(drho, 0.025) drho_lo, quantile_cont(drho, 0.975) drho_hi from dr group by all", f"{CM}, draws", "drho_lo, drho_hi"))(lambda s, d: (lambda m: inf.paired_rho_bootstrap(m, rs.own_plan(m, 50)))(matched_masks(s, d)))
+DRHO = f"""cs as (select *, {NUMBERED} from recs), {drawn(FEW)}, ij as (select i.range i, j.range j from range(8) i, range(8) j where i.range < j.range),
+bp as (select model, task, arm, rep, i, j, sum(w)::double n, sum(w * ((mask >> i::int) & 1))::double si, sum(w * ((mask >> j::int) & 1))::double sj, sum(w * ((mask >> i::int) & 1) * ((mask >> j::int) & 1))::double sij from cs join wt using (model, task, cluster_idx), ij group by all),
+br as (select model, task, arm, rep, avg(case when n * si - si * si > 0 and n * sj - sj * sj > 0 then (n * sij - si * sj) / sqrt((n * si - si * si) * (n * sj - sj * sj)) end) rho from bp group by all),
+bd as (select a.model, a.task, a.rep, case when abs(a.rho) >= 0.01::double then 100 * (b.rho - a.rho) / abs(a.rho) end drho from br a join br b on a.model = b.model and a.task = b.task and a.rep = b.rep and a.arm = 'SC' and b.arm = 'PT'),
+ci as (select model, task, count(drho) draws, {interval('drho')} from bd group by all)"""
+query("i12_paired_rho_bootstrap", sql([fx.PATHS_SQL, RECS8, DRHO], "select * from ci", f"{CM}, draws", "drho_lo, drho_hi"))(lambda s, d: (lambda m: inf.paired_rho_bootstrap(m, rs.own_plan(m, FEW)))(matched_masks(s, d)))
+query("i13_bootstrap_summary", sql([fx.PATHS_SQL, RECS8, RHO, DELTA, DRHO], "select count(*) cells, median(drho_hi - drho_lo) width, quantile_cont(drho_hi - drho_lo, 0.25) width_25, quantile_cont(drho_hi - drho_lo, 0.75) width_75, count(*) filter (drho_lo > 0 or drho_hi < 0) excluding_zero, min(drho_pct) least, max(drho_pct) most from delta join ci using (model, task) where drho_pct is not null and drho_lo is not null", "cells, excluding_zero", "width, width_25, width_75, least, most"))(
+    lambda s, d: (lambda m: inf.interval_summary(co.arm_delta(P(s, d)).withColumnRenamed("drho_pct", "drho"), inf.paired_rho_bootstrap(m, rs.own_plan(m, FEW)), "drho"))(matched_masks(s, d))
+)
+WON = f"""fit as (select model, task, arm fold, p4, n_inst, n_seeds, rho, p4 <= 0 or p4 >= 1 or rho is null degenerate, case when p4 > 0 and p4 < 1 then rho end c from (select model, task, arm, sum(s)::double / sum(k) p4, count(distinct instance_id) n_inst, count(distinct seed) n_seeds from recs group by all) left join rho using (model, task, arm)),
+pil as (select *, {CLIP.format(c='c', e='0.025::double')} k_star from fit),
+km as (select model, task, unnest([1, 2, 4, 8, 16, 32])::bigint kk from pil union select model, task, k_star from pil),
+pa as (select paths.*, kk from paths join km using (model, task) where arm = 'SC' and path < kk),
+bk as (select kk, model, task, seed, instance_id, answer, count(*) n, min(path) first, max(y) y from pa where answer is not null group by all),
+wk as (select kk, model, task, seed, instance_id, y from (select *, row_number() over (partition by kk, model, task, seed, instance_id order by n desc, first) r from bk) where r = 1),
+rk as (select kk, model, task, seed, instance_id, case when 2 * sum(y) > count(*) then 1.0::double when 2 * sum(y) = count(*) then 0.5::double else 0.0::double end bin from pa group by all),
+st as (select kk, model, task, fold, avg(coalesce(y, 0)) won, avg(bin) bin from rk left join wk using (kk, model, task, seed, instance_id) join fo using (model, task, instance_id) group by all),
+sd as (select pil.*, {', '.join(f"(select won from st where st.model = pil.model and st.task = pil.task and st.fold = pil.fold and kk = {k}) won{k}" for k in (1, 2, 4, 8, 16, 32))},
+  (select bin from st where st.model = pil.model and st.task = pil.task and st.fold = pil.fold and kk = 32) bin32 from pil),
+xx as (select p.model, p.task, p.fold, p.n_inst + e.n_inst n_instances, p.n_seeds, p.n_inst n_pilot, e.n_inst n_eval, p.p4 pilot_acc, p.c c_pilot, p.degenerate, p.k_star, sp.won same_mv_k, p.won32 same_mv_32, se.won held_mv_k, e.won32 held_mv_32,
+  {', '.join(f'e.won{k} fixed{k}' for k in (1, 2, 4, 8, 16, 32))}, e.bin32 held_binary_32, e.won4 reuse_same, p.won4 reuse_deploy, e.p4 ep, e.c ec
+  from sd p join sd e on p.model = e.model and p.task = e.task and p.fold <> e.fold join st sp on sp.model = p.model and sp.task = p.task and sp.fold = p.fold and sp.kk = p.k_star join st se on se.model = p.model and se.task = p.task and se.fold = e.fold and se.kk = p.k_star),
+xs as (select *, case when ec > 0 and ec < 1 and ep > 0 and ep < 1 then {BB.format(k=32)} end bb_same from (select *, ep * (1 - ec) / ec a, (1 - ep) * (1 - ec) / ec b from xx)),
+xd as (select *, case when c_pilot > 0 and c_pilot < 1 and pilot_acc > 0 and pilot_acc < 1 then {BB.format(k=32)} end bb_deploy from (select * exclude (a, b), pilot_acc * (1 - c_pilot) / c_pilot a, (1 - pilot_acc) * (1 - c_pilot) / c_pilot b from xs)),
+xi as (select *, case when ep > 0 and ep < 1 then {BI.format(k=32, p='ep')} end indep_same, case when pilot_acc > 0 and pilot_acc < 1 then {BI.format(k=32, p='pilot_acc')} end indep_deploy from xd)"""
+GUESSES = [f"{k}_{w}" for k in ("reuse", "bb", "indep") for w in ("same", "deploy")]
+query("i08_fold_evaluation", sql([fx.PATHS_SQL, SC, FOLD, "rf as (select model, task, fold, seed, instance_id, count(*) k, sum(y)::bigint s, sum((1::bigint << path::int) * y)::bigint mask from sc join fo using (model, task, instance_id) where path < 4 group by all)",
+    "recs as (select model, task, fold arm, seed, instance_id, k, s, mask from rf)", RHO, WON], "select *, case when same_mv_32 > 0 then 100 * same_mv_k / same_mv_32 end same_retained, case when held_mv_32 > 0 then 100 * held_mv_k / held_mv_32 end held_retained, " + ", ".join(f"100 * abs({g} - {'held_mv_32' if g.startswith('reuse') else 'held_binary_32'}) {g}_err" for g in GUESSES) + " from xi",
+    f"{CM}, fold, n_instances, n_seeds, n_pilot, n_eval, degenerate, k_star", "pilot_acc, c_pilot, same_mv_k, same_mv_32, same_retained, held_mv_k, held_mv_32, held_retained, fixed1, fixed2, fixed4, fixed8, fixed16, fixed32, held_binary_32, " + ", ".join([*GUESSES, *[f"{g}_err" for g in GUESSES]])))(lambda s, d: inf.fold_evaluation(sc(s, d)))
 LD = "ld as (select d.n_chars, l.quality from documents d join labels l using (doc_id))"
 
 

@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from ballotry import fixtures as fx
 from ballotry.functions import scoring as sc
+from ballotry.operators import correlation as co
 from ballotry.operators import gate as ga
 from ballotry.operators import matching as ma
 from ballotry.operators import votes as vo
 from ballotry.plans import report as rp
 from ballotry.sources import questions as qu
 from ballotry.sources import records as re_
+from ballotry.sources.shared import new_folder
 
 from .registry import query, sql
-from .votes import CELL, DELTA, MV, PR, RECS8, RHO, P
+from .votes import CELL, DELTA, EXACT, MV, PR, RECS8, RHO, P
 
 #: SC records with faults: some lack a path, some are repeated.
 BROKEN = "select model, task, arm, seed, instance_id, path, gold, answer, truncated, gen_len, y from {p} where arm = 'SC' and not (instance_id % 41 = 0 and path = 31)"
@@ -39,12 +41,21 @@ def asked(s, d):
     return P(s, d).select("model", "task").distinct().unionAll(s.sql("select '9-NONE' model, 'F' task"))
 
 
-query("s01_record_scan")(lambda s, d: vo.records(P(s, d)).groupBy("model", "task", "arm").agg(F.sum("k").alias("paths")))
-query("s02_candidate_cells", sql([*PR, ASKED], "select model, task, n from asked left join (select model, task, count(*) n from recs where arm = 'SC' group by all) using (model, task)", "model, task, n"))(
-    lambda s, d: re_.candidate_cells(vo.records(P(s, d)).where("arm = 'SC'").groupBy("model", "task").agg(F.count("*").alias("n")), asked(s, d))
+FILED = "replace(model, ' ', '_')"
+
+
+def filed(s, d):
+    return re_.read_records(s, fx.record_files(s, d))
+
+
+query("s01_record_scan", sql(PR, "select model, task, count(*) records, sum(k)::bigint paths, count(distinct seed) seeds from recs where arm = 'SC' group by all", "model, task, records, paths, seeds"))(
+    lambda s, d: filed(s, d).groupBy(F.col("model_slug").alias("model"), "task").agg(F.count("*").alias("records"), F.sum(F.size("all_answers")).alias("paths"), F.count_distinct("seed").alias("seeds"))
+)
+query("s02_candidate_cells", sql([*PR, ASKED], f"select {FILED} model, task, n from asked left join (select model, task, count(*) n from recs where arm = 'SC' group by all) using (model, task)", "model, task, n"))(
+    lambda s, d: re_.candidate_cells(re_.file_cells(filed(s, d)), asked(s, d).withColumn("model", F.regexp_replace("model", " ", "_")))
 )
-query("s03_field_resolution", "select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as bigint), user_id) v from events")(
-    lambda s, d: fx.read(s, d, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k").try_cast("bigint"), F.col("user_id")).alias("v"))
+query("s03_field_resolution", sql(PR, "select model, task, seed, instance_id, case when instance_id % 2 = 1 then 512 else 256 end max_tokens from recs where arm = 'SC'", "model, task, seed, instance_id, max_tokens"))(
+    lambda s, d: filed(s, d).select(F.col("model_slug").alias("model"), "task", F.col("seed").cast("long").alias("seed"), F.col("instance_id").cast("long").alias("instance_id"), re_.field("max_tokens").alias("max_tokens"))
 )
 query("s04_legacy_first_seen", sql([*PR], "select model, task, seed, instance_id, s from (select *, row_number() over (partition by model, task, seed, instance_id order by line) r from (select *, case when instance_id % 97 = 0 then null else instance_id end key, case when arm = 'SC' then 1 else 0 end line from recs) where key is not null and seed in (0, 1, 2)) where r = 1", "model, task, seed, instance_id, s"))(
     lambda s, d: re_.load_legacy(vo.records(P(s, d)).withColumn("key", F.when(F.col("instance_id") % 97 != 0, F.col("instance_id"))).withColumn("line", F.when(F.col("arm") == "SC", 1).otherwise(0)), ["model", "task", "seed", "instance_id"], ["line"], seeds=[0, 1, 2]).select("model", "task", "seed", "instance_id", "s")
@@ -117,7 +128,7 @@ query("j07_alias_bucket", r"select item_id, case when p in (g, u, f) then g else
     lambda s, d: (lambda five: fx.read(s, d, "benchmark").select("item_id", ma.alias_bucket(F.when(F.col("item_id") % 3 == 0, F.upper("text")).when(F.col("item_id") % 3 == 1, five).otherwise(F.lit("other")), F.col("text"), F.array(F.upper("text"), five), lambda x: F.lower(F.trim(x))).alias("bucket")))(F.array_join(F.slice(F.split("text", " "), 1, 5), " "))
 )
 query("j11_dimension_join", sql([fx.PATHS_SQL, RECS8, RHO, DELTA], "select case task when 'F' then 'finished' when 'O' then 'open' else 'partial' end domain, count(*) n, avg(drho_pct) mean_drho, avg(dmv) mean_dmv from delta group by all", "domain, n", "mean_drho, mean_dmv"))(
-    lambda s, d: (lambda x, dim: x.join(F.broadcast(dim), "task").groupBy("domain").agg(F.count("*").alias("n"), F.avg("drho_pct").alias("mean_drho"), F.avg("dmv").alias("mean_dmv")))(__import__("ballotry.operators.correlation", fromlist=["x"]).arm_delta(P(s, d)), s.createDataFrame([("F", "finished"), ("O", "open"), ("P", "partial")], "task string, domain string"))
+    lambda s, d: (lambda x, dim: x.join(F.broadcast(dim), "task").groupBy("domain").agg(F.count("*").alias("n"), F.avg("drho_pct").alias("mean_drho"), F.avg("dmv").alias("mean_dmv")))(co.arm_delta(P(s, d)), s.createDataFrame([("F", "finished"), ("O", "open"), ("P", "partial")], "task string, domain string"))
 )
 query("g01_uniform_provenance", sql([fx.PATHS_SQL], "select model, task, count(distinct coalesce(arm, '')) arm, count(distinct coalesce(gold, '')) gold, count(distinct coalesce(answer, 'none given')) answer from paths group by all", "model, task, arm, gold, answer"))(lambda s, d: ga.uniform_provenance(P(s, d), ["arm", "gold", "answer"]))
 RATES = """gr as (select model, task, seed, instance_id, count(*) n, count(answer) got, count(*) filter (answer is null and truncated) loss, count(*) filter (answer is null and not truncated) silent, count(*) filter (truncated) cap from broken group by all),
@@ -141,7 +152,25 @@ query("g09_matrix_contract", sql([fx.PATHS_SQL, BROKEN_SQL], "select model, task
 query("k02_strict_json", sql(PR, f"select '{{\"model\":\"' || model || '\",\"task\":\"' || task || '\",\"arm\":\"' || arm || '\",\"n\":' || count(*) || ',\"none\":null}}' json from recs group by model, task, arm", "json"))(
     lambda s, d: rp.strict_json(vo.records(P(s, d)).groupBy(*vo.CELL).agg(F.count("*").alias("n")).withColumn("none", F.lit(float("nan"))))
 )
+EXACT_ROW = "mean_path_acc, mv_acc, agreement, rho, keff, ceiling, pct_ceiling"
+
+
+def exact_csv(s, d):
+    folder = new_folder(s)
+    columns = ["model", "task", "kk", "n", "n_seeds", *EXACT_ROW.split(", ")]
+    rp.write_csv(co.exact_k(P(s, d).where("arm = 'SC'")), columns, folder)
+    return s.read.option("header", True).schema("model string, task string, kk long, n long, n_seeds long, " + ", ".join(f"{c} double" for c in columns[5:])).csv(folder)
+
+
+query("k01_exact_csv", sql([*PR, RHO, EXACT], "select * from exact where arm = 'SC'", "model, task, kk, n, n_seeds", EXACT_ROW))(exact_csv)
+query("k04_markdown_table", sql([*PR], "select 0::bigint line, '| model | task | arm | records |' text union all select 1, '|---|---|---|---|' union all select 1 + row_number() over (order by model, task, arm), '| ' || model || ' | ' || task || ' | ' || arm || ' | ' || count(*) || ' |' from recs group by model, task, arm", "line, text"))(
+    lambda s, d: rp.markdown_table(vo.records(P(s, d)).groupBy(*vo.CELL).agg(F.count("*").alias("records")), [*vo.CELL, "records"], vo.CELL)
+)
+DOMAINS = {"F": "finished", "O": "open", "P": "partial"}
+query("o01_canonical_order", sql(PR, "select domain, task, model, row_number() over (order by domain, task, model) position from (select distinct case task when 'F' then 'finished' when 'O' then 'open' else 'partial' end domain, task, model from recs)", "domain, task, model, position"))(
+    lambda s, d: rp.canonical_order(vo.records(P(s, d)).select("task", "model").distinct(), DOMAINS, ["domain", "task", "model"])
+)
 query("k03_report_lines", sql(PR, f"select printf('%-16s %s %s %5d', model, task, arm, count(*)) line from recs group by model, task, arm", "line"))(lambda s, d: rp.report_lines(vo.records(P(s, d)).groupBy(*vo.CELL).agg(F.count("*").alias("n")), "%-16s %s %s %5d", ["model", "task", "arm", "n"]))
 query("a24_roll_up", sql([fx.PATHS_SQL, RECS8, RHO, DELTA], "select task, model, count(drho_pct) n, avg(drho_pct) mean, min(drho_pct) least, max(drho_pct) most, stddev_samp(drho_pct) std from delta group by grouping sets ((task), (model), ())", "task, model, n", "mean, least, most, std"))(
-    lambda s, d: rp.roll_up(__import__("ballotry.operators.correlation", fromlist=["x"]).arm_delta(P(s, d)), "drho_pct")
+    lambda s, d: rp.roll_up(co.arm_delta(P(s, d)), "drho_pct")
 )

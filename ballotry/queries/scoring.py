@@ -18,7 +18,11 @@ PAIRS = """select o_orderkey id, o_orderstatus task, case o_orderkey % 9 when 0
   case when o_orderkey % 9 = 4 then 'answer  apple' when o_orderkey % 9 = 8 then 'yes' else cast(n as varchar(20)) end gold
 from (select *, cast((n - n % 1000) / 1000 as bigint) n1 from (select o_orderkey, o_orderstatus, o_custkey * 7 % 5000 + 1000 n from {orders}))"""
 PAIRS_SQL = "pairs as (" + PAIRS.format(orders="orders") + ")"
-CLEAN = r"trim(regexp_replace(regexp_replace(trim({0}), '\{{,\}}|\\,|\\!|,', '', 'g'), '\.$', ''))"
+#: Numbers with separators are taken whole, and joined again if each later group has three digits.
+_SEP = r"(?:\{{,\}}|\\[,;! ]|~)"
+STRIP = r"regexp_replace({0}, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')"
+THOUSANDS = "array_to_string(list_transform(regexp_extract_all({0}, '[0-9]+(?:" + _SEP + "[0-9]+)*|[^0-9]+'), lambda t: case when regexp_full_match(t, '[0-9]+(?:" + _SEP + "[0-9]{{3}})+') then regexp_replace(t, '" + _SEP + "', '', 'g') else t end), '')"
+CLEAN = STRIP.format("regexp_replace(" + STRIP.format("replace(" + THOUSANDS + ", ',', '')") + r", '\.$', '')")
 NUMB = "case when regexp_matches({0}, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') then try_cast({0} as double) end"
 PUNCT = "'" + sc.PUNCTUATION.replace("'", "''") + "'"
 SQUEEZE = r"trim(regexp_replace({0}, '[ \t\r\n\f]+', ' ', 'g'))"
@@ -53,7 +57,7 @@ def _n(x):
 query("f01_clean_number", sql([PAIRS_SQL], f"select id, {CLEAN.format('pred')} x from pairs", "id, x"))(lambda s, d: pairs(s, d).select("id", sc.clean_number(pred()).alias("x")))
 NUMERIC = f"coalesce(case when {_n('pred')} is not null and {_n('gold')} is not null then abs({_n('pred')} - {_n('gold')}) < 1e-3::double else {CLEAN.format('pred')} = {CLEAN.format('gold')} end, false)"
 query("f02_numbers_match", sql([PAIRS_SQL], f"select id, {NUMERIC} ok from pairs", "id, ok"))(lambda s, d: pairs(s, d).select("id", sc.numbers_match(pred(), gold()).alias("ok")))
-query("f03_thousands_free")(lambda s, d: pairs(s, d).select("id", sc.thousands_free(pred()).alias("x")))
+query("f03_thousands_free", sql([PAIRS_SQL], f"select id, {THOUSANDS.format('pred')} x from pairs", "id, x"))(lambda s, d: pairs(s, d).select("id", sc.thousands_free(pred()).alias("x")))
 query("f04_squad_text", sql([PAIRS_SQL], f"select id, {SQUAD.format('pred')} x from pairs union all select doc_id, {SQUAD.format('text')} from documents", "id, x"))(
     lambda s, d: pairs(s, d).select("id", sc.squad_text(pred()).alias("x")).unionAll(fx.read(s, d, "documents").select("doc_id", sc.squad_text(F.col("text"))))
 )
@@ -111,9 +115,6 @@ query("f17_score_by_task", sql([PAIRS_SQL], f"select task, count(*) n, count(*)
 # ------------------------------------------------------------------------------- extraction
 
 N = ex.NUM
-BOX = ex.BOXED
-
-
 def _last(p, x="trace", g=1):
     return f"regexp_extract_all({x}, '{p}', {g})[-1]"
 
@@ -126,9 +127,46 @@ def _tidy(x):
     return f"regexp_replace(translate({x}, '$,', ''), '[.]$', '')"
 
 
-BOXQ = _last(BOX)
-NUMQ = _tidy(
-    f"coalesce({_first(f'({N})', BOXQ)}, {_last(f'####[ \\t]*({N})')}, {_last(f'(?i)(?:final )?answer[ \\t]*(?:is|=|:)[ \\t]*({N})')}, case when not truncated then coalesce({_last(f'(?i)(?:result|total)[ \\t]*(?:is|=|:)[ \\t]*({N})')}, {_last(f'(?m)=[ \\t]*({N})[ \\t]*$')}, {_last(f'({N})')}) end)"
+def _think(x):
+    return f"case when contains({x}, '</think>') then {STRIP.format(f"string_split({x}, '</think>')[-1]")} when instr({x}, '<think>') > 1 then {STRIP.format(f"string_split({x}, '<think>')[1]")} else {x} end"
+
+
+def _leaks(x):
+    for marker in ex.LEAKS:
+        x = f"regexp_replace({x}, '(?is){marker}.*', '')"
+    return STRIP.format(x)
+
+
+def _box(x):
+    """Pieces up to a brace after the last box, their depths, and the text before the first depth of 0."""
+    rest = f"string_split({x}, '\\boxed{{')[-1]"
+    steps = f"regexp_extract_all({rest}, '[^{{}}]*[{{}}]')"
+    depth = f"list_transform({steps}, lambda p, i: 1 + list_sum(list_transform({steps}[1:i], lambda q: case when q[-1] = '{{' then 1 else -1 end)))"
+    size = f"list_sum(list_transform({steps}[1:list_position({depth}, 0)], lambda q: len(q)))"
+    return f"case when contains({x}, '\\boxed{{') and list_position({depth}, 0) > 0 then {STRIP.format(f'substr({rest}, 1, ({size} - 1)::bigint)')} end"
+
+
+#: traces with thousands separators removed (norm), artefacts removed from these (cn) and from the trace (ct), and boxes.
+TX = [
+    fx.TRACES_SQL,
+    f"x1 as (select *, {THOUSANDS.format('trace')} norm from traces)",
+    f"x2 as (select *, {_think('norm')} th, {_think('trace')} tt from x1)",
+    f"x3 as (select *, {_leaks('th')} c0, {_leaks('tt')} ct from x2)",
+    f"x4 as (select *, case when len(c0) < 2 then {_leaks('norm')} else c0 end cn from x3)",
+    f"x5 as (select *, {_box('cn')} b1, {_box('norm')} b2, {_box('ct')} b3, {_box('trace')} bx from x4)",
+    "tx as (select *, coalesce(b1, b2) bn, coalesce(b3, bx) bt from x5)",
+]
+BOXQ = "bx"
+L = ex.LOOSE
+
+
+def _loose(x):
+    return rf"regexp_replace({STRIP.format(f"replace({x}, ',', '')")}, '\.$', '')"
+
+
+NUMQ = _loose(
+    f"coalesce({_last(f'({L})', 'bn')}, nullif(bn, ''), {_last(rf'####\s*({L})', 'cn')}, {_last(rf'(?i)\b(?:final\s+answer|answer)\b\s*(?:is\b|=|:)\s*\$?({L})', 'cn')}, "
+    f"case when not truncated then coalesce({_last(rf'(?i)\b(?:result|total)\b\s*(?:is\b|=|:)\s*\$?({L})', 'cn')}, {_last(rf'(?m)=\s*\$?({L})\s*$', 'cn')}, {_last(f'({L})', 'cn')}) end)"
 )
 W = r"[ \t]*(yes|no)(?:[^a-zA-Z]|$)"
 
@@ -143,34 +181,37 @@ LETQ = f"coalesce({_first('^[ \\t]*' + ONE, BOXQ)}, {_last('####[ \\t]*' + ONE)}
 
 
 def tr(name, column, expression):
-    query(name, sql([fx.TRACES_SQL], f"select doc_id, {expression} x from traces", "doc_id, x"))(lambda s, d: fx.traces(s, d).select("doc_id", column().alias("x")))
+    query(name, sql(TX, f"select doc_id, {expression} x from tx", "doc_id, x"))(lambda s, d: fx.traces(s, d).select("doc_id", column().alias("x")))
 
 
-tr("e01_strip_artifacts", lambda: ex.strip_artifacts(trace()), r"trim(case when contains(c, '</think>') then string_split(c, '</think>')[-1] else string_split(c, '<think>')[1] end)".replace("c,", r"regexp_replace(trace, '(?is)\n(?:user|assistant|system|human)\n.*$', ''),"))
+tr("e01_strip_artifacts", lambda: ex.strip_artifacts(trace()), "ct")
 tr("e02_final_segment", lambda: ex.final_segment(F.regexp_replace(trace(), "####", "</think>")), "case when contains(replace(trace, '####', '</think>'), '</think>') then nullif(trim(string_split(string_split(replace(trace, '####', '</think>'), '</think>')[-1], '<|end|>')[1]), '') end")
 tr("e03_boxed", lambda: ex.boxed(trace()), BOXQ)
-tr("e03b_boxed_stripped", lambda: ex.boxed(ex.strip_artifacts(trace())), BOXQ)
+tr("e03b_boxed_stripped", lambda: ex.boxed(ex.strip_artifacts(trace())), "b3")
 tr("e04_number_answer", lambda: ex.number_answer(trace(), cut()), NUMQ)
 tr("e05_number_answer_old", lambda: ex.number_answer_old(trace()), _tidy(f"coalesce({_first(f'####[ \\t]*({N})')}, {_first(f'(?i)(?:answer|result|total)[ \\t]*(?:is|=|:)?[ \\t]*({N})')}, {_last(f'({N})')})"))
 tr("e06_yes_no_answer", lambda: ex.yes_no_answer(trace(), cut()), YNQ)
-USABLE = r"(case when {0} <> '' and len(string_split_regex({0}, '[ \t]+')) <= 15 and not regexp_matches({0}, '(?i)^(?:\[?your answer\]?|answer|unknown|n/a)$') then {0} end)"
+def _lead(x):
+    return STRIP.format(rf"rtrim({STRIP.format(f"regexp_replace({STRIP.format(x)}, '{ex.LEAD_IN}', '')")}, '.')")
 
 
 def _use(x):
-    t = rf"trim(regexp_replace(trim(regexp_replace(trim({x}), '[.]$', '')), '(?i)^the (?:final )?answer is:?[ \t]*', ''))"
-    return USABLE.format(t)
+    return f"case when {_lead(x)} <> '' and len(string_split_regex({_lead(x)}, '\\s+')) <= 15 then {_lead(x)} end"
+
+
+def _uses(p):
+    return f"list_filter(list_transform(regexp_extract_all(ct, '{p}', 1), lambda m: {_use('m')}), lambda m: m is not null)[-1]"
 
 
-LINE = r"regexp_extract(rtrim(regexp_replace(trace, '[\n \t]+$', '')), '([^\n]*)$', 1)"
-SPANQ = f"coalesce({_use(BOXQ)}, {_use(_last(ex.HASHES))}, {_use(_last(ex.DECLARED))}, case when not truncated then coalesce({_use(_last('(?i)(?:therefore|thus|so),?[ \\t]+([^\\n.]*)'))}, nullif(trim(regexp_replace({LINE}, '[.]$', '')), '')) end)"
+SPANQ = f"coalesce({_use('bt')}, {_uses(r'####\s*([^\n]+)')}, {_uses(ex.DECLARES + r'([^\n]+)')}, case when not truncated then coalesce({_uses(r'(?i)\b(?:therefore|thus|so)\b\s*,?\s*([^\n]+?)(?:\.|$)')}, nullif({_lead("string_split(ct, chr(10))[-1]")}, '')) end)"
 tr("e07_span_answer", lambda: ex.span_answer(trace(), cut()), SPANQ)
 tr("e08_letter_answer", lambda: ex.letter_answer(trace(), cut()), LETQ)
 tr("e09_literal_answer", lambda: ex.literal_answer(trace()), f"nullif(trim(regexp_replace({_last(ex.HASHES)}, '```[a-z]*', '', 'g'), '` '), '')")
 CELLS = {"0": "number", "1": "yesno", "2": "letter", "3": "span", "4": "boxed"}
-tr("e10_extract_by_task", lambda: ex.extract(F.col("cell").cast("string"), trace(), cut(), CELLS), f"nullif(trim(case cell when 0 then {NUMQ} when 1 then {YNQ} when 2 then {LETQ} when 3 then {SPANQ} else {BOXQ} end), '')")
+tr("e10_extract_by_task", lambda: ex.extract(F.col("cell").cast("string"), trace(), cut(), CELLS), f"nullif(trim(case cell when 0 then {NUMQ} when 1 then {YNQ} when 2 then {LETQ} when 3 then {SPANQ} else b3 end), '')")
 tr("e11_label_answer", lambda: ex.label_answer(trace(), ("even", "odd", "yes")), f"lower(coalesce({_last('(?i)answer[ \\t]*(?:is|=|:)[ \\t]*(even|odd|yes)(?:[^a-zA-Z]|$)')}, {_last('(?i)(?:^|[^a-zA-Z])(even|odd|yes)(?:[^a-zA-Z]|$)')}))")
 tr("e12_code_block", lambda: ex.code_block(F.concat(trace(), F.lit("\n```py\n"), F.col("gold"), F.lit("\n```\n"))), "regexp_extract_all(trace || chr(10) || '```py' || chr(10) || gold || chr(10) || '```' || chr(10), '(?s)```[a-zA-Z]*\\n(.*?)```', 1)[-1]")
-query("e13_reextraction_audit", sql([fx.TRACES_SQL, f"x as (select cell, gold, {_tidy(f'coalesce({_first(f'####[ \\t]*({N})')}, {_first(f'(?i)(?:answer|result|total)[ \\t]*(?:is|=|:)?[ \\t]*({N})')}, {_last(f'({N})')})')} old, {NUMQ} new from traces)"],
+query("e13_reextraction_audit", sql([*TX, f"x as (select cell, gold, {_tidy(f'coalesce({_first(f'####[ \\t]*({N})')}, {_first(f'(?i)(?:answer|result|total)[ \\t]*(?:is|=|:)?[ \\t]*({N})')}, {_last(f'({N})')})')} old, {NUMQ} new from tx)"],
     "select cell, count(*) paths, count(*) filter (old is distinct from new) changed, count(*) filter (old is null) null_before, count(*) filter (new is null) null_after, avg(coalesce(old = gold, false)::int) acc_before, avg(coalesce(new = gold, false)::int) acc_after from x group by all", "cell, paths, changed, null_before, null_after", "acc_before, acc_after"))(
     lambda s, d: fx.traces(s, d).select("cell", "gold", ex.number_answer_old(trace()).alias("old"), ex.number_answer(trace(), cut()).alias("new")).groupBy("cell").agg(
         F.count("*").alias("paths"), F.count_if(~F.col("old").eqNullSafe(F.col("new"))).alias("changed"), F.count_if(F.col("old").isNull()).alias("null_before"), F.count_if(F.col("new").isNull()).alias("null_after"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ballotry import fixtures as fx
@@ -12,10 +10,14 @@ from ballotry.operators import inference as inf
 from ballotry.operators import quality as ql
 from ballotry.operators import vectors as ve
 from ballotry.operators import votes as vo
+from ballotry.operators.tokens import token_f1
+from ballotry.sources.shared import new_folder
 from ballotry.streaming import ingest as st
 
 from .registry import query, sql
-from .votes import DELTA, MV, POOLED, PR, RECS8, RHO, SLOTS, WMV, P
+from .scoring import DOCPAIR, F1, doc_pairs
+from .inference import BB, BI, CLIP
+from .votes import DELTA, EXACT, MV, PR, RECS8, RHO, SLOTS, WMV, P
 
 
 def E(s, d):
@@ -83,6 +85,9 @@ query("j09_method_reference", sql([fx.PATHS_SQL, DIST], "select model, task, see
     lambda s, d: method(s, d).join(vo.records(P(s, d).where("arm = 'SC'")).select(*KEY, vo.majority(F.col("s"), F.col("k")).alias("ref_ok")), KEY).groupBy("model", "task", "seed").agg(F.count("*").alias("n"), F.sum("ok").alias("ok"), F.sum("ref_ok").alias("ref_ok"))
 )
 query("a28_mean_gain", sql([fx.PATHS_SQL, DIST], "select model, avg(ok) method_acc, avg(any_ok) any_acc from me group by all", "model", "method_acc, any_acc"))(lambda s, d: method(s, d).groupBy("model").agg(F.avg("ok").alias("method_acc"), F.avg("any_ok").alias("any_acc")))
+query("a28_mean_f1", sql([DOCPAIR, F1], "select d.source, count(*) n, avg(f1) mean_f1 from f join documents d using (doc_id) group by all", "source, n", "mean_f1"))(
+    lambda s, d: token_f1(doc_pairs(s, d), "doc_id", F.col("pred"), F.col("gold")).join(fx.read(s, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.avg("f1").alias("mean_f1"))
+)
 query("a29_compute_totals", sql([fx.PATHS_SQL], "select model, task, arm, count(*) passes, sum(gen_len)::bigint tokens from paths group by all", "model, task, arm, passes, tokens"))(lambda s, d: P(s, d).groupBy(*vo.CELL).agg(F.count("*").alias("passes"), F.sum("gen_len").alias("tokens")))
 STATS = ["sv as (select model, task, arm, case when avg(acc) = 0 then 0.0::double else stddev_pop(acc) / avg(acc) end slot_cv from sl group by all)", "ws as (select *, 100 * (weighted_acc - mv_acc) gain_pp from wm join sv using (model, task, arm))"]
 
@@ -94,36 +99,26 @@ def stats(s, d):
 
 query("a25_weighted_summary", sql([fx.PATHS_SQL, SLOTS, WMV, *STATS], "select part, count(*) n, avg(gain_pp) mean_gain, max(med) median_cv from (select *, unnest(list_filter([case when slot_cv > med then 'high' else 'low' end, case when gain_pp > 0 then 'gain' else 'none' end], lambda x: x is not null)) part from ws, (select median(slot_cv) med from ws)) group by part", "part, n", "mean_gain, median_cv"))(lambda s, d: ql.weighted_summary(stats(s, d), "slot_cv", "gain_pp"))
 query("a26_extremes", sql([fx.PATHS_SQL, SLOTS, WMV, *STATS], "select (select model || '/' || task || '/' || arm k from ws order by slot_cv, k limit 1) least, (select model || '/' || task || '/' || arm k from ws order by slot_cv desc, k desc limit 1) most", "least, most"))(lambda s, d: ql.extremes(stats(s, d).withColumn("slot_cv", F.col("slot_cv")), "slot_cv"))
-query("a31_diversity_table", sql([*PR, "kk as (select unnest([1, 4, 8, 16, 32])::bigint kk)", "r as (select kk, model, task, seed, instance_id, count(*) k, sum(y) s from paths, kk where arm = 'SC' and path < kk group by all)"], f"select model, task, kk, avg(case when k > 1 then (s * (s - 1) + (k - s) * (k - s - 1))::double / (k * (k - 1)) end) agreement, avg({MV}) mv_acc from r group by all", "model, task, kk", "agreement, mv_acc"))(
-    lambda s, d: co.exact_k(P(s, d).where("arm = 'SC'"), (1, 4, 8, 16, 32)).select("model", "task", "kk", "agreement", "mv_acc")
-)
-query("a32_cross_model", sql([*PR, "kk as (select unnest([4, 8, 16, 32])::bigint kk)", "r as (select kk, model, task, seed, instance_id, count(*) k, sum(y)::bigint s from paths, kk where arm = 'SC' and path < kk group by all)", "x as (select model, task, kk, sum(s)::double / sum(k) p, avg((s * (s - 1))::double / (k * (k - 1))) bo from r group by all)", "c as (select *, case when p * (1 - p) > 0 then (bo - p * p) / (p * (1 - p)) end c from x)"],
-    "select model, task, " + ", ".join(f"max(c) filter (kk = {k}) c{k}, max(case when c > 0 then {k} / (1 + ({k} - 1) * c) end) filter (kk = {k}) keff{k}" for k in (4, 8, 16, 32)) + " from c group by all", "model, task", ", ".join(f"c{k}, keff{k}" for k in (4, 8, 16, 32))))(
-    lambda s, d: co.exact_k(P(s, d).where("arm = 'SC'"), (4, 8, 16, 32)).groupBy("model", "task").agg(*[x for k in (4, 8, 16, 32) for x in (F.max(F.when(F.col("kk") == k, F.col("c_hat"))).alias(f"c{k}"), F.max(F.when(F.col("kk") == k, F.col("keff"))).alias(f"keff{k}"))])
-)
-query("a18_gls_vote")(lambda s, d: (lambda p: ql.weighted_answer_vote(p, ql.gls_weights(co.slot_covariance(p)), vo.CELL).groupBy(*vo.CELL).agg(F.avg("y").alias("gls_acc"), F.count("*").alias("n")))(vo.prefix(P(s, d), 8)))
-query("i13_bootstrap_summary", sql([fx.PATHS_SQL, RECS8, RHO, DELTA], "select count(*) cells, count(*) filter (drho_pct > 0) up, median(drho_pct) middle, quantile_cont(drho_pct, 0.75) - quantile_cont(drho_pct, 0.25) spread, min(drho_pct) least, max(drho_pct) most from delta", "cells, up", "middle, spread, least, most"))(
-    lambda s, d: co.arm_delta(P(s, d)).agg(F.count("*").alias("cells"), F.count_if(F.col("drho_pct") > 0).alias("up"), F.median("drho_pct").alias("middle"), (F.percentile("drho_pct", F.lit(0.75)) - F.percentile("drho_pct", F.lit(0.25))).alias("spread"), F.min("drho_pct").alias("least"), F.max("drho_pct").alias("most"))
+query("a31_diversity_table", sql([*PR, RHO, EXACT], "select model, task, kk, agreement, rho, keff, ceiling, 100 * pct_ceiling pct_ceiling, 100 * seed_mean p_mean, 100 * seed_std p_std, 100 * binary_acc mv, tokens from exact where arm = 'SC' and kk <> 2", "model, task, kk", "agreement, rho, keff, ceiling, pct_ceiling, p_mean, p_std, mv, tokens"))(
+    lambda s, d: co.exact_k(P(s, d).where("arm = 'SC'"), (1, 4, 8, 16, 32)).selectExpr("model", "task", "kk", "agreement", "rho", "keff", "ceiling", "100 * pct_ceiling pct_ceiling", "100 * seed_mean p_mean", "100 * seed_std p_std", "100 * binary_acc mv", "tokens")
 )
-query("i17_cell_report", sql([*PR, RHO, POOLED], f"select c.model, c.task, c.arm, p_bar, c_hat, rho, mv, cut from c join rho using (model, task, arm) join (select model, task, arm, avg({MV}) mv from recs group by all) using (model, task, arm) join (select model, task, arm, count(*) filter (truncated) cut from paths group by all) using (model, task, arm)", "model, task, arm, cut", "p_bar, c_hat, rho, mv"))(
-    lambda s, d: (lambda p: (lambda r: co.pooled_c(r).join(co.pairwise_rho(r).drop("pairs"), vo.CELL).join(vo.majority_accuracy(r).withColumnRenamed("mv_acc", "mv"), vo.CELL).join(p.groupBy(*vo.CELL).agg(F.count_if("truncated").alias("cut")), vo.CELL))(vo.records(p)))(P(s, d))
+WIDE = "wd as (select model, task, arm, " + ", ".join(f"max({x}) filter (kk = {k}) {x}{k}" for k in (4, 8, 16, 32) for x in ("rho", "keff")) + ", max(mean_path_acc) filter (kk = 32) p_bar, 100 * max(binary_acc) filter (kk = 32) observed, max(ceiling) filter (kk = 32) ceiling, 100 * max(pct_ceiling) filter (kk = 32) pct_ceiling from exact where arm = 'SC' group by all)"
+PRED = f"pd as (select *, case when rho32 > 0 and rho32 < 1 and p_bar > 0 and p_bar < 1 then 100 * {BB.format(k=32)} end predicted, case when p_bar > 0 and p_bar < 1 then 100 * {BI.format(k=32, p='p_bar')} end independent from (select *, p_bar * (1 - rho32) / rho32 a, (1 - p_bar) * (1 - rho32) / rho32 b from wd))"
+query("a32_cross_model", sql([*PR, RHO, EXACT, WIDE, PRED], "select *, abs(observed - predicted) error_pp, abs(observed - independent) independent_error_pp from pd", "model, task, arm", ", ".join([*[f"{x}{k}" for k in (4, 8, 16, 32) for x in ("rho", "keff")], "p_bar, observed, ceiling, pct_ceiling, predicted, independent, error_pp, independent_error_pp"])))(
+    lambda s, d: co.cross_model(P(s, d).where("arm = 'SC'"))
 )
-query("i10_paired_difference", sql([*PR, "st as (select model, task, instance_id, sum(case when 2 * s > k then 1.0::double when 2 * s = k then 0.5::double else 0.0::double end) sm, count(*) n from recs where arm = 'SC' group by all)"], "select model, task, count(*) clusters, sum(sm) / sum(n) mv from st group by all", "model, task, clusters", "mv"))(
-    lambda s, d: (lambda r: r.groupBy("model", "task", "instance_id").agg(F.sum(vo.majority(F.col("s"), F.col("k"))).alias("sm"), F.count("*").alias("n")).groupBy("model", "task").agg(F.count("*").alias("clusters"), (F.sum("sm") / F.sum("n")).alias("mv")))(vo.records(P(s, d)).where("arm = 'SC'"))
+query("a18_gls_vote")(lambda s, d: (lambda p: ql.weighted_answer_vote(p, ql.gls_weights(co.slot_covariance(p)), vo.CELL).groupBy(*vo.CELL).agg(F.avg("y").alias("gls_acc"), F.count("*").alias("n")))(vo.prefix(P(s, d), 8)))
+MVS = ", ".join(f"max(mv_acc) filter (kk = {k}) mv{k}" for k in (1, 2, 4, 8, 16, 32))
+query("i17_cell_report", sql([*PR, RHO, EXACT, f"w as (select model, task, arm, max(mean_path_acc) filter (kk = 32) p_bar, max(rho) filter (kk = 4) rho_pilot, max(rho) filter (kk = 32) rho_all, max(keff) filter (kk = 32) keff, {MVS} from exact group by all)"], f"select *, {CLIP.format(c='rho_pilot', e='0.025::double')} k_star from w join (select model, task, arm, count(*) filter (truncated) cut from paths group by all) using (model, task, arm)", "model, task, arm, cut, k_star", "p_bar, rho_pilot, rho_all, keff, mv1, mv2, mv4, mv8, mv16, mv32"))(
+    lambda s, d: co.cell_report(P(s, d))
 )
 
-
 def _stream_folders(s, d):
     """Events as arriving JSON files in the shared folder, rows of every seventeenth id twice."""
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-stream-")
-    base = f"{base}/{uuid.uuid4().hex}"
+    base = new_folder(s)
     ev = fx.read(s, d, "events").select("event_id", "ts", "user_id", "event_type", F.col("value").cast("double").alias("value"))
     ev.repartition(4).write.json(f"{base}/in")
-    ev.where("event_id % 17 = 0").coalesce(1).write.mode("append").json(f"{base}/in")
+    ev.where("event_id % 17 = 0").repartition(2).write.mode("append").json(f"{base}/in")
     return base
 
 
@@ -138,8 +133,8 @@ query("t01_incremental_ingest", "select event_type, count(*) n, count(distinct e
 
 def _live(s, d):
     base = _stream_folders(s, d)
-    st.live_summary(st.arriving(s, f"{base}/in", files_per_trigger=2), ["event_type"], "value", f"{base}/sum", f"{base}/ck")
+    st.live_summary(st.once_by_key(st.arriving(s, f"{base}/in", files_per_trigger=2), "event_id"), ["event_type"], "value", f"{base}/sum", f"{base}/ck")
     return st.read_summary(s, f"{base}/sum", ["event_type"])
 
 
-query("t02_live_summary", "select event_type, count(*) + count(*) filter (event_id % 17 = 0) n, round(sum(value) + coalesce(sum(value) filter (event_id % 17 = 0), 0), 6) + 0.0::double total from events group by all")(_live)
+query("t02_live_summary", "select event_type, count(*) n, round(sum(value), 6) + 0.0::double total from events group by all")(_live)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ballotry import fixtures as fx
 from ballotry.operators import correlation as co
 from ballotry.operators import votes as vo
+from ballotry.sources import records as re_
 
 from .registry import query, sql
 
@@ -57,14 +58,19 @@ query("a11_k_eff", sql([*PR, RHO, POOLED], "select c.model, c.task, c.arm, 32 /
         *vo.CELL, co.k_eff(F.lit(32), F.col("rho")).alias("keff"), co.k_eff(F.lit(32), F.col("c_hat"), True).alias("keff_strict"), co.ceiling(F.col("c_hat")).alias("ceiling"),
         (100 * co.k_eff(F.lit(32), F.col("c_hat"), True) / co.ceiling(F.col("c_hat"))).alias("pct_ceiling")))(R(s, d))
 )
-_EXACT = """ks as (select unnest([1, 2, 4, 8, 16, 32])::bigint kk),
-rk as (select kk, model, task, arm, seed, instance_id, count(*) k, sum(y)::bigint s from paths, ks where path < kk group by all),
-ek as (select kk, model, task, arm, sum(s)::double / sum(k) mean_path_acc, avg(case when 2 * s > k then 1.0::double when 2 * s = k then 0.5::double else 0.0::double end) mv_acc, count(*) n,
-  avg(case when k > 1 then (s * (s - 1) + (k - s) * (k - s - 1))::double / (k * (k - 1)) end) agreement, avg(case when k > 1 then (s * (s - 1))::double / (k * (k - 1)) end) bo from rk group by all),
-ec as (select *, case when mean_path_acc * (1 - mean_path_acc) > 0 then (bo - mean_path_acc * mean_path_acc) / (mean_path_acc * (1 - mean_path_acc)) end c_hat from ek)"""
-query("a12_exact_k", sql([fx.PATHS_SQL, _EXACT], "select *, case when kk = 1 then 1.0::double when c_hat > 0 then kk / (1 + (kk - 1) * c_hat) end keff, case when c_hat > 0 then 1 / c_hat end ceiling from ec", f"{CELL}, kk, n", "mean_path_acc, mv_acc, agreement, c_hat, keff, ceiling"))(
-    lambda s, d: co.exact_k(P(s, d)).drop("rho")
-)
+EXACT = """ks as (select unnest([1, 2, 4, 8, 16, 32])::bigint kk),
+rk as (select kk, model, task, arm, seed, instance_id, count(*) k, sum(y)::bigint s, sum(gen_len) tokens from paths, ks where path < kk group by all),
+bk as (select kk, model, task, arm, seed, instance_id, answer, count(*) n, min(path) first, max(y) y from paths, ks where path < kk and answer is not null group by all),
+wk as (select kk, model, task, arm, seed, instance_id, y::double won from (select *, row_number() over (partition by kk, model, task, arm, seed, instance_id order by n desc, first) r from bk) where r = 1),
+ek as (select kk, model, task, arm, sum(s)::double / sum(k) mean_path_acc, avg(coalesce(won, 0)) mv_acc, avg(case when 2 * s > k then 1.0::double when 2 * s = k then 0.5::double else 0.0::double end) binary_acc, count(*) n, count(distinct seed) n_seeds, avg(tokens) tokens,
+  avg(case when k > 1 then (s * (s - 1) + (k - s) * (k - s - 1))::double / (k * (k - 1)) end) agreement, avg(case when k > 1 then (s * (s - 1))::double / (k * (k - 1)) end) bo from rk left join wk using (kk, model, task, arm, seed, instance_id) group by all),
+sk as (select kk, model, task, arm, avg(a) seed_mean, stddev_samp(a) seed_std from (select kk, model, task, arm, seed, sum(s)::double / sum(k) a from rk group by all) group by all),
+hk as (select kk, model, task, arm, avg(r) rho from pr, ks where j < kk group by all),
+xk as (select ek.*, seed_mean, seed_std, rho, case when mean_path_acc * (1 - mean_path_acc) > 0 then (bo - mean_path_acc * mean_path_acc) / (mean_path_acc * (1 - mean_path_acc)) end c_hat,
+  case when kk = 1 then 1.0::double when rho > 0 then kk / (1 + (kk - 1) * rho) end keff, case when rho > 0 then 1 / rho end ceiling from ek join sk using (kk, model, task, arm) left join hk using (kk, model, task, arm)),
+exact as (select *, keff / ceiling pct_ceiling from xk)"""
+EXACT_FLOATS = "mean_path_acc, mv_acc, binary_acc, tokens, seed_std, agreement, c_hat, rho, keff, ceiling, pct_ceiling"
+query("a12_exact_k", sql([*PR, RHO, EXACT], "select * from exact", f"{CELL}, kk, n, n_seeds", EXACT_FLOATS))(lambda s, d: co.exact_k(P(s, d)).drop("seed_mean"))
 query("a13_slot_variation", sql([fx.PATHS_SQL, SLOTS], "select model, task, arm, count(*) filter (lo = hi) constant_slots, case when avg(acc) = 0 then 0.0::double else stddev_pop(acc) / avg(acc) end slot_cv from sl group by all", f"{CELL}, constant_slots", "slot_cv"))(lambda s, d: vo.slot_variation(P(s, d)).drop("slots"))
 WMV = """wr as (select model, task, arm, seed, instance_id, sum(w * y)::bigint won, sum(w)::bigint tot, sum(y)::bigint s, count(*) k from paths join sl using (model, task, arm, path) group by all),
 wm as (select model, task, arm, avg(case when tot = 0 then 0.0::double when 2 * won > tot then 1.0::double when 2 * won = tot then 0.5::double else 0.0::double end) weighted_acc, avg(case when 2 * s > k then 1.0::double when 2 * s = k then 0.5::double else 0.0::double end) mv_acc from wr group by all)"""
@@ -98,5 +104,5 @@ query("w05_slot_rank", sql([fx.PATHS_SQL, SLOTS], "select model, task, arm, path
 )
 query("p02_prefix", sql([fx.PATHS_SQL, RECS8], "select * from recs", f"{CELL}, seed, instance_id, k, s, mask"))(lambda s, d: R(s, d, 8))
 query("p01_record_paths", sql([fx.PATHS_SQL, "l as (select model, task, arm, seed, instance_id, list(answer order by path) answers, list(gen_len order by path) lens from paths group by all)"], "select model, task, arm, seed, instance_id, p.path, answers[p.path + 1] answer, lens[p.path + 1] gen_len from l, (select range path from range(32)) p where p.path < len(answers)", f"{CELL}, seed, instance_id, path, answer, gen_len"))(
-    lambda s, d: __import__("ballotry.sources.records", fromlist=["x"]).explode_paths(__import__("ballotry.sources.records", fromlist=["x"]).nest_paths(P(s, d))).select(*vo.RECORD, "path", "answer", "gen_len")
+    lambda s, d: re_.explode_paths(re_.nest_paths(P(s, d))).select(*vo.RECORD, "path", "answer", "gen_len")
 )

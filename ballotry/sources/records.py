@@ -38,9 +38,10 @@ def field(name: str) -> Column:
 
 
 def file_cells(records: DataFrame) -> DataFrame:
-    """(model, task) of each file, parsed from its name <model>__<task>.jsonl, with its record count."""
+    """(model, task) of each file, parsed from its name <model>__<task>.jsonl, with its record count; a large
+    cell may have several files, numbered <model>__<task>.<n>.jsonl."""
     name = F.col("_metadata.file_name")
-    parts = [F.regexp_extract(name, r"^(.+)__(.+)\.jsonl?$", i) for i in (1, 2)]
+    parts = [F.regexp_extract(name, r"^(.+)__([^.]+)(?:\.[0-9]+)?\.jsonl?$", i) for i in (1, 2)]
     return records.select(parts[0].alias("model"), parts[1].alias("task")).groupBy("model", "task").agg(F.count("*").alias("n"))
 
 
