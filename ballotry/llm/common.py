@@ -3,8 +3,6 @@ connected components, and streaming over the runs of a sorted key."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,21 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ballotry.sources.shared import new_folder
+
 #: Rows of a side that may be broadcast after they have been counted (about 16 to 64 bytes each).
 BROADCAST_ROWS = 200_000
 #: Arrow batches to Python workers: records and bytes at most, so that long texts don't add up.
 BATCH_RECORDS, BATCH_BYTES = 1_000, 8 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where it is unset, as in tests."""
-    have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not have:
-        have = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", have)
-    return have
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Smaller Arrow batches than Spark's defaults (10,000 rows) unless the session asks for fewer rows."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -44,7 +35,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         bound_batches(spark)
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        self.root = new_folder(spark)
         self.paths: dict[int, str] = {}
         self.n = 0
 

@@ -255,13 +255,14 @@ def _table(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
 
 
-def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False, packed: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False, packed: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), with ids and decoded bytes if asked for, or
     with token_ids, the ids as little-endian 32-bit integers, if packed.
 
     Rows of the word shuffle are packed: one for each block of documents and hash bucket of words,
     with the block's distinct words of that bucket; the positions of a block travel as the sequence
     of its word numbers. A bucket gathers the same word from all blocks and encodes it once.
+    ``block_bytes`` of text make a block: larger ones shuffle a word less often and take more memory.
 
     Defined results: null and empty texts have no ids; repeated rows are encoded each for itself;
     an empty table gives no rows. A block is a run of documents in a task of docs' own partitioning,
@@ -317,7 +318,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_i
                 ids.append(i)
                 codes.append(np.fromiter(map(index.__getitem__, found), np.int32, len(found)))
                 held += len(t) if t else 0
-                if held >= BLOCK_BYTES or len(ids) >= BLOCK_DOCS:
+                if held >= block_bytes or len(ids) >= BLOCK_DOCS:
                     yield close(ids, codes, index)
                     ids, codes, index, held = [], [], {}, 0
         if ids:

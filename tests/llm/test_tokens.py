@@ -43,12 +43,11 @@ def test_ids_equal_the_library_and_decode_to_the_text(spark):
 
 
 def test_many_blocks_and_small_gathers(spark, monkeypatch):
-    monkeypatch.setattr(tk, "BLOCK_BYTES", 50)
     monkeypatch.setattr(tk, "GATHER_BYTES", 80)
     ranks = tk.load_ranks(P.path("byte_bpe_50k.tiktoken"))
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = [f"the the the the the cat {i} sat" for i in range(40)]
-    rows = tk.encode_decode(docs(spark, texts).coalesce(2), ranks, P.PATTERN, with_ids=True).collect()
+    rows = tk.encode_decode(docs(spark, texts).coalesce(2), ranks, P.PATTERN, with_ids=True, block_bytes=50).collect()
     assert {r.doc_id: list(r.ids) for r in rows if r.doc_id is not None} == {i: lib.encode_ordinary(t) for i, t in enumerate(texts)}
 
 
@@ -66,3 +65,18 @@ def test_whole_token_proof(spark):
     letters = {b: c for c, b in tk.byte_alphabet().items()}
     for w in sorted(whole)[::997]:
         assert len(lib.model.tokenize("".join(letters[b] for b in w.encode()))) == 1
+
+
+@pytest.mark.parametrize("piece", ["x", "ab", "loremipsumdolor", "é"])
+def test_long_words_equal_both_libraries(piece):
+    """A megabyte without a space is one pre-token."""
+    word = (piece * (1 << 20))[: 1 << 20]
+    ranks = tk.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    got = [ranks[p] for p in tk.merge_pairs(word.encode(), tk._Joined(ranks))]
+    assert b"".join(tk.merge_pairs(word.encode(), tk._Joined(ranks))) == word.encode()
+    short = word[:20_000]  # the library takes quadratic time in the length of a pre-token
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert [ranks[p] for p in tk.merge_pairs(short.encode(), tk._Joined(ranks))] == lib.encode_ordinary(short) and len(got) > 1
+    rank, _, _ = tk.load_merges(P.path("byte_bpe_50k.json"))
+    counts = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert len(tk.merge_pairs(word.encode(), rank)) == len(counts.encode(word, add_special_tokens=False).ids)
