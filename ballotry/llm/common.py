@@ -3,6 +3,8 @@ connected components, and streaming over the runs of a sorted key."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,6 +28,22 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task, after which the worker gives the memory that is free again back to the system. Spark keeps workers
+    for later stages, and without this each holds what its largest task once took."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library than glibc
+            pass
+
+    return run
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors.
 
@@ -138,7 +156,7 @@ def by_runs(df: DataFrame, key: str, work: Callable[[pa.Table], dict[str, list]]
             yield pa.record_batch([pa.array(held[f.name], f.type) for f in arrow], schema=arrow)
 
     dealt = df.repartition(partitions, key) if partitions else df.repartition(key)
-    return dealt.sortWithinPartitions(key).mapInArrow(each, schema)
+    return dealt.sortWithinPartitions(key).mapInArrow(lean(each), schema)
 
 
 #: Words of the contracts: runs of anything but 0x20 and 0x09 to 0x0D.

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_runs, connected_components, small
+from .common import Scratch, by_runs, connected_components, lean, small
 from .shingles import mix, ngram_sets, pieces, text_buffer
 
 #: Share of a row's columns that are shuffled beyond the fewest that the bound allows: more of them drop more rows.
@@ -143,11 +143,11 @@ def shared_columns(rows: DataFrame, n_rows: int) -> DataFrame:
     entries = rows.select(F.explode("grams").alias("gram"), "h1")
     schema = "gram long, h1 long, f int"
     if not often:
-        return entries.repartition("gram").sortWithinPartitions("gram", "h1").mapInArrow(_runs_of_columns, schema)
+        return entries.repartition("gram").sortWithinPartitions("gram", "h1").mapInArrow(lean(_runs_of_columns), schema)
     known = F.broadcast(rows.sparkSession.createDataFrame([(g,) for g in often], "gram long"))  # FREQUENT numbers at most
     rare = entries.join(known, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", "h1")
     hot = entries.join(known, "gram", "left_semi").select("gram", "h1", F.lit(LONG_RUN).alias("f"))
-    return rare.mapInArrow(_runs_of_columns, schema).unionByName(hot)
+    return rare.mapInArrow(lean(_runs_of_columns), schema).unionByName(hot)
 
 
 def _sets(width: int):
@@ -316,7 +316,7 @@ def _grouped(docs: DataFrame, width: int, percent: int, tie: bool, scratch: Scra
     is its smallest doc_id; both are null for rows that are alone. ``version`` is a hash of the text."""
     version = F.xxhash64("text").alias("version")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), version, "text")
-    rows = scratch.table(slim.mapInArrow(_describe(width, percent), "doc_id long, version long, n long, h1 long, h2 long, first array<long>"))
+    rows = scratch.table(slim.mapInArrow(lean(_describe(width, percent)), "doc_id long, version long, n long, h1 long, h2 long, first array<long>"))
     known = rows.where("n > 0 and doc_id is not null")
     one = F.min(F.struct("doc_id", "version")).alias("rep")
     classes = scratch.table(known.groupBy("h1", "h2", "n").agg(one, F.count("*").alias("copies")))
@@ -325,7 +325,7 @@ def _grouped(docs: DataFrame, width: int, percent: int, tie: bool, scratch: Scra
     n_kept = kept.count()
     texts = slim.join(small(wanted, n_kept), ["doc_id", "version"]).select("h1", "text")
     # a column of one row adds to no overlap; rows that have too few others can't link
-    whole = scratch.table(texts.mapInArrow(_sets(width), "h1 long, grams array<long>"))
+    whole = scratch.table(texts.mapInArrow(lean(_sets(width)), "h1 long, grams array<long>"))
     sets = shared_columns(whole, n_kept).groupBy("h1").agg(F.sort_array(F.collect_set(F.struct("f", "gram"))).alias("own"))
     least = F.ceil(F.col("n") * percent / 100)
     full = sets.join(kept.select("h1", "n"), "h1").where(F.size("own") >= least)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, small, text_or_empty
+from .common import Scratch, lean, small, text_or_empty
 from .shingles import _M1, _power_table, mix, pieces, text_buffer
 
 #: Bytes of the k-grams that sample the windows, as parts of their length, and of those that cut the rest.
@@ -320,27 +320,27 @@ def repeated_starts(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame
         raise ValueError(f"length must be below {1 << MORE_BITS}")
     k1, k2 = max(1, int(length * SAMPLE_PART)), max(1, length - CUT_LESS)
     k1 = min(k1, k2)
-    ranges = scratch.table(docs.where(F.octet_length("text") >= length).mapInArrow(_ranges_of(length, k1, "text", ["r"]), "r long, place long, g long, f long"))
+    ranges = scratch.table(docs.where(F.octet_length("text") >= length).mapInArrow(lean(_ranges_of(length, k1, "text", ["r"])), "r long, place long, g long, f long"))
     twice, rest = _decide(ranges.withColumn("open", F.lit(True)), scratch, ["r"])
     # spans grow with the corpus: joined by shuffle at every size, the result without what only the count needs
     found = scratch.table(ranges.select("r", "place", "f").join(twice, "f", "left_semi").select("r", "place"))
     scratch.drop(ranges, twice)
     # bytes of the undecided ranges and of one of each repeated span beside them
     asked = docs.join(_wanted(rest, ["r"], scratch), "r")
-    contexts = scratch.table(asked.mapInArrow(_cut_out(length, "text", None), _CONTEXT))
+    contexts = scratch.table(asked.mapInArrow(lean(_cut_out(length, "text", None)), _CONTEXT))
     # the same again with longer k-grams; contexts are named by their row and first start
     inner = contexts.select("r", "base", "open", "context")
-    parts = scratch.table(inner.mapInArrow(_ranges_of(length, k2, "context", ["r", "base", "open"], "base"), "r long, base long, open boolean, place long, g long, f long"))
+    parts = scratch.table(inner.mapInArrow(lean(_ranges_of(length, k2, "context", ["r", "base", "open"], "base")), "r long, base long, open boolean, place long, g long, f long"))
     twice2, rest2 = _decide(parts, scratch, ["r", "base"])
     found2 = parts.where("open").select("r", "place", "f").join(twice2, "f", "left_semi").select("r", "place")
     asked2 = inner.drop("open").join(_wanted(rest2, ["r", "base"], scratch), ["r", "base"])
-    pieces2 = scratch.table(asked2.mapInArrow(_cut_out(length, "context", "base"), _CONTEXT))
+    pieces2 = scratch.table(asked2.mapInArrow(lean(_cut_out(length, "context", "base")), _CONTEXT))
     buckets = pieces2.where(F.col("contexts") <= BUCKET_CONTEXTS).select("r", "base", "open", "g", "context")
-    found3 = buckets.repartition("g").sortWithinPartitions("g").mapInArrow(_sorted_repeats(length), _FOUND)
+    found3 = buckets.repartition("g").sortWithinPartitions("g").mapInArrow(lean(_sorted_repeats(length)), _FOUND)
     # a larger bucket is cut by whole windows, so that none of them meets in one task: equal windows have equal
     # hashes, and of each hash two windows are compared by their bytes
     hot = pieces2.where(F.col("contexts") > BUCKET_CONTEXTS).select("r", "base", "open", "context")
-    single = scratch.table(hot.mapInArrow(_ranges_of(length, length, "context", ["r", "base", "open"], "base"), "r long, base long, open boolean, place long, g long, f long"))
+    single = scratch.table(hot.mapInArrow(lean(_ranges_of(length, length, "context", ["r", "base", "open"], "base")), "r long, base long, open boolean, place long, g long, f long"))
     ends = single.groupBy("f").agg(F.count("*").alias("c"), F.min(F.struct("r", "base", "place")).alias("lo"), F.max(F.struct("r", "base", "place")).alias("hi")).where("c > 1")
     window = F.substring("context", (F.shiftright("place", MORE_BITS) - F.col("base") + 1).cast("int"), F.lit(length))
     seen = ends.select("f", F.explode(F.array("lo", "hi")).alias("x")).select("f", "x.*").join(hot.drop("open"), ["r", "base"]).select("f", window.alias("bytes"))
@@ -398,7 +398,7 @@ def without_repeats(docs: DataFrame, length: int = 400, keep: list[str] | None =
     named = docs.select(*keep, F.col("text").alias("__text"), r.alias("r"))
     joined = named.join(small(by_row, by_row.count()), "r", "left")
     out = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(n, T.LongType()) for n in ("__bytes", "__removed", "__spans")], T.StructField("__rest", T.StringType())])
-    return joined.mapInArrow(_remove(length, keep, as_text), out)
+    return joined.mapInArrow(lean(_remove(length, keep, as_text)), out)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:

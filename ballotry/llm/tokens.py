@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bound_batches, by_runs
+from .common import bound_batches, by_runs, lean
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -183,7 +183,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512) ->
 
     cut = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     out = T.StructType([docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return cut.mapInArrow(each, out).withColumn("over_limit", F.col("n_tokens") > limit)
+    return cut.mapInArrow(lean(each), out).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -325,7 +325,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_i
             yield close(ids, codes, index)
 
     shape = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("head", T.BooleanType()), T.StructField("cell", T.BinaryType()), T.StructField("ids", ids_type)])
-    rows = docs.select("doc_id", "text").mapInArrow(explode, shape)
+    rows = docs.select("doc_id", "text").mapInArrow(lean(explode), shape)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = _Joined(shared.value[0])
@@ -353,7 +353,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_i
                 cells.append(_pack(np.array([len(x) for x in own], "<i4"), np.fromiter(itertools.chain.from_iterable(own), "<i4")))
             yield pa.record_batch([batch.column("block"), batch.column("bucket"), batch.column("head"), pa.array(cells, pa.binary()), batch.column("ids")], ["block", "bucket", "head", "cell", "ids"])
 
-    coded = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encode, shape)
+    coded = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(encode), shape)
     fields = [T.StructField("doc_id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, bound_batches
+from .common import Scratch, bound_batches, lean
 
 #: Training bounds: documents of each class at most, and pieces of each text that dictionaries are made of.
 SAMPLE = {1: 2000, 0: 5000}
@@ -146,7 +146,7 @@ def marking_words(learn: DataFrame) -> list[str]:
 
     n = {r["toxic"]: r["count"] for r in learn.groupBy("toxic").count().collect()}  # two rows
     least = max(min(LEAST_DOCS, n[1]), LEAST_SHARE * n[1])
-    counts = learn.select("toxic", "text").mapInArrow(each, "toxic int, word string").groupBy("word").agg(F.sum("toxic").alias("said"), F.sum(1 - F.col("toxic")).alias("usual"))
+    counts = learn.select("toxic", "text").mapInArrow(lean(each), "toxic int, word string").groupBy("word").agg(F.sum("toxic").alias("said"), F.sum(1 - F.col("toxic")).alias("usual"))
     lifted = (F.col("said") >= least) & (F.col("said") / n[1] >= LEAST_LIFT * (F.col("usual") + 0.5) / n[0])
     # the most frequent ones fill the dictionary: no more words than it has bytes
     marks = counts.where(lifted).orderBy(F.desc("said"), F.desc("word")).limit(TOXIC_BYTES).collect()
@@ -170,7 +170,7 @@ def fit(rows: DataFrame, totals: dict[int, int]) -> Model | None:
             yield pa.record_batch([batch.column("o"), pa.array(pieces, pa.list_(pa.binary()))], ["o", "pieces"])
 
     # PIECES * PIECE_BYTES a document at most
-    cuts = learn.where("toxic = 0").select("o", "text").mapInArrow(cut, "o string, pieces array<binary>").collect()
+    cuts = learn.where("toxic = 0").select("o", "text").mapInArrow(lean(cut), "o string, pieces array<binary>").collect()
     pieces = [bytes(p) for r in sorted(cuts) for p in r["pieces"]]
     own = (" " + " ".join(marking_words(learn)) + " ").encode()[-TOXIC_BYTES:]
     base = _trained(BASE_BYTES, pieces)
@@ -186,7 +186,7 @@ def fit(rows: DataFrame, totals: dict[int, int]) -> Model | None:
                 x = scorer.features(part.column("text").to_pylist())
                 yield pa.record_batch([part.column("o"), part.column("toxic"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["o", "toxic", "x"])
 
-    got = sorted(check.select("o", "toxic", "text").mapInArrow(measure, "o string, toxic int, x array<double>").collect())
+    got = sorted(check.select("o", "toxic", "text").mapInArrow(lean(measure), "o string, toxic int, x array<double>").collect())
     x, y = np.array([r["x"] for r in got]), np.array([float(r["toxic"]) for r in got])
     have = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     w = np.where(y == 1, totals.get(1, 1) / have[1], totals.get(0, 1) / have[0])
@@ -242,7 +242,7 @@ def toxicity_scores(docs: DataFrame, model: Model | None, keep: list[str] | None
                 yield pa.record_batch([*[part.column(n) for n in names], pa.array(scores, pa.float64())], [*names, "__score"])
 
     out = T.StructType([*[docs.schema[n] for n in names], T.StructField("__score", T.DoubleType())])
-    scored = docs.select(*names, F.col("text").alias("__text")).mapInArrow(each, out)
+    scored = docs.select(*names, F.col("text").alias("__text")).mapInArrow(lean(each), out)
     kept = [n for n in names if n not in ("score", "predicted")]
     return scored.select(*kept, F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 

@@ -67,14 +67,14 @@ def test_whole_token_proof(spark):
         assert len(lib.model.tokenize("".join(letters[b] for b in w.encode()))) == 1
 
 
-@pytest.mark.parametrize("piece", ["x", "ab", "loremipsumdolor", "é"])
+@pytest.mark.parametrize("piece", ["ab", "loremipsumdolör"])
 def test_long_words_equal_both_libraries(piece):
     """A megabyte without a space is one pre-token."""
     word = (piece * (1 << 20))[: 1 << 20]
     ranks = tk.load_ranks(P.path("byte_bpe_50k.tiktoken"))
     got = [ranks[p] for p in tk.merge_pairs(word.encode(), tk._Joined(ranks))]
     assert b"".join(tk.merge_pairs(word.encode(), tk._Joined(ranks))) == word.encode()
-    short = word[:20_000]  # the library takes quadratic time in the length of a pre-token
+    short = word[:4_000]  # the library takes quadratic time in the length of a pre-token
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     assert [ranks[p] for p in tk.merge_pairs(short.encode(), tk._Joined(ranks))] == lib.encode_ordinary(short) and len(got) > 1
     rank, _, _ = tk.load_merges(P.path("byte_bpe_50k.json"))
