@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import itertools
 import json
 import uuid
 import zlib
@@ -255,14 +254,15 @@ def _table(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size
 
 
-def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False, packed: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False, packed: bool = False, block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), with ids and decoded bytes if asked for, or
     with token_ids, the ids as little-endian 32-bit integers, if packed.
 
     Rows of the word shuffle are packed: one for each block of documents and hash bucket of words,
     with the block's distinct words of that bucket; the positions of a block travel as the sequence
     of its word numbers. A bucket gathers the same word from all blocks and encodes it once.
-    ``block_bytes`` of text make a block: larger ones shuffle a word less often and take more memory.
+    ``block_bytes`` of text make a block: larger ones shuffle a word less often and take more memory; more
+    ``buckets`` make smaller sets of words that a task holds.
 
     Defined results: null and empty texts have no ids; repeated rows are encoded each for itself;
     an empty table gives no rows. A block is a run of documents in a task of docs' own partitioning,
@@ -271,7 +271,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_i
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast((ranks, pattern))  # a fixed vocabulary
-    n_buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_buckets = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     id_type = docs.schema["doc_id"].dataType
     arrow_id = to_arrow_type(id_type)
     ids_type = T.ArrayType(id_type)
@@ -329,7 +329,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = _Joined(shared.value[0])
-        known: dict[bytes, list[int]] = {}
+        known: dict[bytes, bytes] = {}  # ids as little-endian 32-bit integers
         last = None
         for batch in batches:
             cells = []
@@ -348,9 +348,9 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_i
                     start = e
                     ids = known.get(w)
                     if ids is None:
-                        ids = known[w] = [rank.ranks[p] for p in merge_pairs(w, rank)]
+                        ids = known[w] = b"".join(rank.ranks[p].to_bytes(4, "little") for p in merge_pairs(w, rank))
                     own.append(ids)
-                cells.append(_pack(np.array([len(x) for x in own], "<i4"), np.fromiter(itertools.chain.from_iterable(own), "<i4")))
+                cells.append(_pack(np.array([len(x) // 4 for x in own], "<i4"), b"".join(own)))
             yield pa.record_batch([batch.column("block"), batch.column("bucket"), batch.column("head"), pa.array(cells, pa.binary()), batch.column("ids")], ["block", "bucket", "head", "cell", "ids"])
 
     coded = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(encode), shape)
