@@ -17,8 +17,9 @@ from ballotry.llm.common import Scratch
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 #: Bytes of a repeated passage: 50 words have more.
 PASSAGE_BYTES = 200
-#: Text of a block of the encoding: workers have served four stages before it, so less than the operator's default.
-BLOCK_BYTES = 6_000_000
+#: Text of a block of the encoding and buckets of words at least: executors have served four stages before it, so
+#: its tasks hold less than by the operator's defaults.
+BLOCK_BYTES, BUCKETS = 4_000_000, 256
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids) of every document."""
     ranks = tokens.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return tokens.encode_decode(docs, ranks, public_tokenizers.PATTERN, packed=True, block_bytes=BLOCK_BYTES)
+    return tokens.encode_decode(docs, ranks, public_tokenizers.PATTERN, packed=True, block_bytes=BLOCK_BYTES, buckets=max(BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 STAGES = [
