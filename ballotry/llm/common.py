@@ -14,8 +14,10 @@ from pyspark.sql.types import StructType
 
 from ballotry.sources.shared import new_folder
 
-#: Rows of a side that may be broadcast after they have been counted (about 16 to 64 bytes each).
-BROADCAST_ROWS = 200_000
+#: Bytes of a side that may be broadcast, and bytes that a counted row of a few numbers and an entry of its lists
+#: take in a hash table.
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES, ENTRY_BYTES = 160, 48
 #: Arrow batches to Python workers: records and bytes at most, so that long texts don't add up.
 BATCH_RECORDS, BATCH_BYTES = 1_000, 8 << 20
 
@@ -73,9 +75,10 @@ class Scratch:
                 at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint if the counted rows are within the limit; beyond it Spark shuffles instead."""
-    return F.broadcast(df) if rows <= limit else df
+def small(df: DataFrame, rows: int, entries: int = 0) -> DataFrame:
+    """Broadcast hint if the counted rows, and all entries of their lists together, are within the bound of bytes;
+    beyond it Spark shuffles instead."""
+    return F.broadcast(df) if rows * ROW_BYTES + entries * ENTRY_BYTES <= BROADCAST_BYTES else df
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -246,7 +246,7 @@ def _decide(ranges: DataFrame, scratch: Scratch, name: list[str]) -> tuple[DataF
 def _wanted(rest: DataFrame, name: list[str], scratch: Scratch) -> DataFrame:
     """The undecided ranges of each text (or context) as a list."""
     lists = scratch.table(rest.groupBy(*name).agg(F.collect_list(F.struct("place", "open", "g", "contexts")).alias("wanted")))
-    return small(lists, lists.count())
+    return small(lists, lists.count(), rest.count())
 
 
 def _cut_out(length: int, value: str, begin: str | None):
@@ -357,7 +357,7 @@ def _remove(length: int, keep: list[str], as_text: bool):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, removed, spans, rest = [], [], [], []
-            for text, runs in zip(batch.column("__text").to_pylist(), batch.column("runs").to_pylist()):
+            for text, runs in zip(batch.column("__text").to_pylist(), batch.column("__runs").to_pylist()):
                 raw = (text or "").encode()
                 kept, at, gone, n = [], 0, 0, 0
                 for a, b in sorted((first, last + length) for first, last in map(_starts, runs or [])):
@@ -393,10 +393,11 @@ def without_repeats(docs: DataFrame, length: int = 400, keep: list[str] | None =
     scratch = Scratch(docs.sparkSession)
     r = F.xxhash64(F.col("doc_id").cast("string"), text_or_empty())
     runs = repeated_starts(docs.select(r.alias("r"), text_or_empty().alias("text")), scratch, length)
-    by_row = scratch.table(runs.groupBy("r").agg(F.collect_list("place").alias("runs")))
+    by_row = scratch.table(runs.groupBy(F.col("r").alias("__r")).agg(F.collect_list("place").alias("__runs")))
+    n_runs = runs.count()
     scratch.drop(runs)
-    named = docs.select(*keep, F.col("text").alias("__text"), r.alias("r"))
-    joined = named.join(small(by_row, by_row.count()), "r", "left")
+    named = docs.select(*keep, F.col("text").alias("__text"), r.alias("__r"))
+    joined = named.join(small(by_row, by_row.count(), n_runs), "__r", "left")
     out = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(n, T.LongType()) for n in ("__bytes", "__removed", "__spans")], T.StructField("__rest", T.StringType())])
     return joined.mapInArrow(lean(_remove(length, keep, as_text)), out)
 

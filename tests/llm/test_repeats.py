@@ -69,3 +69,12 @@ def test_suffix_order_and_collisions(monkeypatch):
 
 def test_empty_table(spark):
     assert rp.suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_other_columns_stay_whatever_their_names(spark):
+    passage = "the same words in both of them " * 20
+    rows = [(1, "one|" + passage, 5, "x", None), (2, passage + "|two", None, "y", 1), (3, None, 7, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, r long, runs string, place long")
+    got = {x.doc_id: x for x in rp.without_repeats(docs, 100).collect()}
+    assert {i: (x.r, x.runs, x.place) for i, x in got.items()} == {r[0]: r[2:] for r in rows}
+    assert [got[i]["__rest"] for i in (1, 2, 3)] == ["one|", "|two", None]
