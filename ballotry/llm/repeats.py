@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, lean, small, text_or_empty
+from .common import Scratch, lean, text_or_empty
 from .shingles import _M1, _power_table, mix, pieces, text_buffer
 
 #: Bytes of the k-grams that sample the windows, as parts of their length, and of those that cut the rest.
@@ -236,7 +236,7 @@ def _decide(ranges: DataFrame, scratch: Scratch, name: list[str]) -> tuple[DataF
     spans = scratch.table(ranges.groupBy("f").agg(F.min("g").alias("g"), F.count("*").alias("c"), one).where("g is not null"))
     lone = (F.col("c") == 1) & F.col("one.open")
     groups = scratch.table(spans.groupBy("g").agg(F.count("*").alias("contexts"), F.max(lone).alias("some")).where("contexts > 1 and some"))
-    rest = spans.join(small(groups.drop("some"), groups.count()), "g")
+    rest = spans.join(groups.drop("some"), "g")
     rest = scratch.table(rest.select(*[F.col(f"one.{c}") for c in (*name, "place")], "g", "contexts", lone.alias("open")))
     twice = scratch.table(spans.where("c > 1").select("f"))
     scratch.drop(spans, groups)
@@ -245,8 +245,7 @@ def _decide(ranges: DataFrame, scratch: Scratch, name: list[str]) -> tuple[DataF
 
 def _wanted(rest: DataFrame, name: list[str], scratch: Scratch) -> DataFrame:
     """The undecided ranges of each text (or context) as a list."""
-    lists = scratch.table(rest.groupBy(*name).agg(F.collect_list(F.struct("place", "open", "g", "contexts")).alias("wanted")))
-    return small(lists, lists.count(), rest.count())
+    return scratch.table(rest.groupBy(*name).agg(F.collect_list(F.struct("place", "open", "g", "contexts")).alias("wanted")))
 
 
 def _cut_out(length: int, value: str, begin: str | None):
@@ -320,12 +319,14 @@ def repeated_starts(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame
         raise ValueError(f"length must be below {1 << MORE_BITS}")
     k1, k2 = max(1, int(length * SAMPLE_PART)), max(1, length - CUT_LESS)
     k1 = min(k1, k2)
-    ranges = scratch.table(docs.where(F.octet_length("text") >= length).mapInArrow(lean(_ranges_of(length, k1, "text", ["r"])), "r long, place long, g long, f long"))
+    docs = docs.where(F.octet_length("text") >= length)  # shorter ones hold no window
+    ranges = scratch.table(docs.mapInArrow(lean(_ranges_of(length, k1, "text", ["r"])), "r long, place long, g long, f long"))
     twice, rest = _decide(ranges.withColumn("open", F.lit(True)), scratch, ["r"])
     # spans grow with the corpus: joined by shuffle at every size, the result without what only the count needs
     found = scratch.table(ranges.select("r", "place", "f").join(twice, "f", "left_semi").select("r", "place"))
     scratch.drop(ranges, twice)
-    # bytes of the undecided ranges and of one of each repeated span beside them
+    # bytes of the undecided ranges and of one of each repeated span beside them; lists grow with the corpus, so
+    # texts meet them by a shuffle at every size
     asked = docs.join(_wanted(rest, ["r"], scratch), "r")
     contexts = scratch.table(asked.mapInArrow(lean(_cut_out(length, "text", None)), _CONTEXT))
     # the same again with longer k-grams; contexts are named by their row and first start
@@ -394,10 +395,9 @@ def without_repeats(docs: DataFrame, length: int = 400, keep: list[str] | None =
     r = F.xxhash64(F.col("doc_id").cast("string"), text_or_empty())
     runs = repeated_starts(docs.select(r.alias("r"), text_or_empty().alias("text")), scratch, length)
     by_row = scratch.table(runs.groupBy(F.col("r").alias("__r")).agg(F.collect_list("place").alias("__runs")))
-    n_runs = runs.count()
     scratch.drop(runs)
     named = docs.select(*keep, F.col("text").alias("__text"), r.alias("__r"))
-    joined = named.join(small(by_row, by_row.count(), n_runs), "__r", "left")
+    joined = named.join(by_row, "__r", "left")
     out = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(n, T.LongType()) for n in ("__bytes", "__removed", "__spans")], T.StructField("__rest", T.StringType())])
     return joined.mapInArrow(lean(_remove(length, keep, as_text)), out)
 
