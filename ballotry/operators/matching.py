@@ -29,10 +29,24 @@ def match_violations(pt: DataFrame, sc: DataFrame) -> DataFrame:
     n = lambda c: F.count_if(c)
     return both.groupBy("model", "task").agg(
         n(F.col("n_sc").isNull()).alias("only_pt"), n(F.col("n_pt").isNull()).alias("only_sc"),
-        n(F.col("gold_pt") != F.col("gold_sc")).alias("other_gold"), n((F.col("n_pt") > 1) | (F.col("n_sc") > 1)).alias("repeated"),
+        n(F.col("n_pt").isNotNull() & F.col("n_sc").isNotNull() & ~F.col("gold_pt").eqNullSafe(F.col("gold_sc"))).alias("other_gold"), n((F.col("n_pt") > 1) | (F.col("n_sc") > 1)).alias("repeated"),
     )
 
 
+def require_matched(pt: DataFrame, sc: DataFrame, seeds: list[int], per_seed: int) -> DataFrame:
+    """matched_arms as a contract: an error that names cells if any record lacks its partner, repeats, or differs in
+    its gold, or if a cell's seeds or its records of a seed aren't the expected ones."""
+    counts = pt.groupBy("model", "task", "seed").agg(F.count("*").alias("n")).groupBy("model", "task").agg(
+        F.count_if(~F.col("seed").isin(seeds)).alias("other_seed"), (F.lit(len(seeds)) - F.count_if(F.col("seed").isin(seeds) & (F.col("n") == per_seed))).alias("wrong_seed")
+    )
+    found = match_violations(pt, sc).join(counts, ["model", "task"], "left").na.fill(0)
+    kinds = ["only_pt", "only_sc", "other_gold", "repeated", "other_seed", "wrong_seed"]
+    bad = found.where(sum(F.col(c) for c in kinds) > 0).orderBy("model", "task").limit(5).collect()  # a few for the message
+    if bad:
+        raise ValueError("arms don't match: " + "; ".join(f"{r.model}/{r.task} " + ", ".join(f"{c}={r[c]}" for c in kinds if r[c]) for r in bad))
+    return matched_arms(pt, sc)
+
+
 def unmatched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of either side that the other lacks, with the side."""
     a = left.select(*keys).distinct().join(right, keys, "left_anti").withColumn("side", F.lit("left"))

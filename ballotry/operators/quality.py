@@ -25,18 +25,24 @@ def rerun_instability(runs: DataFrame, keys: list[str], run: str, answer: str) -
     return out.select(*keys, F.when(F.col("n") > 1, 1 - F.col("same") / (F.col("n") * (F.col("n") - 1))).alias("instability"))
 
 
-def weighted_summary(stats: DataFrame, cv: str, gain: str) -> DataFrame:
-    """Mean gain of cells with high and low slot variation and of those that gain, with their numbers; cells on both sides of the median."""
-    med = stats.agg(F.median(cv).alias("median_cv"))
-    rows = stats.crossJoin(F.broadcast(med))  # one row
-    parts = F.array(*[F.when(c, F.lit(n)) for n, c in (("high", F.col(cv) > F.col("median_cv")), ("low", F.col(cv) <= F.col("median_cv")), ("gain", F.col(gain) > 0), ("none", F.col(gain) <= 0))])
-    return rows.withColumn("part", F.explode(F.filter(parts, lambda x: x.isNotNull()))).groupBy("part").agg(F.count("*").alias("n"), F.avg(gain).alias("mean_gain"), F.max("median_cv").alias("median_cv"))
-
-
-def extremes(stats: DataFrame, value: str) -> DataFrame:
-    """Cells with the least and the largest value, the first in order of equals."""
-    key = F.concat_ws("/", *CELL)
-    return stats.where(F.col(value).isNotNull()).agg(F.min_by(key, F.struct(F.col(value), key)).alias("least"), F.max_by(key, F.struct(F.col(value), key)).alias("most"))
+def weighted_summary(stats: DataFrame, high_cv: float = 0.225, high_mv: float = 0.3, least_p: float = 0.02) -> DataFrame:
+    """Cells of accuracy ``least_p`` or more by part (all; high and low slot variation; high and low majority):
+    number, mean gain, mean and median variation, percent with high variation.
+    stats: p_bar, slot_cv, gain_pp, mv_acc; a row a cell."""
+    cv = F.col("slot_cv")
+    parts = F.array(F.lit("all"), F.when(cv > high_cv, "high_cv").otherwise("low_cv"), F.when(F.col("mv_acc") >= high_mv, "high_mv").otherwise("low_mv"))
+    return stats.where(F.col("p_bar") >= least_p).withColumn("part", F.explode(parts)).groupBy("part").agg(
+        F.count("*").alias("n"), F.avg("gain_pp").alias("mean_gain"), F.avg(cv).alias("mean_cv"), F.median(cv).alias("median_cv"),
+        (100 * F.avg((cv > high_cv).cast("double"))).alias("high_cv_pct"),
+    )
+
+
+def extremes(stats: DataFrame, measures: list[str]) -> DataFrame:
+    """By measure the cells with its least and largest value (to nine digits), the first and last by name of equals."""
+    key, x = F.concat_ws("/", *CELL), F.col("value")
+    long = stats.unpivot(CELL, measures, "measure", "value").where(x.isNotNull()).withColumn("value", F.round(x, 9))
+    at = F.struct(x, key)
+    return long.groupBy("measure").agg(F.min_by(key, at).alias("least_cell"), F.min(x).alias("least"), F.max_by(key, at).alias("most_cell"), F.max(x).alias("most"))
 
 
 def gls_weights(cov: DataFrame, ridge: float = 0.5) -> DataFrame:

@@ -47,10 +47,17 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.select("line").write.mode("overwrite").text(path)
 
 
-def roll_up(cells: DataFrame, value: str) -> DataFrame:
-    """By task, by model and overall: count, mean, least, most and sample deviation."""
+def roll_up(cells: DataFrame, value: str, by: tuple[str, ...] = ("task", "model")) -> DataFrame:
+    """By each of the columns and overall: count, mean, least, most, sample deviation, cells below zero and not."""
     x = F.col(value)
-    out = cells.groupingSets([[F.col("task")], [F.col("model")], []], "task", "model").agg(
+    return cells.groupingSets([[F.col(c)] for c in by] + [[]], *by).agg(
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"), F.stddev_samp(x).alias("std"),
+        F.count_if(x < 0).alias("below"), F.count_if(x >= 0).alias("exceptions"),
     )
-    return out
+
+
+def exceptions(cells: DataFrame, value: str, accuracy: DataFrame) -> DataFrame:
+    """Cells whose value isn't below zero, with the accuracy of both arms. accuracy: model, task, arm, p_bar."""
+    p = lambda a: F.max(F.when(F.col("arm") == a, F.col("p_bar"))).alias(f"p_{a.lower()}")
+    both = accuracy.groupBy("model", "task").agg(p("SC"), p("PT"))
+    return cells.where(F.col(value) >= 0).select("model", "task", value).join(both, ["model", "task"])

@@ -171,6 +171,20 @@ query("o01_canonical_order", sql(PR, "select domain, task, model, row_number() o
     lambda s, d: rp.canonical_order(vo.records(P(s, d)).select("task", "model").distinct(), DOMAINS, ["domain", "task", "model"])
 )
 query("k03_report_lines", sql(PR, f"select printf('%-16s %s %s %5d', model, task, arm, count(*)) line from recs group by model, task, arm", "line"))(lambda s, d: rp.report_lines(vo.records(P(s, d)).groupBy(*vo.CELL).agg(F.count("*").alias("n")), "%-16s %s %s %5d", ["model", "task", "arm", "n"]))
-query("a24_roll_up", sql([fx.PATHS_SQL, RECS8, RHO, DELTA], "select task, model, count(drho_pct) n, avg(drho_pct) mean, min(drho_pct) least, max(drho_pct) most, stddev_samp(drho_pct) std from delta group by grouping sets ((task), (model), ())", "task, model, n", "mean, least, most, std"))(
-    lambda s, d: rp.roll_up(co.arm_delta(P(s, d)), "drho_pct")
-)
+DOMAINS = {"F": "finished", "O": "open", "P": "partial"}
+DOMAIN = "dd as (select *, case task when 'F' then 'finished' when 'O' then 'open' else 'partial' end domain from delta)"
+
+
+def domain_deltas(s, d):
+    names = F.create_map(*[F.lit(x) for pair in DOMAINS.items() for x in pair])
+    return co.arm_delta(P(s, d)).withColumn("domain", names[F.col("task")])
+
+
+query("a24_roll_up", sql([fx.PATHS_SQL, RECS8, RHO, DELTA, DOMAIN],
+    "select task, domain, model, count(drho_pct) n, avg(drho_pct) mean, min(drho_pct) least, max(drho_pct) most, stddev_samp(drho_pct) std, count(*) filter (drho_pct < 0) below, count(*) filter (drho_pct >= 0) exceptions from dd group by grouping sets ((task), (domain), (model), ())", "task, domain, model, n, below, exceptions", "mean, least, most, std"))(
+    lambda s, d: rp.roll_up(domain_deltas(s, d), "drho_pct", ("task", "domain", "model"))
+)
+query("a24b_exceptions", sql([fx.PATHS_SQL, RECS8, RHO, DELTA],
+    "select model, task, drho_pct, p_sc, p_pt from delta join (select model, task, avg(y) filter (arm = 'SC') p_sc, avg(y) filter (arm = 'PT') p_pt from paths group by all) using (model, task) where drho_pct >= 0", "model, task", "drho_pct, p_sc, p_pt"))(
+    lambda s, d: rp.exceptions(co.arm_delta(P(s, d)), "drho_pct", vo.path_accuracy(P(s, d)))
+)

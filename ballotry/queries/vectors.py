@@ -17,7 +17,7 @@ from ballotry.streaming import ingest as st
 from .registry import query, sql
 from .scoring import DOCPAIR, F1, doc_pairs
 from .inference import BB, BI, CLIP
-from .votes import DELTA, EXACT, MV, PR, RECS8, RHO, SLOTS, WMV, P
+from .votes import BLOCK, DELTA, EXACT, MV, PR, RECS8, RHO, SLOTS, WMV, P
 
 
 def E(s, d):
@@ -97,8 +97,19 @@ def stats(s, d):
     return vo.weighted_majority(p).join(vo.slot_variation(p).drop("slots"), vo.CELL)
 
 
-query("a25_weighted_summary", sql([fx.PATHS_SQL, SLOTS, WMV, *STATS], "select part, count(*) n, avg(gain_pp) mean_gain, max(med) median_cv from (select *, unnest(list_filter([case when slot_cv > med then 'high' else 'low' end, case when gain_pp > 0 then 'gain' else 'none' end], lambda x: x is not null)) part from ws, (select median(slot_cv) med from ws)) group by part", "part, n", "mean_gain, median_cv"))(lambda s, d: ql.weighted_summary(stats(s, d), "slot_cv", "gain_pp"))
-query("a26_extremes", sql([fx.PATHS_SQL, SLOTS, WMV, *STATS], "select (select model || '/' || task || '/' || arm k from ws order by slot_cv, k limit 1) least, (select model || '/' || task || '/' || arm k from ws order by slot_cv desc, k desc limit 1) most", "least, most"))(lambda s, d: ql.extremes(stats(s, d).withColumn("slot_cv", F.col("slot_cv")), "slot_cv"))
+PBAR = "pb as (select model, task, arm, avg(y) p_bar from paths group by all)"
+PARTS = "pw as (select *, unnest(['all', case when slot_cv > 0.225 then 'high_cv' else 'low_cv' end, case when mv_acc >= 0.3 then 'high_mv' else 'low_mv' end]) part from ws join pb using (model, task, arm) where arm = 'PT' and p_bar >= 0.02)"
+query("a25_weighted_summary", sql([fx.PATHS_SQL, SLOTS, WMV, *STATS, PBAR, PARTS],
+    "select part, count(*) n, avg(gain_pp) mean_gain, avg(slot_cv) mean_cv, median(slot_cv) median_cv, 100 * avg((slot_cv > 0.225)::int) high_cv_pct from pw group by part", "part, n", "mean_gain, mean_cv, median_cv, high_cv_pct"))(
+    lambda s, d: ql.weighted_summary(stats(s, d).join(vo.path_accuracy(P(s, d)), vo.CELL).where("arm = 'PT'"))
+)
+MEASURES = ["gain_pp", "slot_cv", "ratio"]
+LONG = "lg as (" + " union all ".join(f"select '{m}' measure, model || '/' || task || '/' || arm cell, round({m}, 9) v from ws left join rt using (model, task, arm) where {m} is not null" for m in MEASURES) + ")"
+RATIO = "rt as (select model, task, arm, case when reason is null then p_bar * (1 - p_bar) / v / (k / (1 + (k - 1) * rho)) end ratio from br)"
+query("a26_extremes", sql([fx.PATHS_SQL, RECS8, RHO, BLOCK, RATIO, SLOTS, WMV, *STATS, LONG],
+    "select measure, arg_min(cell, {'v': v, 'c': cell}) least_cell, min(v) least, arg_max(cell, {'v': v, 'c': cell}) most_cell, max(v) most from lg group by all", "measure, least_cell, most_cell", "least, most"))(
+    lambda s, d: ql.extremes(stats(s, d).join(co.block_k_eff(vo.records(vo.prefix(P(s, d), 8))).select(*vo.CELL, "ratio"), vo.CELL, "left"), MEASURES)
+)
 query("a31_diversity_table", sql([*PR, RHO, EXACT], "select model, task, kk, agreement, rho, keff, ceiling, 100 * pct_ceiling pct_ceiling, 100 * seed_mean p_mean, 100 * seed_std p_std, 100 * binary_acc mv, tokens from exact where arm = 'SC' and kk <> 2", "model, task, kk", "agreement, rho, keff, ceiling, pct_ceiling, p_mean, p_std, mv, tokens"))(
     lambda s, d: co.exact_k(P(s, d).where("arm = 'SC'"), (1, 4, 8, 16, 32)).selectExpr("model", "task", "kk", "agreement", "rho", "keff", "ceiling", "100 * pct_ceiling pct_ceiling", "100 * seed_mean p_mean", "100 * seed_std p_std", "100 * binary_acc mv", "tokens")
 )

@@ -76,9 +76,9 @@ WMV = """wr as (select model, task, arm, seed, instance_id, sum(w * y)::bigint w
 wm as (select model, task, arm, avg(case when tot = 0 then 0.0::double when 2 * won > tot then 1.0::double when 2 * won = tot then 0.5::double else 0.0::double end) weighted_acc, avg(case when 2 * s > k then 1.0::double when 2 * s = k then 0.5::double else 0.0::double end) mv_acc from wr group by all)"""
 query("a14_weighted_majority", sql([fx.PATHS_SQL, SLOTS, WMV], "select *, 100 * (weighted_acc - mv_acc) gain_pp from wm", CELL, "weighted_acc, mv_acc, gain_pp"))(lambda s, d: vo.weighted_majority(P(s, d)))
 query("a15_pruned_majority", sql([fx.PATHS_SQL, SLOTS], f"select model, task, arm, avg({MV}) pruned_acc from (select model, task, arm, seed, instance_id, count(*) k, sum(y)::bigint s from paths join (select *, row_number() over (partition by model, task, arm order by w, path) r from sl) using (model, task, arm, path) where r > 2 group by all) group by all", CELL, "pruned_acc"))(lambda s, d: vo.pruned_majority(P(s, d)))
-_BLOCK = """bk as (select model, task, arm, count(*) n_rows, max(k) k, sum(s)::double / sum(k) p_bar, var_samp(s::double / k) v from recs group by all),
+BLOCK = """bk as (select model, task, arm, count(*) n_rows, max(k) k, sum(s)::double / sum(k) p_bar, var_samp(s::double / k) v from recs group by all),
 br as (select *, case when n_rows < 20 then 'too few rows' when p_bar < 0.02::double then 'base accuracy' when rho is null then 'no correlation' when rho <= -1.0::double / (k - 1) then 'negative correlation' when v <= 0 then 'no variance' end reason from bk left join rho using (model, task, arm))"""
-query("a16_block_k_eff", sql([fx.PATHS_SQL, RECS8, RHO, _BLOCK], "select model, task, arm, reason, case when reason is null then p_bar * (1 - p_bar) / v end block_keff, case when reason is null then p_bar * (1 - p_bar) / v / (k / (1 + (k - 1) * rho)) end ratio from br", f"{CELL}, reason", "block_keff, ratio"))(lambda s, d: co.block_k_eff(R(s, d, 8)))
+query("a16_block_k_eff", sql([fx.PATHS_SQL, RECS8, RHO, BLOCK], "select model, task, arm, reason, case when reason is null then p_bar * (1 - p_bar) / v end block_keff, case when reason is null then p_bar * (1 - p_bar) / v / (k / (1 + (k - 1) * rho)) end ratio from br", f"{CELL}, reason", "block_keff, ratio"))(lambda s, d: co.block_k_eff(R(s, d, 8)))
 query("a17_slot_covariance", sql([fx.PATHS_SQL], "select a.model, a.task, a.arm, a.path i, b.path j, avg(a.y) mean_i, avg(b.y) mean_j, covar_samp(a.y, b.y) cov from paths a join paths b using (model, task, arm, seed, instance_id) where a.path <= b.path and b.path < 8 group by all", f"{CELL}, i, j", "mean_i, mean_j, cov"))(lambda s, d: co.slot_covariance(vo.prefix(P(s, d), 8)))
 query("a19_oracle_headroom", sql(PR, f"select model, task, arm, avg((s >= 1)::int) oracle_acc, avg({MV}) mv_acc, avg((s >= 1)::int) - avg({MV}) headroom from recs group by all", CELL, "oracle_acc, mv_acc, headroom"))(lambda s, d: vo.oracle_accuracy(R(s, d)))
 query("a20_answer_diversity", sql(PR, "select model, task, arm, avg(x) diversity from (select model, task, arm, seed, instance_id, count(distinct lower(trim(coalesce(answer, 'None'))))::double / count(*) x from paths group by all) group by all", CELL, "diversity"))(lambda s, d: vo.answer_diversity(P(s, d)))
