@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, cover_tree, filter_audit, licenses, main_text, mixing, ngram_join, posting_lists, repeats, tokens, toxicity
+from . import conversations, cover_tree, filter_audit, licenses, main_text, mixing, ngram_join, posting_lists, repeats, tokens, toxicity, warc
 
 #: Vocabulary files of the public tokenizers that the contracts name; change to use others.
 TOKENIZER_JSON = "byte_bpe_50k.json"
@@ -62,6 +62,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_main_text(_read(spark, sf_dir, "pages"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_read(spark, sf_dir, "pages"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interaction_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_toxicity": op9_toxicity,
     "op10_main_text": op10_main_text,
+    "op11_warc": op11_warc,
     "op12_filter_audit": op12_filter_audit,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op5_license_scan": licenses.license_sql(),
     "op8_mix_sources": mixing.MIX_SQL,
+    "op11_warc": warc.WARC_SQL,
     "op12_filter_audit": filter_audit.AUDIT_SQL,
     "op13_conversation_repair": conversations.REPAIR_SQL,
 }
