@@ -278,14 +278,16 @@ def record_kinds(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     decided on digests and ids alone.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    ids = rows.where(F.octet_length("payload") >= least_bytes).select("digest", "page_id").groupBy("digest", "page_id").agg(F.lit(1).alias("one"))
+    # keys without nulls, so that the join and the window share one shuffle of the payloads
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("at", F.coalesce("page_id", F.lit(0).cast("long"))).withColumn("unnamed", F.col("page_id").isNull())
+    key = ["digest", "at", "unnamed"]
+    ids = rows.where(F.octet_length("payload") >= least_bytes).groupBy(*key).agg(F.first("page_id").alias("page_id"))
     firsts = ids.groupBy("digest").agg(F.min("page_id").alias("first_page"))
-    plan = ids.join(firsts, "digest").select(F.col("digest").alias("d"), F.col("page_id").alias("p"), "first_page", F.lit(True).alias("known"))
-    met = rows.join(plan, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")), "left").drop("d", "p")
-    copy = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url"))
+    plan = ids.select(*key).join(firsts, "digest").withColumn("known", F.lit(True))
+    met = rows.join(plan, key, "left")
+    copy = F.row_number().over(Window.partitionBy(*key).orderBy("url"))
     response = F.col("known").isNull() | (F.col("page_id").eqNullSafe(F.col("first_page")) & (F.col("copy") == 1))
-    return met.withColumn("copy", copy).withColumn("kind", F.when(response, F.lit("response")).otherwise(F.lit("revisit"))).drop("known")
+    return met.withColumn("copy", copy).withColumn("kind", F.when(response, F.lit("response")).otherwise(F.lit("revisit"))).drop("known", "at", "unnamed")
 
 
 def write_archives(pages: DataFrame, scratch: Scratch, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, date: str | None = None) -> DataFrame:
