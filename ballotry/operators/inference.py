@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ballotry.functions import closed_forms as cf
-from ballotry.plans import resample as rs
+from ballotry.plans import replicates as rp
 
 from .correlation import pairwise_rho, pearson_of_sums
 from .matching import two_folds
@@ -19,19 +19,22 @@ from .votes import majority, prefix, prefix_records, records
 CELL = ["model", "task"]
 
 
-def adaptive_k(sc: DataFrame, eps: tuple[float, ...] = (0.025,), pilot: int = 4, most: int = 32) -> DataFrame:
+def adaptive_k(sc: DataFrame, eps: tuple[float, ...] = (0.025,), pilot: int = 4, most: int = 32, clipped: bool = False) -> DataFrame:
     """Per cell and eps: pilot rho, operating point K*, majority at K* and at all paths, what is retained, and net cost.
 
-    All prefixes come from one running count, so a data-dependent K* is a join on (cell, k).
+    K* is 1 where rho isn't in (0, 1) and may exceed ``most``, where the majority is that of ``most`` paths; ``clipped``
+    keeps rho in [0.05, 0.99] and K* in 1..most instead. All prefixes come from one running count, so a data-dependent
+    K* is a join on (cell, k).
     """
     rho = pairwise_rho(records(prefix(sc, pilot)), CELL).drop("pairs")
-    points = rho.withColumn("eps", F.explode(F.array(*[F.lit(e) for e in eps]))).withColumn("k_star", cf.k_star_clipped(F.col("rho"), F.col("eps"), most))
+    star = cf.k_star_clipped(F.col("rho"), F.col("eps"), most) if clipped else cf.k_star(F.col("rho"), F.col("eps"))
+    points = rho.withColumn("eps", F.explode(F.array(*[F.lit(e) for e in eps]))).withColumn("k_star", star)
     w = Window.partitionBy(*CELL, "seed", "instance_id").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = sc.select(*CELL, (F.col("path") + 1).alias("k"), F.sum("y").over(w).alias("s"))
     mv = run.groupBy(*CELL, "k").agg(F.avg(majority(F.col("s"), F.col("k"))).alias("mv"))
-    at = mv.withColumnRenamed("k", "k_star").withColumnRenamed("mv", "mv_k")
+    at = mv.withColumnRenamed("k", "k_used").withColumnRenamed("mv", "mv_k")
     full = mv.where(F.col("k") == most).select(*CELL, F.col("mv").alias("mv_all"))
-    out = points.join(at, [*CELL, "k_star"]).join(full, CELL)
+    out = points.withColumn("k_used", F.least(F.col("k_star"), F.lit(most))).join(at, [*CELL, "k_used"]).join(full, CELL).drop("k_used")
     return out.withColumn("retained", F.when(F.col("mv_all") > 0, F.col("mv_k") / F.col("mv_all"))).withColumn("net_cost", (F.col("k_star") + pilot) / F.lit(most))
 
 
@@ -54,35 +57,57 @@ def held_out_calibration(sc: DataFrame, ks: tuple[int, ...] = (4, 8, 16, 32), pi
     return rows.select(*key, "kk", "observed", bb.alias("predicted"), bi.alias("independent"), (100 * (bb - F.col("observed"))).alias("error_pp"))
 
 
-def cluster_sums(recs: DataFrame) -> DataFrame:
-    """By cell and question: records, majority sums of the first 4 and of all paths."""
-    return rs.numbered_clusters(recs).groupBy(*CELL, "cluster_idx").agg(F.count("*").alias("n"), F.sum("mv4").alias("mv4"), F.sum("mv").alias("mv"))
+def exactly(k: int) -> Column:
+    """The vote mask of records of exactly k paths; others are an error."""
+    return F.when(F.col("paths") == k, F.col("mask")).otherwise(F.raise_error(F.concat(F.lit(f"a record doesn't have {k} paths but "), F.col("paths").cast("string"))).cast("long"))
 
 
-def majority_clusters(sc: DataFrame) -> DataFrame:
-    """cluster_sums of sampled paths."""
-    recs = sc.groupBy(*CELL, "seed", "instance_id").agg(F.sum("y").alias("s"), F.count("*").alias("k"), F.sum(F.when(F.col("path") < 4, F.col("y"))).alias("s4"))
-    return cluster_sums(recs.withColumn("mv", majority(F.col("s"), F.col("k"))).withColumn("mv4", majority(F.col("s4"), F.lit(4))))
+def intervals(reps: DataFrame, values: list[str], by: list[str] = CELL) -> DataFrame:
+    """Per cell and value: the point (replicate -1), the 95 % percentile interval of the other replicates that are
+    defined, and how many are."""
+    made = F.col("rep") >= 0
+    out = []
+    for v in values:
+        x = F.when(F.isnan(v), None).otherwise(F.col(v))
+        out += [F.max(F.when(~made, x)).alias(v), *[F.percentile(F.when(made, x), F.lit(q)).alias(f"{v}_{side}") for q, side in ((0.025, "lo"), (0.975, "hi"))], F.count(F.when(made, x)).alias(f"{v}_draws")]
+    return reps.groupBy(*by).agg(*out)
 
 
-def clustered_bootstrap(clusters: DataFrame, plan: DataFrame) -> DataFrame:
-    """95 % intervals of the majority at 4 and all paths and of their difference in points, questions resampled."""
-    sums = rs.bootstrap_sums(clusters, plan, ["n", "mv4", "mv"])
-    reps = sums.select(*CELL, "rep", (F.col("mv4") / F.col("n")).alias("mv4"), (F.col("mv") / F.col("n")).alias("mv"), (100 * (F.col("mv") - F.col("mv4")) / F.col("n")).alias("diff"))
-    return reps.groupBy(*CELL).agg(*[c for x in ("mv4", "mv", "diff") for c in rs.percentile_interval(x)])
+def vote_replicates(sc: DataFrame, reps: int, k: int = 32, pilot: int = 4) -> DataFrame:
+    """(model, task, rep, c_pilot, c_all, mv_pilot, mv_all, diff): mean pairwise correlation and plurality vote of the
+    first ``pilot`` and of all k paths, and the difference of the votes in points, of each replicate of questions."""
+    recs = prefix_records(sc, {"pilot": F.lit(pilot), "all": F.lit(k)})
+    rows = recs.select(*CELL, "instance_id", exactly(k).alias("mask"), F.col("prefixes")[0]["won"].alias("won_pilot"), F.col("prefixes")[1]["won"].alias("won_all"))
+    first = 3 + rp.prefix_columns(pilot, k)
 
+    def expand(x: dict[str, np.ndarray]) -> np.ndarray:
+        return np.column_stack([np.ones(len(x["mask"])), x["won_pilot"], x["won_all"], rp.pair_products(rp.bits(x["mask"], k))])
 
-def paired_difference(sc: DataFrame, reps: int, eps: float = 0.025) -> DataFrame:
+    def finish(s: np.ndarray) -> dict[str, np.ndarray]:
+        n = s[:, 0]
+        return {
+            "c_pilot": rp.mean_pair_rho(n, s[:, first], pilot), "c_all": rp.mean_pair_rho(n, s[:, 3:], k),
+            "mv_pilot": s[:, 1] / n, "mv_all": s[:, 2] / n, "diff": 100 * (s[:, 2] - s[:, 1]) / n,
+        }
+
+    return rp.replicate_sums(rows, CELL, ["instance_id"], ["mask", "won_pilot", "won_all"], expand, finish, ["c_pilot", "c_all", "mv_pilot", "mv_all", "diff"], reps)
+
+
+def clustered_bootstrap(sc: DataFrame, reps: int = 1_000) -> DataFrame:
+    """Points and 95 % intervals of ``vote_replicates``, questions resampled."""
+    return intervals(vote_replicates(sc, reps), ["c_pilot", "c_all", "mv_pilot", "mv_all", "diff"])
+
+
+def paired_difference(sc: DataFrame, reps: int = 10_000, eps: float = 0.025, most: int = 32) -> DataFrame:
     """Majority at the cell's operating point K* less the majority at all paths, with its 95 % interval: questions
     are drawn, and one draw serves both."""
-    stars = adaptive_k(sc, (eps,)).select(*CELL, "k_star")
-    recs = sc.join(stars, CELL).groupBy(*CELL, "seed", "instance_id").agg(F.sum("y").alias("s"), F.count("*").alias("k"), F.sum(F.when(F.col("path") < F.col("k_star"), F.col("y")).otherwise(0)).alias("sk"), F.max("k_star").alias("k_star"))
-    recs = recs.withColumn("mv", majority(F.col("s"), F.col("k"))).withColumn("mvk", majority(F.col("sk"), F.col("k_star")))
-    clusters = rs.numbered_clusters(recs).groupBy(*CELL, "cluster_idx").agg(F.count("*").alias("n"), F.sum("mvk").alias("mvk"), F.sum("mv").alias("mv"))
-    draws = rs.bootstrap_sums(clusters, rs.own_plan(clusters, reps), ["n", "mvk", "mv"]).withColumn("diff", (F.col("mvk") - F.col("mv")) / F.col("n"))
-    point = clusters.groupBy(*CELL).agg(F.count("*").alias("clusters"), (F.sum("mvk") / F.sum("n")).alias("mv_k"), (F.sum("mv") / F.sum("n")).alias("mv_all"))
-    point = point.withColumn("diff", F.col("mv_k") - F.col("mv_all"))
-    return point.join(stars, CELL).join(draws.groupBy(*CELL).agg(*rs.percentile_interval("diff")), CELL)
+    stars = adaptive_k(sc, (eps,), most=most).select(*CELL, "k_star", F.least(F.col("k_star"), F.lit(most)).alias("used"))
+    recs = sc.join(stars, CELL).groupBy(*CELL, "seed", "instance_id").agg(F.sum("y").alias("s"), F.count("*").alias("k"), F.sum(F.when(F.col("path") < F.col("used"), F.col("y")).otherwise(0)).alias("sk"), F.max("used").alias("used"))
+    rows = recs.select(*CELL, "instance_id", majority(F.col("s"), F.col("k")).alias("mv"), majority(F.col("sk"), F.col("used")).alias("mvk"))
+    expand = lambda x: np.column_stack([np.ones(len(x["mv"])), x["mvk"], x["mv"]])
+    finish = lambda s: {"mv_k": s[:, 1] / s[:, 0], "mv_all": s[:, 2] / s[:, 0], "diff": (s[:, 1] - s[:, 2]) / s[:, 0]}
+    found = intervals(rp.replicate_sums(rows, CELL, ["instance_id"], ["mv", "mvk"], expand, finish, ["mv_k", "mv_all", "diff"], reps), ["mv_k", "mv_all", "diff"])
+    return found.join(stars, CELL).select(*CELL, "k_star", "mv_k", "mv_all", "diff", "diff_lo", "diff_hi")
 
 
 def interval_summary(points: DataFrame, intervals: DataFrame, value: str) -> DataFrame:
@@ -129,49 +154,48 @@ def fold_evaluation(sc: DataFrame, eps: float = 0.025, ks: tuple[int, ...] = (1,
     )
 
 
-def pilot_clusters(sc: DataFrame, pilot: int = 4) -> DataFrame:
-    """By cell and question: correct paths, paths, records and the sum of pair shares of a pilot."""
-    recs = sc.where(F.col("path") < pilot).groupBy(*CELL, "seed", "instance_id").agg(F.sum("y").alias("s"), F.count("*").alias("k"))
-    return rs.numbered_clusters(recs).groupBy(*CELL, "cluster_idx").agg(F.sum("s").alias("s"), F.sum("k").alias("k"), F.count("*").alias("n"), F.sum((F.col("s") * (F.col("s") - 1)).cast("double") / (F.col("k") * (F.col("k") - 1))).alias("both"))
-
-
-def pilot_sensitivity(clusters: DataFrame, plans: dict[int, DataFrame], eps: float = 0.025) -> DataFrame:
-    """Spread of the pooled correlation of a pilot and of K* over draws of n questions, by n."""
+def pilot_sensitivity(sc: DataFrame, questions: tuple[int, ...] = (25, 50, 100, 200), reps: int = 500, pilot: int = 4, eps: float = 0.025) -> DataFrame:
+    """Mean, deviation and variation (percent) of a pilot's mean pairwise correlation and mean and deviation of K* over
+    draws of n questions, by n, with how many draws are at the bound (not in (0, 1)). A draw whose correlation is
+    undefined is an error."""
+    recs = prefix_records(prefix(sc, pilot), {"pilot": F.lit(pilot)})
+    rows = recs.select(*CELL, "instance_id", exactly(pilot).alias("mask"))
+    expand = lambda x: np.column_stack([np.ones(len(x["mask"])), rp.pair_products(rp.bits(x["mask"], pilot))])
+    finish = lambda s: {"c": rp.mean_pair_rho(s[:, 0], s[:, 1:], pilot)}
     out = None
-    for n, plan in plans.items():
-        x = rs.bootstrap_sums(clusters, plan, ["s", "k", "n", "both"]).withColumn("p", F.col("s") / F.col("k"))
-        v = F.col("p") * (1 - F.col("p"))
-        x = x.withColumn("c", F.when(v > 0, (F.col("both") / F.col("n") - F.col("p") * F.col("p")) / v)).withColumn("ks", cf.k_star(F.col("c"), F.lit(eps)))
-        own = x.groupBy(*CELL).agg(F.avg("c").alias("c_mean"), F.stddev_samp("c").alias("c_std"), F.avg("ks").alias("k_mean"), F.count_if(F.col("ks") <= 1).alias("at_bound"), F.count_if(F.col("c").isNull()).alias("undefined")).withColumn("questions", F.lit(n).cast("long"))
+    for n in questions:
+        x = rp.replicate_sums(rows, CELL, ["instance_id"], ["mask"], expand, finish, ["c"], reps, draws=n).where("rep >= 0")
+        c = F.when(F.isnan("c"), F.raise_error(F.format_string("no correlation in %s, %s at %d questions, draw %d", "model", "task", F.lit(n), F.col("rep") + 1)).cast("double")).otherwise(F.col("c"))
+        x = x.withColumn("c", c).withColumn("ks", cf.k_star(F.col("c"), F.lit(eps)))
+        own = x.groupBy(*CELL).agg(
+            F.avg("c").alias("c_mean"), F.stddev_samp("c").alias("c_std"), F.avg("ks").alias("k_mean"), F.stddev_samp("ks").alias("k_std"), F.count_if((F.col("c") <= 0) | (F.col("c") >= 1)).alias("at_bound"),
+        ).withColumn("c_cv", F.when(F.col("c_mean") != 0, 100 * F.col("c_std") / F.col("c_mean"))).withColumn("questions", F.lit(n).cast("long"))
         out = own if out is None else out.unionByName(own)
     return out
 
 
-def paired_rho_bootstrap(matched: DataFrame, plan: DataFrame, least: float = 0.01) -> DataFrame:
-    """Relative change of rho of PT against SC with one draw for both arms: 95 % interval in percent.
+def paired_rho_replicates(matched: DataFrame, reps: int = 10_000, k: int = 8, least: float = 0.01) -> DataFrame:
+    """(model, task, rep, drho): relative change in percent of the mean pairwise correlation of PT against SC; records
+    are drawn, and one draw serves both arms. NaN where |rho SC| is below ``least`` or one is undefined.
 
-    matched: (model, task, cluster_idx, sc_mask, pt_mask) with 8 paths. Pair sums by cluster are
-    weighted by the plan, so no replicate is materialised.
+    matched: (model, task, seed, instance_id, sc_mask, pt_mask) with k paths each.
     """
-    pairs = [(i, j) for i in range(8) for j in range(i + 1, 8)]
-    bit = lambda m, i: F.call_function("shiftright", F.col(m), F.lit(i)).bitwiseAND(F.lit(1).cast("long"))
-    sums = []
-    for arm in ("sc", "pt"):
-        sums += [F.sum(bit(f"{arm}_mask", i)).alias(f"{arm}_{i}") for i in range(8)]
-        sums += [F.sum(bit(f"{arm}_mask", i) * bit(f"{arm}_mask", j)).alias(f"{arm}_{i}_{j}") for i, j in pairs]
-    clusters = matched.groupBy(*CELL, "cluster_idx").agg(F.count("*").alias("n"), *sums)
-    names = [c for c in clusters.columns if c not in (*CELL, "cluster_idx")]
-    reps = rs.bootstrap_sums(clusters, plan, names)
-
-    def rho(arm: str) -> Column:
-        c = F.col
-        r = F.array(*[pearson_of_sums(c("n"), c(f"{arm}_{i}"), c(f"{arm}_{j}"), c(f"{arm}_{i}"), c(f"{arm}_{j}"), c(f"{arm}_{i}_{j}")) for i, j in pairs])
-        good = F.filter(r, lambda x: x.isNotNull())
-        return F.when(F.size(good) > 0, F.aggregate(good, F.lit(0.0), lambda s, x: s + x) / F.size(good))
-
-    reps = reps.select(*CELL, "rep", rho("sc").alias("sc"), rho("pt").alias("pt"))
-    reps = reps.withColumn("drho", F.when(F.abs("sc") >= least, 100 * (F.col("pt") - F.col("sc")) / F.abs("sc")))
-    return reps.groupBy(*CELL).agg(F.count("drho").alias("draws"), *rs.percentile_interval("drho"))
+    width = k + k * (k - 1) // 2
+
+    def expand(x: dict[str, np.ndarray]) -> np.ndarray:
+        return np.column_stack([np.ones(len(x["sc_mask"])), *[rp.pair_products(rp.bits(x[m], k)) for m in ("sc_mask", "pt_mask")]])
+
+    def finish(s: np.ndarray) -> dict[str, np.ndarray]:
+        sc, pt = (rp.mean_pair_rho(s[:, 0], s[:, 1 + at : 1 + at + width], k) for at in (0, width))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return {"drho": np.where(np.abs(sc) >= least, 100 * (pt - sc) / np.abs(sc), np.nan)}
+
+    return rp.replicate_sums(matched, CELL, ["instance_id", "seed"], ["sc_mask", "pt_mask"], expand, finish, ["drho"], reps)
+
+
+def paired_rho_bootstrap(matched: DataFrame, reps: int = 10_000) -> DataFrame:
+    """95 % interval of ``paired_rho_replicates`` and the number of defined draws."""
+    return intervals(paired_rho_replicates(matched, reps), ["drho"]).select(*CELL, F.col("drho_draws").alias("draws"), "drho_lo", "drho_hi")
 
 
 def mid_ranks(rows: DataFrame, value: str, buckets: int = 64) -> DataFrame:

@@ -1,18 +1,16 @@
-"""Resampling by plan: replicates are weights on cluster statistics, never copies of rows.
+"""Resampling by a plan that callers bring: replicates are weights on cluster statistics, never copies of rows.
 
-A plan has one row for each (rep, draw) with a cluster index. It is counted to weights first, and
-joined to sums by cluster, so a replicate costs one row for each distinct cluster it draws. Plans that
-callers bring may hold the cell columns; ``own_plan`` makes one over all clusters of each cell.
+A plan has one row for each (rep, draw) with a cluster index, and may hold the cell columns. It is
+counted to weights first, and joined to sums by cluster, so a replicate costs one row for each distinct
+cluster it draws. Replicates that draw for themselves need no plan: see ``replicates``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CELL = ["model", "task"]
-#: Prime of the draws: squares stay within 64 bits, and both engines of the tests get the same draws.
-MODULUS = 2147483647
 
 
 def weights(plan: DataFrame) -> DataFrame:
@@ -20,37 +18,6 @@ def weights(plan: DataFrame) -> DataFrame:
     return plan.groupBy(*own, "rep", "cluster_idx").agg(F.count("*").alias("w"))
 
 
-def own_plan(clusters: DataFrame, reps: int, draws: int | None = None, by: list[str] = CELL) -> DataFrame:
-    """(by, rep, draw, cluster_idx): in each replicate a cell of m clusters draws m of them, or ``draws``, with replacement.
-
-    Indices run from 0 to m - 1, so every cluster can be drawn whatever the size of the cell.
-    """
-    spark = clusters.sparkSession
-    own = clusters.select(*by, "cluster_idx").distinct()
-    sizes = own.groupBy(*by).agg(F.count("*").alias("m"))
-    if draws is None:
-        slots = own.withColumnRenamed("cluster_idx", "draw").join(F.broadcast(sizes), by)  # a row a cell
-    else:
-        slots = sizes.crossJoin(F.broadcast(spark.range(draws).withColumnRenamed("id", "draw")))
-    plan = slots.crossJoin(F.broadcast(spark.range(reps).withColumnRenamed("id", "rep")))
-    z = ((F.col("rep") + 1) * 48271 + (F.col("draw") + 1) * 69621) % MODULUS
-    w = (z * z % MODULUS) * 7919 % MODULUS
-    index = (w * w + 31 * w) % MODULUS % F.col("m")
-    return plan.select(*by, "rep", "draw", index.alias("cluster_idx"))
-
-
-def numbered_clusters(recs: DataFrame) -> DataFrame:
-    """Records with the index of their question within the cell."""
-    order = Window.partitionBy(*CELL).orderBy("instance_id")
-    return recs.withColumn("cluster_idx", (F.dense_rank().over(order) - 1).cast("long"))
-
-
-def percentile_interval(x: str, level: float = 0.95) -> list[Column]:
-    """Percentile bounds by linear interpolation; null draws are skipped."""
-    lo = (1 - level) / 2
-    return [F.percentile(x, F.lit(lo)).alias(f"{x}_lo"), F.percentile(x, F.lit(1 - lo)).alias(f"{x}_hi")]
-
-
 def bootstrap_sums(clusters: DataFrame, plan: DataFrame, sums: list[str], by: list[str] = CELL) -> DataFrame:
     """Weighted sums of each replicate: clusters (by, cluster_idx, sums) and a plan, of one cell each where it holds ``by``."""
     joined = clusters.join(weights(plan), [c for c in by if c in plan.columns] + ["cluster_idx"])

@@ -9,7 +9,7 @@ from ballotry.functions import closed_forms as cf
 from ballotry.operators import correlation as co
 from ballotry.operators import inference as inf
 from ballotry.operators import votes as vo
-from ballotry.plans import resample as rs
+from ballotry.plans import replicates as rp
 
 from .registry import query, sql
 from .votes import DELTA, MV, POOLED, PR, RECS8, RHO, P
@@ -37,10 +37,10 @@ query("i03_k_star", sql([*PR, POOLED], f"select model, task, arm, {KSTAR.format(
 )
 RECS4 = "recs as (select model, task, arm, seed, instance_id, count(*) k, sum(y)::bigint s, sum((1::bigint << path::int) * y)::bigint mask from paths where path < 4 and arm = 'SC' group by all)"
 ADAPT = f"""ep as (select unnest([0.01::double, 0.025::double, 0.05::double, 0.1::double]) eps),
-pt as (select model, task, rho, eps, {CLIP.format(c='rho', e='eps')} k_star from rho, ep),
+pt as (select model, task, rho, eps, {KSTAR.format(c='rho', e='eps')} k_star from rho, ep),
 rn as (select model, task, path + 1 k, sum(y) over (partition by model, task, seed, instance_id order by path rows unbounded preceding) s from sc),
 mk as (select model, task, k, avg({MV}) mv from rn group by all),
-ad as (select pt.model, pt.task, pt.rho, pt.eps, pt.k_star, x.mv mv_k, z.mv mv_all, case when z.mv > 0 then x.mv / z.mv end retained, (pt.k_star + 4) / 32 net_cost from pt join mk x on pt.model = x.model and pt.task = x.task and pt.k_star = x.k join mk z on pt.model = z.model and pt.task = z.task and z.k = 32)"""
+ad as (select pt.model, pt.task, pt.rho, pt.eps, pt.k_star, x.mv mv_k, z.mv mv_all, case when z.mv > 0 then x.mv / z.mv end retained, (pt.k_star + 4) / 32 net_cost from pt join mk x on pt.model = x.model and pt.task = x.task and least(pt.k_star, 32) = x.k join mk z on pt.model = z.model and pt.task = z.task and z.k = 32)"""
 EPS = (0.01, 0.025, 0.05, 0.1)
 query("i04_adaptive_k", sql([fx.PATHS_SQL, SC, RECS4, RHO, ADAPT], "select * from ad where eps = 0.025::double", f"{CM}, k_star", "rho, mv_k, mv_all, retained, net_cost"))(lambda s, d: inf.adaptive_k(sc(s, d)).drop("eps"))
 query("i05_amortised_cost", sql([fx.PATHS_SQL, SC, RECS4, RHO, ADAPT], "select model, task, case when k_star < 32 then ceil(400.0::double / (32 - k_star)) end::bigint repay, (1000 * k_star + 400) / 32000 cost_1000 from ad where eps = 0.1::double", f"{CM}, repay", "cost_1000"))(
@@ -55,44 +55,60 @@ query("i07_held_out_calibration", sql([fx.PATHS_SQL, SC, FOLD, "rf as (select mo
     "ab as (select *, p * (1 - rho) / rho a, (1 - p) * (1 - rho) / rho b from ob join fit using (model, task, fold))"],
     "select *, 100 * (predicted - observed) error_pp from (select model, task, fold, kk, observed, case when rho > 0 and rho < 1 and p > 0 and p < 1 then case kk when 4 then " + BB.format(k=4) + " when 8 then " + BB.format(k=8) + " when 16 then " + BB.format(k=16) + " else " + BB.format(k=32) + " end end predicted, case when p > 0 and p < 1 then case kk when 4 then " + BI.format(k=4, p="p") + " when 8 then " + BI.format(k=8, p="p") + " when 16 then " + BI.format(k=16, p="p") + " else " + BI.format(k=32, p="p") + " end end independent from ab)",
     f"{CM}, fold, kk", "observed, predicted, independent, error_pp"))(lambda s, d: inf.held_out_calibration(sc(s, d)))
-MANY, PAIRED, FEW = 200, 1_000, 50
-
-
-def drawn(reps, draws="m", name="wt"):
-    """How often each replicate draws each cluster of a cell (cs): the plan of plans.resample.own_plan in SQL."""
-    return f"""cm_{name} as (select model, task, count(distinct cluster_idx)::bigint m from cs group by all),
-z_{name} as (select model, task, m, rep, ((rep + 1) * 48271 + (draw + 1) * 69621) % {rs.MODULUS} z from (select model, task, m, unnest(range({draws})) draw from cm_{name}), (select range rep from range({reps}))),
-w_{name} as (select model, task, m, rep, (z * z % {rs.MODULUS}) * 7919 % {rs.MODULUS} w from z_{name}),
-{name} as (select model, task, rep, (w * w + 31 * w) % {rs.MODULUS} % m cluster_idx, count(*) w from w_{name} group by all)"""
+MANY, PAIRED = 1_000, 10_000
 
 
 def interval(*names):
     return ", ".join(f"quantile_cont({x}, 0.025) {x}_lo, quantile_cont({x}, 0.975) {x}_hi" for x in names)
 
 
+def pair_sums_sql(mask, k, prefix, w=""):
+    """Columns of the votes of a mask and of their pair products, summed: s0, s1, ... and s0_1, ..."""
+    bit = lambda i: f"(({mask} >> {i}) & 1)"
+    one = [f"sum({bit(i)})::double {prefix}{i}" for i in range(k)]
+    return ", ".join(one + [f"sum({bit(i)} * {bit(j)})::double {prefix}{i}_{j}" for i in range(k) for j in range(i + 1, k)])
+
+
+def pair_names(k, prefix):
+    return [f"{prefix}{i}" for i in range(k)] + [f"{prefix}{i}_{j}" for i in range(k) for j in range(i + 1, k)]
+
+
+def mean_rho_sql(k, prefix, n="n"):
+    r = lambda a, b, ab: f"case when {n} * {a} - {a} * {a} > 0 and {n} * {b} - {b} * {b} > 0 then ({n} * {ab} - {a} * {b}) / sqrt(({n} * {a} - {a} * {a}) * ({n} * {b} - {b} * {b})) end"
+    return "list_avg([" + ", ".join(r(f"{prefix}{i}", f"{prefix}{j}", f"{prefix}{i}_{j}") for i in range(k) for j in range(i + 1, k)) + "])"
+
+
 NUMBERED = "dense_rank() over (partition by model, task order by instance_id) - 1 cluster_idx"
-BOOT = f"""r4 as (select model, task, seed, instance_id, sum(y)::bigint s, count(*) k, sum(y) filter (path < 4)::bigint s4 from sc group by all),
-cl as (select *, {NUMBERED}, case when 2 * s > k then 1.0::double when 2 * s = k then 0.5::double else 0.0::double end mv, case when s4 > 2 then 1.0::double when s4 = 2 then 0.5::double else 0.0::double end mv4 from r4),
-cs as (select model, task, cluster_idx, count(*) n, sum(mv4) mv4, sum(mv) mv from cl group by all),
-{drawn(MANY)},
-rp as (select model, task, rep, sum(w * mv4) / sum(w * n) mv4, sum(w * mv) / sum(w * n) mv, 100 * sum(w * (mv - mv4)) / sum(w * n) diff from cs join wt using (model, task, cluster_idx) group by all)"""
-query("i09_clustered_bootstrap", sql([fx.PATHS_SQL, SC, BOOT], f"select model, task, {interval('mv4', 'mv', 'diff')} from rp group by all", CM, "mv4_lo, mv4_hi, mv_lo, mv_hi, diff_lo, diff_hi"))(lambda s, d: (lambda c: inf.clustered_bootstrap(c, rs.own_plan(c, MANY)))(inf.majority_clusters(sc(s, d))))
-query("j08_resample_join", sql([fx.PATHS_SQL, SC, BOOT], "select model, task, rep, mv, mv4 from rp", f"{CM}, rep", "mv, mv4"))(
-    lambda s, d: (lambda c: rs.bootstrap_sums(c, rs.own_plan(c, MANY), ["n", "mv4", "mv"]).select("model", "task", "rep", (F.col("mv") / F.col("n")).alias("mv"), (F.col("mv4") / F.col("n")).alias("mv4")))(inf.majority_clusters(sc(s, d)))
-)
-PAIR = f"""r4 as (select model, task, seed, instance_id, sum(y)::bigint s, count(*) k, coalesce(sum(y) filter (path < k_star), 0)::bigint sk, max(k_star) ks from sc join (select model, task, k_star from pt where eps = 0.025::double) using (model, task) group by all),
+BOOT = f"""wo as (select kk, model, task, seed, instance_id, y::double won from (select *, row_number() over (partition by kk, model, task, seed, instance_id order by n desc, first) r from
+  (select kk, model, task, seed, instance_id, answer, count(*) n, min(path) first, max(y) y from paths, (select unnest([4, 32])::bigint kk) where arm = 'SC' and path < kk and answer is not null group by all)) where r = 1),
+r4 as (select model, task, seed, instance_id, sum((1::bigint << path::int) * y)::bigint mask from sc group by all),
+cl as (select r4.*, {NUMBERED}, coalesce(p.won, 0) won4, coalesce(w.won, 0) won32 from r4 left join (select * from wo where kk = 4) p using (model, task, seed, instance_id) left join (select * from wo where kk = 32) w using (model, task, seed, instance_id)),
+cs as (select model, task, cluster_idx, count(*)::double n, sum(won4) mv4, sum(won32) mv32, {pair_sums_sql("mask", 32, "s")} from cl group by all),
+{rp.replicates_sql("wt", "cs", MANY)},
+bs as (select model, task, rep, {", ".join(f"sum({x}) {x}" for x in ["n", "mv4", "mv32", *pair_names(32, "s")])} from wt join cs using (model, task, cluster_idx) group by all
+  union all select model, task, -1 rep, {", ".join(f"sum({x}) {x}" for x in ["n", "mv4", "mv32", *pair_names(32, "s")])} from cs group by all),
+rp as (select model, task, rep, {mean_rho_sql(4, "s")} c_pilot, {mean_rho_sql(32, "s")} c_all, mv4 / n mv_pilot, mv32 / n mv_all, 100 * (mv32 - mv4) / n diff from bs)"""
+VOTES = ("c_pilot", "c_all", "mv_pilot", "mv_all", "diff")
+SUMMED = lambda *names: ", ".join(f"max({x}) filter (rep < 0) {x}, quantile_cont({x}, 0.025) filter (rep >= 0) {x}_lo, quantile_cont({x}, 0.975) filter (rep >= 0) {x}_hi, count({x}) filter (rep >= 0) {x}_draws" for x in names)
+query("i09_clustered_bootstrap", sql([fx.PATHS_SQL, SC, BOOT], f"select model, task, {SUMMED(*VOTES)} from rp group by all", ", ".join([CM, *[f"{x}_draws" for x in VOTES]]), ", ".join(f"{x}{e}" for x in VOTES for e in ("", "_lo", "_hi"))))(
+    lambda s, d: inf.clustered_bootstrap(sc(s, d), MANY)
+)
+query("j08_resample_join", sql([fx.PATHS_SQL, SC, BOOT], "select * from rp", f"{CM}, rep", ", ".join(VOTES)))(lambda s, d: inf.vote_replicates(sc(s, d), MANY).withColumn("rep", F.col("rep").cast("int")))
+PAIR = f"""r4 as (select model, task, seed, instance_id, sum(y)::bigint s, count(*) k, coalesce(sum(y) filter (path < ks), 0)::bigint sk, max(ks) ks from sc join (select model, task, least(k_star, 32) ks from pt where eps = 0.025::double) using (model, task) group by all),
 cl as (select *, {NUMBERED}, {MV} mv, case when 2 * sk > ks then 1.0::double when 2 * sk = ks then 0.5::double else 0.0::double end mvk from r4),
-cs as (select model, task, cluster_idx, count(*) n, sum(mvk) mvk, sum(mv) mv, max(ks) k_star from cl group by all),
-{drawn(PAIRED)},
-rp as (select model, task, rep, sum(w * (mvk - mv)) / sum(w * n) diff from cs join wt using (model, task, cluster_idx) group by all),
+cs as (select model, task, cluster_idx, count(*) n, sum(mvk) mvk, sum(mv) mv from cl group by all),
+{rp.replicates_sql("wt", "cs", PAIRED)},
+rp as (select model, task, rep, sum(mvk - mv) / sum(n) diff from cs join wt using (model, task, cluster_idx) group by all),
 ci as (select model, task, {interval('diff')} from rp group by all)"""
-query("i10_paired_difference", sql([fx.PATHS_SQL, SC, RECS4, RHO, ADAPT, PAIR], "select *, mv_k - mv_all diff from (select model, task, count(*) clusters, max(k_star) k_star, sum(mvk) / sum(n) mv_k, sum(mv) / sum(n) mv_all from cs group by all) join ci using (model, task)", f"{CM}, clusters, k_star", "mv_k, mv_all, diff, diff_lo, diff_hi"))(lambda s, d: inf.paired_difference(sc(s, d), PAIRED))
+query("i10_paired_difference", sql([fx.PATHS_SQL, SC, RECS4, RHO, ADAPT, PAIR], "select *, mv_k - mv_all diff from (select model, task, sum(mvk) / sum(n) mv_k, sum(mv) / sum(n) mv_all from cs group by all) join ci using (model, task) join (select model, task, k_star from pt where eps = 0.025::double) using (model, task)", f"{CM}, k_star", "mv_k, mv_all, diff, diff_lo, diff_hi"))(
+    lambda s, d: inf.paired_difference(sc(s, d), PAIRED)
+)
 PILOTS = (25, 50, 100, 200)
-query("i11_pilot_sensitivity", sql([fx.PATHS_SQL, SC, "r4 as (select model, task, seed, instance_id, sum(y)::bigint s, count(*) k from sc where path < 4 group by all)", f"cl as (select *, {NUMBERED} from r4)",
-    "cs as (select model, task, cluster_idx, sum(s)::bigint s, sum(k)::bigint k, count(*) n, sum((s * (s - 1))::double / (k * (k - 1))) bo from cl group by all)", *[drawn(500, n, f"wt{n}") for n in PILOTS], "wt as (" + " union all ".join(f"select {n} questions, * from wt{n}" for n in PILOTS) + ")",
-    "bs as (select questions, model, task, rep, sum(w * s)::double / sum(w * k) p, sum(w * bo) / sum(w * n) bo from cs join wt using (model, task, cluster_idx) group by all)", "bc as (select *, case when p * (1 - p) > 0 then (bo - p * p) / (p * (1 - p)) end c from bs)"],
-    f"select questions::bigint questions, model, task, avg(c) c_mean, stddev_samp(c) c_std, avg({KSTAR.format(c='c', e='0.025::double')}) k_mean, count(*) filter ({KSTAR.format(c='c', e='0.025::double')} <= 1) at_bound, count(*) filter (c is null) undefined from bc group by all", f"{CM}, questions, at_bound, undefined", "c_mean, c_std, k_mean"))(
-    lambda s, d: (lambda c: inf.pilot_sensitivity(c, {n: rs.own_plan(c, 500, n) for n in PILOTS}))(inf.pilot_clusters(sc(s, d)))
+query("i11_pilot_sensitivity", sql([fx.PATHS_SQL, SC, "r4 as (select model, task, seed, instance_id, sum((1::bigint << path::int) * y)::bigint mask from sc where path < 4 group by all)", f"cl as (select *, {NUMBERED} from r4)",
+    f"cs as (select model, task, cluster_idx, count(*)::double n, {pair_sums_sql('mask', 4, 's')} from cl group by all)", *[rp.replicates_sql(f"wt{n}", "cs", 500, n) for n in PILOTS], "wt as (" + " union all ".join(f"select {n} questions, * from wt{n}" for n in PILOTS) + ")",
+    "bs as (select questions, model, task, rep, " + ", ".join(f"sum({x}) {x}" for x in ["n", *pair_names(4, "s")]) + " from cs join wt using (model, task, cluster_idx) group by all)", f"bc as (select *, {mean_rho_sql(4, 's')} c from bs)", f"bk as (select *, {KSTAR.format(c='c', e='0.025::double')} ks from bc)"],
+    "select questions::bigint questions, model, task, avg(c) c_mean, stddev_samp(c) c_std, 100 * stddev_samp(c) / avg(c) c_cv, avg(ks) k_mean, stddev_samp(ks) k_std, count(*) filter (c <= 0 or c >= 1) at_bound from bk group by all", f"{CM}, questions, at_bound", "c_mean, c_std, c_cv, k_mean, k_std"))(
+    lambda s, d: inf.pilot_sensitivity(sc(s, d), PILOTS)
 )
 
 
@@ -100,17 +116,21 @@ def matched_masks(s, d):
     r = vo.records(vo.prefix(P(s, d), 8))
     w = lambda a: F.max(F.when(F.col("arm") == a, F.col("mask")))
     m = r.groupBy("model", "task", "seed", "instance_id").agg(w("SC").alias("sc_mask"), w("PT").alias("pt_mask"))
-    return rs.numbered_clusters(m.where("sc_mask is not null and pt_mask is not null"))
+    return m.where("sc_mask is not null and pt_mask is not null")
 
 
-DRHO = f"""cs as (select *, {NUMBERED} from recs), {drawn(FEW)}, ij as (select i.range i, j.range j from range(8) i, range(8) j where i.range < j.range),
-bp as (select model, task, arm, rep, i, j, sum(w)::double n, sum(w * ((mask >> i::int) & 1))::double si, sum(w * ((mask >> j::int) & 1))::double sj, sum(w * ((mask >> i::int) & 1) * ((mask >> j::int) & 1))::double sij from cs join wt using (model, task, cluster_idx), ij group by all),
-br as (select model, task, arm, rep, avg(case when n * si - si * si > 0 and n * sj - sj * sj > 0 then (n * sij - si * sj) / sqrt((n * si - si * si) * (n * sj - sj * sj)) end) rho from bp group by all),
-bd as (select a.model, a.task, a.rep, case when abs(a.rho) >= 0.01::double then 100 * (b.rho - a.rho) / abs(a.rho) end drho from br a join br b on a.model = b.model and a.task = b.task and a.rep = b.rep and a.arm = 'SC' and b.arm = 'PT'),
+ARMS = ["n", *pair_names(8, "a"), *pair_names(8, "b")]
+DRHO = f"""mm as (select model, task, seed, instance_id, max(mask) filter (arm = 'SC') ma, max(mask) filter (arm = 'PT') mb from recs group by all),
+cs as (select dense_rank() over (order by model, task)::int cell, model, task, row_number() over (partition by model, task order by instance_id, seed) - 1 cluster_idx, 1.0::double n, {pair_sums_sql("ma", 8, "a").replace("sum(", "(")}, {pair_sums_sql("mb", 8, "b").replace("sum(", "(")} from mm where ma is not null and mb is not null),
+{rp.replicates_sql("wt", "cs", PAIRED, cell="cell")},
+bc as (select cell, rep, {", ".join(f"sum({x}) {x}" for x in ARMS)} from wt join cs using (cell, cluster_idx) group by all),
+bp as (select model, task, bc.* from bc join (select distinct cell, model, task from cs) using (cell)),
+br as (select model, task, rep, {mean_rho_sql(8, "a")} ra, {mean_rho_sql(8, "b")} rb from bp),
+bd as (select model, task, rep, case when abs(ra) >= 0.01::double then 100 * (rb - ra) / abs(ra) end drho from br),
 ci as (select model, task, count(drho) draws, {interval('drho')} from bd group by all)"""
-query("i12_paired_rho_bootstrap", sql([fx.PATHS_SQL, RECS8, DRHO], "select * from ci", f"{CM}, draws", "drho_lo, drho_hi"))(lambda s, d: (lambda m: inf.paired_rho_bootstrap(m, rs.own_plan(m, FEW)))(matched_masks(s, d)))
+query("i12_paired_rho_bootstrap", sql([fx.PATHS_SQL, RECS8, DRHO], "select * from ci", f"{CM}, draws", "drho_lo, drho_hi"))(lambda s, d: inf.paired_rho_bootstrap(matched_masks(s, d), PAIRED))
 query("i13_bootstrap_summary", sql([fx.PATHS_SQL, RECS8, RHO, DELTA, DRHO], "select count(*) cells, median(drho_hi - drho_lo) width, quantile_cont(drho_hi - drho_lo, 0.25) width_25, quantile_cont(drho_hi - drho_lo, 0.75) width_75, count(*) filter (drho_lo > 0 or drho_hi < 0) excluding_zero, min(drho_pct) least, max(drho_pct) most from delta join ci using (model, task) where drho_pct is not null and drho_lo is not null", "cells, excluding_zero", "width, width_25, width_75, least, most"))(
-    lambda s, d: (lambda m: inf.interval_summary(co.arm_delta(P(s, d)).withColumnRenamed("drho_pct", "drho"), inf.paired_rho_bootstrap(m, rs.own_plan(m, FEW)), "drho"))(matched_masks(s, d))
+    lambda s, d: inf.interval_summary(co.arm_delta(P(s, d)).withColumnRenamed("drho_pct", "drho"), inf.paired_rho_bootstrap(matched_masks(s, d), PAIRED), "drho")
 )
 WON = f"""fit as (select model, task, arm fold, p4, n_inst, n_seeds, rho, p4 <= 0 or p4 >= 1 or rho is null degenerate, case when p4 > 0 and p4 < 1 then rho end c from (select model, task, arm, sum(s)::double / sum(k) p4, count(distinct instance_id) n_inst, count(distinct seed) n_seeds from recs group by all) left join rho using (model, task, arm)),
 pil as (select *, {CLIP.format(c='c', e='0.025::double')} k_star from fit),

@@ -118,7 +118,17 @@ PRED = f"pd as (select *, case when rho32 > 0 and rho32 < 1 and p_bar > 0 and p_
 query("a32_cross_model", sql([*PR, RHO, EXACT, WIDE, PRED], "select *, abs(observed - predicted) error_pp, abs(observed - independent) independent_error_pp from pd", "model, task, arm", ", ".join([*[f"{x}{k}" for k in (4, 8, 16, 32) for x in ("rho", "keff")], "p_bar, observed, ceiling, pct_ceiling, predicted, independent, error_pp, independent_error_pp"])))(
     lambda s, d: co.cross_model(P(s, d).where("arm = 'SC'"))
 )
-query("a18_gls_vote")(lambda s, d: (lambda p: ql.weighted_answer_vote(p, ql.gls_weights(co.slot_covariance(p)), vo.CELL).groupBy(*vo.CELL).agg(F.avg("y").alias("gls_acc"), F.count("*").alias("n")))(vo.prefix(P(s, d), 8)))
+GLS = """sp as (select a.model, a.task, a.seed, a.path i, b.path j, count(*)::double n, sum(a.y)::double si, sum(b.y)::double sj, sum(a.y * b.y)::double sij from paths a join paths b using (model, task, arm, seed, instance_id) where arm = 'PT' group by all),
+st as (select model, task, seed, i, j, sum(n) over w - n n, sum(si) over w - si si, sum(sj) over w - sj sj, sum(sij) over w - sij sij from sp window w as (partition by model, task, i, j)),
+ms as (select model, task, seed, list(r order by i) m, list(g order by i) g from (select model, task, seed, i, list((sij - si * sj / n) / greatest(n - 1, 1) order by j) r, any_value(si / n) g from st where n > 0 group by all) group by all),
+ge as (select model, task, seed, ridge, g, 0 step, list_transform(m, lambda r, i: list_transform(r, lambda x, j: case when i = j then x + ridge else x end) || [g[i]]) a from ms, (select unnest([0.1::double, 0.5::double, 1.0::double, 5.0::double]) ridge)
+  union all select model, task, seed, ridge, g, step + 1, list_transform(a, lambda r, i: case when i = step + 1 then list_transform(r, lambda x: x / r[step + 1]) else list_transform(r, lambda x, j: x - r[step + 1] * a[step + 1][j] / a[step + 1][step + 1]) end) from ge where step < len(g)),
+gw as (select model, task, seed, ridge, list_transform(x, lambda v: v / list_dot_product(g, x)) w from (select *, list_transform(a, lambda r: r[len(g) + 1]) x from ge where step = len(g))),
+ga as (select model, task, seed, instance_id, ridge, answer, count(*) votes, min(path) first, max(y) y, round(sum(w[path + 1]), 9) wt from paths join gw using (model, task, seed) where arm = 'PT' group by all),
+gr as (select model, task, seed, instance_id, ridge, coalesce(arg_max(y, {'w': wt, 'f': -first}) filter (answer is not null), 0) g, coalesce(arg_max(y, {'v': votes, 'f': -first}) filter (answer is not null), 0) mv, max(y) any_ok from ga group by all),
+gt as (select model, task, seed, n::bigint n_train from st where i = 0 and j = 0),
+gs as (select model, task, 'PT' arm, seed, ridge, n_train, count(*) n_test, 100 * avg(mv) mv_acc, 100 * avg(any_ok) oracle_acc, 100 * avg(g) gls_acc from gr join gt using (model, task, seed) group by all)"""
+query("a18_gls_vote", sql([fx.PATHS_SQL, GLS], "select *, gls_acc - mv_acc gain, oracle_acc - mv_acc headroom from gs", "model, task, arm, seed, n_train, n_test", "ridge, mv_acc, oracle_acc, gls_acc, gain, headroom").replace("with ", "with recursive ", 1))(lambda s, d: ql.held_out_gls(P(s, d).where("arm = 'PT'")))
 MVS = ", ".join(f"max(mv_acc) filter (kk = {k}) mv{k}" for k in (1, 2, 4, 8, 16, 32))
 query("i17_cell_report", sql([*PR, RHO, EXACT, f"w as (select model, task, arm, max(mean_path_acc) filter (kk = 32) p_bar, max(rho) filter (kk = 4) rho_pilot, max(rho) filter (kk = 32) rho_all, max(keff) filter (kk = 32) keff, {MVS} from exact group by all)"], f"select *, {CLIP.format(c='rho_pilot', e='0.025::double')} k_star from w join (select model, task, arm, count(*) filter (truncated) cut from paths group by all) using (model, task, arm)", "model, task, arm, cut, k_star", "p_bar, rho_pilot, rho_all, keff, mv1, mv2, mv4, mv8, mv16, mv32"))(
     lambda s, d: co.cell_report(P(s, d))

@@ -1,41 +1,97 @@
-"""Bootstraps draw from every question of a cell."""
+"""Bootstraps draw from every question of a cell, numbers are exact, and replicates are those of listed draws."""
 
+import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ballotry.operators import inference as inf
+from ballotry.plans import replicates as rp
 from ballotry.plans import resample as rs
+from ballotry.plans.numbering import numbered
 from ballotry.queries import QUERIES
 
 
-def clusters(spark):
-    rows = [("a", "t", i, 3, float(i >= 100), float(i % 2)) for i in range(250)] + [("b", "t", i, 2, 1.0, 0.0) for i in range(7)]
-    return spark.createDataFrame(rows, "model string, task string, cluster_idx long, n long, mv4 double, mv double")
+@pytest.mark.parametrize("bucket_rows", [7, 100_000])
+def test_numbers_follow_the_order(spark, bucket_rows):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(30)]), i) for i in range(200)]
+    got = numbered(spark.createDataFrame(rows, "g string, v long, t long"), ["g"], "v", ["t"], size="m", bucket_rows=bucket_rows).collect()
+    for g in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [(r.v, r.t) for r in sorted((r for r in got if r.g == g), key=lambda r: r.position)] == [(v, t) for _, v, t in own]
+        assert {r.m for r in got if r.g == g} == {len(own)} and sorted(r.position for r in got if r.g == g) == list(range(len(own)))
 
 
-def test_own_plan_draws_as_many_as_the_cell_has(spark):
-    plan = rs.own_plan(clusters(spark), 30).collect()
-    assert Counter((r.model, r.rep) for r in plan) == {(c, r): m for c, m in (("a", 250), ("b", 7)) for r in range(30)}
-    assert {r.cluster_idx for r in plan if r.model == "a"} == set(range(250)) and {r.cluster_idx for r in plan if r.model == "b"} == set(range(7))
-    few = Counter((r.model, r.rep) for r in rs.own_plan(clusters(spark), 5, 40).collect())
-    assert few == {(c, r): 40 for c in "ab" for r in range(5)}
+def listed(m, k, reps, size):
+    """The clusters that each replicate draws, one by one: dealt to blocks first, then within the block."""
+    out = []
+    for rep in range(reps):
+        rep = np.int64(rep)
+        blocks = Counter(int(rp.draw_index(rep, np.int64(d), 0, m)) // size for d in range(k)) if m > size else {0: k}
+        out.append([b * size + int(rp.draw_index(rep, np.int64(j), b, min(size, m - b * size))) for b, n in blocks.items() for j in range(n)])
+    return out
 
 
-def test_intervals_follow_questions_past_the_hundredth(spark):
-    c = clusters(spark)
-    plan = rs.own_plan(c, 40)
-    got = {r.model: r for r in inf.clustered_bootstrap(c, plan).collect()}
-    of = {(r.model, r.cluster_idx): r for r in c.collect()}
-    for cell in "ab":
-        sums = {}
-        for r in plan.where(F.col("model") == cell).collect():
-            x = of[cell, r.cluster_idx]
-            sums[r.rep] = np.array([x.n, x.mv4, x.mv]) + sums.get(r.rep, 0)
-        reps = [s[1] / s[0] for s in sums.values()]
-        assert np.allclose([got[cell].mv4_lo, got[cell].mv4_hi], np.percentile(reps, [2.5, 97.5]))
-    assert got["a"].mv4_lo < 150 / 250 / 3 < got["a"].mv4_hi
+@pytest.mark.parametrize("draws", [None, 40])
+@pytest.mark.parametrize("size,rows", [(4096, 200_000), (16, 9)])
+def test_replicates_are_weighted_sums_of_listed_draws(spark, draws, size, rows):
+    rng = random.Random(2)
+    data = [(cell, q * 3, rng.randint(0, 5), float(q)) for cell, m in (("a", 50), ("b", 7), (None, 1)) for q in range(m) for _ in range(rng.randint(1, 4))]
+    df = spark.createDataFrame(data, "cell string, question long, x long, y double")
+    expand = lambda c: np.column_stack([np.ones(len(c["x"])), c["x"] * c["y"]])
+    finish = lambda s: {"n": s[:, 0], "xy": s[:, 1]}
+    got = rp.replicate_sums(df, ["cell"], ["question"], ["x", "y"], expand, finish, ["n", "xy"], 30, draws, size, rows).collect()
+    for cell, m in (("a", 50), ("b", 7), (None, 1)):
+        sums = np.array([[sum(1 for r in data if r[:2] == (cell, q * 3)), sum(r[2] * r[3] for r in data if r[:2] == (cell, q * 3))] for q in range(m)])
+        own = {r.rep: (r.n, r.xy) for r in got if r.cell == cell}
+        assert set(own) == set(range(-1, 30)) and np.allclose(own[-1], sums.sum(axis=0))
+        for rep, drawn in enumerate(listed(m, draws or m, 30, size)):
+            assert np.allclose(own[rep], sums[drawn].sum(axis=0))
+
+
+def test_every_cluster_is_drawn_about_once(spark):
+    drawn = Counter(q for rep in listed(300, 300, 200, 64) for q in rep)
+    assert len(drawn) == 300 and 0.7 < min(drawn.values()) / 200 and max(drawn.values()) / 200 < 1.35
+
+
+def test_mean_rho_is_that_of_the_matrix():
+    rng = np.random.default_rng(3)
+    votes = (rng.random((60, 6)) < 0.5 * rng.random((60, 1)) + 0.25).astype(float)
+    votes[:, 4] = 1  # constant
+    sums = rp.pair_products(votes).sum(axis=0)[None, :]
+    r = np.corrcoef(votes[:, [0, 1, 2, 3, 5]].T)[np.triu_indices(5, 1)]
+    assert np.isclose(rp.mean_pair_rho(np.array([60.0]), sums, 6)[0], r.mean())
+    first = np.corrcoef(votes[:, :3].T)[np.triu_indices(3, 1)]
+    assert np.isclose(rp.mean_pair_rho(np.array([60.0]), sums[:, rp.prefix_columns(3, 6)], 3)[0], first.mean())
+    assert np.isnan(rp.mean_pair_rho(np.array([2.0]), np.array([[2.0, 2.0, 2.0]]), 2)[0])
+
+
+def matched(spark, rows):
+    return spark.createDataFrame(rows, "model string, task string, seed long, instance_id long, sc_mask long, pt_mask long")
+
+
+def test_identical_arms_never_differ(spark):
+    rng = random.Random(4)
+    rows = [("m", "t", 0, i, x, x) for i in range(40) for x in [rng.choice([0, 3, 255, 254, 15, 240])]]
+    got = inf.paired_rho_replicates(matched(spark, rows), 40).collect()
+    assert len(got) == 41 and all(r.drho == 0 for r in got)
+
+
+def test_records_of_other_lengths_are_an_error(spark):
+    rows = [("m", "t", "SC", 0, i, p, "1", "1", 1, 10) for i in range(3) for p in range(31)]
+    paths = spark.createDataFrame(rows, "model string, task string, arm string, seed long, instance_id long, path long, answer string, gold string, y long, gen_len long")
+    with pytest.raises(Exception, match="32 paths"):
+        inf.clustered_bootstrap(paths, 2).collect()
+
+
+def test_a_plan_that_callers_bring(spark):
+    clusters = spark.createDataFrame([("m", "t", i, 1.0, float(i)) for i in range(3)], "model string, task string, cluster_idx long, n double, v double")
+    plan = spark.createDataFrame([(0, 0, 2), (0, 1, 2), (0, 2, 1), (1, 0, 0)], "rep long, draw long, cluster_idx long")
+    got = {r.rep: (r.n, r.v) for r in rs.bootstrap_sums(clusters, plan, ["n", "v"]).collect()}
+    assert got == {0: (3.0, 5.0), 1: (1.0, 0.0)}
 
 
 def test_queries_use_all_questions(spark, tmp_path):
@@ -43,14 +99,9 @@ def test_queries_use_all_questions(spark, tmp_path):
     orders = spark.range(650).select(F.col("id").alias("o_orderkey"), (F.col("id") % 13).alias("o_custkey"), F.lit("1-URGENT").alias("o_orderpriority"), F.lit("O").alias("o_orderstatus"))
     orders.write.parquet(f"{tmp_path}/orders.parquet")
     reps = QUERIES["j08_resample_join"](spark, str(tmp_path))
-    assert reps.count() == 200
-    from ballotry.queries.inference import sc
-
-    paths = sc(spark, str(tmp_path))
-    by = inf.majority_clusters(paths)
-    assert by.count() == 130
-    want = by.agg((F.sum("mv") / F.sum("n")).alias("mv")).collect()[0].mv
-    assert abs(reps.agg(F.avg("mv")).collect()[0][0] - want) < 0.01
+    assert reps.count() == 1001
+    point = reps.where("rep = -1").first().mv_all
+    assert abs(reps.where("rep >= 0").agg(F.avg("mv_all")).collect()[0][0] - point) < 0.01
     sizes = {r.questions for r in QUERIES["i11_pilot_sensitivity"](spark, str(tmp_path)).collect()}
     assert sizes == {25, 50, 100, 200}
     assert QUERIES["i12_paired_rho_bootstrap"](spark, str(tmp_path)).collect()[0].draws > 0
