@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ballotry.functions import closed_forms as cf
+from ballotry.functions import tails as ta
 from ballotry.plans import replicates as rp
 
 from .correlation import pairwise_rho, pearson_of_sums
@@ -214,48 +215,78 @@ def mid_ranks(rows: DataFrame, value: str, buckets: int = 64) -> DataFrame:
 
 
 def mann_whitney(rows: DataFrame, value: str, group: str) -> DataFrame:
-    """U of group 1 against group 0, the tie term, and the two-sided normal p with continuity correction.
-    p by an exact recurrence where a side has 8 values or fewer and nothing ties."""
+    """U of group 1 against group 0, the tie term, and the two-sided p: normal with continuity correction, and exact
+    where a side has 8 values or fewer and nothing ties."""
     r = mid_ranks(rows.where(F.col(value).isNotNull()), value)
     one = r.agg(F.sum(F.when(F.col(group) == 1, F.col("rank"))).alias("r1"), F.count_if(F.col(group) == 1).alias("n1"), F.count_if(F.col(group) == 0).alias("n0"), F.sum(F.pow("ties", F.lit(2.0)) - 1).alias("tie_term"))
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
-    out = one.select(u.alias("u"), "n1", "n0", "tie_term")
+    return with_rank_sum_p(one.select(u.alias("u"), "n1", "n0", "tie_term"))
+
+
+def with_rank_sum_p(rows: DataFrame) -> DataFrame:
+    """Rows (u, n1, n0, tie_term) with p."""
 
     @F.pandas_udf("double")
-    def p_value(u: pd.Series, n1: pd.Series, n0: pd.Series, ties: pd.Series) -> pd.Series:
-        return pd.Series([rank_sum_p(*x) for x in zip(u, n1, n0, ties)])
-
-    return out.withColumn("p", p_value("u", "n1", "n0", "tie_term"))
-
-
-def rank_sum_p(u: float, n1: int, n0: int, ties: float) -> float | None:
-    if not n1 or not n0 or u != u:
-        return None
-    if min(n1, n0) <= 8 and not ties:
-        ways = np.zeros(n1 * n0 + 1)
-        ways[0] = 1  # number of arrangements by U, one value of the first group at a time
-        for i in range(1, n1 + 1):
-            up = n0 + i
-            for s in range(len(ways) - 1, up - 1, -1):
-                ways[s] -= ways[s - up]
-            for s in range(i, len(ways)):
-                ways[s] += ways[s - i]
-        far = int(round(max(u, n1 * n0 - u)))
-        return float(min(1.0, 2 * ways[far:].sum() / ways.sum()))
-    n = n1 + n0
-    var = n1 * n0 / 12 * ((n + 1) - ties / (n * (n - 1)))
-    if var <= 0:
-        return 1.0
-    z = (abs(u - n1 * n0 / 2) - 0.5) / math.sqrt(var)
-    return float(min(1.0, math.erfc(max(z, 0.0) / math.sqrt(2))))
+    def exact(u: pd.Series, n1: pd.Series, n0: pd.Series, small: pd.Series) -> pd.Series:
+        return pd.Series([exact_rank_sum_p(*x[:3]) if x[3] else None for x in zip(u, n1, n0, small)], dtype=float)
+
+    n1, n0 = F.col("n1"), F.col("n0")
+    small = (F.least(n1, n0) <= EXACT_SIDE) & (F.col("tie_term") == 0) & (n1 > 0) & (n0 > 0)
+    out = rows.withColumn("__small", small).withColumn("__exact", exact("u", "n1", "n0", "__small"))
+    return out.withColumn("p", F.when(F.col("__small"), F.col("__exact")).otherwise(ta.rank_sum_normal_p(F.col("u"), n1, n0, F.col("tie_term")))).drop("__small", "__exact")
+
+
+#: Values of the smaller side up to which p is exact.
+EXACT_SIDE = 8
+
+
+@lru_cache(maxsize=64)
+def rank_sum_ways(n1: int, n0: int) -> np.ndarray:
+    """Number of arrangements of n1 and n0 different values by U, one value of the first group at a time."""
+    ways = np.zeros(n1 * n0 + 1)
+    ways[0] = 1
+    for i in range(1, n1 + 1):
+        up = n0 + i
+        for s in range(len(ways) - 1, up - 1, -1):
+            ways[s] -= ways[s - up]
+        for s in range(i, len(ways)):
+            ways[s] += ways[s - i]
+    return ways
+
+
+def exact_rank_sum_p(u: float, n1: int, n0: int) -> float:
+    ways = rank_sum_ways(int(min(n1, n0)), int(max(n1, n0)))
+    far = int(round(max(u, n1 * n0 - u)))
+    return float(min(1.0, 2 * ways[far:].sum() / ways.sum()))
+
+
+def replicated_rank_test(reps: DataFrame, value: str, group: str, level: float = 0.001) -> DataFrame:
+    """One row: u and p of the data as they are (replicate -1), and over the replicates how many are used, how many are
+    dropped as a cell has no value there, and the share of used ones with p below ``level``.
+
+    reps: (rep, group 1 or 0, value), a row a cell and replicate; NaN is no value. All replicates are ranked in one
+    shuffle by replicate.
+    """
+    rows = reps.where(F.col(group).isin(0, 1)).select("rep", F.col(group).alias("g"), F.when(F.isnan(value), None).otherwise(F.col(value)).alias("v"))
+    own = Window.partitionBy("rep")
+    ties = F.count("*").over(Window.partitionBy("rep", "v"))
+    ranked = rows.withColumn("missing", F.count_if(F.col("v").isNull()).over(own)).withColumn("r", F.rank().over(own.orderBy("v"))).withColumn("t", ties)
+    mid = F.col("r") + (F.col("t") - 1) / 2
+    tests = ranked.groupBy("rep").agg(F.max("missing").alias("missing"), F.sum(F.when(F.col("g") == 1, mid)).alias("r1"), F.count_if(F.col("g") == 1).alias("n1"), F.count_if(F.col("g") == 0).alias("n0"), F.sum(F.pow("t", F.lit(2.0)) - 1).alias("tie_term"))
+    tests = with_rank_sum_p(tests.select("rep", "missing", (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"), "n1", "n0", "tie_term"))
+    data, used = F.col("rep") == -1, (F.col("rep") >= 0) & (F.col("missing") == 0)
+    return tests.agg(
+        F.max(F.when(data & (F.col("missing") == 0), F.col("u"))).alias("u"), F.max(F.when(data & (F.col("missing") == 0), F.col("p"))).alias("p"), F.max("n1").alias("n1"), F.max("n0").alias("n0"),
+        F.count_if(used).alias("used"), F.count_if((F.col("rep") >= 0) & (F.col("missing") > 0)).alias("dropped"), F.avg(F.when(used, (F.col("p") < level).cast("double"))).alias("share"),
+    )
 
 
 def pearson(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Correlation from sums; null for constant columns or fewer than two rows."""
+    """Correlation from sums and its two-sided p; null for constant columns or fewer than two rows."""
     a, b = F.col(x), F.col(y)
     s = rows.where(a.isNotNull() & b.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy"))
     c = F.col
-    return s.select(*by, "n", pearson_of_sums(c("n"), c("sx"), c("sy"), c("sxx"), c("syy"), c("sxy")).alias("r"))
+    return s.select(*by, "n", pearson_of_sums(c("n"), c("sx"), c("sy"), c("sxx"), c("syy"), c("sxy")).alias("r")).withColumn("p", ta.pearson_p(c("r"), c("n")))
 
 
 def spearman_slots(slots: DataFrame, seed_a: int, seed_b: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ballotry import fixtures as fx
 from ballotry.functions import closed_forms as cf
+from ballotry.functions import tails as ta
 from ballotry.operators import correlation as co
 from ballotry.operators import inference as inf
 from ballotry.operators import votes as vo
@@ -160,9 +161,23 @@ def quality(s, d):
 
 
 query("w04_mid_ranks", sql([LD], "select n_chars, quality, rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2 rk from ld", "n_chars, quality", "rk"))(lambda s, d: inf.mid_ranks(quality(s, d), "n_chars").select("n_chars", "quality", F.col("rank").alias("rk")))
-query("i14_mann_whitney", sql([LD, "r as (select quality, rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2 rk, count(*) over (partition by n_chars) t from ld)"], "select sum(rk) filter (quality = 1) - count(*) filter (quality = 1) * (count(*) filter (quality = 1) + 1) / 2 u, count(*) filter (quality = 1) n1, count(*) filter (quality = 0) n0, sum(t::double * t - 1) tie_term from r", "n1, n0", "u, tie_term"))(lambda s, d: inf.mann_whitney(quality(s, d), "n_chars", "quality").drop("p"))
-query("i14b_mann_whitney_p")(lambda s, d: inf.mann_whitney(quality(s, d), "n_chars", "quality"))
-query("i15_pearson", sql(PR, "select model, count(*) n, corr(s, instance_id) r from recs where arm = 'SC' group by all", "model, n", "r"))(lambda s, d: inf.pearson(vo.records(P(s, d)).where("arm = 'SC'"), "s", "instance_id", ["model"]))
-query("i16_spearman_slots", sql([fx.PATHS_SQL, "sl as (select model, task, seed, path, sum(y)::bigint h from paths where arm = 'PT' and seed in (0, 1) group by all)", "rk as (select *, rank() over (partition by model, task, seed order by h) + (count(*) over (partition by model, task, seed, h) - 1) / 2 r from sl)"], "select a.model, a.task, count(*) n, case when stddev_pop(a.r) > 0 and stddev_pop(b.r) > 0 then corr(a.r, b.r) end r from rk a join rk b on a.model = b.model and a.task = b.task and a.path = b.path and a.seed = 0 and b.seed = 1 group by all", f"{CM}, n", "r"))(
+RANKED = "r as (select quality, rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2 rk, count(*) over (partition by n_chars) t from ld)"
+UT = "ut as (select sum(rk) filter (quality = 1) - count(*) filter (quality = 1) * (count(*) filter (quality = 1) + 1) / 2 u, count(*) filter (quality = 1) n1, count(*) filter (quality = 0) n0, sum(t::double * t - 1) tie_term from r)"
+query("i14_mann_whitney", sql([LD, RANKED, UT], "select * from ut", "n1, n0", "u, tie_term"))(lambda s, d: inf.mann_whitney(quality(s, d), "n_chars", "quality").drop("p"))
+query("i14b_mann_whitney_p", sql([LD, RANKED, UT], f"select *, {ta.rank_sum_normal_sql('u', 'n1', 'n0', 'tie_term')} p from ut", "n1, n0", "u, tie_term, p"))(lambda s, d: inf.mann_whitney(quality(s, d), "n_chars", "quality"))
+# all ways to choose the first group's ranks give the exact distribution of U
+RANKS = """bo as (select model, task, -1 rep, case when abs(rs) >= 0.01::double then 100 * (rp - rs) / abs(rs) end drho from aw union all select model, task, rep, drho from bd),
+bg as (select rep, case task when 'F' then 1 else 0 end g, drho v, count(*) filter (drho is null) over (partition by rep) missing, rank() over (partition by rep order by drho) + (count(*) over (partition by rep, drho) - 1) / 2 rk, count(*) over (partition by rep, drho) t from bo where task in ('F', 'O')),
+bt as (select rep, max(missing) missing, sum(rk) filter (g = 1) - count(*) filter (g = 1) * (count(*) filter (g = 1) + 1) / 2 u, count(*) filter (g = 1) n1, count(*) filter (g = 0) n0, sum(t::double * t - 1) ties from bg group by rep),
+nn as (select max(n1)::int n1, max(n0)::int n0 from bt),
+su as (select list_sum(list_transform(range(n1 + n0), lambda i: case when (x >> i) & 1 = 1 then i + 1 else 0 end)) - n1 * (n1 + 1) / 2 u from nn, (select unnest(range((1 << (n1 + n0))::bigint))::bigint x from nn) where bit_count(x) = n1),
+pe as (select bt.rep, least(1.0::double, 2 * avg((su.u >= greatest(bt.u, n1 * n0 - bt.u))::int)) pe from bt, su where missing = 0 and ties = 0 group by bt.rep, n1, n0),
+pp as (select bt.*, coalesce(pe, case when missing = 0 then """ + ta.rank_sum_normal_sql("u", "n1", "n0", "ties") + """ end) p from bt left join pe using (rep))"""
+query("i14c_replicated_rank_test", sql([fx.PATHS_SQL, RECS8, RHO, DELTA, DRHO, RANKS], "select max(u) filter (rep = -1 and missing = 0) u, max(p) filter (rep = -1) p, max(n1) n1, max(n0) n0, count(*) filter (rep >= 0 and missing = 0) used, count(*) filter (rep >= 0 and missing > 0) dropped, avg((p < 0.05::double)::int) filter (rep >= 0 and missing = 0) share from pp", "n1, n0, used, dropped", "u, p, share"))(
+    lambda s, d: inf.replicated_rank_test(inf.paired_rho_replicates(matched_masks(s, d), PAIRED).withColumn("g", F.when(F.col("task") == "F", 1).when(F.col("task") == "O", 0)), "drho", "g", 0.05)
+)
+P_SQL = "case when n > 2 then " + ta.beta_sql("((n - 2) / 2.0::double)", "0.5::double", "(1 - r * r)") + " when n = 2 and r is not null then 1.0::double end"
+query("i15_pearson", sql(PR, f"select *, {P_SQL} p from (select model, count(*) n, corr(s, instance_id) r from recs where arm = 'SC' group by all)", "model, n", "r, p"))(lambda s, d: inf.pearson(vo.records(P(s, d)).where("arm = 'SC'"), "s", "instance_id", ["model"]))
+query("i16_spearman_slots", sql([fx.PATHS_SQL, "sl as (select model, task, seed, path, sum(y)::bigint h from paths where arm = 'PT' and seed in (0, 1) group by all)", "rk as (select *, rank() over (partition by model, task, seed order by h) + (count(*) over (partition by model, task, seed, h) - 1) / 2 r from sl)", "sr as (select a.model, a.task, count(*) n, case when stddev_pop(a.r) > 0 and stddev_pop(b.r) > 0 then corr(a.r, b.r) end r from rk a join rk b on a.model = b.model and a.task = b.task and a.path = b.path and a.seed = 0 and b.seed = 1 group by all)"], f"select *, {P_SQL} p from sr", f"{CM}, n", "r, p"))(
     lambda s, d: inf.spearman_slots(P(s, d).where("arm = 'PT'").groupBy("model", "task", "seed", "path").agg(F.sum("y").alias("hits")), 0, 1)
 )

@@ -40,18 +40,3 @@ def test_block_reasons(spark):
     assert co.block_k_eff(vo.records(paths(spark, ["00000000"] * 24))).first().reason == "base accuracy"
     assert co.block_k_eff(vo.records(paths(spark, ["11111111"] * 24))).first().reason == "no correlation"
     assert co.block_k_eff(vo.records(paths(spark, rows[:6]))).first().reason == "too few rows"
-
-
-def test_exact_rank_sum_p():
-    # all 20 arrangements of 3 against 3: U of 0 or 9 has probability 2/20
-    assert inf.rank_sum_p(9, 3, 3, 0) == pytest.approx(0.1)
-    assert inf.rank_sum_p(0, 3, 3, 0) == pytest.approx(0.1)
-    assert inf.rank_sum_p(5, 3, 3, 0) == pytest.approx(1.0, abs=0.31)
-
-
-def test_identical_arms_give_zero_draws(spark):
-    rows = [("m", "t", i % 5, (0, 255, 15, 255)[i % 4], (0, 255, 15, 255)[i % 4]) for i in range(40)]
-    m = spark.createDataFrame(rows, "model string, task string, cluster_idx long, sc_mask long, pt_mask long")
-    plan = spark.range(20).selectExpr("id rep", "explode(sequence(0L, 4L)) draw").selectExpr("rep", "draw", "(rep * 3 + draw * 7) % 5 cluster_idx")
-    got = inf.paired_rho_bootstrap(m, plan).first()
-    assert got.drho_lo == got.drho_hi == 0.0
