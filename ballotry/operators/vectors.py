@@ -1,4 +1,4 @@
-"""Metrics of vector tables: rates, interference, separability, pooling."""
+"""Metrics of vector tables: rates, interference, label bins, pooling."""
 
 from __future__ import annotations
 
@@ -48,24 +48,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n)
 
 
-def participation_ratio(vectors: DataFrame, by: list[str], column: str = "embedding") -> DataFrame:
-    """(sum of eigenvalues)^2 / sum of their squares of the covariance, without an eigensolver: trace
-    squared over the squared Frobenius norm, from sums of products. Fewer than two rows give 1.
-
-    Products are summed inside each task before the shuffle, so it moves D^2 rows a group and task.
-    """
-    v = F.transform(column, lambda x: x.cast("double"))
-    rows = vectors.select(*by, v.alias("v"))
-    first = rows.select(*by, F.posexplode("v").alias("i", "x")).groupBy(*by, "i").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
-    cross = rows.select(*by, F.posexplode("v").alias("i", "x"), "v").select(*by, "i", "x", F.posexplode("v").alias("j", "y"))
-    pair = cross.groupBy(*by, "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("sxy"))
-    a = first.select(*by, "i", F.col("s").alias("si"), "n")
-    b = first.select(*by, F.col("i").alias("j"), F.col("s").alias("sj"))
-    cov = pair.join(a, [*by, "i"]).join(b, [*by, "j"]).withColumn("c", (F.col("sxy") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1))
-    out = cov.groupBy(*by).agg(F.max("n").alias("n"), F.sum(F.when(F.col("i") == F.col("j"), F.col("c"))).alias("trace"), F.sum(F.col("c") * F.col("c")).alias("norm"))
-    return out.select(*by, F.when((F.col("n") < 2) | (F.col("norm") <= 0), F.lit(1.0)).otherwise(F.col("trace") * F.col("trace") / F.col("norm")).alias("ratio"))
-
-
 def confusability(candidates: DataFrame, by: str, slot: str, weight: str, column: str = "embedding") -> DataFrame:
     """Weighted mean cosine of candidate pairs of each output; 0 for fewer than two or no weight."""
     a = candidates.select(by, F.col(slot).alias("i"), F.col(weight).cast("double").alias("wi"), F.transform(column, lambda x: x.cast("double")).alias("a"))
@@ -92,53 +74,32 @@ def head_specialisation(vectors: DataFrame, head: str, column: str = "embedding"
     return p.agg(F.coalesce(1 - F.avg(cosine(F.col("a"), F.col("b"))), F.lit(1.0)).alias("specialisation"), F.count("*").alias("pairs"))
 
 
-def separability(vectors: DataFrame, label: str, column: str = "embedding", folds: int = 5, fold: Column | None = None) -> DataFrame:
-    """Cross-validated balanced accuracy of a multinomial logistic probe, by fold."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    rows = vectors.select(array_to_vector(F.transform(column, lambda x: x.cast("double"))).alias("features"), F.col(label).cast("double").alias("label"), (fold if fold is not None else F.pmod(F.xxhash64(column), F.lit(folds))).alias("fold"))
-    out = None
-    for f in range(folds):
-        model = LogisticRegression(maxIter=20, regParam=0.01).fit(rows.where(F.col("fold") != f))
-        hit = model.transform(rows.where(F.col("fold") == f)).groupBy("label").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("recall"))
-        own = hit.agg(F.avg("recall").alias("balanced_accuracy"), F.count("*").alias("classes")).withColumn("fold", F.lit(f))
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-def information_bound(vectors: DataFrame, label: str, column: str = "embedding", layers: tuple[int, ...] = (64,), seed: int = 7) -> DataFrame:
-    """Lower bound on the information (bits) that vectors hold about a label: mean log probability of the
-    true class by a perceptron, plus the label's entropy, 0 at least and with fewer than ten rows."""
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows = vectors.select(array_to_vector(F.transform(column, lambda x: x.cast("double"))).alias("features"), F.col(label).cast("double").alias("label"))
-    n, classes, dim = rows.count(), int(rows.agg(F.coalesce(F.max("label"), F.lit(0))).first()[0]) + 1, vectors.select(F.max(F.size(column))).first()[0]
-    spark = vectors.sparkSession
-    if n < 10 or classes < 2:
-        return spark.createDataFrame([(0.0,)], "bits double")
-    model = MultilayerPerceptronClassifier(layers=[dim, *layers, classes], maxIter=30, seed=seed).fit(rows)
-    p = F.element_at(vector_to_array("probability"), F.col("label").cast("int") + 1)
-    fit = model.transform(rows).agg(F.avg(F.log2(F.greatest(p, F.lit(1e-15)))).alias("fit"))
-    h = rows.groupBy("label").count().select((F.col("count") / n).alias("p")).agg((-F.sum(F.col("p") * F.log2("p"))).alias("h"))
-    return fit.crossJoin(h).select(F.greatest(F.lit(0.0), F.col("fit") + F.col("h")).alias("bits"))
-
-
 def label_entropy(rows: DataFrame, label: str) -> DataFrame:
     n = rows.count()
     p = rows.groupBy(label).count().select((F.col("count") / n).alias("p"))
     return p.agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"), F.count("*").alias("classes"))
 
 
-def label_bins(rows: DataFrame, label: str, bins: int = 20) -> DataFrame:
-    """rows with a bin: numeric labels with more than ``bins`` values by quantiles, others by hash."""
-    few = rows.select(label).distinct().limit(bins + 1).count() <= bins
-    if few:
-        return rows.withColumn("bin", F.col(label).cast("string"))
-    edges = rows.agg(F.percentile(label, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("q"))
-    placed = rows.crossJoin(F.broadcast(edges))  # one row of edges
-    return placed.withColumn("bin", F.size(F.filter("q", lambda e: e < F.col(label))).cast("string")).drop("q")
+def label_bins(rows: DataFrame, label: str, bins: int = 20, numeric: float = 0.8, accuracy: int = 10_000) -> DataFrame:
+    """rows with a text column ``bin``: labels of up to ``bins`` values as they are; else, where more than the share
+    ``numeric`` of the rows are numbers, equal parts of the numbers (what is no number counts as 0), else by hash.
+
+    Edges come from a sketch that tasks merge: an edge's rank is off by at most rows / accuracy. Null labels stay null.
+    """
+    text = F.col(label).cast("string")
+    if rows.select(text.alias("l")).where("l is not null").distinct().limit(bins + 1).count() <= bins:
+        return rows.withColumn("bin", text)
+    number = F.expr(f"try_cast(try_cast(`{label}` as string) as double)")
+    number = F.when(F.isnan(number), None).otherwise(number)
+    edges = F.percentile_approx(number, [i / bins for i in range(1, bins + 1)], accuracy)
+    found = rows.agg(F.count(number).alias("numbers"), F.count(text).alias("n"), edges.alias("q")).first()  # a row of ``bins`` edges
+    if found["numbers"] > numeric * found["n"]:
+        q = F.array(*[F.lit(float(x)) for x in found["q"]])
+        x = F.coalesce(number, F.lit(0.0))
+        made = F.least(F.size(F.filter(q, lambda e: e < x)), F.lit(bins - 1))
+    else:
+        made = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % bins
+    return rows.withColumn("bin", F.when(text.isNotNull(), made.cast("string")))
 
 
 def interference_summary(rows: DataFrame, confus: str, separ: str) -> DataFrame:

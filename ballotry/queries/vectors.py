@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ballotry import fixtures as fx
 from ballotry.operators import correlation as co
 from ballotry.operators import inference as inf
+from ballotry.operators import fits as ft
 from ballotry.operators import quality as ql
+from ballotry.operators import trials as tr
 from ballotry.operators import vectors as ve
 from ballotry.operators import votes as vo
 from ballotry.operators.tokens import token_f1
@@ -43,7 +45,7 @@ query("o02_top_probabilities", sql([EM, SOFT, TOP], f"select vec_id, tp[1] first
 )
 query("w07_dominant", sql([EM], "select vec_id, list_position(e, list_max(e))::bigint - 1 dominant from em", "vec_id, dominant"))(lambda s, d: E(s, d).select("vec_id", ve.dominant(dbl()).alias("dominant")))
 UN = "un as (select vec_id, label, unnest(e) x, generate_subscripts(e, 1) i from em)"
-query("v02_participation_ratio", sql([EM, UN, "cv as (select a.label, a.i, b.i j, covar_samp(a.x, b.x) c from un a join un b using (vec_id) group by all)"], "select label, sum(c) filter (i = j) ^ 2 / sum(c * c) ratio from cv group by label", "label", "ratio"))(lambda s, d: ve.participation_ratio(E(s, d), ["label"]))
+query("v02_participation_ratio", sql([EM, UN, "cv as (select a.label, a.i, b.i j, covar_samp(a.x, b.x) c from un a join un b using (vec_id) group by all)"], "select label, sum(c) filter (i = j) ^ 2 / sum(c * c) ratio from cv group by label", "label", "ratio"))(lambda s, d: tr.participation_ratio(E(s, d), ["label"]))
 CAND = "cd as (select vec_id // 5 output_id, vec_id % 5 slot, (1 + vec_id % 7)::double w, e from em)"
 CONF = "cf as (select a.output_id, sum(a.w * b.w * list_cosine_similarity(a.e, b.e)) / sum(a.w * b.w) c from cd a join cd b on a.output_id = b.output_id and a.slot < b.slot group by all)"
 
@@ -55,18 +57,56 @@ def candidates(s, d):
 query("v03_confusability", sql([EM, CAND, CONF], "select output_id, coalesce(c, 0) confusability from (select distinct output_id from cd) left join cf using (output_id)", "output_id", "confusability"))(lambda s, d: ve.confusability(candidates(s, d), "output_id", "slot", "w"))
 MEANS = "mv as (select label, list(m order by i) m from (select label, i, avg(x) m from un group by all) group by label)"
 query("v04_head_specialisation", sql([EM, UN, MEANS], "select 1 - avg(list_cosine_similarity(a.m, b.m)) specialisation, count(*) pairs from mv a join mv b on a.label < b.label", "pairs", "specialisation"))(lambda s, d: ve.head_specialisation(E(s, d), "label"))
-query("v05_separability")(lambda s, d: ve.separability(E(s, d), "label", fold=F.col("vec_id") % 5))
-query("v06_information_bound")(lambda s, d: ve.information_bound(E(s, d), "label"))
+query("v05_separability")(lambda s, d: ft.separability(E(s, d).withColumn("part", F.lit("all")), "label", "vec_id", ["part"]))
+query("v06_information_bound")(lambda s, d: ft.information_rate(E(s, d).withColumn("method", F.col("vec_id") % 2).withColumn("passes", 1 + F.col("vec_id") % 3), "label", ["method"], budget="passes"))
 query("v06b_label_entropy", sql([EM], "select -sum(p * log2(p)) entropy, count(*) classes from (select count(*)::double / sum(count(*)) over () p from em group by label)", "classes", "entropy"))(lambda s, d: ve.label_entropy(E(s, d), "label"))
-query("v07_label_bins", "with q as (select quantile_cont(n_chars, [" + ", ".join(f"{i / 20}" for i in range(1, 20)) + "]) q from documents) select bin, count(*) n from (select len(list_filter(q, lambda e: e < n_chars))::varchar bin from documents, q) group by bin")(
+query("v07_label_bins", "with n as (select quantile_disc(n_chars, [" + ", ".join(f"{i / 20}" for i in range(1, 21)) + "]) q from documents) select bin, count(*) n from (select least(len(list_filter(q, lambda e: e < n_chars)), 19)::varchar bin from documents, n) group by bin")(
     lambda s, d: ve.label_bins(fx.read(s, d, "documents").select("n_chars"), "n_chars").groupBy("bin").agg(F.count("*").alias("n"))
 )
+query("v07b_text_label_bins", "select (('0x' || substr(md5(url), 1, 8))::bigint % 20)::varchar bin, count(*) n from pages where url is not null group by bin")(
+    lambda s, d: ve.label_bins(fx.read(s, d, "pages").select("url"), "url").where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"))
+)
 query("v08_pooled_vectors", sql([EM, CAND, "ux as (select output_id, w, unnest(e) x, generate_subscripts(e, 1) i from cd)"], "select output_id, i - 1 i, sum(w * x) / sum(w) m from ux group by all", "output_id, i", "m"))(
     lambda s, d: ve.mean_vectors(candidates(s, d), ["output_id"], weight=F.col("w")).select("output_id", F.posexplode("mean").alias("i", "m")).withColumn("i", F.col("i").cast("long"))
 )
 query("v09_interference_summary", sql([EM, CAND, CONF], "select avg(coalesce(c, 0)) conf_mean, stddev_pop(coalesce(c, 0)) conf_std, avg((coalesce(c, 0) > 0.8)::int) conf_high, avg(1 - coalesce(c, 0)) sep_mean, avg((1 - coalesce(c, 0) < 0.4)::int) sep_low from (select distinct output_id from cd) left join cf using (output_id)", "", "conf_mean, conf_std, conf_high, sep_mean, sep_low"))(
     lambda s, d: ve.interference_summary(ve.confusability(candidates(s, d), "output_id", "slot", "w").withColumn("sep", 1 - F.col("confusability")), "confusability", "sep")
 )
+TRIAL = ["method", "k", "seed"]
+
+
+def trials(s, d):
+    """Nested records of trials: ten vectors are an output of two steps with five candidates each."""
+    v = E(s, d).select(F.expr("vec_id div 10").alias("o"), F.expr("vec_id % 10 div 5").alias("step"), (F.col("vec_id") % 5).alias("slot"), (1 + F.col("vec_id") % 7).cast("double").alias("w"), dbl().alias("e"), "label")
+    c = v.groupBy("o", "step").agg(F.sort_array(F.collect_list(F.struct("slot", "w", "e"))).alias("c"), F.sum("w").alias("all"), F.max("label").alias("label"))
+    merged = F.transform(F.sequence(F.lit(0), F.size(F.col("c")[0]["e"]) - 1), lambda i: F.aggregate("c", F.lit(0.0), lambda t, x: t + x["w"] * F.get(x["e"], i)) / F.col("all"))
+    heads = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda h: F.slice(F.col("c")[0]["e"], h * 16 + 1, 16))
+    step = F.struct("step", F.transform("c", lambda x: x["w"] / F.col("all")).alias("p"), F.transform("c", lambda x: x["e"]).alias("v"), merged.alias("m"), heads.alias("h"))
+    one = c.withColumn("s", step).groupBy("o").agg(F.sort_array(F.collect_list("s")).alias("s"), F.max("label").alias("label"))
+    part = lambda x: F.transform("s", lambda e: e[x])
+    return one.select(
+        F.when(F.col("o") % 2 == 0, "soft").otherwise("tree").alias("method"), F.lit(5).cast("long").alias("k"), (F.col("o") % 3).alias("seed"), F.col("o").alias("output_id"), (F.col("o") % 3 == 0).cast("double").alias("ok"), (F.col("o") % 4 < 2).cast("double").alias("ref_ok"),
+        (10 + F.col("o") % 5).alias("forward_passes"), (100 + F.col("o") % 50).alias("tokens"), part("p").alias("candidate_probs"), part("v").alias("candidate_embeddings"), part("m").alias("aggregated_embeddings"), part("h").alias("attention"),
+        F.get(part("m"), F.size("s") - 1).alias("hidden"), "label",
+    )
+
+
+TRIALS = """tc as (select vec_id // 10 o, vec_id % 10 // 5 st, vec_id % 5 slot, (1 + vec_id % 7)::double w, e from em),
+to_ as (select distinct o, case when o % 2 = 0 then 'soft' else 'tree' end method, 5::bigint k, o % 3 seed from tc),
+tp as (select *, w / sum(w) over (partition by o, st) p, count(*) over (partition by o, st) c from tc),
+te as (select o, st, -sum(p * log2(p)) h from tp where c > 1 group by all),
+tf as (select a.o, a.st, sum(a.p * b.p * list_cosine_similarity(a.e, b.e)) / sum(a.p * b.p) cf from tp a join tp b on a.o = b.o and a.st = b.st and a.slot < b.slot group by all),
+tu as (select o, st, i, sum(p * x) m from (select o, st, p, unnest(e) x, generate_subscripts(e, 1) i from tp) group by all),
+tg as (select method, seed, i, j, covar_samp(x, y) c from (select a.o, a.i, b.i j, a.m x, b.m y from tu a join tu b on a.o = b.o and a.st = b.st) join to_ using (o) group by all),
+tr as (select method, seed, sum(c) filter (i = j) ^ 2 / sum(c * c) r_geom from tg group by all),
+th as (select o, st, (i - 1) // 16 h, (i - 1) % 16 pos, x from (select o, st, unnest(e) x, generate_subscripts(e, 1) i from (select *, row_number() over (partition by o, st order by slot) r from tp) where r = 1)),
+tv as (select method, seed, h, list(x order by pos) v from (select method, seed, h, pos, avg(x) x from th join to_ using (o) group by all) group by all),
+ti as (select a.method, a.seed, 1 - avg(list_cosine_similarity(a.v, b.v)) i_head from tv a join tv b on a.method = b.method and a.seed = b.seed and a.h < b.h group by all),
+ta as (select method, k, seed, avg((o % 3 = 0)::int) accuracy, avg((o % 4 < 2)::int) - avg((o % 3 = 0)::int) d, sum(10 + o % 5)::bigint total_forward_passes, sum(100 + o % 50)::bigint total_tokens, count(*) outputs from to_ group by all),
+tm as (select method, seed, avg(h) r_dist, avg(cf) i_conf from te join tf using (o, st) join to_ using (o) group by all),
+tx as (select * from ta join tm using (method, seed) join tr using (method, seed) join ti using (method, seed))"""
+query("v10_trial_metrics", sql([EM, TRIALS], "select * from tx", "method, k, seed, total_forward_passes, total_tokens, outputs", "accuracy, r_dist, r_geom, d, i_head, i_conf"))(lambda s, d: tr.trial_metrics(trials(s, d), TRIAL))
+query("v10b_fitted_trial_metrics")(lambda s, d: tr.fitted_trial_metrics(trials(s, d), TRIAL, "output_id", "label", hidden=64))
 KEY = ["model", "task", "seed", "instance_id"]
 DIST = "me as (select model, task, seed, instance_id, max(y) filter (path = 0) ok, max(y) any_ok from paths where arm = 'PT' group by all), rf as (select model, task, seed, instance_id, case when 2 * sum(y) > 32 then 1.0::double when 2 * sum(y) = 32 then 0.5::double else 0.0::double end ref_ok from paths where arm = 'SC' group by all)"
 
