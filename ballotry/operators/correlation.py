@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ballotry.functions import closed_forms as cf
 
-from .votes import CELL, RECORD, majority, prefix, prefix_records, records, slot_variation, weighted_majority
+from .votes import CELL, RECORD, WORD_PATHS, majority, prefix, prefix_records, records, slot_variation, weighted_majority
 
 
 def pair_sums(recs: DataFrame, by: list[str] = CELL) -> DataFrame:
@@ -25,10 +25,16 @@ def pair_sums(recs: DataFrame, by: list[str] = CELL) -> DataFrame:
     Each task adds up one matrix product of votes a cell and batch, and gives one row for each cell and
     pair, so what is shuffled doesn't grow with the records.
     """
-    pairs = 63 * 62 // 2
+
+    def votes(masks: pd.Series, k: int) -> np.ndarray:
+        """Rows x k votes; masks of several words hold 63 paths in each."""
+        words = np.stack(masks.to_numpy()) if len(masks) and isinstance(masks.iloc[0], (list, np.ndarray)) else masks.to_numpy()[:, None]
+        path = np.arange(k)
+        return (words.astype(np.int64)[:, path // WORD_PATHS] >> (path % WORD_PATHS) & 1).astype(float)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
+        held = 0
 
         def rows() -> pd.DataFrame:
             out = []
@@ -43,16 +49,20 @@ def pair_sums(recs: DataFrame, by: list[str] = CELL) -> DataFrame:
 
         for batch in batches:
             for key, own in batch.groupby(by, dropna=False, sort=False):
-                shift = np.arange(int(own.k.max()), dtype=np.uint64)
-                there = (own.k.to_numpy()[:, None] > shift[None, :]).astype(float)
-                y = (own["mask"].to_numpy().astype(np.uint64)[:, None] >> shift & np.uint64(1)).astype(float)
-                new = np.zeros((3, 63, 63))
-                m = len(shift)
-                new[0, :m, :m], new[1, :m, :m], new[2, :m, :m] = there.T @ there, y.T @ there, y.T @ y
+                m = int(own.k.max())
+                there = (own.k.to_numpy()[:, None] > np.arange(m)[None, :]).astype(float)
+                y = votes(own["mask"], m)
+                new = np.stack([there.T @ there, y.T @ there, y.T @ y])
                 key = tuple(None if x != x else x for x in key)
-                sums[key] = sums[key] + new if key in sums else new
-            if len(sums) * pairs > 1_000_000:
+                old = sums.get(key)
+                if old is not None and old.shape[1] != m:
+                    size = max(m, old.shape[1])
+                    new, old = (np.pad(x, ((0, 0), (0, size - x.shape[1]), (0, size - x.shape[1]))) for x in (new, old))
+                held += 0 if old is not None else m * m
+                sums[key] = new if old is None else old + new
+            if held > 4_000_000:
                 yield rows()
+                held = 0
         if sums:
             yield rows()
 
@@ -82,7 +92,7 @@ def pairwise_rho(recs: DataFrame, by: list[str] = CELL) -> DataFrame:
 
 
 def pairwise_rho_join(paths: DataFrame, by: list[str] = CELL) -> DataFrame:
-    """The same by a self-join of paths, for more than 63 paths and as a cross-check."""
+    """The same by a self-join of paths, as a cross-check."""
     key = [*by, *[x for x in ("seed", "instance_id") if x not in by]]
     a = paths.select(*key, F.col("path").alias("i"), F.col("y").alias("yi"))
     b = paths.select(*key, F.col("path").alias("j"), F.col("y").alias("yj"))
@@ -120,14 +130,15 @@ def ceiling(c: Column) -> Column:
     return F.when(c > 0, 1 / c)
 
 
-def exact_k(paths: DataFrame, ks: tuple[int, ...] = (1, 2, 4, 8, 16, 32)) -> DataFrame:
+def exact_k(paths: DataFrame, ks: tuple[int, ...] = (1, 2, 4, 8, 16, 32), width: int = WORD_PATHS) -> DataFrame:
     """Row of the first kk paths for every kk: records n, seeds, path accuracy, plurality vote (mv_acc) and binary
     vote, agreement, rho over pairs with its K_eff, ceiling and share of it, the pooled c_hat, mean tokens, and
     mean and standard deviation over seeds of path accuracy.
 
-    All prefixes come from one table of records and one matrix of pair correlations.
+    All prefixes come from one table of records and one matrix of pair correlations. Records of more than 63 paths need
+    their largest number of paths as ``width``.
     """
-    recs = prefix_records(paths, {str(k): F.lit(k) for k in ks})
+    recs = prefix_records(paths, {str(k): F.lit(k) for k in ks}, width)
     one = recs.select(*RECORD, F.explode("prefixes").alias("p")).select(*RECORD, F.col("p.name").cast("long").alias("kk"), "p.k", "p.s", "p.won", "p.tokens")
     key = [*CELL, "kk"]
     s, k = F.col("s"), F.col("k")
@@ -182,9 +193,9 @@ def block_k_eff(recs: DataFrame, least_rows: int = 20, least_p: float = 0.02) ->
     return out.select(*CELL, "reason", "block_keff", F.when(F.col("reason").isNull(), F.col("block_keff") / vote).alias("ratio"))
 
 
-def slot_covariance(paths: DataFrame, by: list[str] = CELL) -> DataFrame:
+def slot_covariance(paths: DataFrame, by: list[str] = CELL, width: int = WORD_PATHS) -> DataFrame:
     """Means and sample covariances of all path pairs i <= j."""
-    recs = records(paths)
+    recs = records(paths, width)
     pairs = pair_sums(recs, by)
     own = paths.groupBy(*by, F.col("path").alias("i")).agg(F.count("*").alias("n"), F.sum("y").alias("si"))
     own = own.select(*by, "i", F.col("i").alias("j"), "n", "si", F.col("si").alias("sj"), F.col("si").alias("sij"))

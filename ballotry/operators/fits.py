@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ballotry.plans.numbering import numbered
-from ballotry.sources.shared import new_folder
+from ballotry.sources.shared import written
 
 Key = tuple
 
@@ -59,9 +59,7 @@ def _prepared(vectors: DataFrame, by: list[str], label: str, column: str, order:
     base = vectors.where(F.col(column).isNotNull() & F.col(label).isNotNull()).select(*by, F.transform(column, lambda x: x.cast("double")).alias("__x"), F.col(label).cast("string").alias("__y"), *([F.col(order).alias("__order")] if order else []))
     if order:
         base = numbered(base, [*by, "__y"], "__order", name="__at", size="__size").drop("__order")
-    folder = new_folder(vectors.sparkSession)
-    base.write.parquet(folder)
-    rows = vectors.sparkSession.read.parquet(folder)
+    rows = written(base)
     labels: dict[Key, list] = {}
     sizes: dict[Key, int] = {}
     for r in rows.groupBy(*by, "__y").agg(F.count("*").alias("n")).orderBy("__y").collect():

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballotry.plans.numbering import numbered
+from ballotry.sources.shared import written
+
 KEY = ["model", "task", "seed", "instance_id"]
 
 
@@ -69,11 +72,10 @@ def grid_report(recs: DataFrame, seeds: list[int], n: Column | int) -> DataFrame
 def two_folds(keys: DataFrame, frac: float = 0.5, seed: int = 2026) -> DataFrame:
     """Disjoint folds A and B of each cell's questions, by an integer hash order cut at floor(m * frac), 1 to m - 1."""
     cell = ["model", "task"]
-    q = keys.select(*cell, "instance_id").distinct()
-    order = Window.partitionBy(*cell).orderBy((F.col("instance_id") * 7919 + seed) % 1000003, "instance_id")
-    m = F.count("*").over(Window.partitionBy(*cell))
-    cut = F.greatest(F.lit(1), F.least(m - 1, F.floor(m * F.lit(frac))))
-    return q.withColumn("pos", F.row_number().over(order)).withColumn("fold", F.when(F.col("pos") <= cut, "A").otherwise("B")).select(*cell, "instance_id", "fold")
+    q = written(keys.select(*cell, "instance_id").distinct()).withColumn("__hash", (F.col("instance_id") * 7919 + seed) % 1000003)
+    placed = numbered(q, cell, "__hash", ["instance_id"], name="__at", size="__m")
+    cut = F.greatest(F.lit(1), F.least(F.col("__m") - 1, F.floor(F.col("__m") * F.lit(frac))))
+    return placed.withColumn("fold", F.when(F.col("__at") < cut, "A").otherwise("B")).select(*cell, "instance_id", "fold")
 
 
 def leave_one_seed_out(recs: DataFrame) -> DataFrame:
@@ -84,8 +86,8 @@ def leave_one_seed_out(recs: DataFrame) -> DataFrame:
 
 def first_instances(recs: DataFrame, n: int) -> DataFrame:
     """The first n questions of each task in every cell."""
-    w = Window.partitionBy("model", "task").orderBy("instance_id")
-    return recs.select("model", "task", "instance_id").distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")
+    q = written(recs.select("model", "task", "instance_id").distinct())
+    return numbered(q, ["model", "task"], "instance_id", name="r").where(F.col("r") < n).drop("r")
 
 
 def alias_bucket(pred: Column, gold: Column, aliases: Column, norm) -> Column:

@@ -14,31 +14,42 @@ CELL = ["model", "task", "arm"]
 RECORD = [*CELL, "seed", "instance_id"]
 
 
-def _mask() -> Column:
-    """Bits of the correct paths; masks hold paths 0 to 62, a larger one is an error."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("path").cast("int"))
-    return F.sum(F.when(F.col("path") < 63, bit * F.col("y")).otherwise(F.raise_error(F.lit("vote masks hold 63 paths")).cast("long")))
+#: Paths of a word of a mask.
+WORD_PATHS = 63
 
 
-def records(paths: DataFrame) -> DataFrame:
-    """One row a record: k paths, s correct ones, and their bit mask (up to 63 paths, more are an error)."""
-    return paths.groupBy(*RECORD).agg(F.count("*").alias("k"), F.sum("y").alias("s"), _mask().alias("mask"))
+def _words(width: int) -> list[Column]:
+    """Bits of the correct paths in words of 63; paths from ``width`` on are an error."""
+    out = []
+    for begin in range(0, width, WORD_PATHS):
+        at = F.col("path").cast("int") - begin
+        bit = F.when((at >= 0) & (at < WORD_PATHS), F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(at, F.lit(0)) % 64) * F.col("y")).otherwise(F.lit(0).cast("long"))
+        out.append(F.sum(F.when(F.col("path") < max(width, WORD_PATHS), bit).otherwise(F.raise_error(F.lit(f"vote masks hold {max(width, WORD_PATHS)} paths")).cast("long"))))
+    return out
 
 
-def prefix_records(paths: DataFrame, upto: dict[str, Column]) -> DataFrame:
-    """One row a record: paths, mask, and for each named bound on path a struct (name, k paths, s correct ones,
+def records(paths: DataFrame, width: int = WORD_PATHS) -> DataFrame:
+    """One row a record: k paths, s correct ones, and their bit mask: a number for up to 63 paths, for a larger
+    ``width`` an array of words. More paths than that are an error."""
+    words = _words(width)
+    return paths.groupBy(*RECORD).agg(F.count("*").alias("k"), F.sum("y").alias("s"), (words[0] if len(words) == 1 else F.array(*words)).alias("mask"))
+
+
+def prefix_records(paths: DataFrame, upto: dict[str, Column], width: int = WORD_PATHS) -> DataFrame:
+    """One row a record: paths, mask as in ``records``, and for each named bound on path a struct (name, k paths, s correct ones,
     won: whether the plurality answer is correct, tokens). Missing answers don't vote, ties go to the answer that came first."""
     first = {n: F.col("path") < bound for n, bound in upto.items()}
     own = []
     for n, inside in first.items():
         own += [F.count_if(inside).alias(f"k_{n}"), F.sum(F.when(inside, F.col("y")).otherwise(0)).alias(f"s_{n}"), F.sum(F.when(inside, F.col("gen_len")).otherwise(0)).alias(f"t_{n}")]
-    by_answer = paths.groupBy(*RECORD, "answer").agg(F.count("*").alias("paths"), _mask().alias("mask"), F.min("path").alias("first"), F.max("y").alias("y"), *own)
+    by_answer = paths.groupBy(*RECORD, "answer").agg(F.count("*").alias("paths"), *[w.alias(f"m_{i}") for i, w in enumerate(_words(width))], F.min("path").alias("first"), F.max("y").alias("y"), *own)
     parts = []
     for n in first:
         votes = F.when(F.col("answer").isNotNull() & (F.col(f"k_{n}") > 0), F.struct(F.col(f"k_{n}"), -F.col("first")))
         won = F.coalesce(F.max_by("y", votes), F.lit(0)).cast("double")
         parts.append(F.struct(F.lit(n).alias("name"), F.sum(f"k_{n}").alias("k"), F.sum(f"s_{n}").alias("s"), won.alias("won"), F.sum(f"t_{n}").alias("tokens")))
-    return by_answer.groupBy(*RECORD).agg(F.sum("paths").alias("paths"), F.sum("mask").alias("mask"), F.array(*parts).alias("prefixes"))
+    words = [F.sum(f"m_{i}") for i in range(len(_words(width)))]
+    return by_answer.groupBy(*RECORD).agg(F.sum("paths").alias("paths"), (words[0] if len(words) == 1 else F.array(*words)).alias("mask"), F.array(*parts).alias("prefixes"))
 
 
 def prefix(paths: DataFrame, k: int) -> DataFrame:

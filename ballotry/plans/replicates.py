@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ballotry.sources.shared import new_folder
+from ballotry.sources.shared import written
 
 from .numbering import numbered
 
@@ -63,11 +63,8 @@ def replicate_sums(
     clusters; ``finish`` makes double columns ``results`` of sums (replicates x statistics). Clusters are the distinct
     values of the columns ``cluster``, of which the first is numeric, within a cell, and are numbered in their order.
     """
-    spark = rows.sparkSession
     key = list(by)
-    folder = new_folder(spark)
-    rows.select(*dict.fromkeys([*by, *cluster, *columns])).write.parquet(folder)
-    rows = spark.read.parquet(folder)
+    rows = written(rows.select(*dict.fromkeys([*by, *cluster, *columns])))
     places = numbered(rows.select(*by, *cluster).distinct(), by, cluster[0], cluster[1:], name="__index", size="__m")
     same = [F.col(f"x.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*by, *cluster]]
     own = rows.alias("x").join(places.alias("p"), same).select(*[F.col(f"x.{c}") for c in dict.fromkeys([*by, *columns])], "__index", "__m")

@@ -193,9 +193,13 @@ query("t01_incremental_ingest", "select event_type, count(*) n, count(distinct e
 
 
 def _live(s, d):
-    base = _stream_folders(s, d)
-    st.live_summary(st.once_by_key(st.arriving(s, f"{base}/in", files_per_trigger=2), "event_id"), ["event_type"], "value", f"{base}/sum", f"{base}/ck")
-    return st.read_summary(s, f"{base}/sum", ["event_type"])
+    """A summary by model, task and seed of arriving record files, records of every seventh question twice."""
+    folder, base = fx.record_files(s, d), new_folder(s)
+    s.read.schema(st.RECORDS).json(folder).where("instance_id % 7 = 0").repartition(2).write.mode("append").json(folder)
+    key = ["model_slug", "task", "seed"]
+    stream = st.once_by_key(st.arriving(s, folder, st.RECORDS, files_per_trigger=8), [*key, "instance_id"])
+    st.live_summary(stream.withColumn("tokens", F.aggregate("gen_lens", F.lit(0).cast("long"), lambda t, x: t + x)), key, "tokens", f"{base}/sum", f"{base}/ck")
+    return st.read_summary(s, f"{base}/sum", key)
 
 
-query("t02_live_summary", "select event_type, count(*) n, round(sum(value), 6) + 0.0::double total from events group by all")(_live)
+query("t02_live_summary", sql([fx.PATHS_SQL], "select model model_slug, task, seed, count(distinct instance_id) n, sum(gen_len)::double total from paths where arm = 'SC' group by all", "model_slug, task, seed, n", "total"))(_live)

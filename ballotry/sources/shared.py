@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,3 +23,10 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession) -> str:
     """A folder of one's own below it."""
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: it is computed once, and later steps survive lost executors."""
+    folder = new_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

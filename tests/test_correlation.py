@@ -75,3 +75,20 @@ def test_fold_evaluation_swaps_the_folds(spark):
     a, b = sorted(inf.fold_evaluation(paths).collect(), key=lambda r: r.fold)
     assert (a.fold, b.fold) == ("A", "B") and a.n_pilot == b.n_eval and a.n_instances == 30
     assert a.held_mv_32 == b.same_mv_32 and a.reuse_deploy == b.fixed4
+
+
+def test_a_hundred_paths(spark):
+    rng = np.random.default_rng(8)
+    votes = (rng.random((60, 100)) < 0.3 + 0.4 * rng.random((60, 1))).astype(int)
+    rows = [("m", "t", "SC", r % 2, r, p, str(y), y, 5) for r, row in enumerate(votes.tolist()) for p, y in enumerate(row)]
+    paths = spark.createDataFrame(rows, "model string, task string, arm string, seed long, instance_id long, path long, answer string, y long, gen_len long").repartition(6)
+    got = {r.kk: r for r in co.exact_k(paths, (4, 64, 100), width=100).collect()}
+    for k in (4, 64, 100):
+        m = votes[:, :k].astype(float)
+        r = np.corrcoef(m.T)[np.triu_indices(k, 1)]
+        assert np.isclose(got[k].rho, np.nanmean(r)) and np.isclose(got[k].mean_path_acc, m.mean())
+        assert np.isclose(got[k].binary_acc, np.mean((2 * m.sum(1) > k) + 0.5 * (2 * m.sum(1) == k)))
+    cov = {(r.i, r.j): r.cov for r in co.slot_covariance(paths, width=100).collect()}
+    assert len(cov) == 5050 and np.isclose(cov[3, 99], np.cov(votes.T)[3, 99])
+    with pytest.raises(Exception, match="63 paths"):
+        co.exact_k(paths, (4,)).collect()
