@@ -32,8 +32,8 @@ def strip(x: Column) -> Column:
 
 def thousands_free(x: Column) -> Column:
     """LaTeX thousands separators removed from numbers in which every group after the first has three
-    digits; other numbers stay as they are."""
-    return F.regexp_replace(x, _GROUPING, "$1")
+    digits; other numbers stay as they are. Texts without a separator between digits aren't searched for groups."""
+    return F.when(x.rlike(rf"[0-9]{SEPARATOR}[0-9]"), F.regexp_replace(x, _GROUPING, "$1")).otherwise(x)
 
 
 def clean_number(x: Column) -> Column:

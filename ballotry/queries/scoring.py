@@ -168,24 +168,34 @@ NUMQ = _loose(
     f"coalesce({_last(f'({L})', 'bn')}, nullif(bn, ''), {_last(rf'####\s*({L})', 'cn')}, {_last(rf'(?i)\b(?:final\s+answer|answer)\b\s*(?:is\b|=|:)\s*\$?({L})', 'cn')}, "
     f"case when not truncated then coalesce({_last(rf'(?i)\b(?:result|total)\b\s*(?:is\b|=|:)\s*\$?({L})', 'cn')}, {_last(rf'(?m)=\s*\$?({L})\s*$', 'cn')}, {_last(f'({L})', 'cn')}) end)"
 )
-W = r"[ \t]*(yes|no)(?:[^a-zA-Z]|$)"
 
 
 def _cap(x):
     return f"(upper(left({x}, 1)) || lower(substr({x}, 2)))"
 
 
-YNQ = _cap(f"coalesce({_first('(?i)^' + W, BOXQ)}, {_last('(?i)####' + W)}, {_last('(?i)answer[ \\t]*(?:is|=|:)' + W)}, {_first('(?i)^' + W)}, case when not truncated then {_last('(?i)(?:^|[^a-zA-Z])(yes|no)(?:[^a-zA-Z]|$)')} end)")
-ONE = r"[(]?([ABCD])[)]?(?:[^a-zA-Z]|$)"
-LETQ = f"coalesce({_first('^[ \\t]*' + ONE, BOXQ)}, {_last('####[ \\t]*' + ONE)}, {_last('(?:[Aa]nswer|ANSWER)[ \\t]*(?:is|=|:)[ \\t]*' + ONE)}, case when not truncated then {_last('(?:^|[^a-zA-Z])[(]?([ABCD])[)]?(?:[^a-zA-Z]|$)')} end)"
+def _plain(x):
+    """Letters beyond ASCII as z: words end at other characters in Spark, and at ASCII ones only in DuckDB."""
+    return f"regexp_replace({x}, '[ªµºÀ-ÖØ-öø-ˁͰ-ͽΆ-ҁҊ-ԯא-תء-ي一-鿿ぁ-ヿ가-힣]', 'z', 'g')"
+
+
+TX += [f"ty as (select *, {_plain('ct')} u, {_plain('bt')} ub from tx)"]
+YES_NO = r"\b(yes|no)\b"
+YNQ = _cap(f"coalesce({_last('(?i)' + YES_NO, 'ub')}, {_last(r'(?i)####\s*' + YES_NO, 'u')}, {_last('(?i)' + ex.DECLARES_WORD + YES_NO, 'u')}, {_first(r'(?i)^(yes|no)\b', 'u')}, case when not truncated then {_last('(?i)' + YES_NO, 'u')} end)")
+ONE = r"\b([ABCD])\b"
+LETQ = f"upper(coalesce({_last('(?i)' + ONE, 'ub')}, {_last(r'(?i)####\s*\(?' + ONE, 'u')}, {_last('(?i)' + ex.DECLARES_LETTER + r'\(?' + ONE, 'u')}, {_first(r'^([ABCD])\b', 'u')}, case when not truncated then {_last(ONE, 'u')} end))"
+LINE = f"string_split(regexp_replace(string_split(ct, '####')[-1], '^\\s+', ''), chr(10))[1]"
+LITQ = f"case when contains(ct, '####') then nullif(case when regexp_full_match({LINE}, '`+.*`+') and len({LINE}) - len(ltrim({LINE}, '`')) = len({LINE}) - len(rtrim({LINE}, '`')) then {STRIP.format(f"trim({LINE}, '`')")} else {STRIP.format(LINE)} end, '') end"
+LOW = f"{STRIP.format('lower(trace)')}"
+LABQ = f"coalesce({_first(ex.PARITY, LOW)}, {_last('\\b(even|odd)\\b', _plain(LOW))}, {STRIP.format('trace')})"
 
 
 def tr(name, column, expression):
-    query(name, sql(TX, f"select doc_id, {expression} x from tx", "doc_id, x"))(lambda s, d: fx.traces(s, d).select("doc_id", column().alias("x")))
+    query(name, sql(TX, f"select doc_id, {expression} x from ty", "doc_id, x"))(lambda s, d: fx.traces(s, d).select("doc_id", column().alias("x")))
 
 
 tr("e01_strip_artifacts", lambda: ex.strip_artifacts(trace()), "ct")
-tr("e02_final_segment", lambda: ex.final_segment(F.regexp_replace(trace(), "####", "</think>")), "case when contains(replace(trace, '####', '</think>'), '</think>') then nullif(trim(string_split(string_split(replace(trace, '####', '</think>'), '</think>')[-1], '<|end|>')[1]), '') end")
+tr("e02_final_segment", lambda: ex.final_segment(F.regexp_replace(F.regexp_replace(trace(), "####", "</think>"), "yes", "<|return|>")), "case when contains(trace, '####') then trim(string_split(string_split(string_split(replace(trace, 'yes', '<|return|>'), '####')[-1], '<|return|>')[1], '<|end|>')[1], ' ' || chr(9) || chr(13)) end")
 tr("e03_boxed", lambda: ex.boxed(trace()), BOXQ)
 tr("e03b_boxed_stripped", lambda: ex.boxed(ex.strip_artifacts(trace())), "b3")
 tr("e04_number_answer", lambda: ex.number_answer(trace(), cut()), NUMQ)
@@ -206,10 +216,13 @@ def _uses(p):
 SPANQ = f"coalesce({_use('bt')}, {_uses(r'####\s*([^\n]+)')}, {_uses(ex.DECLARES + r'([^\n]+)')}, case when not truncated then coalesce({_uses(r'(?i)\b(?:therefore|thus|so)\b\s*,?\s*([^\n]+?)(?:\.|$)')}, nullif({_lead("string_split(ct, chr(10))[-1]")}, '')) end)"
 tr("e07_span_answer", lambda: ex.span_answer(trace(), cut()), SPANQ)
 tr("e08_letter_answer", lambda: ex.letter_answer(trace(), cut()), LETQ)
-tr("e09_literal_answer", lambda: ex.literal_answer(trace()), f"nullif(trim(regexp_replace({_last(ex.HASHES)}, '```[a-z]*', '', 'g'), '` '), '')")
+tr("e09_literal_answer", lambda: ex.literal_answer(trace()), LITQ)
 CELLS = {"0": "number", "1": "yesno", "2": "letter", "3": "span", "4": "boxed"}
 tr("e10_extract_by_task", lambda: ex.extract(F.col("cell").cast("string"), trace(), cut(), CELLS), f"nullif(trim(case cell when 0 then {NUMQ} when 1 then {YNQ} when 2 then {LETQ} when 3 then {SPANQ} else b3 end), '')")
-tr("e11_label_answer", lambda: ex.label_answer(trace(), ("even", "odd", "yes")), f"lower(coalesce({_last('(?i)answer[ \\t]*(?:is|=|:)[ \\t]*(even|odd|yes)(?:[^a-zA-Z]|$)')}, {_last('(?i)(?:^|[^a-zA-Z])(even|odd|yes)(?:[^a-zA-Z]|$)')}))")
+tr("e11_label_answer", lambda: ex.label_answer(trace(), "parity"), LABQ)
+BRACK = f"coalesce({_first(ex.BRACKETS, LOW)}, {_last('\\b(invalid|unbalanced|valid|balanced)\\b', _plain(LOW))})"
+tr("e11b_bracket_verdict", lambda: ex.label_answer(trace(), "brackets"), f"coalesce(case when {BRACK} in ('valid', 'balanced') then 'valid' when {BRACK} is not null then 'invalid' end, {STRIP.format('trace')})")
+tr("e11c_sorted_list", lambda: ex.label_answer(F.concat(trace(), F.lit("\nsorted list: [3, "), F.col("gold"), F.lit("]")), "sorted"), f"coalesce(replace({_first(ex.SORTED, 'lower(trace || chr(10) || $$sorted list: [3, $$ || gold || $$]$$)')}, ' ', ''), '')")
 tr("e12_code_block", lambda: ex.code_block(F.concat(trace(), F.lit("\n```py\n"), F.col("gold"), F.lit("\n```\n"))), "regexp_extract_all(trace || chr(10) || '```py' || chr(10) || gold || chr(10) || '```' || chr(10), '(?s)```[a-zA-Z]*\\n(.*?)```', 1)[-1]")
 query("e13_reextraction_audit", sql([*TX, f"x as (select cell, gold, {_tidy(f'coalesce({_first(f'####[ \\t]*({N})')}, {_first(f'(?i)(?:answer|result|total)[ \\t]*(?:is|=|:)?[ \\t]*({N})')}, {_last(f'({N})')})')} old, {NUMQ} new from tx)"],
     "select cell, count(*) paths, count(*) filter (old is distinct from new) changed, count(*) filter (old is null) null_before, count(*) filter (new is null) null_after, avg(coalesce(old = gold, false)::int) acc_before, avg(coalesce(new = gold, false)::int) acc_after from x group by all", "cell, paths, changed, null_before, null_after", "acc_before, acc_after"))(

@@ -55,3 +55,59 @@ def test_span_answer(spark, text, cut, want):
 def test_placeholders(spark):
     got = values(spark, ["#### <answer>", "#### ####", "#### Rome"], ex.span_answer(F.col("t"), F.lit(True), placeholders=False))
     assert got == [(None,), (None,), ("Rome",)]
+
+
+@pytest.mark.parametrize("text,cut,want", [
+    ("the answer is b", False, "B"), ("B. because A is wrong", False, "B"), ("B. because A is wrong", True, "B"), (r"\boxed{\text{D}} not A", False, "D"), ("answer: C\nUser: answer: A", False, "C"),
+    ("correct answer: (d)", True, "D"), ("correct is A", True, "A"), ("#### (c)", True, "C"), ("I think B or C", True, None), ("I think B or C", False, "C"), ("a or b", False, None), ("<think>A</think>\nB", False, "B"), (r"\boxed{none} answer = A", True, "A"), ("", False, None),
+])
+def test_letter_answer(spark, text, cut, want):
+    assert values(spark, [text], ex.letter_answer(F.col("t"), F.lit(cut))) == [(want,)]
+
+
+def test_letters_of_other_alphabets(spark):
+    t = F.col("t")
+    assert values(spark, ["answer: E", "answer: C"], ex.letter_answer(t, F.lit(True), "ABCDE"), ex.letter_answer(t, F.lit(True), "AB")) == [("E", None), ("C", None)]
+
+
+@pytest.mark.parametrize("text,cut,want", [
+    ("<think>x</think>\nNo, because", True, "No"), (r"\boxed{\text{yes}}", True, "Yes"), ("The final answer is NO", True, "No"), ("#### yes\n#### no", True, "No"), ("it may be yes or no", True, None), ("it may be no or yes", False, "Yes"),
+    ("answer: yes\nUser: answer: no", False, "Yes"), ("nobody", False, None), (r"\boxed{maybe} yes", False, "Yes"),
+])
+def test_yes_no_answer(spark, text, cut, want):
+    assert values(spark, [text], ex.yes_no_answer(F.col("t"), F.lit(cut))) == [(want,)]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("####\n```python\n[1, 2]\n```", "[1, 2]"), ("#### 5\nUser: #### 6", "5"), ("#### `a", "`a"), ("#### `'x'`", "'x'"), ("#### ``[1]``\nrest", "[1]"), ("none", None), ("####", None), ("#### ``", None), ("#### ```", "```"),
+    ("#### ```json\n`{}`\n``` tail", "{}"), ("#### 1\n#### [2, 3] ", "[2, 3]"), ("#### ```\r\n'a'\r\n```", "'a'"), ("#### `a` + `b`", "a` + `b"),
+])
+def test_literal_answer(spark, text, want):
+    assert values(spark, [text], ex.literal_answer(F.col("t"))) == [(want,)]
+
+
+@pytest.mark.parametrize("kind,text,want", [
+    ("parity", "The parity is odd. The answer is even.", "odd"), ("parity", "Even, odd, so EVEN", "even"), ("parity", " neither ", "neither"), ("parity", "answer: even\nUser: answer: odd", "even"),
+    ("sorted", "The sorted list: [3, 1, 9] not [1, 2]", "[3,1,9]"), ("sorted", "first [2, 1] then [1 , 2]", "[1,2]"), ("sorted", "no list", "no list"),
+    ("brackets", "The sequence is not valid", "invalid"), ("brackets", "conclusion: unbalanced", "invalid"), ("brackets", "It looks balanced", "valid"), ("brackets", "valid? no: invalid", "invalid"), ("brackets", "?", "?"),
+])
+def test_label_answer(spark, kind, text, want):
+    assert values(spark, [text], ex.label_answer(F.col("t"), kind)) == [(want,)]
+
+
+def test_final_segment(spark):
+    t = F.col("t")
+    got = values(spark, ["a</think> x\n <|return|>y", "a</think>b</think>c<|end|>d<|return|>", "none", "</think> "], ex.final_segment(t))
+    assert [x for x, in got] == ["x\n", "c", None, ""]
+
+
+def test_a_placeholder_as_the_last_line(spark):
+    t = F.col("t")
+    got = values(spark, ["so it ends.\n#### <answer>", "Oslo\n####"], ex.span_answer(t, F.lit(False), placeholders=False))
+    assert got == [("it ends",), (None,)]
+
+
+def test_dispatch(spark):
+    rules = {"b": "yesno", "w": "letter_of_two", "p": "code", "t": "short"}
+    df = spark.createDataFrame([("b", "answer: no", False), ("w", "A", False), ("p", " x = 1 ", False), ("p", "x", True), ("t", "#### <answer>", True), ("z", "5", False)], "k string, t string, c boolean")
+    assert [r.v for r in df.select(ex.extract(F.col("k"), F.col("t"), F.col("c"), rules).alias("v")).collect()] == ["No", "A", "x = 1", None, None, None]
