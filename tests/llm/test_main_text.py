@@ -35,3 +35,35 @@ def test_spark_edge_cases(spark):
     assert by[3][2:] == ("ab c", 4) and by[6][2] == "1 < 2 and"
     assert by[None][3] == 5000 * (len(ARTICLE) + 1) - 1
     assert mt.extract_main_text(df.limit(0)).count() == 0
+
+
+def extract(page):
+    return mt.main_text(page, mt.trained_tree())
+
+
+def test_classes_of_layout_elements_dont_empty_a_page():
+    for page in (
+        f"<body class='no-sidebar header-dark'><article><h1>T</h1><p>{ARTICLE}</p></article></body>", f"<html class='has-cookie-banner'><body><main class='has-comments'><h1>T</h1><p>{ARTICLE}</p></main>",
+        f"<body><article class='search-result'><h1>T</h1><p>{ARTICLE}</p></article>", f"<body id=menu-page class=widget><article class='post share-on'><h1>T</h1><p>{ARTICLE}</p></article>",
+    ):
+        assert extract(page) == f"T {ARTICLE}"
+    assert extract(f"<body><article><p>{ARTICLE}</p></article><article class=comment><p>{MORE}</p></article>") == ARTICLE
+    assert extract(f"<body hidden><article><p>{ARTICLE}</p></article>") == ""
+
+
+def test_furniture_on_any_element():
+    page = f"""<article><h1>T</h1><p>{ARTICLE} <button>Share now</button></p><label>Your rating</label><p class='advert'>Buy it now.</p><h2 class=newsletter>News by mail</h2>
+    <p>{MORE} <span class="social">Like us</span> And so on.</p><p class=ad>Unclosed<p>{ARTICLE}</p><div class='author-bio'>She writes here.</div><p class="lead">{MORE}</p></article>"""
+    assert extract(page) == f"T {ARTICLE} {MORE} And so on. {ARTICLE} {MORE}"
+
+
+def test_truth_without_semantic_tags():
+    """Pages of tables and plain containers, labelled by hand: the tree isn't trained on them."""
+    side = "See all offers of the week"
+    pages = [
+        (f"<div><a href=1>Home</a> <a href=2>Shop</a></div><div><h1>Harbour</h1><p>{ARTICLE}</p><p>{MORE}</p></div><div><a href=3>{side}</a></div>", f"Harbour {ARTICLE} {MORE}"),
+        (f"<table><tr><td><a href=1>Home</a></td><td><a href=2>{side}</a></td></tr></table><p>{ARTICLE}</p><p>{MORE}</p><p>{ARTICLE}</p>", f"{ARTICLE} {MORE} {ARTICLE}"),
+        (f"<div class=c1><a href=1>One</a></div><div class=c2><div>{MORE}</div><div>{ARTICLE}</div></div><div class=c3><a href=5>Contact</a></div>", f"{MORE} {ARTICLE}"),
+    ]
+    for page, want in pages:
+        assert extract(page) == want
