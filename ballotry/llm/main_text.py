@@ -92,7 +92,7 @@ def blocks(page: str) -> list[Block]:
             plain = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             if plain:
                 _, article, furniture = stack[-1] if stack else ("", False, False)
-                out.append(Block(plain, plain.count(" ") + 1, len("".join(linked).split()), article, furniture, heading))
+                out.append(Block(plain, plain.count(" ") + 1, len(" ".join(linked).split()), article, furniture, heading))
             text.clear()
             linked.clear()
 
@@ -200,6 +200,7 @@ LABELLED: list[tuple[str, str]] = [
     (f"<table><tr><td><a href=1>Start</a><td><a href=2>Archive</a><tr><td colspan=2><h1>A flood</h1><p>{_LONG}<p>{_MORE}<p>So it went.<p>{_LONG}<tr><td>Made by us<td>2020</table>", "00 11111 00"),
     (f"<div><div><a href=1>Politics</a></div><div><a href=2>Sport and games</a></div></div><div><h2>The water came at night</h2><div>{_LONG}</div><div>{_MORE} <a href=3>See the map</a></div></div><div><div><a href=4>Three more stories of the day</a></div><div>Terms of use</div></div>", "00 111 00"),
     (f"<center>Welcome</center><p>{_MORE}</p><ul><li>Boots are needed in the lower fields<li>Boats are kept at the mill</ul><p>{_LONG}</p><center>Last change in May</center>", "0 1111 0"),
+    (f"<div><a href=1>Home</a></div><div><h1>Floods</h1><p>{_LONG}</p><p>{_MORE}</p></div><div><a href=2>Contact us</a></div>", "0 111 0"),
     (f"<article><h1>Title</h1><p>{_LONG}</p><button>Share now</button><p class=advert>{_SIDE}</p><label>Rate</label><p>{_MORE}</p></article>", "11 000 1"),
 ]
 
