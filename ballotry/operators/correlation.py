@@ -167,14 +167,14 @@ def cross_model(paths: DataFrame, ks: tuple[int, ...] = (4, 8, 16, 32)) -> DataF
 
 def cell_report(paths: DataFrame, eps: float = 0.025, pilot: int = 4) -> DataFrame:
     """One row a cell: accuracy, rho at the pilot and at all paths, K_eff, plurality vote of each prefix, the
-    operating point of the pilot's rho, cap hits."""
+    operating point of the pilot's rho, missing answers and cap hits."""
     ks = (1, 2, 4, 8, 16, 32)
     at = lambda k, x: F.max(F.when(F.col("kk") == k, F.col(x)))
     wide = exact_k(paths, ks).groupBy(*CELL).agg(
         at(32, "mean_path_acc").alias("p_bar"), at(pilot, "rho").alias("rho_pilot"), at(32, "rho").alias("rho_all"), at(32, "keff").alias("keff"), *[at(k, "mv_acc").alias(f"mv{k}") for k in ks]
     )
-    cut = paths.groupBy(*CELL).agg(F.count_if("truncated").alias("cut"))
-    return wide.join(cut, CELL).withColumn("k_star", cf.k_star_clipped(F.col("rho_pilot"), F.lit(eps)))
+    cut = paths.groupBy(*CELL).agg(F.count_if("truncated").alias("cut"), F.count_if(F.col("answer").isNull()).alias("missing"))
+    return wide.join(cut, CELL).withColumn("k_star", cf.k_star(F.col("rho_pilot"), F.lit(eps)))
 
 
 def block_k_eff(recs: DataFrame, least_rows: int = 20, least_p: float = 0.02) -> DataFrame:
@@ -214,9 +214,9 @@ def arm_statistics(paths: DataFrame) -> DataFrame:
     return out.withColumn("keff_rho", k_eff(F.col("k"), F.col("rho"))).withColumn("keff_c", k_eff(F.col("k"), F.col("c_hat"), strict=True))
 
 
-def arm_delta(paths: DataFrame, k: int = 8, least: float = 0.01) -> DataFrame:
-    """PT against SC on the first k paths: relative change of rho in percent (null if |rho SC| is at most
-    ``least``), of effective votes and of the majority."""
+def arm_cells(paths: DataFrame, k: int = 8, least: float = 0.01) -> DataFrame:
+    """One row (model, task): rho and majority of both arms on the first k paths, relative change of rho of PT against
+    SC in percent (null if |rho SC| is at most ``least``), change of effective votes and of the majority."""
     recs = records(prefix(paths, k))
     cell = CELL[:2]
     stats = pairwise_rho(recs).join(recs.groupBy(*CELL).agg(F.avg(majority(F.col("s"), F.col("k"))).alias("mv")), CELL)
@@ -224,6 +224,11 @@ def arm_delta(paths: DataFrame, k: int = 8, least: float = 0.01) -> DataFrame:
     wide = stats.groupBy(*cell).agg(*[arm(a, x) for a in ("SC", "PT") for x in ("rho", "mv")])
     sc, pt, n = F.col("rho_sc"), F.col("rho_pt"), F.lit(k)
     return wide.select(
-        *cell, F.when(F.abs(sc) > least, 100 * (pt - sc) / F.abs(sc)).alias("drho_pct"),
+        *cell, "rho_sc", "rho_pt", "mv_sc", "mv_pt", F.when(F.abs(sc) > least, 100 * (pt - sc) / F.abs(sc)).alias("drho_pct"),
         (k_eff(n, pt) - k_eff(n, sc)).alias("dkeff"), (F.col("mv_pt") - F.col("mv_sc")).alias("dmv"),
     )
+
+
+def arm_delta(paths: DataFrame, k: int = 8, least: float = 0.01) -> DataFrame:
+    """The changes of ``arm_cells`` alone."""
+    return arm_cells(paths, k, least).drop("rho_sc", "rho_pt", "mv_sc", "mv_pt")

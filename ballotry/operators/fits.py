@@ -62,10 +62,10 @@ def _prepared(vectors: DataFrame, by: list[str], label: str, column: str, order:
     rows = written(base)
     labels: dict[Key, list] = {}
     sizes: dict[Key, int] = {}
-    for r in rows.groupBy(*by, "__y").agg(F.count("*").alias("n")).orderBy("__y").collect():
+    for r in rows.groupBy(*by, "__y").agg(F.count("*").alias("__n")).orderBy("__y").collect():
         key = _plain(tuple(r[c] for c in by))
         labels.setdefault(key, []).append(r["__y"])
-        sizes[key] = sizes.get(key, 0) + r["n"]
+        sizes[key] = sizes.get(key, 0) + r["__n"]
     return rows, labels, sizes
 
 
@@ -84,17 +84,17 @@ def separability(vectors: DataFrame, label: str, order: str, by: list[str], colu
     """
     spark = vectors.sparkSession
     rows, labels, sizes = _prepared(vectors, by, label, column, order)
-    most = {_plain(tuple(r[c] for c in by)): r["m"] for r in rows.groupBy(*by).agg(F.max("__size").alias("m")).collect()}
+    most = {_plain(tuple(r[c] for c in by)): r["__m"] for r in rows.groupBy(*by).agg(F.max("__size").alias("__m")).collect()}
     out = {k: 0.5 if sizes[k] < 10 else 1.0 for k in labels if sizes[k] < 10 or len(labels[k]) < 2}
     fitted = [k for k in labels if k not in out]
     parts = {k: min(folds, sizes[k] // 2) for k in fitted}
     parts = {k: 1 if n > most[k] else n for k, n in parts.items()}  # one part: fitted and judged on the same rows
     width = {}
     params: dict[Key, np.ndarray] = {}
-    for r in rows.groupBy(*by).agg(F.max(F.size("__x")).alias("d")).collect():
+    for r in rows.groupBy(*by).agg(F.max(F.size("__x")).alias("__d")).collect():
         key = _plain(tuple(r[c] for c in by))
         if key in fitted:
-            width[key] = r["d"] + 1
+            width[key] = r["__d"] + 1
             params[key] = np.zeros((parts[key], len(labels[key]), width[key]))
 
     def folded(key: Key, own: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,7 +192,7 @@ def information_rate(vectors: DataFrame, label: str, by: list[str], column: str
     rows, labels, sizes = _prepared(vectors, by, label, column, None)
     out = {k: 0.0 for k in labels}
     fitted = [k for k in labels if len(labels[k]) >= 2 and sizes[k] >= max(10, 2 * len(labels[k]))]
-    dims = {_plain(tuple(r[c] for c in by)): r["d"] for r in rows.groupBy(*by).agg(F.max(F.size("__x")).alias("d")).collect()}
+    dims = {_plain(tuple(r[c] for c in by)): r["__d"] for r in rows.groupBy(*by).agg(F.max(F.size("__x")).alias("__d")).collect()}
     shapes = {k: [(dims[k], hidden), (hidden,), (hidden, hidden), (hidden,), (hidden, len(labels[k])), (len(labels[k]),)] for k in fitted}
     params: dict[Key, np.ndarray] = {}
     for k in fitted:
@@ -240,11 +240,11 @@ def information_rate(vectors: DataFrame, label: str, by: list[str], column: str
                 params[k] = params[k] - rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
     if fitted:
         entropy: dict[Key, float] = {}
-        for r in rows.groupBy(*by, "__y").agg(F.count("*").alias("n")).collect():
+        for r in rows.groupBy(*by, "__y").agg(F.count("*").alias("__n")).collect():
             k = _plain(tuple(r[c] for c in by))
-            p = r["n"] / sizes[k]
+            p = r["__n"] / sizes[k]
             entropy[k] = entropy.get(k, 0.0) - p * math.log2(p)
-        spent = {_plain(tuple(r[c] for c in by)): r["b"] for r in vectors.groupBy(*by).agg(F.sum(budget).alias("b")).collect()} if budget else {}
+        spent = {_plain(tuple(r[c] for c in by)): r["__b"] for r in vectors.groupBy(*by).agg(F.sum(budget).alias("__b")).collect()} if budget else {}
         for k, got in group_sums(rows, by, sums(params, False)).items():
             if k in params:
                 out[k] = max(0.0, got[0] / sizes[k] / math.log(2) + entropy[k]) / max(float(spent.get(k) or 1), 1.0)

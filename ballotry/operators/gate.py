@@ -46,6 +46,25 @@ def protocol_gate(paths: DataFrame, asked: DataFrame | None = None, k: int = 32,
     return out.withColumn("admissible", F.size("reasons") == 0)
 
 
+def strict_cell(paths: DataFrame, k: int, records: int, seeds: list[int], instances: int) -> DataFrame:
+    """One row a cell: whether it holds exactly ``records`` records of k paths with the expected seeds and the ids 0 to
+    ``instances`` - 1 in each, what is wrong otherwise, and rates of missing, empty and cut answers."""
+    recs = paths.groupBy(*CELL, "seed", "instance_id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("answer").isNull()).alias("null"), F.count_if(F.trim("answer") == "").alias("empty"), F.count_if("truncated").alias("cut"),
+    )
+    by_seed = recs.groupBy(*CELL, "seed").agg(
+        F.count("*").alias("records"), F.count_if(F.col("n") != k).alias("malformed"), F.min("instance_id").alias("least"), F.max("instance_id").alias("most"), *[F.sum(c).alias(c) for c in ("n", "null", "empty", "cut")],
+    )
+    odd = ~F.col("seed").isin(seeds) | F.col("seed").isNull()
+    # ids are different within a seed, so their number, least and most tell whether they are contiguous
+    gaps = (F.col("records") != instances) | (F.col("least") != 0) | (F.col("most") != instances - 1)
+    out = by_seed.groupBy(*CELL).agg(
+        F.sum("records").alias("records"), F.count_if(~odd).alias("seeds"), F.count_if(odd).alias("other_seeds"), F.sum("malformed").alias("malformed"), F.count_if(gaps).alias("not_contiguous"),
+        *[(F.sum(c) / F.sum("n")).alias(f"{c}_rate") for c in ("null", "empty", "cut")],
+    )
+    return out.withColumn("ok", (F.col("records") == records) & (F.col("seeds") == len(seeds)) & (F.col("other_seeds") == 0) & (F.col("malformed") == 0) & (F.col("not_contiguous") == 0))
+
+
 def reporting_policy(gate: DataFrame) -> DataFrame:
     """Cells that fail by harness loss alone are admitted, with a flag."""
     only = (F.size("reasons") > 0) & F.forall("reasons", lambda x: F.startswith(x, F.lit("Harness loss")))

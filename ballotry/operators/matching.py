@@ -25,6 +25,19 @@ def matched_arms(pt: DataFrame, sc: DataFrame, canonical=None) -> DataFrame:
     return left.join(right, KEY).where(same)
 
 
+def base_accuracy(paths: DataFrame, least: float = 0.02) -> DataFrame:
+    """(model, task, p_sc, p_pt, excluded): path accuracy of both arms; a cell is excluded where that of SC is below
+    ``least`` or unknown, whatever PT does."""
+    p = lambda a: F.avg(F.when(F.col("arm") == a, F.col("y")))
+    out = paths.groupBy("model", "task").agg(p("SC").alias("p_sc"), p("PT").alias("p_pt"))
+    return out.withColumn("excluded", F.coalesce(F.isnan("p_sc") | (F.col("p_sc") < least), F.lit(True)))
+
+
+def valid_cells(cells: DataFrame, paths: DataFrame, least: float = 0.02) -> DataFrame:
+    """Rows of cells that aren't excluded by ``base_accuracy``."""
+    return cells.join(base_accuracy(paths, least).where(~F.col("excluded")).select("model", "task"), ["model", "task"], "left_semi")
+
+
 def match_violations(pt: DataFrame, sc: DataFrame) -> DataFrame:
     """What keeps arms from matching, by cell: unmatched on either side, differing golds, repeated keys."""
     one = lambda df, name: df.groupBy(*KEY).agg(F.count("*").alias(f"n_{name}"), F.max("gold").alias(f"gold_{name}"))

@@ -56,6 +56,23 @@ def roll_up(cells: DataFrame, value: str, by: tuple[str, ...] = ("task", "model"
     )
 
 
+def task_table(cells: DataFrame) -> DataFrame:
+    """One row a task: its domain, number of models and means. cells: model, task, domain, drho_pct, dkeff, rho_sc,
+    rho_pt, diversity; a row a cell that counts."""
+    means = [F.avg(c).alias(f"mean_{n}") for c, n in (("drho_pct", "drho"), ("dkeff", "dkeff"), ("rho_sc", "rho_sc"), ("rho_pt", "rho_pt"), ("diversity", "diversity"))]
+    return cells.groupBy("task").agg(F.max("domain").alias("domain"), F.count("*").alias("n_models"), *means)
+
+
+def domain_table(cells: DataFrame) -> DataFrame:
+    """One row a domain: cells, mean, least and most change of rho, mean majority of both arms in percent, mean and
+    sample deviation of their difference in points. cells: domain, drho_pct, mv_sc, mv_pt."""
+    x, points = F.col("drho_pct"), 100 * (F.col("mv_pt") - F.col("mv_sc"))
+    return cells.groupBy("domain").agg(
+        F.count("*").alias("n_cells"), F.avg(x).alias("mean_drho"), F.min(x).alias("least_drho"), F.max(x).alias("most_drho"),
+        (100 * F.avg("mv_sc")).alias("mv_sc"), (100 * F.avg("mv_pt")).alias("mv_pt"), F.avg(points).alias("mean_gain"), F.stddev_samp(points).alias("std_gain"),
+    )
+
+
 def exceptions(cells: DataFrame, value: str, accuracy: DataFrame) -> DataFrame:
     """Cells whose value isn't below zero, with the accuracy of both arms. accuracy: model, task, arm, p_bar."""
     p = lambda a: F.max(F.when(F.col("arm") == a, F.col("p_bar"))).alias(f"p_{a.lower()}")

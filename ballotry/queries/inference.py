@@ -9,6 +9,7 @@ from ballotry.functions import closed_forms as cf
 from ballotry.functions import tails as ta
 from ballotry.operators import correlation as co
 from ballotry.operators import inference as inf
+from ballotry.operators import matching as ma
 from ballotry.operators import votes as vo
 from ballotry.plans import replicates as rp
 
@@ -130,8 +131,9 @@ br as (select model, task, rep, {mean_rho_sql(8, "a")} ra, {mean_rho_sql(8, "b")
 bd as (select model, task, rep, case when abs(ra) >= 0.01::double then 100 * (rb - ra) / abs(ra) end drho from br),
 ci as (select model, task, count(drho) draws, {interval('drho')} from bd group by all)"""
 query("i12_paired_rho_bootstrap", sql([fx.PATHS_SQL, RECS8, DRHO], "select * from ci", f"{CM}, draws", "drho_lo, drho_hi"))(lambda s, d: inf.paired_rho_bootstrap(matched_masks(s, d), PAIRED))
-query("i13_bootstrap_summary", sql([fx.PATHS_SQL, RECS8, RHO, DELTA, DRHO], "select count(*) cells, median(drho_hi - drho_lo) width, quantile_cont(drho_hi - drho_lo, 0.25) width_25, quantile_cont(drho_hi - drho_lo, 0.75) width_75, count(*) filter (drho_lo > 0 or drho_hi < 0) excluding_zero, min(drho_pct) least, max(drho_pct) most from delta join ci using (model, task) where drho_pct is not null and drho_lo is not null", "cells, excluding_zero", "width, width_25, width_75, least, most"))(
-    lambda s, d: inf.interval_summary(co.arm_delta(P(s, d)).withColumnRenamed("drho_pct", "drho"), inf.paired_rho_bootstrap(matched_masks(s, d), PAIRED), "drho")
+VALID = "va as (select model, task from paths where arm = 'SC' group by all having avg(y) >= 0.02)"
+query("i13_bootstrap_summary", sql([fx.PATHS_SQL, RECS8, RHO, DELTA, DRHO, VALID], "select count(*) cells, median(drho_hi - drho_lo) width, quantile_cont(drho_hi - drho_lo, 0.25) width_25, quantile_cont(drho_hi - drho_lo, 0.75) width_75, count(*) filter (drho_lo > 0 or drho_hi < 0) excluding_zero, min(drho_pct) least, max(drho_pct) most from delta join ci using (model, task) join va using (model, task) where drho_pct is not null and drho_lo is not null", "cells, excluding_zero", "width, width_25, width_75, least, most"))(
+    lambda s, d: inf.interval_summary(ma.valid_cells(co.arm_delta(P(s, d)), P(s, d)).withColumnRenamed("drho_pct", "drho"), inf.paired_rho_bootstrap(matched_masks(s, d), PAIRED), "drho")
 )
 WON = f"""fit as (select model, task, arm fold, p4, n_inst, n_seeds, rho, p4 <= 0 or p4 >= 1 or rho is null degenerate, case when p4 > 0 and p4 < 1 then rho end c from (select model, task, arm, sum(s)::double / sum(k) p4, count(distinct instance_id) n_inst, count(distinct seed) n_seeds from recs group by all) left join rho using (model, task, arm)),
 pil as (select *, {CLIP.format(c='c', e='0.025::double')} k_star from fit),
@@ -167,14 +169,14 @@ query("i14_mann_whitney", sql([LD, RANKED, UT], "select * from ut", "n1, n0", "u
 query("i14b_mann_whitney_p", sql([LD, RANKED, UT], f"select *, {ta.rank_sum_normal_sql('u', 'n1', 'n0', 'tie_term')} p from ut", "n1, n0", "u, tie_term, p"))(lambda s, d: inf.mann_whitney(quality(s, d), "n_chars", "quality"))
 # all ways to choose the first group's ranks give the exact distribution of U
 RANKS = """bo as (select model, task, -1 rep, case when abs(rs) >= 0.01::double then 100 * (rp - rs) / abs(rs) end drho from aw union all select model, task, rep, drho from bd),
-bg as (select rep, case task when 'F' then 1 else 0 end g, drho v, count(*) filter (drho is null) over (partition by rep) missing, rank() over (partition by rep order by drho) + (count(*) over (partition by rep, drho) - 1) / 2 rk, count(*) over (partition by rep, drho) t from bo where task in ('F', 'O')),
+bg as (select rep, case task when 'F' then 1 else 0 end g, drho v, count(*) filter (drho is null) over (partition by rep) missing, rank() over (partition by rep order by drho) + (count(*) over (partition by rep, drho) - 1) / 2 rk, count(*) over (partition by rep, drho) t from bo join va using (model, task) where task in ('F', 'O')),
 bt as (select rep, max(missing) missing, sum(rk) filter (g = 1) - count(*) filter (g = 1) * (count(*) filter (g = 1) + 1) / 2 u, count(*) filter (g = 1) n1, count(*) filter (g = 0) n0, sum(t::double * t - 1) ties from bg group by rep),
 nn as (select max(n1)::int n1, max(n0)::int n0 from bt),
 su as (select list_sum(list_transform(range(n1 + n0), lambda i: case when (x >> i) & 1 = 1 then i + 1 else 0 end)) - n1 * (n1 + 1) / 2 u from nn, (select unnest(range((1 << (n1 + n0))::bigint))::bigint x from nn) where bit_count(x) = n1),
 pe as (select bt.rep, least(1.0::double, 2 * avg((su.u >= greatest(bt.u, n1 * n0 - bt.u))::int)) pe from bt, su where missing = 0 and ties = 0 group by bt.rep, n1, n0),
 pp as (select bt.*, coalesce(pe, case when missing = 0 then """ + ta.rank_sum_normal_sql("u", "n1", "n0", "ties") + """ end) p from bt left join pe using (rep))"""
-query("i14c_replicated_rank_test", sql([fx.PATHS_SQL, RECS8, RHO, DELTA, DRHO, RANKS], "select max(u) filter (rep = -1 and missing = 0) u, max(p) filter (rep = -1) p, max(n1) n1, max(n0) n0, count(*) filter (rep >= 0 and missing = 0) used, count(*) filter (rep >= 0 and missing > 0) dropped, avg((p < 0.05::double)::int) filter (rep >= 0 and missing = 0) share from pp", "n1, n0, used, dropped", "u, p, share"))(
-    lambda s, d: inf.replicated_rank_test(inf.paired_rho_replicates(matched_masks(s, d), PAIRED).withColumn("g", F.when(F.col("task") == "F", 1).when(F.col("task") == "O", 0)), "drho", "g", 0.05)
+query("i14c_replicated_rank_test", sql([fx.PATHS_SQL, RECS8, RHO, DELTA, DRHO, VALID, RANKS], "select max(u) filter (rep = -1 and missing = 0) u, max(p) filter (rep = -1) p, max(n1) n1, max(n0) n0, count(*) filter (rep >= 0 and missing = 0) used, count(*) filter (rep >= 0 and missing > 0) dropped, avg((p < 0.05::double)::int) filter (rep >= 0 and missing = 0) share from pp", "n1, n0, used, dropped", "u, p, share"))(
+    lambda s, d: inf.replicated_rank_test(ma.valid_cells(inf.paired_rho_replicates(matched_masks(s, d), PAIRED), P(s, d)).withColumn("g", F.when(F.col("task") == "F", 1).when(F.col("task") == "O", 0)), "drho", "g", 0.05)
 )
 P_SQL = "case when n > 2 then " + ta.beta_sql("((n - 2) / 2.0::double)", "0.5::double", "(1 - r * r)") + " when n = 2 and r is not null then 1.0::double end"
 query("i15_pearson", sql(PR, f"select *, {P_SQL} p from (select model, count(*) n, corr(s, instance_id) r from recs where arm = 'SC' group by all)", "model, n", "r, p"))(lambda s, d: inf.pearson(vo.records(P(s, d)).where("arm = 'SC'"), "s", "instance_id", ["model"]))

@@ -60,16 +60,16 @@ query("s03_field_resolution", sql(PR, "select model, task, seed, instance_id, ca
 query("s04_legacy_first_seen", sql([*PR], "select model, task, seed, instance_id, s from (select *, row_number() over (partition by model, task, seed, instance_id order by line) r from (select *, case when instance_id % 97 = 0 then null else instance_id end key, case when arm = 'SC' then 1 else 0 end line from recs) where key is not null and seed in (0, 1, 2)) where r = 1", "model, task, seed, instance_id, s"))(
     lambda s, d: re_.load_legacy(vo.records(P(s, d)).withColumn("key", F.when(F.col("instance_id") % 97 != 0, F.col("instance_id"))).withColumn("line", F.when(F.col("arm") == "SC", 1).otherwise(0)), ["model", "task", "seed", "instance_id"], ["line"], seeds=[0, 1, 2]).select("model", "task", "seed", "instance_id", "s")
 )
-query("s05_question_bank", "select text prompt, left(text, 10) answer, '{\"item_id\":' || item_id || '}' metadata from benchmark")(lambda s, d: qu.question_bank(fx.read(s, d, "benchmark"), "text", F.left(F.col("text"), F.lit(10))))
+query("s05_question_bank", "select text prompt, text || '!' answer, '{\"item_id\":' || item_id || '}' metadata from benchmark")(lambda s, d: qu.question_bank(fx.read(s, d, "benchmark"), "text", F.concat("text", F.lit("!"))))
 query("s06a_final_answer", sql([fx.TRACES_SQL], "select doc_id, trim(string_split(trace, '####')[-1]) answer from traces", "doc_id, answer"))(lambda s, d: fx.traces(s, d).select("doc_id", qu.after_hashes(F.col("trace")).alias("answer")))
 query("s06b_context_block", "select conv_id, string_agg('- ' || role || ': ' || text, chr(10) order by turn, role, text) context from conversations group by conv_id")(lambda s, d: qu.context_block(fx.read(s, d, "conversations"), "conv_id", "turn", "role", "text"))
 query("s06c_short_contexts", "select conv_id, coalesce(string_agg(left(text, 500), chr(10) order by turn, text) filter (r <= 3 and text <> ''), 'no context') context from (select *, row_number() over (partition by conv_id order by text = '', turn, text) r from conversations) group by conv_id")(lambda s, d: qu.short_contexts(fx.read(s, d, "conversations"), "conv_id", "turn", "text"))
-OPT = "o as (select conv_id, list(left(text, 20) order by turn, role, text) opts from conversations group by conv_id)"
+OPT = "o as (select conv_id, list(text order by turn, role, text) opts from conversations group by conv_id)"
 
 
 def options(s, d):
     c = fx.read(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    return c.select("conv_id", F.transform("t", lambda x: F.left(x["text"], F.lit(20))).alias("opts"))
+    return c.select("conv_id", F.transform("t", lambda x: x["text"]).alias("opts"))
 
 
 query("s06d_lettered_options", sql([OPT], "select conv_id, array_to_string(list_transform(opts, lambda x, i: chr(64 + i::int) || ') ' || x), chr(10)) block from o", "conv_id, block"))(lambda s, d: options(s, d).select("conv_id", qu.lettered(F.col("opts")).alias("block")))
@@ -85,8 +85,32 @@ query("s09_key_fingerprint", sql(PR, "select model, task, md5('[' || string_agg(
 query("s10_pending_keys", sql([*PR, BROKEN_SQL], "select distinct model, task, seed, instance_id from recs where arm = 'PT' and (model, task, seed, instance_id) not in (select (model, task, seed, instance_id) from broken group by model, task, seed, instance_id having count(*) = 32)", "model, task, seed, instance_id"))(
     lambda s, d: re_.pending(vo.records(P(s, d)).where("arm = 'PT'").select(*ma.KEY).distinct(), broken(s, d).groupBy(*ma.KEY).agg(F.count("*").alias("n_answers")), 32)
 )
+DONE = "dn as (select model, task, seed, instance_id, count(*) K, case when instance_id % 9 = 4 then 'v2' else 'v1' end script_version, left(md5('q' || instance_id), 16) prompt_sha from broken group by all), pr as (select distinct model, task, instance_id, left(md5('q' || case when instance_id % 13 = 5 then instance_id + 1 else instance_id end), 16) prompt_sha from recs where arm = 'SC' and instance_id % 3 = 0)"
+
+
+def hashed(i):
+    return F.left(F.md5(F.concat(F.lit("q"), i.cast("string")).cast("binary")), F.lit(16))
+
+
+def done_records(s, d):
+    i = F.col("instance_id")
+    return broken(s, d).groupBy(*ma.KEY).agg(F.count("*").alias("K")).withColumn("script_version", F.when(i % 9 == 4, "v2").otherwise("v1")).withColumn("prompt_sha", hashed(i)).withColumn("n_answers", F.col("K"))
+
+
+def current_prompts(s, d):
+    i = F.col("instance_id")
+    return P(s, d).where("arm = 'SC' and instance_id % 3 = 0").select("model", "task", "instance_id").distinct().withColumn("prompt_sha", hashed(F.when(i % 13 == 5, i + 1).otherwise(i)))
+
+
+query("s10b_resume_mismatches", sql([*PR, BROKEN_SQL, DONE], "select model, task, 'script_version' field, 'v1' expected, script_version found, count(*) records from dn where script_version <> 'v1' group by all union all select model, task, 'K', '32', K::varchar, count(*) from dn where K <> 32 group by all union all select model, task, 'prompt_sha', pr.prompt_sha, dn.prompt_sha, count(*) from dn join pr using (model, task, instance_id) where pr.prompt_sha <> dn.prompt_sha group by all", "model, task, field, expected, found, records"))(
+    lambda s, d: re_.resume_mismatches(done_records(s, d), {"script_version": "v1", "K": 32}, current_prompts(s, d))
+)
+query("s10c_resume", sql([*PR, BROKEN_SQL], "select distinct model, task, seed, instance_id from recs where arm = 'PT' and (model, task, seed, instance_id) not in (select (model, task, seed, instance_id) from broken group by model, task, seed, instance_id having count(*) = 32)", "model, task, seed, instance_id"))(
+    lambda s, d: re_.resume(vo.records(P(s, d)).where("arm = 'PT'").select(*ma.KEY).distinct(), done_records(s, d).where("K = 32").withColumn("script_version", F.lit("v1")), 32, {"script_version": "v1"})
+)
 query("p03_filters", sql(PR, "select model, task, arm, seed, count(*) n from recs where seed in (1, 3) and task = 'F' and arm = 'SC' group by all", f"{CELL}, seed, n"))(lambda s, d: vo.records(P(s, d).where("seed in (1, 3) and task = 'F' and arm = 'SC'")).groupBy(*vo.CELL, "seed").agg(F.count("*").alias("n")))
-query("p04_base_exclusion", sql(PR, "select model, task, arm, avg(y) p_bar from paths group by all having avg(y) >= 0.02", CELL, "p_bar"))(lambda s, d: vo.path_accuracy(P(s, d)).where(F.col("p_bar") >= 0.02))
+VALID = "bx as (select model, task, avg(y) filter (arm = 'SC') p_sc, avg(y) filter (arm = 'PT') p_pt from paths group by all), ba as (select *, coalesce(p_sc < 0.02, true) excluded from bx), va as (select model, task from ba where not excluded)"
+query("p04_base_exclusion", sql([fx.PATHS_SQL, VALID], "select * from ba", "model, task, excluded", "p_sc, p_pt"))(lambda s, d: ma.base_accuracy(P(s, d)))
 FOLDS = """q as (select distinct model, task, instance_id from recs), qp as (select *, row_number() over (partition by model, task order by (instance_id * 7919 + 2026) % 1000003, instance_id) pos, count(*) over (partition by model, task) m from q),
 folds as (select model, task, instance_id, case when pos <= greatest(1, least(m - 1, floor(m * 0.5))) then 'A' else 'B' end fold from qp)"""
 query("p05_two_folds", sql([*PR, FOLDS], "select * from folds", "model, task, instance_id, fold"))(lambda s, d: ma.two_folds(vo.records(P(s, d))))
@@ -143,8 +167,11 @@ query("g04_protocol_gate", sql([fx.PATHS_SQL, BROKEN_SQL, ASKED, RATES, GATE], "
 query("g05_reporting_policy", sql([fx.PATHS_SQL, "broken as (select * from paths where arm = 'SC' and (model <> '1-URGENT' or path < 31))", ASKED, RATES, GATE.replace("210", "2").replace("case when records < instances * seeds then 'Incomplete grid: ' || (instances * seeds - records) || ' missing' end", "null")], "select model, task, (len(reasons) = 0 or len(list_filter(reasons, lambda x: x not like 'Harness loss%')) = 0) admissible, (len(reasons) > 0 and len(list_filter(reasons, lambda x: x not like 'Harness loss%')) = 0) flagged from gt", "model, task, admissible, flagged"))(
     lambda s, d: ga.reporting_policy(ga.protocol_gate(P(s, d).where("arm = 'SC' and (model <> '1-URGENT' or path < 31)"), asked(s, d), least_instances=2, most_loss=0.001).withColumn("reasons", F.filter("reasons", lambda x: ~F.startswith(x, F.lit("Incomplete")))).withColumn("admissible", F.size("reasons") == 0)).select("model", "task", "admissible", "flagged")
 )
-query("g06_strict_cell", sql([fx.PATHS_SQL, BROKEN_SQL, RATES], "select model, task, records = 1000 and seeds = 5 and malformed = 0 ok, 1 - got_rate null_rate, cap_rate from rt", "model, task, ok", "null_rate, cap_rate"))(
-    lambda s, d: ga.rates(broken(s, d), 32).select("model", "task", ((F.col("records") == 1000) & (F.col("seeds") == 5) & (F.col("malformed") == 0)).alias("ok"), (1 - F.col("got_rate")).alias("null_rate"), "cap_rate")
+STRICT = """g1 as (select model, task, seed, instance_id, count(*) n, count(*) filter (answer is null) nu, count(*) filter (trim(answer) = '') em, count(*) filter (truncated) cu from broken group by all),
+g2 as (select model, task, seed, count(*) records, count(*) filter (n <> 32) malformed, min(instance_id) lo, max(instance_id) hi, sum(n) n, sum(nu) nu, sum(em) em, sum(cu) cu from g1 group by all),
+g3 as (select model, task, sum(records)::bigint records, count(*) filter (seed < 5) seeds, count(*) filter (seed >= 5) other_seeds, sum(malformed)::bigint malformed, count(*) filter (records <> 200 or lo <> 0 or hi <> 199) not_contiguous, sum(nu) / sum(n) null_rate, sum(em) / sum(n) empty_rate, sum(cu) / sum(n) cut_rate from g2 group by all)"""
+query("g06_strict_cell", sql([fx.PATHS_SQL, BROKEN_SQL, STRICT], "select *, records = 1000 and seeds = 5 and other_seeds = 0 and malformed = 0 and not_contiguous = 0 ok from g3", "model, task, records, seeds, other_seeds, malformed, not_contiguous, ok", "null_rate, empty_rate, cut_rate"))(
+    lambda s, d: ga.strict_cell(broken(s, d), 32, 1000, [0, 1, 2, 3, 4], 200)
 )
 query("g07_field_contract", sql([fx.PATHS_SQL], "select model, task, count(*) filter (coalesce(gold <> '37', false) or coalesce(answer <> '37', false) or (gold is null and answer is null)) gold from paths group by all", "model, task, gold"))(lambda s, d: ga.field_contract(P(s, d).withColumn("p_gold", F.col("answer")), {"gold": "37"}))
 query("g08_seed_coverage", sql(PR, "select model, task, seed, count(distinct instance_id) found, 210::bigint expected, array_to_string(list_filter(range(210), lambda x: not list_contains(list(distinct instance_id), x)), ',') missing from recs where arm = 'SC' group by all", "model, task, seed, found, expected, missing"))(lambda s, d: ga.seed_coverage(vo.records(P(s, d)).where("arm = 'SC'"), 210))
@@ -171,20 +198,41 @@ query("o01_canonical_order", sql(PR, "select domain, task, model, row_number() o
     lambda s, d: rp.canonical_order(vo.records(P(s, d)).select("task", "model").distinct(), DOMAINS, ["domain", "task", "model"])
 )
 query("k03_report_lines", sql(PR, f"select printf('%-16s %s %s %5d', model, task, arm, count(*)) line from recs group by model, task, arm", "line"))(lambda s, d: rp.report_lines(vo.records(P(s, d)).groupBy(*vo.CELL).agg(F.count("*").alias("n")), "%-16s %s %s %5d", ["model", "task", "arm", "n"]))
-DOMAINS = {"F": "finished", "O": "open", "P": "partial"}
 DOMAIN = "dd as (select *, case task when 'F' then 'finished' when 'O' then 'open' else 'partial' end domain from delta)"
 
 
 def domain_deltas(s, d):
     names = F.create_map(*[F.lit(x) for pair in DOMAINS.items() for x in pair])
-    return co.arm_delta(P(s, d)).withColumn("domain", names[F.col("task")])
+    return ma.valid_cells(co.arm_cells(P(s, d)), P(s, d)).withColumn("domain", names[F.col("task")])
 
 
-query("a24_roll_up", sql([fx.PATHS_SQL, RECS8, RHO, DELTA, DOMAIN],
-    "select task, domain, model, count(drho_pct) n, avg(drho_pct) mean, min(drho_pct) least, max(drho_pct) most, stddev_samp(drho_pct) std, count(*) filter (drho_pct < 0) below, count(*) filter (drho_pct >= 0) exceptions from dd group by grouping sets ((task), (domain), (model), ())", "task, domain, model, n, below, exceptions", "mean, least, most, std"))(
-    lambda s, d: rp.roll_up(domain_deltas(s, d), "drho_pct", ("task", "domain", "model"))
-)
-query("a24b_exceptions", sql([fx.PATHS_SQL, RECS8, RHO, DELTA],
-    "select model, task, drho_pct, p_sc, p_pt from delta join (select model, task, avg(y) filter (arm = 'SC') p_sc, avg(y) filter (arm = 'PT') p_pt from paths group by all) using (model, task) where drho_pct >= 0", "model, task", "drho_pct, p_sc, p_pt"))(
-    lambda s, d: rp.exceptions(co.arm_delta(P(s, d)), "drho_pct", vo.path_accuracy(P(s, d)))
-)
+ROLLED = "count(drho_pct) n, avg(drho_pct) mean, min(drho_pct) least, max(drho_pct) most, stddev_samp(drho_pct) std, count(*) filter (drho_pct < 0) below, count(*) filter (drho_pct >= 0) exceptions"
+query("a24_roll_up", sql([fx.PATHS_SQL, RECS8, RHO, DELTA, DOMAIN, VALID], f"select task, domain, model, {ROLLED} from dd join va using (model, task) group by grouping sets ((task), (domain), (model), ())", "task, domain, model, n, below, exceptions", "mean, least, most, std"))(
+    lambda s, d: rp.roll_up(domain_deltas(s, d).drop("rho_sc", "rho_pt", "mv_sc", "mv_pt"), "drho_pct", ("task", "domain", "model"))
+)
+# cells whose effective votes don't fall
+query("a24b_exceptions", sql([fx.PATHS_SQL, RECS8, RHO, DELTA, VALID], "select model, task, dkeff, p_sc, p_pt from delta join ba using (model, task) where dkeff >= 0 and not excluded", "model, task", "dkeff, p_sc, p_pt"))(
+    lambda s, d: rp.exceptions(domain_deltas(s, d), "dkeff", vo.path_accuracy(P(s, d)))
+)
+ARMED = """av as (select model, task, avg(x) diversity from (select model, task, seed, instance_id, count(distinct lower(trim(coalesce(answer, 'None'))))::double / count(*) x from paths where arm = 'SC' and path < 8 group by all) group by all),
+ac as (select dd.*, rs rho_sc, rp rho_pt, ms mv_sc, mp mv_pt, diversity from dd join aw using (model, task) join va using (model, task) join av using (model, task))"""
+
+
+def armed(s, d):
+    diversity = vo.answer_diversity(vo.prefix(P(s, d).where("arm = 'SC'"), 8)).drop("arm")
+    return domain_deltas(s, d).join(diversity, ["model", "task"])
+
+
+query("a24c_task_table", sql([fx.PATHS_SQL, RECS8, RHO, DELTA, DOMAIN, VALID, ARMED], "select task, any_value(domain) domain, count(*) n_models, avg(drho_pct) mean_drho, avg(dkeff) mean_dkeff, avg(rho_sc) mean_rho_sc, avg(rho_pt) mean_rho_pt, avg(diversity) mean_diversity from ac group by task", "task, domain, n_models", "mean_drho, mean_dkeff, mean_rho_sc, mean_rho_pt, mean_diversity"))(lambda s, d: rp.task_table(armed(s, d)))
+query("a24d_domain_table", sql([fx.PATHS_SQL, RECS8, RHO, DELTA, DOMAIN, VALID, ARMED], "select domain, count(*) n_cells, avg(drho_pct) mean_drho, min(drho_pct) least_drho, max(drho_pct) most_drho, 100 * avg(mv_sc) mv_sc, 100 * avg(mv_pt) mv_pt, avg(100 * (mv_pt - mv_sc)) mean_gain, stddev_samp(100 * (mv_pt - mv_sc)) std_gain from ac group by domain", "domain, n_cells", "mean_drho, least_drho, most_drho, mv_sc, mv_pt, mean_gain, std_gain"))(lambda s, d: rp.domain_table(armed(s, d)))
+
+
+def csv_round_trip(df, columns, schema):
+    folder = new_folder(df.sparkSession)
+    rp.write_csv(df, columns, folder)
+    return df.sparkSession.read.option("header", True).schema(schema).csv(folder)
+
+
+query("k01b_gate_csv", sql([fx.PATHS_SQL, BROKEN_SQL, ASKED, RATES, GATE], "select model, task, array_to_string(reasons, '; ') reasons, len(reasons) = 0 admissible, records, malformed from gt", "model, task, reasons, admissible, records, malformed"))(
+    lambda s, d: csv_round_trip(ga.protocol_gate(broken(s, d), asked(s, d), least_instances=210, most_loss=0.001).withColumn("reasons", F.array_join("reasons", "; ")), ["model", "task", "records", "malformed", "admissible", "reasons"], "model string, task string, records long, malformed long, admissible boolean, reasons string").na.fill("", ["reasons"])
+)

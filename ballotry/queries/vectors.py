@@ -18,7 +18,7 @@ from ballotry.streaming import ingest as st
 
 from .registry import query, sql
 from .scoring import DOCPAIR, F1, doc_pairs
-from .inference import BB, BI, CLIP
+from .inference import BB, BI, KSTAR
 from .votes import BLOCK, DELTA, EXACT, MV, PR, RECS8, RHO, SLOTS, WMV, P
 
 
@@ -170,7 +170,7 @@ gt as (select model, task, seed, n::bigint n_train from st where i = 0 and j = 0
 gs as (select model, task, 'PT' arm, seed, ridge, n_train, count(*) n_test, 100 * avg(mv) mv_acc, 100 * avg(any_ok) oracle_acc, 100 * avg(g) gls_acc from gr join gt using (model, task, seed) group by all)"""
 query("a18_gls_vote", sql([fx.PATHS_SQL, GLS], "select *, gls_acc - mv_acc gain, oracle_acc - mv_acc headroom from gs", "model, task, arm, seed, n_train, n_test", "ridge, mv_acc, oracle_acc, gls_acc, gain, headroom").replace("with ", "with recursive ", 1))(lambda s, d: ql.held_out_gls(P(s, d).where("arm = 'PT'")))
 MVS = ", ".join(f"max(mv_acc) filter (kk = {k}) mv{k}" for k in (1, 2, 4, 8, 16, 32))
-query("i17_cell_report", sql([*PR, RHO, EXACT, f"w as (select model, task, arm, max(mean_path_acc) filter (kk = 32) p_bar, max(rho) filter (kk = 4) rho_pilot, max(rho) filter (kk = 32) rho_all, max(keff) filter (kk = 32) keff, {MVS} from exact group by all)"], f"select *, {CLIP.format(c='rho_pilot', e='0.025::double')} k_star from w join (select model, task, arm, count(*) filter (truncated) cut from paths group by all) using (model, task, arm)", "model, task, arm, cut, k_star", "p_bar, rho_pilot, rho_all, keff, mv1, mv2, mv4, mv8, mv16, mv32"))(
+query("i17_cell_report", sql([*PR, RHO, EXACT, f"w as (select model, task, arm, max(mean_path_acc) filter (kk = 32) p_bar, max(rho) filter (kk = 4) rho_pilot, max(rho) filter (kk = 32) rho_all, max(keff) filter (kk = 32) keff, {MVS} from exact group by all)"], f"select *, {KSTAR.format(c='rho_pilot', e='0.025::double')} k_star from w join (select model, task, arm, count(*) filter (truncated) cut, count(*) filter (answer is null) missing from paths group by all) using (model, task, arm)", "model, task, arm, cut, missing, k_star", "p_bar, rho_pilot, rho_all, keff, mv1, mv2, mv4, mv8, mv16, mv32"))(
     lambda s, d: co.cell_report(P(s, d))
 )
 

@@ -12,10 +12,24 @@ TEMPLATES = (
 )
 
 
-def question_bank(rows: DataFrame, prompt: str, answer: Column) -> DataFrame:
-    """(prompt, answer, metadata): the other columns as a JSON object."""
-    rest = [c for c in rows.columns if c != prompt]
-    return rows.select(F.col(prompt).alias("prompt"), answer.alias("answer"), F.to_json(F.struct(*rest)).alias("metadata"))
+def question_bank(rows: DataFrame, prompt: str | None = None, answer: Column | None = None, count: int | None = None) -> DataFrame:
+    """(prompt, answer, metadata): the other columns as a JSON object.
+
+    The prompt is the named column, else ``prompt`` or, where that is missing or null, ``question``; a chat (an array
+    of role and content) gives its first content. The answer is the given one, else ``reward_model.ground_truth``,
+    ``answer``, or null. Another number of rows than ``count`` is an error.
+    """
+    types = dict(rows.dtypes)
+    names = [prompt] if prompt else [c for c in ("prompt", "question") if c in types]
+    if not names:
+        raise ValueError("a question bank has a prompt or a question column")
+    text = F.coalesce(*[F.try_element_at(c, F.lit(1))["content"] if types[c].startswith("array<struct") else F.col(c) for c in names])
+    if answer is None:
+        answer = F.col("reward_model")["ground_truth"] if types.get("reward_model", "").startswith("struct") else F.col("answer") if "answer" in types else F.lit(None)
+    if count is not None and (found := rows.count()) != count:
+        raise ValueError(f"{found} questions instead of {count}")
+    rest = [c for c in rows.columns if c not in names]
+    return rows.select(text.alias("prompt"), answer.cast("string").alias("answer"), F.to_json(F.struct(*rest)).alias("metadata"))
 
 
 def after_hashes(text: Column) -> Column:

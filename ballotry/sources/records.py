@@ -85,10 +85,34 @@ def load_legacy(rows: DataFrame, keys: list[str], order: list[str], method: str
     return first_seen(kept, keys, order)
 
 
+RECORD_KEY = ["model", "task", "seed", "instance_id"]
+
+
 def pending(needed: DataFrame, done: DataFrame, k: int) -> DataFrame:
     """Keys of the needed grid that have no complete record (k answers) yet."""
-    complete = done.where(F.col("n_answers") == k).select("model", "task", "seed", "instance_id").distinct()
-    return needed.join(complete, ["model", "task", "seed", "instance_id"], "left_anti")
+    complete = done.where(F.col("n_answers") == k).select(*RECORD_KEY).distinct()
+    return needed.join(complete, RECORD_KEY, "left_anti")
+
+
+def resume_mismatches(done: DataFrame, expected: dict[str, object], prompts: DataFrame | None = None) -> DataFrame:
+    """(model, task, field, expected, found, records): what existing records say otherwise than the current run, a
+    missing field included. ``prompts`` (model, task, instance_id, prompt_sha) are the current prompts' hashes; records
+    of questions that it doesn't have aren't compared with it."""
+    pairs = [F.struct(F.lit(f).alias("field"), F.lit(str(v)).alias("expected"), F.col(f).cast("string").alias("found")) for f, v in expected.items()]
+    if prompts is not None:
+        now = prompts.select("model", "task", "instance_id", F.col("prompt_sha").alias("__now"), F.lit(True).alias("__asked"))
+        done = done.join(now, ["model", "task", "instance_id"], "left")
+        pairs.append(F.when(F.col("__asked"), F.struct(F.lit("prompt_sha").alias("field"), F.col("__now").alias("expected"), F.col("prompt_sha").alias("found"))))
+    rows = done.select("model", "task", F.explode(F.array(*pairs)).alias("p")).where("p is not null").select("model", "task", "p.*")
+    return rows.where(~F.col("expected").eqNullSafe(F.col("found"))).groupBy("model", "task", "field", "expected", "found").agg(F.count("*").alias("records"))
+
+
+def resume(needed: DataFrame, done: DataFrame, k: int, expected: dict[str, object], prompts: DataFrame | None = None) -> DataFrame:
+    """``pending`` as a contract: an error that names fields if any existing record was made otherwise."""
+    bad = resume_mismatches(done, {**expected, "K": k}, prompts).orderBy("model", "task", "field").limit(5).collect()  # a few for the message
+    if bad:
+        raise ValueError("existing records don't fit this run: " + "; ".join(f"{r.model}/{r.task} {r.field}: {r.found} instead of {r.expected} in {r.records}" for r in bad))
+    return pending(needed, done, k)
 
 
 def provenance_mismatches(records: DataFrame, expected: dict[str, str]) -> DataFrame:
