@@ -23,34 +23,49 @@ from .numbering import numbered
 
 #: Prime of the draws: squares stay within 64 bits, and both engines of the tests get the same draws.
 MODULUS = 2147483647
-#: Clusters of a block, rows of a slice, draws that a task deals at a time, and numbers of a row of partial sums.
-BLOCK, SLICE_ROWS, DEAL, ROW_NUMBERS = 4096, 200_000, 65_536, 8_192
+#: Clusters of a block, rows of a slice, draws that a task deals at a time, draws that fit a core's cache, and numbers
+#: of a row of partial sums.
+BLOCK, SLICE_ROWS, DEAL, CHUNK, ROW_NUMBERS = 4096, 200_000, 65_536, 16_384, 8_192
+
+
+def _rest(x: np.ndarray, m: int) -> np.ndarray:
+    """x % m in place for non-negative integers: NumPy divides by one number much faster than it takes remainders."""
+    x -= x // m * m
+    return x
 
 
 def draw_index(rep: np.ndarray, draw: np.ndarray, block: int, m: int) -> np.ndarray:
     """Cluster below m of each draw: quadratic congruences, which SQL computes alike."""
-    z = ((rep + 1) * 48271 + (draw + 1) * 69621 + block * 40503) % MODULUS
-    w = (z * z % MODULUS) * 7919 % MODULUS
-    return (w * w + 31 * w) % MODULUS % m
+    z = _rest((rep + 1) * 48271 + (draw + 1) * 69621 + block * 40503, MODULUS)
+    z *= z
+    w = _rest(z, MODULUS)
+    w *= 7919
+    w = _rest(w, MODULUS)
+    w *= w + 31
+    return _rest(_rest(w, MODULUS), m)
 
 
 def block_counts(m: int, begin: int, end: int, reps: int, block_size: int = BLOCK) -> np.ndarray:
     """How many of the draws begin to end - 1 of each replicate fall in each block: (blocks, replicates)."""
     blocks = -(-m // block_size)
-    out = np.empty((blocks, reps), np.int64)
-    draws = np.arange(begin, end, dtype=np.int64)
-    for r in range(reps):
-        out[:, r] = np.bincount(draw_index(np.int64(r), draws, 0, m) // block_size, minlength=blocks)
+    out = np.zeros((blocks, reps), np.int64)
+    for first in range(begin, end, CHUNK):
+        draws = np.arange(first, min(end, first + CHUNK), dtype=np.int64)
+        for r in range(reps):
+            out[:, r] += np.bincount(draw_index(np.int64(r), draws, 0, m) // block_size, minlength=blocks)
     return out
 
 
 def block_weights(first: int, counts: np.ndarray, block: int, size: int) -> np.ndarray:
     """Weights (replicates x clusters) of a block: replicate ``first`` + i draws counts[i] of its ``size`` clusters."""
-    rep = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
-    ends = np.cumsum(counts)
-    draw = np.arange(len(rep), dtype=np.int64) - np.repeat(ends - counts, counts)
-    at = rep * size + draw_index(rep + first, draw, block, size)
-    return np.bincount(at, minlength=len(counts) * size).reshape(len(counts), size).astype(float)
+    out = np.empty((len(counts), size))
+    for i, n in enumerate(counts.tolist()):
+        row = np.zeros(size, np.int64)
+        for begin in range(0, n, CHUNK):
+            draws = np.arange(begin, min(n, begin + CHUNK), dtype=np.int64)
+            row += np.bincount(draw_index(np.int64(first + i), draws, block, size), minlength=size)
+        out[i] = row
+    return out
 
 
 def replicate_sums(
@@ -63,7 +78,7 @@ def replicate_sums(
     clusters; ``finish`` makes double columns ``results`` of sums (replicates x statistics). Clusters are the distinct
     values of the columns ``cluster``, of which the first is numeric, within a cell, and are numbered in their order.
     """
-    key = list(by)
+    key, spark = list(by), rows.sparkSession
     rows = written(rows.select(*dict.fromkeys([*by, *cluster, *columns])))
     places = numbered(rows.select(*by, *cluster).distinct(), by, cluster[0], cluster[1:], name="__index", size="__m")
     same = [F.col(f"x.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*by, *cluster]]
@@ -73,6 +88,10 @@ def replicate_sums(
     cut = own.join(slices.select(*[F.col(c).alias(f"s_{c}") for c in [*by, "__block"]], "__slices"), [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in [*by, "__block"]])
     cut = cut.withColumn("__slice", F.pmod(F.hash(*columns, "__index"), F.col("__slices"))).select(*by, "__block", "__slice", "__index", "__m", *[c for c in columns if c not in by])
 
+    # work is in proportion to groups times replicates, not to bytes: a partition for each group
+    workers = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(workers, min(10_000, slices.agg(F.sum("__slices")).first()[0] or 1))
+
     # draws that fall in each block, for cells of more than one block
     types = {f.name: f.dataType for f in rows.schema}
     many = slices.where(F.col("__m") > block_size).select(*by, "__m").distinct()
@@ -89,7 +108,7 @@ def replicate_sums(
     def add(batch: pd.DataFrame) -> pd.DataFrame:
         return batch.iloc[:1].assign(__counts=[np.sum(np.stack(batch["__counts"]), axis=0)])
 
-    dealt = parts.repartition(*by, "__part").mapInPandas(deal, counted).groupBy(*by, "__block").applyInPandas(add, counted)
+    dealt = parts.repartition(n, *by, "__part").mapInPandas(deal, counted).groupBy(*by, "__block").applyInPandas(add, counted)
     dealt = dealt.join(slices.select(*[F.col(c).alias(f"s_{c}") for c in [*by, "__block"]], "__slices"), [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in [*by, "__block"]])
     dealt = dealt.select(*by, "__block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__slices") - 1)).alias("__slice"), "__counts")
 
@@ -132,7 +151,7 @@ def replicate_sums(
         return frame[done.names]
 
     group = [*key, "__block", "__slice"]
-    products = cut.groupBy(*group).cogroup(dealt.groupBy(*group)).applyInPandas(multiply, partial)
+    products = cut.repartition(n, *group).groupBy(*group).cogroup(dealt.repartition(n, *group).groupBy(*group)).applyInPandas(multiply, partial)
     return products.groupBy(*key, "__first").applyInPandas(total, done)
 
 
