@@ -5,12 +5,17 @@ suffix of a corpus would shuffle many times its size, so suffixes are sampled fi
 
 * The windows of ``length`` bytes of a text are cut in ranges of starts that share their smallest
   hashed k-gram. Equal windows share it too, so a range whose k-gram occurs once holds no repeat,
-  and a range whose whole span occurs twice holds nothing else. Both are found by counting hashes,
-  which pre-aggregates before its shuffle, so hot passages cost no more than others.
-* Only the rest, around the ends of repeated passages, is undecided. It is cut again with longer
-  k-grams, and what then remains is sorted: buckets of suffixes that start with windows of one
-  k-gram go through a mergesort whose comparisons find common extensions by binary search over
-  prefix polynomial hashes; neighbours that agree on ``length`` bytes are verified byte by byte.
+  and a range whose whole span occurs twice holds nothing else. Hashes are counted only to choose
+  what is sorted: the count pre-aggregates before its shuffle, so hot passages cost no more.
+* Spans that seem to occur twice are sorted as suffixes at the ranges' first starts, in buckets of a
+  bounded number of copies, and each must agree byte for byte with a neighbour. Where one doesn't,
+  its hash had collided: its key gets another hash and the cut is decided again.
+* The rest, around the ends of repeated passages, is cut again with longer k-grams, and of what then
+  remains every suffix is sorted, in buckets of one k-gram; buckets of very many contexts are cut by
+  whole windows, which are sorted as spans like all others.
+
+The sort is a mergesort whose comparisons find common extensions by binary search over prefix
+polynomial hashes; nothing is removed that wasn't verified on its bytes there.
 """
 
 from __future__ import annotations
@@ -30,8 +35,10 @@ from .shingles import _M1, _power_table, mix, pieces, text_buffer
 #: Bytes of the k-grams that sample the windows, as parts of their length, and of those that cut the rest.
 SAMPLE_PART = 0.25
 CUT_LESS = 30
-#: Contexts of one k-gram up to which a bucket is sorted in one task; windows of larger ones are counted.
+#: Contexts of one k-gram up to which all their suffixes are sorted in one task; larger buckets are cut by windows.
 BUCKET_CONTEXTS = 2_000
+#: Copies of one span that are sorted together; more are dealt to several buckets.
+BUCKET_COPIES = 1_000
 #: Bytes of contexts that are sorted at once.
 SORT_BYTES = 1 << 19
 
@@ -94,14 +101,20 @@ def window_ranges(prefix: np.ndarray, offsets: np.ndarray, length: int, k: int)
 # ------------------------------------------------------------------------------- the suffix sort
 
 
-def common_extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+def common_extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray | int) -> np.ndarray:
     """Bytes on which the substrings at a and b agree, ``length`` at most: binary search over hashes."""
     _, inverse = _power_table(len(prefix))
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), length, np.int64)
+    length = np.broadcast_to(np.asarray(length, np.int64), a.shape)
+
+    def agree(n):
+        return (prefix[a + n] - prefix[a]) * inverse[a] == (prefix[b + n] - prefix[b]) * inverse[b]
+
     with np.errstate(over="ignore"):
+        whole = agree(length)
+        low, high = np.where(whole, length, 0), np.where(whole, length, length - 1)
         while (low < high).any():
             mid = (low + high + 1) >> 1
-            same = (prefix[a + mid] - prefix[a]) * inverse[a] == (prefix[b + mid] - prefix[b]) * inverse[b]
+            same = agree(mid)
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
     return low
 
@@ -112,15 +125,17 @@ def _not_above(data, prefix, head, a, b, length, or_equal) -> np.ndarray:
     tie = np.flatnonzero(head[a] == head[b])
     if len(tie):
         x, y = a[tie], b[tie]
-        n = common_extension(prefix, x, y, length)
-        same = n == length
-        n = np.minimum(n, length - 1)
+        most = length[tie]
+        n = common_extension(prefix, x, y, most)
+        same = n == most
+        n = np.minimum(n, most - 1)
         out[tie] = np.where(same, or_equal[tie], data[x + n] < data[y + n])
     return out
 
 
-def sort_suffixes(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, segment: np.ndarray, length: int) -> np.ndarray:
-    """Order of the suffixes at ``at`` by segment (already grouped), then by their first ``length`` bytes.
+def sort_suffixes(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, segment: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """Order of the suffixes at ``at`` by segment (already grouped), then by their first ``length`` bytes, which may
+    differ between segments.
 
     A bottom-up mergesort of all segments at once: each suffix finds its rank in the sibling run by
     binary search, and a comparison is a common extension and one byte.
@@ -128,6 +143,7 @@ def sort_suffixes(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, segment:
     order = np.arange(len(at))
     if len(at) < 2:
         return order
+    length = np.broadcast_to(np.asarray(length, np.int64), at.shape)
     padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
     head = np.zeros(len(data), np.uint64)
     for i in range(8):
@@ -147,14 +163,14 @@ def sort_suffixes(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, segment:
         high = np.minimum(np.where(left, base + 2 * width, base + width), end[pos])
         low = np.minimum(low, high)
         first = low.copy()
-        own = at[order[pos]]
+        own, most = at[order[pos]], length[order[pos]]
         while True:
             open_ = np.flatnonzero(low < high)
             if not len(open_):
                 break
             mid = (low[open_] + high[open_]) >> 1
             # rank: siblings before the suffix; of equal ones the left run comes first
-            less = _not_above(data, prefix, head, at[order[mid]], own[open_], length, ~left[open_])
+            less = _not_above(data, prefix, head, at[order[mid]], own[open_], most[open_], ~left[open_])
             low[open_], high[open_] = np.where(less, mid + 1, low[open_]), np.where(less, high[open_], mid)
         target = base + rel % width + (low - first)
         moved = order.copy()
@@ -164,20 +180,21 @@ def sort_suffixes(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, segment:
     return order
 
 
-def repeated_suffixes(data: np.ndarray, at: np.ndarray, segment: np.ndarray, length: int) -> np.ndarray:
-    """Which of the suffixes agree on ``length`` bytes with another one of their segment."""
+def repeated_suffixes(data: np.ndarray, at: np.ndarray, segment: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """Which of the suffixes agree on ``length`` bytes (one number a segment) with another one of their segment."""
     prefix = prefix_hashes(data)
+    length = np.broadcast_to(np.asarray(length, np.int64), at.shape)
     order = sort_suffixes(data, prefix, at, segment, length)
     a, b = order[:-1], order[1:]
     same = np.flatnonzero(segment[a] == segment[b])
     a, b = a[same], b[same]
-    near = common_extension(prefix, at[a], at[b], length) == length if len(a) else np.zeros(0, bool)
+    near = common_extension(prefix, at[a], at[b], length[a]) == length[a] if len(a) else np.zeros(0, bool)
     a, b = a[near], b[near]
     out = np.zeros(len(at), bool)
-    reach = np.arange(length)
     broken = []
     for i in range(0, len(a), 4096):  # equal hashes are verified on the bytes
         x, y = a[i : i + 4096], b[i : i + 4096]
+        reach = np.minimum(np.arange(length[x].max()), length[x][:, None] - 1)  # shorter ones repeat their last byte
         equal = (data[at[x][:, None] + reach] == data[at[y][:, None] + reach]).all(1)
         out[x[equal]] = out[y[equal]] = True
         broken += segment[x[~equal]].tolist()
@@ -185,7 +202,7 @@ def repeated_suffixes(data: np.ndarray, at: np.ndarray, segment: np.ndarray, len
         own = np.flatnonzero(segment == g)
         seen: dict[bytes, int] = {}
         for i in own.tolist():
-            window = data[at[i] : at[i] + length].tobytes()
+            window = data[at[i] : at[i] + length[i]].tobytes()
             if window in seen:
                 out[i] = out[seen[window]] = True
             seen.setdefault(window, i)
@@ -229,48 +246,127 @@ def _ranges_of(length: int, k: int, value: str, keep: list[str], begin: str | No
     return each
 
 
-def _decide(ranges: DataFrame, scratch: Scratch, name: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Of ranges (name..., place, open, g, f): spans f that occur twice, and one range each of the spans whose
-    k-gram also stands in another span, if any of these is open: (name..., place, g, contexts, open)."""
-    one = F.min(F.struct(*name, "place", "open")).alias("one")
-    spans = scratch.table(ranges.groupBy("f").agg(F.min("g").alias("g"), F.count("*").alias("c"), one).where("g is not null"))
-    lone = (F.col("c") == 1) & F.col("one.open")
-    groups = scratch.table(spans.groupBy("g").agg(F.count("*").alias("contexts"), F.max(lone).alias("some")).where("contexts > 1 and some"))
-    rest = spans.join(groups.drop("some"), "g")
-    rest = scratch.table(rest.select(*[F.col(f"one.{c}") for c in (*name, "place")], "g", "contexts", lone.alias("open")))
-    twice = scratch.table(spans.where("c > 1").select("f"))
-    scratch.drop(spans, groups)
-    return twice, rest
-
-
-def _wanted(rest: DataFrame, name: list[str], scratch: Scratch) -> DataFrame:
-    """The undecided ranges of each text (or context) as a list."""
-    return scratch.table(rest.groupBy(*name).agg(F.collect_list(F.struct("place", "open", "g", "contexts")).alias("wanted")))
+#: Ranges as asked of their texts: claims are spans that seem to occur twice, the others stay undecided.
+_ASKED = ["place", "open", "claim", "g", "f", "salt", "contexts"]
+_CUT = "r long, place long, open boolean, claim boolean, g long, f long, salt long, contexts long, context binary"
+#: Bytes of contexts in one Arrow batch.
+CUT_BYTES = 4 << 20
 
 
 def _cut_out(length: int, value: str, begin: str | None):
     """Task: rows with texts (or contexts) and wanted ranges to one row a range with its bytes."""
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["r", *_ASKED, "context"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, value, PIECE_BYTES):
-                cols: dict[str, list] = {n: [] for n in ("r", "base", "more", "open", "g", "contexts", "context")}
+                rows: list[tuple] = []
+                held = 0
                 data, at = text_buffer(batch.column(value))
                 shift = batch.column(begin).to_pylist() if begin else [0] * batch.num_rows
                 for i, (r, wanted) in enumerate(zip(batch.column("r").to_pylist(), batch.column("wanted").to_pylist())):
                     base = int(at[i]) - shift[i]
                     for w in wanted:
                         first, last = _starts(w["place"])
-                        for name, v in (("r", r), ("base", first), ("more", last - first), ("open", w["open"]), ("g", w["g"]), ("contexts", w["contexts"])):
-                            cols[name].append(v)
-                        cols["context"].append(data[base + first : base + last + length].tobytes())
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.record_batch([pa.array(v, t) for v, t in zip(cols.values(), types)], list(cols))
+                        context = data[base + first : base + last + length].tobytes()
+                        rows.append((r, *[w[c] for c in _ASKED], context))
+                        held += len(context)
+                        if held >= CUT_BYTES:
+                            yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows), types)], names)
+                            rows, held = [], 0
+                if rows:
+                    yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows), types)], names)
+
+    return each
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], columns: list[str], same) -> Iterator[list[tuple]]:
+    """Rows of sorted batches, the context last, in lists of whole groups (by ``same`` of a row) and some bytes."""
+    rows: list[tuple] = []
+    held = 0
+    for batch in batches:
+        for row in zip(*[batch.column(c).to_pylist() for c in columns]):
+            if held >= SORT_BYTES and same(row) != same(rows[-1]):
+                yield rows
+                rows, held = [], 0
+            rows.append(row)
+            held += len(row[-1])
+    if rows:
+        yield rows
+
+
+_CHECKED = "r long, place long, open boolean, g long, f long, ok boolean"
+
+
+def _sorted_spans():
+    """Task: claims sorted by key, salt and length to (r, place, open, g, f, ok): whether the span's bytes equal those
+    of a neighbour in the suffix sort of its bucket."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def bucket(row):
+            return row[2], row[3], row[5], len(row[6])
+
+        for rows in _grouped(batches, ["r", "place", "g", "f", "open", "salt", "context"], bucket):
+            data = np.frombuffer(b"".join(row[6] for row in rows), np.uint8)
+            size = np.array([len(row[6]) for row in rows])
+            segment = np.cumsum([0, *[bucket(x) != bucket(y) for x, y in zip(rows, rows[1:])]])
+            ok = repeated_suffixes(data, np.cumsum(size) - size, segment, size)
+            r, place, g, f, open_, _, _ = zip(*rows)
+            long = [pa.array(v, pa.int64()) for v in (r, place, g, f)]
+            yield pa.record_batch([*long[:2], pa.array(open_, pa.bool_()), *long[2:], pa.array(ok)], ["r", "place", "open", "g", "f", "ok"])
 
     return each
 
 
-_CONTEXT = "r long, base long, more long, open boolean, g long, contexts long, context binary"
+def _round(source: DataFrame, value: str, k: int, length: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """One cut of the windows of texts (r, text) or contexts (r, base, open, context) by k-grams: runs (r, place) of
+    verified repeats in open ranges, and the undecided contexts (r, base, open, g, contexts, context).
+
+    Undecided are the spans whose k-gram also stands in another span, if any of these is open and occurs once; of
+    each span that occurs more often one range goes with them, closed.
+    """
+    inner = "base" in source.columns
+    names = ["r", "base"] if inner else ["r"]
+    begin = "base" if inner else None
+    keep = [*names, "open"] if inner else names
+    kept = ", ".join(f"{c} {'boolean' if c == 'open' else 'long'}" for c in keep)
+    ranges = source.mapInArrow(lean(_ranges_of(length, k, value, keep, begin)), f"{kept}, place long, g long, f long")
+    ranges = scratch.table(ranges if inner else ranges.withColumn("open", F.lit(True)))
+    again = 0
+    while True:
+        one = F.min(F.struct(*names, "place", "open")).alias("one")
+        spans = scratch.table(ranges.groupBy("g", "f").agg(F.count("*").alias("c"), F.max("open").alias("some"), one))
+        lone = (F.col("c") == 1) & F.col("one.open")
+        groups = spans.groupBy("g").agg(F.count("*").alias("contexts"), F.max(lone).alias("undecided")).where("contexts > 1 and undecided")
+        rest = spans.join(groups.drop("undecided"), "g").select(
+            *[F.col(f"one.{c}") for c in (*names, "place")], lone.alias("open"), F.lit(False).alias("claim"), "g", "f", F.lit(0).cast("long").alias("salt"), "contexts"
+        )
+        # copies of one span are dealt to buckets, in each of which they verify each other
+        salt = F.pmod(F.xxhash64("r", "place", "f"), F.ceil(F.col("c") / BUCKET_COPIES))
+        claims = ranges.join(spans.where("c > 1 and some").select("g", "f", "c"), ["g", "f"]).select(
+            *names, "place", "open", F.lit(True).alias("claim"), "g", "f", salt.alias("salt"), F.lit(0).cast("long").alias("contexts")
+        )
+        # lists grow with the corpus, so texts meet them by a shuffle at every size; repeated rows ask once
+        wanted = rest.unionByName(claims).groupBy(*names).agg(F.collect_set(F.struct(*_ASKED)).alias("wanted"))
+        asked = source.select(*names, value).join(wanted, names)
+        cut = scratch.table(asked.mapInArrow(lean(_cut_out(length, value, begin)), _CUT))
+        key = ["g", "f", "salt"]
+        dealt = cut.where("claim").repartition(*key).sortWithinPartitions(*key, F.octet_length("context"))
+        checked = scratch.table(dealt.mapInArrow(lean(_sorted_spans()), _CHECKED))
+        broken = checked.where("not ok").select("g", "f").distinct()
+        if not broken.take(1):
+            break
+        # different bytes under one key: these ranges get another hash
+        again += 1
+        fresh = cut.where("claim").join(broken, ["g", "f"]).select("r", "place", F.xxhash64(F.lit(again), "context").alias("fresh")).distinct()
+        before, ranges = ranges, scratch.table(ranges.join(fresh, ["r", "place"], "left").withColumn("f", F.coalesce("fresh", "f")).drop("fresh"))
+        scratch.drop(before, spans, cut, checked)
+    scratch.drop(ranges, spans)
+    contexts = cut.where("not claim").select("r", F.shiftright("place", MORE_BITS).alias("base"), "open", "g", "contexts", "context")
+    return checked.where("open").select("r", "place"), contexts
+
+
 _FOUND = "r long, place long"
 
 
@@ -297,16 +393,7 @@ def _sorted_repeats(length: int):
         return pa.record_batch([pa.array(own, pa.int64()), pa.array(_place(at[a] + shift, at[b] + shift), pa.int64())], ["r", "place"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        held = 0
-        for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("r", "base", "open", "g", "context")]):
-                if held >= SORT_BYTES and row[3] != rows[-1][3]:
-                    yield work(rows)
-                    rows, held = [], 0
-                rows.append(row)
-                held += len(row[4])
-        if rows:
+        for rows in _grouped(batches, ["r", "base", "open", "g", "context"], lambda row: row[3]):
             yield work(rows)
 
     return each
@@ -320,36 +407,13 @@ def repeated_starts(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame
     k1, k2 = max(1, int(length * SAMPLE_PART)), max(1, length - CUT_LESS)
     k1 = min(k1, k2)
     docs = docs.where(F.octet_length("text") >= length)  # shorter ones hold no window
-    ranges = scratch.table(docs.mapInArrow(lean(_ranges_of(length, k1, "text", ["r"])), "r long, place long, g long, f long"))
-    twice, rest = _decide(ranges.withColumn("open", F.lit(True)), scratch, ["r"])
-    # spans grow with the corpus: joined by shuffle at every size, the result without what only the count needs
-    found = scratch.table(ranges.select("r", "place", "f").join(twice, "f", "left_semi").select("r", "place"))
-    scratch.drop(ranges, twice)
-    # bytes of the undecided ranges and of one of each repeated span beside them; lists grow with the corpus, so
-    # texts meet them by a shuffle at every size
-    asked = docs.join(_wanted(rest, ["r"], scratch), "r")
-    contexts = scratch.table(asked.mapInArrow(lean(_cut_out(length, "text", None)), _CONTEXT))
-    # the same again with longer k-grams; contexts are named by their row and first start
-    inner = contexts.select("r", "base", "open", "context")
-    parts = scratch.table(inner.mapInArrow(lean(_ranges_of(length, k2, "context", ["r", "base", "open"], "base")), "r long, base long, open boolean, place long, g long, f long"))
-    twice2, rest2 = _decide(parts, scratch, ["r", "base"])
-    found2 = parts.where("open").select("r", "place", "f").join(twice2, "f", "left_semi").select("r", "place")
-    asked2 = inner.drop("open").join(_wanted(rest2, ["r", "base"], scratch), ["r", "base"])
-    pieces2 = scratch.table(asked2.mapInArrow(lean(_cut_out(length, "context", "base")), _CONTEXT))
-    buckets = pieces2.where(F.col("contexts") <= BUCKET_CONTEXTS).select("r", "base", "open", "g", "context")
+    found, contexts = _round(docs, "text", k1, length, scratch)
+    found2, contexts = _round(contexts, "context", k2, length, scratch)
+    buckets = contexts.where(F.col("contexts") <= BUCKET_CONTEXTS).select("r", "base", "open", "g", "context")
     found3 = buckets.repartition("g").sortWithinPartitions("g").mapInArrow(lean(_sorted_repeats(length)), _FOUND)
-    # a larger bucket is cut by whole windows, so that none of them meets in one task: equal windows have equal
-    # hashes, and of each hash two windows are compared by their bytes
-    hot = pieces2.where(F.col("contexts") > BUCKET_CONTEXTS).select("r", "base", "open", "context")
-    single = scratch.table(hot.mapInArrow(lean(_ranges_of(length, length, "context", ["r", "base", "open"], "base")), "r long, base long, open boolean, place long, g long, f long"))
-    ends = single.groupBy("f").agg(F.count("*").alias("c"), F.min(F.struct("r", "base", "place")).alias("lo"), F.max(F.struct("r", "base", "place")).alias("hi")).where("c > 1")
-    window = F.substring("context", (F.shiftright("place", MORE_BITS) - F.col("base") + 1).cast("int"), F.lit(length))
-    seen = ends.select("f", F.explode(F.array("lo", "hi")).alias("x")).select("f", "x.*").join(hot.drop("open"), ["r", "base"]).select("f", window.alias("bytes"))
-    equal = seen.groupBy("f").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).where("a = b").select("f")
-    found4 = single.where("open").join(equal, "f", "left_semi").select("r", "place")
-    out = scratch.table(found.unionByName(found2).unionByName(found3).unionByName(found4).distinct())
-    scratch.drop(found, rest, contexts, parts, twice2, rest2, pieces2, single)
-    return out
+    # of a k-gram as long as the window every span is one window, so none stays undecided
+    found4, _ = _round(contexts.where(F.col("contexts") > BUCKET_CONTEXTS), "context", length, length, scratch)
+    return scratch.table(found.unionByName(found2).unionByName(found3).unionByName(found4).distinct())
 
 
 def _remove(length: int, keep: list[str], as_text: bool):

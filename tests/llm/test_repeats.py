@@ -53,6 +53,27 @@ def test_removed_bytes_equal_brute_force(spark, monkeypatch, seed, length, bucke
     assert sorted(map(tuple, rp.suffix_dedup(df, length).collect()), key=str) == brute(rows, length)
 
 
+@pytest.mark.parametrize("seed,length", [(6, 60), (7, 100)])
+def test_colliding_hashes_of_the_whole_job(spark, monkeypatch, seed, length):
+    """Spans under four hashes only, copies dealt to several buckets: whatever is claimed wrongly is decided again."""
+    plain = rp.span_hash
+    monkeypatch.setattr(rp, "span_hash", lambda prefix, begin, end: plain(prefix, begin, end) & np.uint64(3))
+    monkeypatch.setattr(rp, "CUT_LESS", 8)
+    monkeypatch.setattr(rp, "BUCKET_CONTEXTS", 3)
+    monkeypatch.setattr(rp, "BUCKET_COPIES", 12)
+    rows = corpus(seed, 40) + [(1000 + i, "one passage that many rows hold " * 5 + str(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, rp.suffix_dedup(df, length).collect()), key=str) == brute(rows, length)
+
+
+def test_spans_of_several_lengths():
+    data = np.frombuffer(b"abcdefgh-abcdefgh-abcdefgx-" + b"0123456789ab|0123456789ab|0123456789zz|", np.uint8)
+    at = np.array([0, 9, 18, 27, 40, 53])
+    size = np.array([8, 8, 8, 12, 12, 12])
+    got = rp.repeated_suffixes(data, at, np.array([0, 0, 0, 1, 1, 1]), size)
+    assert got.tolist() == [True, True, False, True, True, False]
+
+
 def test_suffix_order_and_collisions(monkeypatch):
     rnd = np.random.default_rng(1)
     data = rnd.integers(97, 99, 3000).astype(np.uint8)
