@@ -319,9 +319,10 @@ def _sorted_spans():
     return each
 
 
-def _round(source: DataFrame, value: str, k: int, length: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _round(source: DataFrame, value: str, k: int, length: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """One cut of the windows of texts (r, text) or contexts (r, base, open, context) by k-grams: runs (r, place) of
-    verified repeats in open ranges, and the undecided contexts (r, base, open, g, contexts, context).
+    verified repeats in open ranges, the undecided contexts (r, base, open, g, contexts, context), and the tables that
+    both read.
 
     Undecided are the spans whose k-gram also stands in another span, if any of these is open and occurs once; of
     each span that occurs more often one range goes with them, closed.
@@ -364,7 +365,7 @@ def _round(source: DataFrame, value: str, k: int, length: int, scratch: Scratch)
         scratch.drop(before, spans, cut, checked)
     scratch.drop(ranges, spans)
     contexts = cut.where("not claim").select("r", F.shiftright("place", MORE_BITS).alias("base"), "open", "g", "contexts", "context")
-    return checked.where("open").select("r", "place"), contexts
+    return checked.where("open").select("r", "place"), contexts, [cut, checked]
 
 
 _FOUND = "r long, place long"
@@ -407,13 +408,15 @@ def repeated_starts(docs: DataFrame, scratch: Scratch, length: int) -> DataFrame
     k1, k2 = max(1, int(length * SAMPLE_PART)), max(1, length - CUT_LESS)
     k1 = min(k1, k2)
     docs = docs.where(F.octet_length("text") >= length)  # shorter ones hold no window
-    found, contexts = _round(docs, "text", k1, length, scratch)
-    found2, contexts = _round(contexts, "context", k2, length, scratch)
+    found, contexts, held = _round(docs, "text", k1, length, scratch)
+    found2, contexts, held2 = _round(contexts, "context", k2, length, scratch)
     buckets = contexts.where(F.col("contexts") <= BUCKET_CONTEXTS).select("r", "base", "open", "g", "context")
     found3 = buckets.repartition("g").sortWithinPartitions("g").mapInArrow(lean(_sorted_repeats(length)), _FOUND)
     # of a k-gram as long as the window every span is one window, so none stays undecided
-    found4, _ = _round(contexts.where(F.col("contexts") > BUCKET_CONTEXTS), "context", length, length, scratch)
-    return scratch.table(found.unionByName(found2).unionByName(found3).unionByName(found4).distinct())
+    found4, _, held4 = _round(contexts.where(F.col("contexts") > BUCKET_CONTEXTS), "context", length, length, scratch)
+    out = scratch.table(found.unionByName(found2).unionByName(found3).unionByName(found4).distinct())
+    scratch.drop(*held, *held2, *held4)
+    return out
 
 
 def _remove(length: int, keep: list[str], as_text: bool):
