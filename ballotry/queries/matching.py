@@ -82,6 +82,8 @@ PROMPT = "select item_id, slot, replace(template, '{question}', text) || chr(10)
 query("s07_prompt_expansion", sql([TPL], PROMPT, "item_id, slot, prompt"))(lambda s, d: qu.expand_prompts(fx.read(s, d, "benchmark")))
 query("s08_prompt_fingerprint", sql([TPL], f"select item_id, slot, left(sha256(prompt), 16) fp from ({PROMPT})", "item_id, slot, fp"))(lambda s, d: qu.expand_prompts(fx.read(s, d, "benchmark")).select("item_id", "slot", qu.fingerprint(F.col("prompt")).alias("fp")))
 query("s09_key_fingerprint", sql(PR, "select model, task, md5('[' || string_agg('[' || seed || ', ' || instance_id || ']', ', ' order by seed, instance_id) || ']') md5 from recs where arm = 'SC' group by all", "model, task, md5"))(lambda s, d: re_.key_fingerprint(vo.records(P(s, d)).where("arm = 'SC'"), ["model", "task"]))
+# the bytes of the files that a run would read: no SQL, as only Spark writes them
+query("s09b_file_fingerprints")(lambda s, d: re_.fingerprints(s, fx.record_files(s, d)))
 query("s10_pending_keys", sql([*PR, BROKEN_SQL], "select distinct model, task, seed, instance_id from recs where arm = 'PT' and (model, task, seed, instance_id) not in (select (model, task, seed, instance_id) from broken group by model, task, seed, instance_id having count(*) = 32)", "model, task, seed, instance_id"))(
     lambda s, d: re_.pending(vo.records(P(s, d)).where("arm = 'PT'").select(*ma.KEY).distinct(), broken(s, d).groupBy(*ma.KEY).agg(F.count("*").alias("n_answers")), 32)
 )

@@ -123,7 +123,7 @@ def provenance_mismatches(records: DataFrame, expected: dict[str, str]) -> DataF
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """MD5 of each file's bytes."""
+    """(file, md5, bytes): MD5 of each file's bytes; files without bytes give no row, as Spark doesn't scan them."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.col("_metadata.file_name").alias("file"), F.md5("content").alias("md5"), F.length("content").cast("long").alias("bytes"))
 
