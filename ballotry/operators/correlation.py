@@ -80,8 +80,8 @@ def pair_correlations(recs: DataFrame, by: list[str] = CELL) -> DataFrame:
 
 
 def pearson_of_sums(n: Column, si: Column, sj: Column, sii: Column, sjj: Column, sij: Column) -> Column:
-    """Correlation from sums; null if a side is constant."""
-    n = n.cast("double")
+    """Correlation from sums; null if a side is constant. Products are doubles, as those of large sums exceed 64 bits."""
+    n, si, sj, sii, sjj, sij = (x.cast("double") for x in (n, si, sj, sii, sjj, sij))
     vi, vj = n * sii - si * si, n * sjj - sj * sj
     return F.when((vi > 0) & (vj > 0), (n * sij - si * sj) / F.sqrt(vi * vj))
 

@@ -13,7 +13,7 @@ from ballotry.functions import closed_forms as cf
 from ballotry.functions import tails as ta
 from ballotry.plans import replicates as rp
 
-from .correlation import pairwise_rho, pearson_of_sums
+from .correlation import pairwise_rho
 from .matching import two_folds
 from .votes import majority, prefix, prefix_records, records
 
@@ -282,11 +282,13 @@ def replicated_rank_test(reps: DataFrame, value: str, group: str, level: float =
 
 
 def pearson(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Correlation from sums and its two-sided p; null for constant columns or fewer than two rows."""
-    a, b = F.col(x), F.col(y)
-    s = rows.where(a.isNotNull() & b.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy"))
-    c = F.col
-    return s.select(*by, "n", pearson_of_sums(c("n"), c("sx"), c("sy"), c("sxx"), c("syy"), c("sxy")).alias("r")).withColumn("p", ta.pearson_p(c("r"), c("n")))
+    """Correlation from central moments, which neither overflow nor cancel as sums of squares do, and its two-sided p;
+    null for constant columns or fewer than two rows."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    varied = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    r = F.when(varied, F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b)))
+    s = rows.where(a.isNotNull() & b.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), r.alias("r"))
+    return s.withColumn("p", ta.pearson_p(F.col("r"), F.col("n")))
 
 
 def spearman_slots(slots: DataFrame, seed_a: int, seed_b: int) -> DataFrame:

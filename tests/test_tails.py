@@ -95,3 +95,11 @@ def test_rank_test_with_ties_is_normal(spark):
 def test_exact_p_of_separated_values(spark):
     df = spark.createDataFrame([(v, int(v < 3)) for v in range(6)], "v int, g int")
     assert inf.mann_whitney(df, "v", "g").first().p == pytest.approx(0.1)
+
+
+def test_correlation_of_large_numbers(spark):
+    ys = [4_000_000_000 + (i * i % 7) for i in range(40)]  # squares and squared sums exceed 64 bits
+    rows = [("a", i, y) for i, y in enumerate(ys)] + [("b", 5_000_000_000, y) for y in ys]
+    got = {r.g: r for r in inf.pearson(spark.createDataFrame(rows, "g string, x long, y long"), "x", "y", ["g"]).collect()}
+    assert got["a"].r == pytest.approx(np.corrcoef(range(40), [y - 4_000_000_000 for y in ys])[0, 1], abs=1e-6)
+    assert got["b"].r is None and got["b"].p is None and got["b"].n == 40
