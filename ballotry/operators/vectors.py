@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballotry.plans.numbering import BUCKET_ROWS, range_bucket
+
 
 def _sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
@@ -80,21 +82,36 @@ def label_entropy(rows: DataFrame, label: str) -> DataFrame:
     return p.agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"), F.count("*").alias("classes"))
 
 
-def label_bins(rows: DataFrame, label: str, bins: int = 20, numeric: float = 0.8, accuracy: int = 10_000) -> DataFrame:
+def quantile_edges(values: DataFrame, value: str, parts: int, bucket_rows: int = BUCKET_ROWS) -> list[float]:
+    """Exact edges of equal parts of a double column without nulls: the least value with at least ceil(n i / parts) rows
+    up to it, for i = 1 to parts. Values are counted first and running counts are kept by range bucket, so no task
+    orders all values."""
+    counts = values.groupBy(value).agg(F.count("*").alias("__rows"))
+    placed = counts.withColumn("__bucket", range_bucket(counts, value, bucket_rows))
+    sums = placed.groupBy("__bucket").agg(F.sum("__rows").alias("__in"))  # a row a bucket
+    ahead = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("__bucket", F.coalesce(F.sum("__in").over(ahead), F.lit(0)).alias("__before"), F.sum("__in").over(Window.partitionBy()).alias("__all"))
+    upto = F.col("__before") + F.sum("__rows").over(Window.partitionBy("__bucket").orderBy(value))
+    run = placed.join(offsets, "__bucket").select(value, "__all", upto.alias("__upto"))
+    rank = lambda i: F.expr(f"(__all * {i} + {parts - 1}) div {parts}")
+    edges = run.agg(*[F.min(F.when(F.col("__upto") >= rank(i), F.col(value))).alias(f"e{i}") for i in range(1, parts + 1)]).first()  # a row of ``parts`` edges
+    return list(edges)
+
+
+def label_bins(rows: DataFrame, label: str, bins: int = 20, numeric: float = 0.8) -> DataFrame:
     """rows with a text column ``bin``: labels of up to ``bins`` values as they are; else, where more than the share
     ``numeric`` of the rows are numbers, equal parts of the numbers (what is no number counts as 0), else by hash.
 
-    Edges come from a sketch that tasks merge: an edge's rank is off by at most rows / accuracy. Null labels stay null.
+    Edges are exact quantiles. Null labels stay null.
     """
     text = F.col(label).cast("string")
     if rows.select(text.alias("l")).where("l is not null").distinct().limit(bins + 1).count() <= bins:
         return rows.withColumn("bin", text)
     number = F.expr(f"try_cast(try_cast(`{label}` as string) as double)")
     number = F.when(F.isnan(number), None).otherwise(number)
-    edges = F.percentile_approx(number, [i / bins for i in range(1, bins + 1)], accuracy)
-    found = rows.agg(F.count(number).alias("numbers"), F.count(text).alias("n"), edges.alias("q")).first()  # a row of ``bins`` edges
+    found = rows.agg(F.count(number).alias("numbers"), F.count(text).alias("n")).first()
     if found["numbers"] > numeric * found["n"]:
-        q = F.array(*[F.lit(float(x)) for x in found["q"]])
+        q = F.array(*[F.lit(x) for x in quantile_edges(rows.select(number.alias("__x")).where("__x is not null"), "__x", bins)])
         x = F.coalesce(number, F.lit(0.0))
         made = F.least(F.size(F.filter(q, lambda e: e < x)), F.lit(bins - 1))
     else:

@@ -159,6 +159,17 @@ def test_label_bins(spark):
     assert len({r.bin for r in ve.label_bins(spark.createDataFrame([(float(i),) for i in range(100)], "l double"), "l").collect()}) == 20
 
 
+def test_label_bins_have_exact_edges(spark):
+    rows = spark.range(30_000).selectExpr("(id * id * 7919) % 100003 % 9973 + id % 3 * 0.25D x").cache()
+    xs = np.sort([r.x for r in rows.collect()])
+    want = [xs[-(-len(xs) * i // 20) - 1] for i in range(1, 21)]
+    assert ve.quantile_edges(rows, "x", 20) == want and ve.quantile_edges(rows, "x", 20, bucket_rows=1_000) == want
+    assert ve.quantile_edges(rows.where("x < 0.3").limit(3), "x", 20, bucket_rows=1)[-1] < 0.3
+    got = {r.bin: r["count"] for r in ve.label_bins(rows, "x").groupBy("bin").count().collect()}
+    place = np.minimum(np.searchsorted(want, xs, "left"), 19)
+    assert got == {str(b): int(n) for b, n in enumerate(np.bincount(place, minlength=20))}
+
+
 def test_held_out_gls(spark):
     rng = random.Random(6)
     k, rows = 5, []
