@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ballotry.plans.numbering import numbered
 from ballotry.sources.records import nest_paths
 from ballotry.sources.shared import new_folder
 
 #: Sampled paths: 5 models x 3 tasks, two arms (SC with 32 paths, PT with 8) over the orders table.
-PATHS = """
+RECORDS = """
 with o as (select cast(substr(o_orderpriority, 1, 1) as bigint) m, o_orderpriority model, cast(ascii(o_orderstatus) as bigint) t, o_orderstatus task,
     cast(o_custkey as bigint) ck, cast(o_orderkey as bigint) ok,
     cast(row_number() over (partition by o_orderpriority, o_orderstatus order by o_orderkey) - 1 as bigint) rn from {orders}),
 r as (select *, rn % 5 seed, cast((rn - rn % 5) / 5 as bigint) instance_id from o),
-e as (select r.*, a.arm, p.path, (instance_id * 7919 + t * 104729 + m * 31) % 1000 d,
+"""
+FROM_RECORDS = """e as (select r.*, a.arm, p.path, (instance_id * 7919 + t * 104729 + m * 31) % 1000 d,
     (ok * 2654435 + (p.path + 1) * 40503 + p.path * ck * 977 + a.arm * 7577 * (p.path + 3)) % 1000 u
     from r cross join (select cast(0 as bigint) arm union all select cast(1 as bigint) arm) a cross join {range32} p where a.arm = 0 or p.path < 8),
 y as (select *, case when (m = 1 and t = 80 and 2 * d + u < 60)
@@ -30,6 +32,7 @@ select model, task, case when arm = 0 then 'SC' else 'PT' end arm, seed, instanc
     u % 20 = 0 truncated, 100 + u gen_len, cast(case when u % 50 = 0 then 0 else correct end as bigint) y
 from y
 """
+PATHS = RECORDS + FROM_RECORDS
 
 #: Resample plan: reps x draws, each with a cluster index below {m}.
 PLAN = """
@@ -58,8 +61,19 @@ def table(sf_dir: str, name: str) -> str:
     return f"parquet.`{sf_dir}/{name}.parquet`"
 
 
+#: Orders of a partition of ``paths``, about; each gives 40 paths.
+PARTITION_ORDERS = 25_000
+
+
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PATHS.format(orders=table(sf_dir, "orders"), range32="(select id path from range(32))"))
+    """The view by question: all paths of one lie in one partition, and partitions follow the number of orders, so
+    groups of a record or a question need no shuffle of paths. ``numbered`` is the view's row_number."""
+    text = table(sf_dir, "orders")
+    orders = spark.sql(f"select o_orderpriority model, o_orderstatus task, cast(substr(o_orderpriority, 1, 1) as bigint) m, cast(ascii(o_orderstatus) as bigint) t, cast(o_custkey as bigint) ck, cast(o_orderkey as bigint) ok from {text}")
+    r = numbered(orders, ["model", "task"], "ok", name="rn").selectExpr("*", "rn % 5 seed", "cast((rn - rn % 5) / 5 as bigint) instance_id")
+    n = max(2 * spark.sparkContext.defaultParallelism, -(-orders.count() // PARTITION_ORDERS))
+    r = r.repartition(n, "model", "task", "instance_id")
+    return spark.sql("with r as (select * from {records}),\n" + FROM_RECORDS.format(range32="(select id path from range(32))"), records=r)
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
