@@ -2,9 +2,13 @@
 
 A replicate draws as many clusters of a cell as the cell has, or a given number, with replacement. The
 draws of a cell are dealt to blocks of its clusters first: how many of them fall in each block is
-counted without listing them. A task then draws within its block, multiplies the weights with the
-block's sums and gives one row of sums for each replicate, so that what is shuffled grows neither with
+counted without listing them. A task then draws within some blocks of several cells, multiplies the weights
+with the blocks' sums and gives rows of sums for the replicates, so that what is shuffled grows neither with
 questions nor with draws. Rows of a block are cut in slices of bounded size, whose products add up.
+
+Draws are one cyclic sequence: that of a replicate and block begins at a place of its own and goes on from there. So
+the draws of a block serve all cells, which only take different numbers of them, and dealing a cell's draws takes one
+pass over the part of the cycle that the replicates cover, at most the cycle, however many draws there are.
 """
 
 from __future__ import annotations
@@ -23,9 +27,12 @@ from .numbering import numbered
 
 #: Prime of the draws: squares stay within 64 bits, and both engines of the tests get the same draws.
 MODULUS = 2147483647
-#: Clusters of a block, rows of a slice, draws that a task deals at a time, draws that fit a core's cache, and numbers
-#: of a row of partial sums.
-BLOCK, SLICE_ROWS, DEAL, CHUNK, ROW_NUMBERS = 4096, 200_000, 65_536, 16_384, 8_192
+#: Clusters of a block, rows of a slice, draws that fit a core's cache, numbers of a row of partial sums, places of the
+#: cycle that a task deals at least, rows and cells of a task, and block ranges at which tasks take several blocks.
+BLOCK, SLICE_ROWS, CHUNK, ROW_NUMBERS, PLACES, TASK_ROWS, TASK_CELLS, RANGES = 4096, 200_000, 16_384, 8_192, 1 << 22, 1_000_000, 16, 64
+#: Steps from one draw, replicate and block to the next, and by how many places of the cycle a replicate begins later.
+DRAW_STEP, REP_STEP, BLOCK_STEP = 69621, 48271, 40503
+REP_PLACES = REP_STEP * pow(DRAW_STEP, -1, MODULUS) % MODULUS
 
 
 def _rest(x: np.ndarray, m: int) -> np.ndarray:
@@ -34,40 +41,98 @@ def _rest(x: np.ndarray, m: int) -> np.ndarray:
     return x
 
 
-def draw_index(rep: np.ndarray, draw: np.ndarray, block: int, m: int) -> np.ndarray:
-    """Cluster below m of each draw: quadratic congruences, which SQL computes alike."""
-    z = _rest((rep + 1) * 48271 + (draw + 1) * 69621 + block * 40503, MODULUS)
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """Quadratic congruences of z in place, which SQL computes alike."""
     z *= z
     w = _rest(z, MODULUS)
     w *= 7919
     w = _rest(w, MODULUS)
     w *= w + 31
-    return _rest(_rest(w, MODULUS), m)
+    return _rest(w, MODULUS)
+
+
+def draw_index(rep: np.ndarray, draw: np.ndarray, block: int, m: int) -> np.ndarray:
+    """Cluster below m of each draw."""
+    return _rest(_mixed(_rest((rep + 1) * REP_STEP + (draw + 1) * DRAW_STEP + block * BLOCK_STEP, MODULUS)), m)
+
 
+_STEPS = np.arange(CHUNK, dtype=np.int64) * DRAW_STEP % MODULUS
 
-def block_counts(m: int, begin: int, end: int, reps: int, block_size: int = BLOCK) -> np.ndarray:
-    """How many of the draws begin to end - 1 of each replicate fall in each block: (blocks, replicates)."""
-    blocks = -(-m // block_size)
-    out = np.zeros((blocks, reps), np.int64)
-    for first in range(begin, end, CHUNK):
-        draws = np.arange(first, min(end, first + CHUNK), dtype=np.int64)
-        for r in range(reps):
-            out[:, r] += np.bincount(draw_index(np.int64(r), draws, 0, m) // block_size, minlength=blocks)
+
+def draw_values(rep: int, block: int, n: int) -> np.ndarray:
+    """The first n draws of a replicate and block before they are taken below a number of clusters."""
+    out = np.empty(n, np.int64)
+    for begin in range(0, n, CHUNK):
+        size = min(CHUNK, n - begin)
+        first = ((rep + 1) * REP_STEP + block * BLOCK_STEP + (begin + 1) * DRAW_STEP) % MODULUS
+        out[begin : begin + size] = _mixed(_rest(_STEPS[:size] + first, MODULUS))
     return out
 
 
-def block_weights(first: int, counts: np.ndarray, block: int, size: int) -> np.ndarray:
-    """Weights (replicates x clusters) of a block: replicate ``first`` + i draws counts[i] of its ``size`` clusters."""
-    out = np.empty((len(counts), size))
-    for i, n in enumerate(counts.tolist()):
-        row = np.zeros(size, np.int64)
-        for begin in range(0, n, CHUNK):
-            draws = np.arange(begin, min(n, begin + CHUNK), dtype=np.int64)
-            row += np.bincount(draw_index(np.int64(first + i), draws, block, size), minlength=size)
-        out[i] = row
+def dealt_counts(begin: int, end: int, sizes: list[int], draws: list[int], reps: int, block_size: int = BLOCK) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each cell of sizes[i] clusters and draws[i] draws: the replicates with draws at the places begin to end - 1 of
+    the cycle, and how many of these fall in each block: (replicates x blocks)."""
+    starts = (1 + (np.arange(reps, dtype=np.int64) + 1) * REP_PLACES) % MODULUS
+    spans = []  # of each cell: replicate, from, to; draws that pass the cycle's end go on at its begin
+    for k in draws:
+        rep = np.concatenate([np.arange(reps)] * 2)
+        lo = np.concatenate([starts, starts - MODULUS])
+        hi = np.minimum(lo + k, end)
+        lo = np.maximum(lo, begin)
+        spans.append((rep[lo < hi], lo[lo < hi], hi[lo < hi]))
+    cuts = np.unique(np.concatenate([x for _, lo, hi in spans for x in (lo, hi)]))
+    if not len(cuts):
+        return [(np.zeros(0, np.int64), np.zeros((0, -(-m // block_size)), np.int64)) for m in sizes]
+    # cells whose replicates cover the segment from a cut to the next
+    covered = []
+    for _, lo, hi in spans:
+        change = np.bincount(np.searchsorted(cuts, lo), minlength=len(cuts)) - np.bincount(np.searchsorted(cuts, hi), minlength=len(cuts))
+        covered.append(np.cumsum(change) > 0)
+    upto = [np.zeros((len(cuts), -(-m // block_size)), np.int64) for m in sizes]
+    for at in np.flatnonzero(np.any(covered, axis=0)).tolist():
+        for first in range(int(cuts[at]), int(cuts[at + 1]), CHUNK):
+            places = np.arange(first, min(int(cuts[at + 1]), first + CHUNK), dtype=np.int64)
+            values = _mixed(_rest(places * DRAW_STEP, MODULUS))
+            for c, m in enumerate(sizes):
+                if covered[c][at]:
+                    upto[c][at + 1] += np.bincount(_rest(values.copy(), m) // block_size, minlength=upto[c].shape[1])
+    out = []
+    for (rep, lo, hi), sums in zip(spans, upto):
+        np.cumsum(sums, axis=0, out=sums)
+        out.append((rep, sums[np.searchsorted(cuts, hi)] - sums[np.searchsorted(cuts, lo)]))
     return out
 
 
+def block_weights(first: int, counts: np.ndarray, block: int, sizes: list[int], out: list[np.ndarray]) -> None:
+    """Weights (replicates x clusters) of a block of each cell: replicate ``first`` + i draws counts[c, i] of its sizes[c]
+    clusters. Cells of a size take the draws in one pass, those with fewer first."""
+    alike: dict[int, np.ndarray] = {}
+    for size in set(sizes):
+        own = np.flatnonzero(np.asarray(sizes) == size)
+        alike[size] = own[np.argsort(counts[own], axis=0, kind="stable")]
+    for i, most in enumerate(counts.max(axis=0).tolist()):
+        values = draw_values(first + i, block, most)
+        for size, order in alike.items():
+            index = values & (size - 1) if size & (size - 1) == 0 else _rest(values.copy(), size)
+            row, seen = None, 0
+            for c in order[:, i].tolist():
+                n = int(counts[c, i])
+                if row is None:
+                    row = np.bincount(index[:n], minlength=size)
+                elif n > seen:
+                    np.add.at(row, index[seen:n], 1)
+                seen = n
+                out[c][i] = row
+
+
+def add_rows(sums: np.ndarray, index: np.ndarray, values: np.ndarray) -> None:
+    """Adds rows of values to the rows of sums at index, which may repeat."""
+    order = np.argsort(index, kind="stable")
+    index = index[order]
+    begins = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
+    sums[index[begins]] += np.add.reduceat(values[order], begins, axis=0)
+
+
 def replicate_sums(
     rows: DataFrame, by: list[str], cluster: list[str], columns: list[str], expand: Callable[[dict[str, np.ndarray]], np.ndarray],
     finish: Callable[[np.ndarray], dict[str, np.ndarray]], results: list[str], reps: int, draws: int | None = None, block_size: int = BLOCK, slice_rows: int = SLICE_ROWS,
@@ -84,58 +149,97 @@ def replicate_sums(
     same = [F.col(f"x.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*by, *cluster]]
     own = rows.alias("x").join(places.alias("p"), same).select(*[F.col(f"x.{c}") for c in dict.fromkeys([*by, *columns])], "__index", "__m")
     own = own.withColumn("__block", F.floor(F.col("__index") / block_size).cast("long"))
-    slices = own.groupBy(*by, "__block", "__m").agg(F.ceil(F.count("*") / slice_rows).alias("__slices"))
+    slices = own.groupBy(*by, "__block", "__m").agg(F.count("*").alias("__rows"), F.ceil(F.count("*") / slice_rows).alias("__slices"))
     cut = own.join(slices.select(*[F.col(c).alias(f"s_{c}") for c in [*by, "__block"]], "__slices"), [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in [*by, "__block"]])
     cut = cut.withColumn("__slice", F.pmod(F.hash(*columns, "__index"), F.col("__slices"))).select(*by, "__block", "__slice", "__index", "__m", *[c for c in columns if c not in by])
 
-    # work is in proportion to groups times replicates, not to bytes: a partition for each group
-    workers = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(workers, min(10_000, slices.agg(F.sum("__slices")).first()[0] or 1))
+    types = {f.name: f.dataType for f in rows.schema}
+    cells = slices.select(*by).distinct()
+    whole = slices.agg(F.count("*").alias("groups"), F.sum("__rows").alias("rows"), F.max("__m").alias("m")).first()  # one row
+    blocks = -(-(whole["m"] or 1) // block_size)
+    cell_groups = -(-cells.count() // TASK_CELLS)
+    group_rows = max(1, (whole["rows"] or 0) // blocks // cell_groups)
+    width = max(1, min(TASK_ROWS // group_rows, -(-blocks // RANGES)))  # blocks of a task
+    ranges = -(-blocks // width)
+    # small inputs have few blocks, so that replicates are dealt out as well
+    chunks = max(1, min(-(-reps // 16), -(-4 * spark.sparkContext.defaultParallelism // (ranges * cell_groups))))
+    chunk = -(-reps // chunks)
+    chunks = -(-reps // chunk)
+    cell_group = F.pmod(F.hash(*by), F.lit(cell_groups)) if by else F.lit(0)
+    block_range = F.floor(F.col("__block") / width).cast("long")
+    group = ["__cells", "__range", "__slice", "__chunk"]
+    n = min(10_000, 4 * ranges * cell_groups * chunks)  # keys are hashed to partitions: few share one
 
     # draws that fall in each block, for cells of more than one block
-    types = {f.name: f.dataType for f in rows.schema}
     many = slices.where(F.col("__m") > block_size).select(*by, "__m").distinct()
     k = F.lit(draws).cast("long") if draws else F.col("__m")
-    parts = many.select(*by, "__m", k.alias("__k"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((k - 1) / DEAL))).alias("__part"))
-    counted = T.StructType([*[T.StructField(c, types[c]) for c in by], T.StructField("__block", T.LongType()), T.StructField("__counts", T.ArrayType(T.LongType()))])
-
-    def deal(batches):
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                got = block_counts(row["__m"], row["__part"] * DEAL, min(row["__k"], (row["__part"] + 1) * DEAL), reps, block_size)
-                yield pd.DataFrame({**{c: [row[c]] * len(got) for c in by}, "__block": range(len(got)), "__counts": list(got)})
-
-    def add(batch: pd.DataFrame) -> pd.DataFrame:
-        return batch.iloc[:1].assign(__counts=[np.sum(np.stack(batch["__counts"]), axis=0)])
-
-    dealt = parts.repartition(n, *by, "__part").mapInPandas(deal, counted).groupBy(*by, "__block").applyInPandas(add, counted)
-    dealt = dealt.join(slices.select(*[F.col(c).alias(f"s_{c}") for c in [*by, "__block"]], "__slices"), [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in [*by, "__block"]])
-    dealt = dealt.select(*by, "__block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__slices") - 1)).alias("__slice"), "__counts")
+    places = max(PLACES, draws or whole["m"] or 1)
+    parts = many.select(*by, "__m", k.alias("__k"), cell_group.alias("__cells"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit((MODULUS - 1) // places).cast("long"))).alias("__part"))
+    counted = T.StructType([*[T.StructField(c, types[c]) for c in by], T.StructField("__cells", T.IntegerType()), T.StructField("__range", T.LongType()), T.StructField("__chunk", T.LongType()), T.StructField("__reps", T.ArrayType(T.LongType())), T.StructField("__counts", T.ArrayType(T.LongType()))])
+
+    def deal(batch: pd.DataFrame) -> pd.DataFrame:
+        begin = int(batch["__part"].iloc[0]) * places
+        got = dealt_counts(begin, min(MODULUS, begin + places), batch["__m"].tolist(), batch["__k"].tolist(), reps, block_size)
+        out = []
+        for at, (rep, counts) in enumerate(got):
+            for c in np.unique(rep // chunk).tolist():
+                own = rep // chunk == c
+                for r in range(-(-counts.shape[1] // width)):
+                    out.append([*[batch[b].iloc[at] for b in by], batch["__cells"].iloc[at], r, c, rep[own], np.ascontiguousarray(counts[own, r * width : (r + 1) * width]).ravel()])
+        return pd.DataFrame(out, columns=counted.names)
+
+    # rows are few and work is not, so adaptive execution must not join these partitions
+    dealt = parts.repartition(min(10_000, (MODULUS // places + 1) * cell_groups), "__part", "__cells").groupBy("__part", "__cells").applyInPandas(deal, counted)
+    most = slices.groupBy(cell_group.alias("s_cells"), block_range.alias("s_range")).agg(F.max("__slices").alias("__slices"))
+    dealt = dealt.join(most, (F.col("__cells") == F.col("s_cells")) & (F.col("__range") == F.col("s_range")))
+    dealt = dealt.select(*by, "__cells", "__range", "__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__slices") - 1)).alias("__slice"), "__reps", "__counts")
+    cut = cut.withColumn("__cells", cell_group).withColumn("__range", block_range).withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
 
     partial = T.StructType([*[T.StructField(c, types[c]) for c in by], T.StructField("__first", T.LongType()), T.StructField("__n", T.LongType()), T.StructField("__sums", T.ArrayType(T.DoubleType()))])
 
     def multiply(block_rows: pd.DataFrame, block_draws: pd.DataFrame) -> pd.DataFrame:
         if block_rows.empty:
             return pd.DataFrame({c: [] for c in partial.names})
-        m, block = int(block_rows["__m"].iloc[0]), int(block_rows["__block"].iloc[0])
-        size = min(block_size, m - block * block_size)
-        counts = np.asarray(block_draws["__counts"].iloc[0], np.int64) if len(block_draws) else np.full(reps, draws or m, np.int64)
-        sums = None
-        for begin in range(0, len(block_rows), 4_096):
-            piece = block_rows.iloc[begin : begin + 4_096]
-            got = expand({c: piece[c].to_numpy() for c in columns}).astype(float)
-            sums = np.zeros((size, got.shape[1])) if sums is None else sums
-            np.add.at(sums, piece["__index"].to_numpy() - block * block_size, got)
-        width = sums.shape[1]
-        step = max(1, ROW_NUMBERS // width)
-        out = [(-1, 1, sums.sum(axis=0))]
-        for first in range(0, reps, step):
-            weights = block_weights(first, counts[first : first + step], block, size)
-            out.append((first, len(weights), (weights @ sums).ravel()))
-        frame = pd.DataFrame({"__first": [o[0] for o in out], "__n": [o[1] for o in out], "__sums": [o[2] for o in out]})
-        for c in by:
-            frame[c] = [block_rows[c].iloc[0]] * len(out)
-        return frame[partial.names]
+        begin = int(block_rows["__chunk"].iloc[0]) * chunk
+        here, lowest = min(chunk, reps - begin), int(block_rows["__range"].iloc[0]) * width
+        key_of = lambda row: tuple(None if x is None or x != x else x for x in row)
+        counts: dict[tuple, np.ndarray] = {}
+        for row in block_draws[[*by, "__reps", "__counts"]].itertuples(index=False, name=None):
+            own = counts.setdefault(key_of(row[: len(by)]), np.zeros((width, here), np.int64))
+            got = np.asarray(row[-1], np.int64).reshape(len(row[-2]), -1)
+            np.add.at(own[: got.shape[1]].T, np.asarray(row[-2], np.int64) - begin, got)
+        done: dict[tuple, list[np.ndarray]] = {}  # sums of the data and of the replicates
+        for block, of_block in block_rows.groupby("__block", sort=True):
+            keys, sizes, sums, drawn = [], [], [], []
+            for _, own in of_block.groupby(by, dropna=False, sort=False) if by else [((), of_block)]:
+                key, m = key_of(own[c].iloc[0] for c in by), int(own["__m"].iloc[0])
+                size, total = min(block_size, m - block * block_size), None
+                for first in range(0, len(own), 4_096):
+                    piece = own.iloc[first : first + 4_096]
+                    got = expand({c: piece[c].to_numpy() for c in columns}).astype(float)
+                    total = np.zeros((size, got.shape[1])) if total is None else total
+                    add_rows(total, piece["__index"].to_numpy() - block * block_size, got)
+                n = counts[key][block - lowest] if m > block_size and key in counts else np.full(here, 0 if m > block_size else draws or m, np.int64)
+                if key not in done:
+                    done[key] = [np.zeros(total.shape[1]), np.zeros((here, total.shape[1]))]
+                done[key][0] += total.sum(axis=0)
+                # products of halves are exact in single precision up to this bound
+                small = 2 * np.abs(total).max() * max(1, n.max()) < 1 << 24 and bool((2 * total == np.rint(2 * total)).all())
+                keys, sizes, sums, drawn = [*keys, key], [*sizes, size], [*sums, total.astype(np.float32) if small else total], [*drawn, n]
+            drawn = np.stack(drawn)
+            weights = [np.empty((64, size), x.dtype) for size, x in zip(sizes, sums)]
+            for first in range(0, here, 64):
+                some = drawn[:, first : first + 64]
+                block_weights(begin + first, some, int(block), sizes, weights)
+                for key, w, x in zip(keys, weights, sums):
+                    done[key][1][first : first + some.shape[1]] += w[: some.shape[1]] @ x
+        out = []
+        for key, (data, made) in done.items():
+            step = max(1, ROW_NUMBERS // made.shape[1])
+            if begin == 0:
+                out.append([*key, -1, 1, data])
+            out += [[*key, begin + first, len(made[first : first + step]), made[first : first + step].ravel()] for first in range(0, here, step)]
+        return pd.DataFrame(out, columns=partial.names)
 
     done = T.StructType([*[T.StructField(c, types[c]) for c in by], T.StructField("rep", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in results]])
 
@@ -150,7 +254,6 @@ def replicate_sums(
             frame[c] = [batch[c].iloc[0]] * n
         return frame[done.names]
 
-    group = [*key, "__block", "__slice"]
     products = cut.repartition(n, *group).groupBy(*group).cogroup(dealt.repartition(n, *group).groupBy(*group)).applyInPandas(multiply, partial)
     return products.groupBy(*key, "__first").applyInPandas(total, done)
 

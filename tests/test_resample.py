@@ -105,3 +105,23 @@ def test_queries_use_all_questions(spark, tmp_path):
     sizes = {r.questions for r in QUERIES["i11_pilot_sensitivity"](spark, str(tmp_path)).collect()}
     assert sizes == {25, 50, 100, 200}
     assert QUERIES["i12_paired_rho_bootstrap"](spark, str(tmp_path)).collect()[0].draws > 0
+
+
+def test_dealing_in_parts_of_the_cycle_counts_every_draw():
+    sizes, draws, reps = [1000, 70], [1000, 3000], 12
+    parts = [rp.dealt_counts(b, min(rp.MODULUS, b + (1 << 28)), sizes, draws, reps, 64) for b in range(0, rp.MODULUS, 1 << 28)]
+    for c, (m, k) in enumerate(zip(sizes, draws)):
+        got = np.zeros((reps, -(-m // 64)), np.int64)
+        for part in parts:
+            np.add.at(got, part[c][0], part[c][1])
+        for rep in range(reps):
+            assert (got[rep] == np.bincount(rp.draw_index(np.int64(rep), np.arange(k), 0, m) // 64, minlength=got.shape[1])).all()
+
+
+def test_cells_of_a_size_share_draws():
+    counts = np.array([[5, 900], [40, 0], [33_000, 7]])
+    out = [np.zeros((2, 64)), np.zeros((2, 64)), np.zeros((2, 50))]
+    rp.block_weights(3, counts, 2, [64, 64, 50], out)
+    for c, size in enumerate((64, 64, 50)):
+        for i in range(2):
+            assert (out[c][i] == np.bincount(rp.draw_index(np.int64(3 + i), np.arange(counts[c, i]), 2, size), minlength=size)).all()
