@@ -63,6 +63,8 @@ def table(sf_dir: str, name: str) -> str:
 
 #: Orders of a partition of ``paths``, about; each gives 40 paths.
 PARTITION_ORDERS = 25_000
+#: Orders for which each cell gets one more record file.
+FILE_ORDERS = 1_000_000
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,18 +83,21 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of JSON-lines record files <model>__<task>.<n>.jsonl of the SC arm, one record a line. Records of
-    even questions have the token cap in their provenance, the others at top level."""
+    """A folder of JSON-lines record files <model>__<task>.<n>.jsonl of the SC arm, one record a line; a cell has a file
+    for each FILE_ORDERS orders of all cells. Records of even questions have the token cap in their provenance, the
+    others at top level."""
     base = new_folder(spark)
     at_top = F.col("instance_id") % 2 == 1
+    files_of_cell = -(-read(spark, sf_dir, "orders").count() // FILE_ORDERS) or 1
     rows = nest_paths(paths(spark, sf_dir).where("arm = 'SC'")).select(
         F.concat_ws("__", F.regexp_replace("model", " ", "_"), "task").alias("cell"),
         F.to_json(F.struct(
             F.col("model").alias("model_slug"), F.lit("sc").alias("method"), "task", F.size("answers").alias("K"), "seed", "instance_id", F.col("gold").alias("gold_answer"),
             F.col("answers").alias("all_answers"), "gen_lens", "truncated", F.when(at_top, 512).alias("max_tokens"), F.struct(F.when(~at_top, 256).alias("max_tokens")).alias("provenance"),
         )).alias("value"),
+        F.pmod(F.hash("seed", "instance_id"), F.lit(files_of_cell)).alias("file"),
     )
-    rows.write.partitionBy("cell").text(f"{base}/parts")
+    rows.repartition(64 * files_of_cell, "cell", "file").drop("file").write.partitionBy("cell").text(f"{base}/parts")
     # names are metadata: one rename a file
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path

@@ -36,3 +36,13 @@ def test_runs_of_cuts_count_like_all_cuts(spark):
         cuts = [float(2 * i) for i in range(n)]
         rows = spark.createDataFrame([(float(v),) for v in range(-1, 2 * n + 3)], "v double").select("v", nu._cuts_below(cuts, F.col("v")).alias("b")).collect()
         assert all(r.b == sum(c < r.v for c in cuts) for r in rows)
+
+
+def test_files_of_a_cell_follow_the_orders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fx, "PARTITION_ORDERS", 10)  # more partitions than files
+    orders(spark, tmp_path, 300)
+    for most, n in ((1_000_000, 1), (150, 2)):
+        monkeypatch.setattr(fx, "FILE_ORDERS", most)
+        folder = fx.record_files(spark, str(tmp_path))
+        files = spark.read.text(folder).select("_metadata.file_name", "value")
+        assert files.count() == 300 and files.select("file_name").distinct().count() == 6 * n
