@@ -63,8 +63,8 @@ def table(sf_dir: str, name: str) -> str:
 
 #: Orders of a partition of ``paths``, about; each gives 40 paths.
 PARTITION_ORDERS = 25_000
-#: Orders for which each cell gets one more record file.
-FILE_ORDERS = 1_000_000
+#: Orders for which each cell gets one more record file (some 100 MB).
+FILE_ORDERS = 2_000_000
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
