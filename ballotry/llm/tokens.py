@@ -191,8 +191,8 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512) ->
 #: Bytes of text in a block: what one reassembling call holds, whatever the corpus.
 BLOCK_BYTES = 24_000_000
 BLOCK_DOCS = 20_000
-#: Bytes that one gather of the reassembly makes at most, long documents aside.
-GATHER_BYTES = 4_000_000
+#: Bytes that one gather of the reassembly makes at most, long documents aside; its indexes take some 24 times as many.
+GATHER_BYTES = 1_000_000
 
 
 def _pack(*arrays: np.ndarray | bytes) -> bytes:
@@ -360,12 +360,16 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_i
     if packed:
         fields += [T.StructField("token_ids", T.BinaryType())]
 
+    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # made once in each task
+
     def assemble(group: pa.Table) -> dict[str, list]:
-        # the token-byte table that decoding joins, and the decimal ids with a space before each
-        by_id = [b""] * (max(shared.value[0].values()) + 1)
-        for k, v in shared.value[0].items():
-            by_id[v] = k
-        plain, decimal = _table(by_id), _table([b" %d" % i for i in range(len(by_id))])
+        if not tables:
+            # the token-byte table that decoding joins, and the decimal ids with a space before each
+            by_id = [b""] * (max(shared.value[0].values()) + 1)
+            for k, v in shared.value[0].items():
+                by_id[v] = k
+            tables.extend([_table(by_id), _table([b" %d" % i for i in range(len(by_id))])])
+        plain, decimal = tables
         cells: dict[int, bytes] = {}
         for bucket, head, cell, own in zip(group.column("bucket").to_pylist(), group.column("head").to_pylist(), group.column("cell").to_pylist(), group.column("ids").to_pylist()):
             if head:

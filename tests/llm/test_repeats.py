@@ -99,3 +99,20 @@ def test_other_columns_stay_whatever_their_names(spark):
     got = {x.doc_id: x for x in rp.without_repeats(docs, 100).collect()}
     assert {i: (x.r, x.runs, x.place) for i, x in got.items()} == {r[0]: r[2:] for r in rows}
     assert [got[i]["__rest"] for i in (1, 2, 3)] == ["one|", "|two", None]
+
+
+def test_shuffle_files_go_once_a_table_is_written(spark):
+    import glob
+    import time
+
+    from ballotry.llm.common import Scratch
+
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before, scratch = files(), Scratch(spark)
+    scratch.table(spark.range(20_000).selectExpr("id % 5000 k", "id").groupBy("k").sum("id"))
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before

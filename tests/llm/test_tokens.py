@@ -80,3 +80,23 @@ def test_long_words_equal_both_libraries(piece):
     rank, _, _ = tk.load_merges(P.path("byte_bpe_50k.json"))
     counts = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     assert len(tk.merge_pairs(word.encode(), rank)) == len(counts.encode(word, add_special_tokens=False).ids)
+
+
+def test_results_of_runs_go_back_by_bytes():
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from ballotry.llm import common
+
+    class Dealt:
+        """A frame of one partition, whose tasks run at once."""
+
+        repartition = sortWithinPartitions = lambda self, *_: self
+
+        def mapInArrow(self, task, schema):
+            return list(task(iter([pa.record_batch([pa.array(range(40)), pa.array(range(40))], ["k", "x"])])))
+
+    work = lambda group: {"k": group.column("k").to_pylist(), "cell": [b"x" * 1_000_000] * group.num_rows}
+    got = common.by_runs(Dealt(), "k", work, T.StructType([T.StructField("k", T.LongType()), T.StructField("cell", T.BinaryType())]))
+    assert [k for batch in got for k in batch.column("k").to_pylist()] == list(range(40))
+    assert max(batch.nbytes for batch in got) < 4_000_000
