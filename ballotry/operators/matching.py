@@ -25,6 +25,25 @@ def matched_arms(pt: DataFrame, sc: DataFrame, canonical=None) -> DataFrame:
     return left.join(right, KEY).where(same)
 
 
+def key_sets(a: DataFrame, b: DataFrame, record: list[str], item: str) -> DataFrame:
+    """(kind, n): distinct keys (record, item) of a that b lacks (missing) and that both hold (common); nulls are equal.
+
+    Each record's items are gathered in a list first, so rows that are dealt by some of ``record`` stay where they are
+    and one row a record and side is shuffled instead of one a key. Items of a record must fit in a row.
+    """
+    x = F.col(item)  # plain items are compared by hash; a missing one, which lists leave out, is counted beside them
+    own = lambda df: df.groupBy(*record).agg(F.collect_set(x).alias("__items"), F.max(x.isNull()).alias("__null"))
+    both = own(a).withColumn("__a", F.lit(True)).unionByName(own(b).withColumn("__a", F.lit(False)))
+    of = lambda side, c, none: F.coalesce(F.max(F.when(F.col("__a") == side, F.col(c))), none)
+    empty, no = F.array().cast(both.schema["__items"].dataType), F.lit(False)
+    met = both.groupBy(*record).agg(of(True, "__items", empty).alias("a"), of(False, "__items", empty).alias("b"), of(True, "__null", no).alias("an"), of(False, "__null", no).alias("bn"))
+    total = lambda n: F.coalesce(F.sum(n), F.lit(0))
+    missing = F.size(F.array_except("a", "b")) + (F.col("an") & ~F.col("bn")).cast("int")
+    common = F.size(F.array_intersect("a", "b")) + (F.col("an") & F.col("bn")).cast("int")
+    counted = met.agg(total(missing).alias("missing"), total(common).alias("common"))
+    return counted.unpivot([], ["missing", "common"], "kind", "n")
+
+
 def base_accuracy(paths: DataFrame, least: float = 0.02) -> DataFrame:
     """(model, task, p_sc, p_pt, excluded): path accuracy of both arms; a cell is excluded where that of SC is below
     ``least`` or unknown, whatever PT does."""

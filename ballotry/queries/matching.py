@@ -121,7 +121,7 @@ query("p06_leave_one_seed_out", sql(PR, "select model, task, arm, test_seed, cas
 )
 query("p07_first_instances", sql(PR, "select model, task, instance_id from (select *, row_number() over (partition by model, task order by instance_id) r from (select distinct model, task, instance_id from recs)) where r <= 20", "model, task, instance_id"))(lambda s, d: ma.first_instances(vo.records(P(s, d)), 20))
 query("u01_key_sets", sql([*PR, BROKEN_SQL], "select 'missing' kind, count(*) n from (select distinct model, task, seed, instance_id, path from paths where arm = 'SC' except select model, task, seed, instance_id, path from broken) union all select 'common', count(*) from (select distinct model, task, seed, instance_id, path from paths where arm = 'SC' intersect select model, task, seed, instance_id, path from broken)", "kind, n"))(
-    lambda s, d: (lambda a, b: a.subtract(b).agg(F.count("*").alias("n")).select(F.lit("missing").alias("kind"), "n").unionAll(a.intersect(b).agg(F.count("*").alias("n")).select(F.lit("common"), "n")))(P(s, d).where("arm = 'SC'").select(*ma.KEY, "path"), broken(s, d).select(*ma.KEY, "path"))
+    lambda s, d: ma.key_sets(P(s, d).where("arm = 'SC'"), broken(s, d), ma.KEY, "path")
 )
 query("u02_union_arms", sql(PR, "select seed, count(*) n from (select seed from recs where arm = 'SC' union all select seed from recs where arm = 'PT') group by all", "seed, n"))(lambda s, d: (lambda r: r.where("arm = 'SC'").unionByName(r.where("arm = 'PT'")).groupBy("seed").agg(F.count("*").alias("n")))(vo.records(P(s, d))))
 query("u03_distinct", sql(PR, "select model, task, arm, count(distinct seed) seeds, count(distinct instance_id) instances, count(distinct answer) answers from paths group by all", f"{CELL}, seeds, instances, answers"))(

@@ -46,3 +46,24 @@ def test_files_of_a_cell_follow_the_orders(spark, tmp_path, monkeypatch):
         folder = fx.record_files(spark, str(tmp_path))
         files = spark.read.text(folder).select("_metadata.file_name", "value")
         assert files.count() == 300 and files.select("file_name").distinct().count() == 6 * n
+
+
+def test_key_sets_shuffle_a_row_a_record_and_side(spark, tmp_path):
+    from ballotry.queries import QUERIES
+
+    orders(spark, tmp_path, 300)
+    got = QUERIES["u01_key_sets"](spark, str(tmp_path))
+    gone = fx.paths(spark, str(tmp_path)).where("arm = 'SC' and instance_id % 41 = 0 and path = 31").count()
+    assert {r.kind: r.n for r in got.collect()} == {"missing": gone, "common": 300 * 32 - gone} and gone > 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "path#" in x]
+
+
+def test_key_sets_are_those_of_set_operations(spark):
+    from ballotry.operators import matching as ma
+
+    a = spark.createDataFrame([("x", 1), ("x", 1), ("x", 2), ("x", None), (None, 1), (None, None), ("y", 5)], "r string, i long")
+    b = spark.createDataFrame([("x", 2), ("x", None), (None, None), ("z", 1)], "r string, i long")
+    for left, right in ((a, b), (b, a), (a, a.limit(0)), (a.limit(0), b)):
+        got = {x.kind: x.n for x in ma.key_sets(left, right, ["r"], "i").collect()}
+        assert got == {"missing": left.subtract(right).count(), "common": left.intersect(right).count()}
