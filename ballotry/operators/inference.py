@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ballotry.functions import closed_forms as cf
 from ballotry.functions import tails as ta
 from ballotry.plans import replicates as rp
+from ballotry.sources.shared import with_cells, written
 
 from .correlation import pairwise_rho
 from .matching import two_folds
@@ -102,8 +103,8 @@ def clustered_bootstrap(sc: DataFrame, reps: int = 1_000) -> DataFrame:
 def paired_difference(sc: DataFrame, reps: int = 10_000, eps: float = 0.025, most: int = 32) -> DataFrame:
     """Majority at the cell's operating point K* less the majority at all paths, with its 95 % interval: questions
     are drawn, and one draw serves both."""
-    stars = adaptive_k(sc, (eps,), most=most).select(*CELL, "k_star", F.least(F.col("k_star"), F.lit(most)).alias("used"))
-    recs = sc.join(stars, CELL).groupBy(*CELL, "seed", "instance_id").agg(F.sum("y").alias("s"), F.count("*").alias("k"), F.sum(F.when(F.col("path") < F.col("used"), F.col("y")).otherwise(0)).alias("sk"), F.max("used").alias("used"))
+    stars = written(adaptive_k(sc, (eps,), most=most).select(*CELL, "k_star", F.least(F.col("k_star"), F.lit(most)).alias("used")))
+    recs = with_cells(sc, stars, CELL).groupBy(*CELL, "seed", "instance_id").agg(F.sum("y").alias("s"), F.count("*").alias("k"), F.sum(F.when(F.col("path") < F.col("used"), F.col("y")).otherwise(0)).alias("sk"), F.max("used").alias("used"))
     rows = recs.select(*CELL, "instance_id", majority(F.col("s"), F.col("k")).alias("mv"), majority(F.col("sk"), F.col("used")).alias("mvk"))
     expand = lambda x: np.column_stack([np.ones(len(x["mv"])), x["mvk"], x["mv"]])
     finish = lambda s: {"mv_k": s[:, 1] / s[:, 0], "mv_all": s[:, 2] / s[:, 0], "diff": (s[:, 1] - s[:, 2]) / s[:, 0]}
@@ -132,9 +133,9 @@ def fold_evaluation(sc: DataFrame, eps: float = 0.025, ks: tuple[int, ...] = (1,
     fit = fit.join(pairwise_rho(first, key).drop("pairs"), key, "left").withColumn("degenerate", (p <= 0) | (p >= 1) | rho.isNull())
     fit = fit.withColumn("c", F.when(~F.col("degenerate"), rho)).withColumn("k_star", cf.k_star_clipped(F.col("c"), F.lit(eps)))
     star = lambda f: F.max(F.when(F.col("fold") == f, F.col("k_star"))).alias(f"k{f}")
-    stars = fit.groupBy(*CELL).agg(star("A"), star("B"))
+    stars = written(fit.groupBy(*CELL).agg(star("A"), star("B")))
     upto = {str(k): F.lit(k) for k in ks} | {f: F.col(f"k{f}") for f in "AB"}
-    votes = prefix_records(sc.join(stars, CELL), upto).join(folds, [*CELL, "instance_id"]).select(*key, F.explode("prefixes").alias("v"))
+    votes = prefix_records(with_cells(sc, stars, CELL), upto).join(folds, [*CELL, "instance_id"]).select(*key, F.explode("prefixes").alias("v"))
     won = [F.avg(F.when(F.col("v.name") == n, F.col("v.won"))).alias(f"won{n}") for n in upto]
     side = votes.groupBy(*key).agg(*won, F.avg(F.when(F.col("v.name") == "32", majority(F.col("v.s"), F.col("v.k")))).alias("binary32")).join(fit, key)
     other = side.select(*CELL, F.when(F.col("fold") == "A", "B").otherwise("A").alias("fold"), *[F.col(c).alias(f"e_{c}") for c in side.columns if c not in key])

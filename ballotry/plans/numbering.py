@@ -8,13 +8,16 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballotry.sources.shared import with_cells, written
+
 #: Rows of a bucket, about.
 BUCKET_ROWS = 100_000
 
 
-def range_bucket(rows: DataFrame, value: str, bucket_rows: int = BUCKET_ROWS) -> Column:
-    """Number of the range bucket of a numeric column, nulls in bucket 0; buckets follow the number of rows."""
-    n = rows.count()
+def range_bucket(rows: DataFrame, value: str, bucket_rows: int = BUCKET_ROWS, n: int | None = None) -> Column:
+    """Number of the range bucket of a numeric column, nulls in bucket 0; buckets follow the number of rows, which is
+    counted unless given."""
+    n = rows.count() if n is None else n
     buckets = -(-n // bucket_rows)
     if buckets < 2:
         return F.lit(0)
@@ -33,15 +36,22 @@ def _cuts_below(cuts: list[float], x: Column) -> Column:
     return F.least(whole * run, F.lit(len(cuts))) + F.when(whole < len(runs), below(F.get(F.array(*[F.array(*[F.lit(c) for c in r]) for r in runs]), whole))).otherwise(0)
 
 
-def numbered(rows: DataFrame, by: list[str], value: str, ties: list[str] | None = None, name: str = "position", size: str | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def numbered(rows: DataFrame, by: list[str], value: str, ties: list[str] | None = None, name: str = "position", size: str | None = None, bucket_rows: int = BUCKET_ROWS, alike: bool = False) -> DataFrame:
     """Rows with their number from 0 in order of ``value`` (numeric, nulls first) and then ``ties`` within the groups
     ``by``, and, where ``size`` names a column, the number of rows of the group. Rows that are equal in all of these
-    get numbers in any order."""
-    placed = rows.withColumn("__bucket", range_bucket(rows, value, bucket_rows))
+    get numbers in any order, or, where ``alike``, one number, and ``size`` counts numbers.
+
+    Partitions are as many as the rows ask for: adaptive execution would join those of narrow rows, whose sorts in
+    memory are many times their compressed bytes, to a few for each core at any size.
+    """
+    n = rows.count()
+    placed = rows.withColumn("__bucket", range_bucket(rows, value, bucket_rows, n))
     order = Window.partitionBy(*by, "__bucket").orderBy(value, *(ties or []))
-    sums = placed.groupBy(*by, "__bucket").agg(F.count("*").alias("__rows"))  # a row a group and bucket
+    dealt = placed.repartition(max(1, -(-n // bucket_rows)), *by, "__bucket")
+    own = dealt.withColumn("__own", (F.dense_rank() if alike else F.row_number()).over(order) - 1)
+    # a row a group and bucket
+    sums = own.groupBy(*by, "__bucket").agg((F.max("__own") + 1).alias("__rows")) if alike else placed.groupBy(*by, "__bucket").agg(F.count("*").alias("__rows"))
     ahead = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("__before", F.coalesce(F.sum("__rows").over(ahead), F.lit(0))).withColumn("__size", F.sum("__rows").over(Window.partitionBy(*by)))
-    met = placed.withColumn("__own", F.row_number().over(order) - 1).alias("r").join(offsets.alias("o"), [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*by, "__bucket"]])
-    out = [*[F.col(f"r.{c}") for c in rows.columns], (F.col("__own") + F.col("__before")).cast("long").alias(name)]
-    return met.select(*out, *([F.col("__size").alias(size)] if size else []))
+    offsets = sums.withColumn("__before", F.coalesce(F.sum("__rows").over(ahead), F.lit(0))).withColumn("__size", F.sum("__rows").over(Window.partitionBy(*by))).drop("__rows")
+    met = with_cells(own, written(offsets), [*by, "__bucket"])
+    return met.select(*rows.columns, (F.col("__own") + F.col("__before")).cast("long").alias(name), *([F.col("__size").alias(size)] if size else []))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ballotry.sources.shared import written
+from ballotry.sources.shared import with_cells, written
 
 from .numbering import numbered
 
@@ -145,12 +145,10 @@ def replicate_sums(
     """
     key, spark = list(by), rows.sparkSession
     rows = written(rows.select(*dict.fromkeys([*by, *cluster, *columns])))
-    places = numbered(rows.select(*by, *cluster).distinct(), by, cluster[0], cluster[1:], name="__index", size="__m")
-    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*by, *cluster]]
-    own = rows.alias("x").join(places.alias("p"), same).select(*[F.col(f"x.{c}") for c in dict.fromkeys([*by, *columns])], "__index", "__m")
-    own = own.withColumn("__block", F.floor(F.col("__index") / block_size).cast("long"))
-    slices = own.groupBy(*by, "__block", "__m").agg(F.count("*").alias("__rows"), F.ceil(F.count("*") / slice_rows).alias("__slices"))
-    cut = own.join(slices.select(*[F.col(c).alias(f"s_{c}") for c in [*by, "__block"]], "__slices"), [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in [*by, "__block"]])
+    own = numbered(rows, by, cluster[0], cluster[1:], name="__index", size="__m", alike=True).select(*dict.fromkeys([*by, *columns]), "__index", "__m")
+    own = written(own.withColumn("__block", F.floor(F.col("__index") / block_size).cast("long")))
+    slices = written(own.groupBy(*by, "__block", "__m").agg(F.count("*").alias("__rows"), F.ceil(F.count("*") / slice_rows).alias("__slices")))
+    cut = with_cells(own, slices.select(*by, "__block", "__slices"), [*by, "__block"])
     cut = cut.withColumn("__slice", F.pmod(F.hash(*columns, "__index"), F.col("__slices"))).select(*by, "__block", "__slice", "__index", "__m", *[c for c in columns if c not in by])
 
     types = {f.name: f.dataType for f in rows.schema}

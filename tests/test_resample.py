@@ -125,3 +125,34 @@ def test_cells_of_a_size_share_draws():
     for c, size in enumerate((64, 64, 50)):
         for i in range(2):
             assert (out[c][i] == np.bincount(rp.draw_index(np.int64(3 + i), np.arange(counts[c, i]), 2, size), minlength=size)).all()
+
+
+@pytest.mark.parametrize("bucket_rows", [7, 100_000])
+def test_equal_rows_share_a_number(spark, bucket_rows):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(12)]), rng.choice([None, 0, 1])) for _ in range(200)]
+    got = numbered(spark.createDataFrame(rows, "g string, v long, t long"), ["g"], "v", ["t"], size="m", bucket_rows=bucket_rows, alike=True).collect()
+    assert Counter((r.g, r.v, r.t) for r in got) == Counter(rows)
+    for g in ("a", "b", None):
+        keys = sorted({(v is not None, v or 0, t is not None, t or 0) for x, v, t in rows if x == g})
+        for r in (r for r in got if r.g == g):
+            assert (r.position, r.m) == (keys.index((r.v is not None, r.v or 0, r.t is not None, r.t or 0)), len(keys))
+
+
+def test_paths_meet_their_cells_operating_point_where_they_are(spark):
+    """Nothing of a cell's size is shuffled by cells, so no task holds all records of one."""
+    import re
+
+    from ballotry.sources.shared import with_cells, written
+
+    rows = spark.range(500).selectExpr("concat('m', id % 1) model", "cast(id % 2 as string) task", "id instance_id").repartition(6, "model", "task", "instance_id")
+    cells = written(spark.createDataFrame([("m0", "0", 1), ("m0", "1", 2)], "model string, task string, used int"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = with_cells(rows, cells, ["model", "task"])
+        plan = met.groupBy("model", "task", "instance_id").agg(F.max("used").alias("used"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1 and "BroadcastHashJoin" in plan
+    assert {(r.task, r.used) for r in met.collect()} == {("0", 1), ("1", 2)} and met.count() == 500
