@@ -116,3 +116,26 @@ def test_shuffle_files_go_once_a_table_is_written(spark):
             break
         time.sleep(0.1)
     assert not files() - before
+
+
+def test_texts_are_cut_after_the_shuffles_of_their_ranges(spark, monkeypatch):
+    """The job that shuffles texts shuffles nothing but their lists beside them, and tables of spans are gone by then."""
+    import os
+
+    from ballotry.llm.common import Scratch
+
+    seen, paths, plain = [], [], Scratch.table
+
+    def table(self, df):
+        if "context" in df.columns and "claim" in df.columns:
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            seen.append((plan.count("Exchange "), [c for p, c in paths if os.path.isdir(p)]))
+        out = plain(self, df)
+        paths.append((self.paths[id(out)], df.columns))
+        return out
+
+    monkeypatch.setattr(Scratch, "table", table)
+    rows = corpus(8)
+    got = rp.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 60)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 60)
+    assert seen and all(n <= 2 and not any("some" in columns for columns in left) for n, left in seen)
