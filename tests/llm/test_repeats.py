@@ -88,6 +88,27 @@ def test_suffix_order_and_collisions(monkeypatch):
     assert (rp.repeated_suffixes(data, at, segment, 12) == plain).all()
 
 
+def test_query_returns_the_remaining_texts(spark, tmp_path):
+    """Passages of 400 bytes or more are gone from unrelated texts, shorter ones and texts without any are whole."""
+    from ballotry.llm.queries import op3_suffix_dedup
+
+    rnd = random.Random(9)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghé") for _ in range(7)) for _ in range(n))
+    long, short = words(80), words(45)
+    assert len(short.encode()) < 400 < len(long.encode())
+    ends = "ßàßàßà"  # two of them share a byte, which goes with the passage
+    rows = [(i, f"{words(30)}{i}{p}{ends[i]}{words(30)}") for i, p in enumerate([long, long, short, short, "", ""])]
+    rows += [(6, None), (7, ""), (8, rows[4][1]), (9, rows[0][1][:40])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = op3_suffix_dedup(spark, str(tmp_path))
+    got = {x.doc_id: x for x in df.collect()}
+    assert df.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    assert sorted((tuple(x)[:5] for x in got.values()), key=str) == brute(rows, 400)
+    assert all(got[i].text == rows[i][1].replace(long + ends[i], "") for i in (0, 1))
+    assert all(got[i].text == rows[i][1] for i in (2, 3, 5, 6, 7, 9))
+    assert got[4].text == got[8].text == ""
+
+
 def test_empty_table(spark):
     assert rp.suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
