@@ -64,3 +64,48 @@ def test_levels_are_nested_and_cover():
 
 def test_empty_table(spark):
     assert ct.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_links_of_a_dense_cluster_take_bounded_memory():
+    """All of 2 x 2,500 vectors link: 12.5 million pairs, more than may be held at once."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(7)
+    v = rnd.normal(size=8) + rnd.normal(size=(5000, 8)) * 0.02
+    one, two = (ct.Block.of(np.arange(i, i + 2500), np.ones(2500, np.int64), v[i : i + 2500]) for i in (0, 2500))
+    left, right = [one.pieces()], [two.pieces()]
+    assert max(map(len, left[0])) <= 64 << 10
+    tracemalloc.start()
+    ids, links, span = ct.tile_links(left, right, 0.9)
+    inner = ct.tile_links([*left, *right], None, 0.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(links) == {2500} and len(span) == 4999 and set(inner[1]) == {4999} and len(inner[2]) == 4999
+    assert peak < 60e6
+
+
+@pytest.mark.parametrize("pairs,numbers", [(7, 50), (1000, 1 << 20)])
+def test_bounded_lists_lose_no_pair(monkeypatch, pairs, numbers):
+    monkeypatch.setattr(ct, "PAIRS", pairs)
+    monkeypatch.setattr(ct, "NUMBERS", numbers)
+    rows = [v for d, v in table(9, 200) if d is not None and d < 200]
+    v = np.unique(np.array(rows), axis=0)
+    cut = len(v) // 2
+    parts = [ct.Block.of(np.arange(len(v))[s], np.ones(len(v[s]), np.int64), v[s]).pieces() for s in (slice(0, cut), slice(cut, None))]
+    norm = np.linalg.norm(v, axis=1)
+    near = (v @ v.T >= 0.9 * norm[:, None] * norm[None, :]) & ~np.eye(len(v), dtype=bool)
+    ids, links, span = ct.tile_links(parts, None, 0.9)
+    assert ids.tolist() == list(range(len(v))) and links.tolist() == near.sum(1).tolist()
+    ids, links, _ = ct.tile_links(parts[:1], parts[1:], 0.9)
+    assert links.tolist() == [*near[:cut, cut:].sum(1), *near[cut:, :cut].sum(1)]
+
+
+def test_rounds_meet_every_pair_of_tiles(spark, monkeypatch):
+    """Tiles of one and two blocks, each round dealt alone."""
+    monkeypatch.setattr(ct, "PART_ROWS", 12)
+    monkeypatch.setattr(ct, "ROUND_BYTES", 1)
+    rows = table(11)
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int").repartition(3)
+    for most in (1, 2):
+        monkeypatch.setattr(ct, "TILE_BLOCKS", most)
+        assert sorted(map(tuple, ct.near_duplicates(df, 0.9).collect()), key=str) == brute(rows, 0.9)
