@@ -10,20 +10,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballotry.sources.shared import with_cells, written
+
 CELL = ["model", "task", "arm"]
 RECORD = [*CELL, "seed", "instance_id"]
 
 
 #: Paths of a word of a mask.
 WORD_PATHS = 63
+#: Ballots of a task, about: their files are small, so a task by bytes would have too many.
+TASK_BALLOTS = 200_000
 
 
-def _words(width: int) -> list[Column]:
-    """Bits of the correct paths in words of 63; paths from ``width`` on are an error."""
+def _words(width: int, vote: Column | None = None) -> list[Column]:
+    """Bits of the correct paths (or of those that ``vote`` is 1 for) in words of 63; paths from ``width`` on are an error."""
+    vote = F.col("y") if vote is None else vote
     out = []
     for begin in range(0, width, WORD_PATHS):
         at = F.col("path").cast("int") - begin
-        bit = F.when((at >= 0) & (at < WORD_PATHS), F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(at, F.lit(0)) % 64) * F.col("y")).otherwise(F.lit(0).cast("long"))
+        bit = F.when((at >= 0) & (at < WORD_PATHS), F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(at, F.lit(0)) % 64) * vote).otherwise(F.lit(0).cast("long"))
         out.append(F.sum(F.when(F.col("path") < max(width, WORD_PATHS), bit).otherwise(F.raise_error(F.lit(f"vote masks hold {max(width, WORD_PATHS)} paths")).cast("long"))))
     return out
 
@@ -52,6 +57,59 @@ def prefix_records(paths: DataFrame, upto: dict[str, Column], width: int = WORD_
     return by_answer.groupBy(*RECORD).agg(F.sum("paths").alias("paths"), (words[0] if len(words) == 1 else F.array(*words)).alias("mask"), F.array(*parts).alias("prefixes"))
 
 
+def _packed(words: list[Column]) -> Column:
+    return words[0] if len(words) == 1 else F.array(*words)
+
+
+def _bit(mask: Column, path: Column, width: int) -> Column:
+    """Whether a mask has a path: 1 or 0."""
+    at = path.cast("int")
+    word, at = (mask, at) if width <= WORD_PATHS else (F.get(mask, F.floor(at / WORD_PATHS).cast("int")), at % WORD_PATHS)
+    return F.call_function("shiftright", word, at).bitwiseAND(F.lit(1).cast("long"))
+
+
+def ballots(paths: DataFrame, width: int = WORD_PATHS) -> DataFrame:
+    """How many records n of a cell have each outcome: k paths, s correct ones, the mask of these as in ``records`` and
+    the mask of the paths that are there. It is a written table: paths are derived once for all that is read from it,
+    and a record's paths come down to one row, many records to one. Rows without a model, task or arm have no cell."""
+    recs = paths.dropna(subset=CELL).groupBy(*RECORD).agg(
+        F.count("*").alias("k"), F.sum("y").alias("s"), _packed(_words(width)).alias("mask"), _packed(_words(width, F.lit(1).cast("long"))).alias("there")
+    )
+    return dealt(written(recs.groupBy(*CELL, "k", "s", "mask", "there").agg(F.count("*").alias("n"))))
+
+
+def dealt(b: DataFrame) -> DataFrame:
+    """A written table of ballots in partitions that follow their number, those of a cell in some of them."""
+    tasks = max(b.sparkSession.sparkContext.defaultParallelism, -(-b.count() // TASK_BALLOTS))
+    return b.repartition(tasks, *CELL, F.pmod(F.hash("mask", "there"), F.lit(tasks)))
+
+
+def slot_sums(b: DataFrame, width: int = WORD_PATHS) -> DataFrame:
+    """(cell, path, w, of): of the ballots that have a path their number and that of those it is correct in. Bytes of the
+    masks are counted first, then their bits."""
+    n = F.col("n")
+    masks, there = ([F.get(m, F.lit(i)) for i in range(-(-width // WORD_PATHS))] if width > WORD_PATHS else [F.col(m)] for m in ("mask", "there"))
+    byte = lambda word, at: F.shiftright(word, at).bitwiseAND(F.lit(255).cast("long"))
+    each = F.array(*[F.struct(F.lit(i * WORD_PATHS + at).alias("base"), byte(m, at).alias("m"), byte(t, at).alias("t")) for i, (m, t) in enumerate(zip(masks, there)) for at in range(0, WORD_PATHS, 8)])
+    by_byte = b.select(*CELL, "n", F.explode(each).alias("x")).where("x.t <> 0").groupBy(*CELL, "x.base", "x.m", "x.t").agg(F.sum(n).alias("n"))
+    bit = lambda x: n * F.call_function("shiftright", F.col(x), F.col("i")).bitwiseAND(F.lit(1).cast("long"))
+    bits = by_byte.withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(8)])))
+    return bits.groupBy(*CELL, (F.col("base") + F.col("i")).alias("path")).agg(F.sum(bit("m")).alias("w"), F.sum(bit("t")).alias("of")).where("of > 0")
+
+
+def first_paths(b: DataFrame, k: int) -> DataFrame:
+    """The ballots of the first k paths, at most 63; records without any have none."""
+    low = F.lit((1 << k) - 1).cast("long")
+    mask, there = F.col("mask").bitwiseAND(low), F.col("there").bitwiseAND(low)
+    cut = b.select(*CELL, F.bit_count(there).cast("long").alias("k"), F.bit_count(mask).cast("long").alias("s"), mask.alias("mask"), there.alias("there"), "n").where("k > 0")
+    return cut.groupBy(*CELL, "k", "s", "mask", "there").agg(F.sum("n").alias("n"))
+
+
+def weighted_mean(x: Column, n: Column) -> Column:
+    """Mean of x, each n times; nulls don't count."""
+    return F.sum(n * x) / F.sum(F.when(x.isNotNull(), n))
+
+
 def prefix(paths: DataFrame, k: int) -> DataFrame:
     """The first k paths of each record."""
     return paths.where(F.col("path") < k)
@@ -119,15 +177,28 @@ def slot_variation(paths: DataFrame) -> DataFrame:
     )
 
 
-def weighted_majority(paths: DataFrame) -> DataFrame:
-    """Accuracy of votes weighted by slot accuracy (as integer hits, so that ties are exact), and the
-    gain over the plain majority in points."""
-    slots = paths.groupBy(*CELL, "path").agg(F.sum("y").alias("w"))
-    weighed = paths.join(slots, [*CELL, "path"])
-    recs = weighed.groupBy(*RECORD).agg(F.sum(F.col("w") * F.col("y")).alias("won"), F.sum("w").alias("all"), F.sum("y").alias("s"), F.count("*").alias("k"))
+def weighted_statistics(b: DataFrame, width: int = WORD_PATHS) -> DataFrame:
+    """Of ballots, a row a cell: accuracy of votes weighted by slot accuracy (as integer hits, so that ties are exact), of
+    the plain majority, the gain in points, constant slots and slot variation as in ``slot_variation``."""
+    n = F.col("n")
+    slots = written(slot_sums(b, width))
+    cells = written(slots.groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("path", "w"))).alias("slots")))
+    votes = lambda m: F.aggregate("slots", F.lit(0).cast("long"), lambda t, x: t + x["w"] * _bit(F.col(m), x["path"], width))
+    recs = with_cells(b, cells, CELL).select(*CELL, "s", "k", "n", votes("mask").alias("won"), votes("there").alias("all"))
     mine = F.when(F.col("all") == 0, F.lit(0.0)).otherwise(majority(F.col("won"), F.col("all")))
-    out = recs.groupBy(*CELL).agg(F.avg(mine).alias("weighted_acc"), F.avg(majority(F.col("s"), F.col("k"))).alias("mv_acc"))
-    return out.withColumn("gain_pp", 100 * (F.col("weighted_acc") - F.col("mv_acc")))
+    out = recs.groupBy(*CELL).agg(weighted_mean(mine, n).alias("weighted_acc"), weighted_mean(majority(F.col("s"), F.col("k")), n).alias("mv_acc"))
+    out = out.withColumn("gain_pp", 100 * (F.col("weighted_acc") - F.col("mv_acc")))
+    mean = F.avg("acc")
+    spread = slots.withColumn("acc", F.col("w") / F.col("of")).groupBy(*CELL).agg(
+        F.count_if((F.col("w") == 0) | (F.col("w") == F.col("of"))).alias("constant_slots"), F.when(mean == 0, F.lit(0.0)).otherwise(F.stddev_pop("acc") / mean).alias("slot_cv")
+    )
+    return out.join(spread, CELL)
+
+
+def weighted_majority(paths: DataFrame, width: int = WORD_PATHS) -> DataFrame:
+    """Accuracy of votes weighted by slot accuracy (as integer hits, so that ties are exact), and the
+    gain over the plain majority in points. Records of more than 63 paths need their largest number of paths as ``width``."""
+    return weighted_statistics(ballots(paths, width), width).drop("constant_slots", "slot_cv")
 
 
 def pruned_majority(paths: DataFrame, n_drop: int = 2) -> DataFrame:

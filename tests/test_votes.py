@@ -40,3 +40,45 @@ def test_block_reasons(spark):
     assert co.block_k_eff(vo.records(paths(spark, ["00000000"] * 24))).first().reason == "base accuracy"
     assert co.block_k_eff(vo.records(paths(spark, ["11111111"] * 24))).first().reason == "no correlation"
     assert co.block_k_eff(vo.records(paths(spark, rows[:6]))).first().reason == "too few rows"
+
+
+def counted(spark, df):
+    """df, and how many of its rows have been derived so far."""
+    n = spark.sparkContext.accumulator(0)
+
+    def each(batches):
+        for batch in batches:
+            n.add(len(batch))
+            yield batch
+
+    return df.mapInPandas(each, df.schema), n
+
+
+def weighted(cells):
+    """Weighted accuracy, majority and slot variation of {cell: [{path: y}]} by hand."""
+    out = {}
+    for cell, recs in cells.items():
+        w = {p: sum(r.get(p, 0) for r in recs) for p in {p for r in recs for p in r}}
+        of = {p: sum(p in r for r in recs) for p in w}
+        half = lambda won, all_: 0.0 if all_ == 0 else 1.0 if 2 * won > all_ else 0.5 if 2 * won == all_ else 0.0
+        acc = np.array([w[p] / of[p] for p in w])
+        mine = np.mean([half(sum(w[p] * y for p, y in r.items()), sum(w[p] for p in r)) for r in recs])
+        out[cell] = (mine, np.mean([half(sum(r.values()), len(r)) for r in recs]), sum(w[p] in (0, of[p]) for p in w), acc.std() / acc.mean() if acc.mean() else 0.0)
+    return out
+
+
+@pytest.mark.parametrize("width,ids", [(63, list(range(6))), (63, [0, 7, 8, 15, 33, 62]), (130, [1, 62, 63, 64, 126, 129])])
+def test_weighted_votes_derive_paths_once(spark, width, ids):
+    """Ties, cells of wrong paths only, paths that are missing, and outcomes that many records share."""
+    rng = np.random.default_rng(width + ids[1])
+    cells = {(m, "t", a): [{p: int(rng.random() < q) for p in ids if p == ids[0] or rng.random() < 0.8} for _ in range(40)] for m in ("m", "n") for a, q in (("SC", 0.6), ("PT", 0.0))}
+    data = [(*cell, r % 3, r, p, y) for cell, recs in cells.items() for r, rec in enumerate(recs) for p, y in rec.items()] + [(None, "t", "SC", 0, 0, ids[0], 1)]
+    df, n = counted(spark, spark.createDataFrame(data, "model string, task string, arm string, seed long, instance_id long, path long, y long").repartition(4))
+    got = {(r.model, r.task, r.arm): r for r in vo.weighted_majority(df, width).collect()}
+    assert n.value == len(data)
+    all_ = {(r.model, r.task, r.arm): r for r in vo.weighted_statistics(vo.ballots(df, width), width).collect()}
+    want = weighted(cells)
+    assert set(got) == set(want)
+    for cell, (mine, mv, constant, cv) in want.items():
+        assert got[cell].weighted_acc == pytest.approx(mine) and got[cell].mv_acc == pytest.approx(mv) and got[cell].gain_pp == pytest.approx(100 * (mine - mv))
+        assert all_[cell].constant_slots == constant and all_[cell].slot_cv == pytest.approx(cv)
