@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from ballotry.functions import closed_forms as cf
 
-from .votes import CELL, RECORD, WORD_PATHS, majority, prefix, prefix_records, records, slot_variation, weighted_majority
+from .votes import CELL, RECORD, WORD_PATHS, ballots, majority, prefix, prefix_records, records, weighted_mean, weighted_statistics
 
 
-def pair_sums(recs: DataFrame, by: list[str] = CELL) -> DataFrame:
-    """n, Si, Sj and Sij of every pair of paths i < j of the records that have both.
+def pair_sums(recs: DataFrame, by: list[str] = CELL, weight: str | None = None) -> DataFrame:
+    """n, Si, Sj and Sij of every pair of paths i < j of the records that have both; a row counts ``weight`` times.
 
     Each task adds up one matrix product of votes a cell and batch, and gives one row for each cell and
     pair, so what is shuffled doesn't grow with the records.
@@ -52,7 +52,8 @@ def pair_sums(recs: DataFrame, by: list[str] = CELL) -> DataFrame:
                 m = int(own.k.max())
                 there = (own.k.to_numpy()[:, None] > np.arange(m)[None, :]).astype(float)
                 y = votes(own["mask"], m)
-                new = np.stack([there.T @ there, y.T @ there, y.T @ y])
+                times = 1.0 if weight is None else own[weight].to_numpy(float)[:, None]
+                new = np.stack([(there * times).T @ there, (y * times).T @ there, (y * times).T @ y])
                 key = tuple(None if x != x else x for x in key)
                 old = sums.get(key)
                 if old is not None and old.shape[1] != m:
@@ -68,15 +69,18 @@ def pair_sums(recs: DataFrame, by: list[str] = CELL) -> DataFrame:
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in recs.schema if f.name in by]
     fields.sort(key=lambda f: by.index(f.split("`")[1]))
-    found = recs.select(*by, "k", "mask").mapInPandas(each, ", ".join([*fields, "i long", "j long", "n long", "si long", "sj long", "sij long"]))
+    rows = recs.select(*by, "k", "mask", *([weight] if weight else []))
+    if weight:  # few rows stand for many records: batches of one group each cost less than the sort
+        rows = rows.sortWithinPartitions(*by)
+    found = rows.mapInPandas(each, ", ".join([*fields, "i long", "j long", "n long", "si long", "sj long", "sij long"]))
     return found.groupBy(*by, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")])
 
 
-def pair_correlations(recs: DataFrame, by: list[str] = CELL) -> DataFrame:
+def pair_correlations(recs: DataFrame, by: list[str] = CELL, weight: str | None = None) -> DataFrame:
     """r of every pair of paths i < j; null where a path is constant."""
     c = F.col
     r = pearson_of_sums(c("n"), c("si"), c("sj"), c("si"), c("sj"), c("sij"))
-    return pair_sums(recs, by).select(*by, "i", "j", r.alias("r"))
+    return pair_sums(recs, by, weight).select(*by, "i", "j", r.alias("r"))
 
 
 def pearson_of_sums(n: Column, si: Column, sj: Column, sii: Column, sjj: Column, sij: Column) -> Column:
@@ -86,9 +90,9 @@ def pearson_of_sums(n: Column, si: Column, sj: Column, sii: Column, sjj: Column,
     return F.when((vi > 0) & (vj > 0), (n * sij - si * sj) / F.sqrt(vi * vj))
 
 
-def pairwise_rho(recs: DataFrame, by: list[str] = CELL) -> DataFrame:
+def pairwise_rho(recs: DataFrame, by: list[str] = CELL, weight: str | None = None) -> DataFrame:
     """Mean correlation over path pairs; constant paths are skipped, null if none is left."""
-    return pair_correlations(recs, by).groupBy(*by).agg(F.avg("r").alias("rho"), F.count("r").alias("pairs"))
+    return pair_correlations(recs, by, weight).groupBy(*by).agg(F.avg("r").alias("rho"), F.count("r").alias("pairs"))
 
 
 def pairwise_rho_join(paths: DataFrame, by: list[str] = CELL) -> DataFrame:
@@ -110,11 +114,11 @@ def agreement(recs: DataFrame, by: list[str] = CELL) -> DataFrame:
     return recs.groupBy(*by).agg(F.avg(pairs).alias("agreement"))
 
 
-def pooled_c(recs: DataFrame, by: list[str] = CELL) -> DataFrame:
-    """(mean pair moment - p^2) / (p (1 - p)); null where undefined."""
-    s, k = F.col("s"), F.col("k")
-    both = F.avg(F.when(k > 1, (s * (s - 1)).cast("double") / (k * (k - 1))))
-    p = F.sum("s") / F.sum("k")
+def pooled_c(recs: DataFrame, by: list[str] = CELL, weight: str | None = None) -> DataFrame:
+    """(mean pair moment - p^2) / (p (1 - p)); null where undefined. A row counts ``weight`` times."""
+    s, k, n = F.col("s"), F.col("k"), F.lit(1) if weight is None else F.col(weight)
+    both = weighted_mean(F.when(k > 1, (s * (s - 1)).cast("double") / (k * (k - 1))), n)
+    p = F.sum(n * s) / F.sum(n * k)
     out = recs.groupBy(*by).agg(both.alias("both"), p.alias("p_bar"))
     v = F.col("p_bar") * (1 - F.col("p_bar"))
     return out.select(*by, "p_bar", F.when(v > 0, (F.col("both") - F.col("p_bar") * F.col("p_bar")) / v).alias("c_hat"))
@@ -177,11 +181,18 @@ def cell_report(paths: DataFrame, eps: float = 0.025, pilot: int = 4) -> DataFra
     return wide.join(cut, CELL).withColumn("k_star", cf.k_star(F.col("rho_pilot"), F.lit(eps)))
 
 
-def block_k_eff(recs: DataFrame, least_rows: int = 20, least_p: float = 0.02) -> DataFrame:
-    """p (1 - p) / variance of row means, or the reason why it isn't eligible."""
-    rho = pairwise_rho(recs).select(*CELL, "rho")
+def block_k_eff(recs: DataFrame, least_rows: int = 20, least_p: float = 0.02, weight: str | None = None) -> DataFrame:
+    """p (1 - p) / variance of row means, or the reason why it isn't eligible. A row of recs counts ``weight`` times."""
+    rho = pairwise_rho(recs, weight=weight).select(*CELL, "rho")
     k, p, v = F.col("k"), F.col("p_bar"), F.col("v")
-    out = recs.groupBy(*CELL).agg(F.count("*").alias("rows"), F.max("k").alias("k"), (F.sum("s") / F.sum("k")).alias("p_bar"), F.var_samp(F.col("s") / F.col("k")).alias("v"))
+    if weight is None:
+        sums = [F.count("*").alias("rows"), (F.sum("s") / F.sum("k")).alias("p_bar"), F.var_samp(F.col("s") / F.col("k")).alias("v")]
+    else:
+        n, x = F.col(weight), F.col("s") / F.col("k")
+        total = F.sum(n)
+        var = F.when(F.min(x) == F.max(x), F.lit(0.0)).otherwise((F.sum(n * x * x) - F.sum(n * x) * F.sum(n * x) / total) / (total - 1))
+        sums = [total.alias("rows"), (F.sum(n * F.col("s")) / F.sum(n * F.col("k"))).alias("p_bar"), F.when(total > 1, var).alias("v")]
+    out = recs.groupBy(*CELL).agg(F.max("k").alias("k"), *sums)
     out = out.join(rho, CELL, "left")
     reason = (
         F.when(F.col("rows") < least_rows, "too few rows").when(p < least_p, "base accuracy").when(F.col("rho").isNull(), "no correlation")
@@ -207,10 +218,9 @@ def slot_covariance(paths: DataFrame, by: list[str] = CELL, width: int = WORD_PA
 
 def arm_statistics(paths: DataFrame) -> DataFrame:
     """One row a cell and arm: accuracy, rho, c, both effective votes, majority, weighted majority, gain, slot CV."""
-    recs = records(paths)
-    base = recs.groupBy(*CELL).agg(F.max("k").alias("k"), F.avg(majority(F.col("s"), F.col("k"))).alias("mv_acc"))
-    out = base.join(pairwise_rho(recs).drop("pairs"), CELL, "left").join(pooled_c(recs), CELL)
-    out = out.join(weighted_majority(paths).select(*CELL, "weighted_acc", "gain_pp"), CELL).join(slot_variation(paths).select(*CELL, "slot_cv"), CELL)
+    b = ballots(paths)
+    out = b.groupBy(*CELL).agg(F.max("k").alias("k")).join(pairwise_rho(b, weight="n").drop("pairs"), CELL, "left").join(pooled_c(b, weight="n"), CELL)
+    out = out.join(weighted_statistics(b), CELL).select(*CELL, "k", "mv_acc", "rho", "p_bar", "c_hat", "weighted_acc", "gain_pp", "slot_cv")
     return out.withColumn("keff_rho", k_eff(F.col("k"), F.col("rho"))).withColumn("keff_c", k_eff(F.col("k"), F.col("c_hat"), strict=True))
 
 

@@ -92,3 +92,18 @@ def test_a_hundred_paths(spark):
     assert len(cov) == 5050 and np.isclose(cov[3, 99], np.cov(votes.T)[3, 99])
     with pytest.raises(Exception, match="63 paths"):
         co.exact_k(paths, (4,)).collect()
+
+
+def test_arm_statistics_derive_paths_once(spark):
+    from .test_votes import counted, weighted
+
+    paths, y, rows = sample(spark)
+    df, n = counted(spark, paths)
+    got = co.arm_statistics(df).first()
+    assert n.value == len(rows)
+    mine, mv, _, cv = weighted({"c": [dict(enumerate(r)) for r in y.tolist()]})["c"]
+    assert got.k == 32 and got.rho == pytest.approx(rho(y.astype(float))) and got.p_bar == pytest.approx(y.mean())
+    assert got.weighted_acc == pytest.approx(mine) and got.mv_acc == pytest.approx(mv) and got.slot_cv == pytest.approx(cv)
+    s = y.sum(1)
+    both, p = np.mean(s * (s - 1) / (32 * 31)), y.mean()
+    assert got.c_hat == pytest.approx((both - p * p) / (p * (1 - p)))

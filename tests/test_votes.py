@@ -82,3 +82,17 @@ def test_weighted_votes_derive_paths_once(spark, width, ids):
     for cell, (mine, mv, constant, cv) in want.items():
         assert got[cell].weighted_acc == pytest.approx(mine) and got[cell].mv_acc == pytest.approx(mv) and got[cell].gain_pp == pytest.approx(100 * (mine - mv))
         assert all_[cell].constant_slots == constant and all_[cell].slot_cv == pytest.approx(cv)
+
+
+def test_first_paths_of_ballots(spark):
+    rng = np.random.default_rng(4)
+    rows = ["".join(rng.choice(["0", "1"], 9)) for _ in range(80)]
+    df = paths(spark, rows)
+    late = df.where("instance_id > 0 or path >= 4")  # no path of the first four
+    got = vo.first_paths(vo.ballots(late), 4)
+    assert {(r.k, r.s, r.mask): r.n for r in got.collect()} == {(r.k, r.s, r.mask): r["count"] for r in vo.records(vo.prefix(late, 4)).groupBy("k", "s", "mask").count().collect()}
+    for a, b in ((co.pooled_c(got, weight="n"), co.pooled_c(vo.records(vo.prefix(late, 4)))), (co.pairwise_rho(got, weight="n"), co.pairwise_rho(vo.records(vo.prefix(late, 4)))), (co.block_k_eff(got, weight="n"), co.block_k_eff(vo.records(vo.prefix(late, 4))))):
+        for x, y in zip(a.first()[3:], b.first()[3:]):
+            assert x == (y if y is None or isinstance(y, str) else pytest.approx(y))
+    same = co.block_k_eff(vo.ballots(paths(spark, ["110"] * 30)), weight="n").first()
+    assert same.reason == co.block_k_eff(vo.records(paths(spark, ["110"] * 30))).first().reason
