@@ -43,3 +43,17 @@ def test_matching_contract(spark):
     for message, pt in broken.items():
         with pytest.raises(ValueError, match=message):
             ma.require_matched(spark.createDataFrame(pt, ARM), good, [0, 1], 2)
+
+
+def test_extremes_derive_paths_once(spark, monkeypatch):
+    from ballotry.queries import QUERIES
+    from ballotry.queries import vectors as qv
+
+    from .test_correlation import sample
+    from .test_votes import counted
+
+    paths, _, rows = sample(spark)
+    df, n = counted(spark, paths)
+    monkeypatch.setattr(qv, "P", lambda s, d: df)
+    got = {r.measure: r for r in QUERIES["a26_extremes"](spark, "").collect()}
+    assert n.value == len(rows) and set(got) == {"gain_pp", "slot_cv", "ratio"} and got["ratio"].least_cell == "m/t/SC"
