@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ballotry.functions import closed_forms as cf
 
-from .votes import CELL, RECORD, WORD_PATHS, ballots, majority, prefix, prefix_records, records, weighted_mean, weighted_statistics
+from .votes import CELL, WORD_PATHS, ballots, majority, of_prefixes, paths_below, prefix, prefix_ballots, records, weighted_mean, weighted_statistics
 
 
 def pair_sums(recs: DataFrame, by: list[str] = CELL, weight: str | None = None) -> DataFrame:
@@ -139,18 +139,25 @@ def exact_k(paths: DataFrame, ks: tuple[int, ...] = (1, 2, 4, 8, 16, 32), width:
     vote, agreement, rho over pairs with its K_eff, ceiling and share of it, the pooled c_hat, mean tokens, and
     mean and standard deviation over seeds of path accuracy.
 
-    All prefixes come from one table of records and one matrix of pair correlations. Records of more than 63 paths need
+    All prefixes come from one written table of counted ballots and one matrix of pair correlations. Records of more than 63 paths need
     their largest number of paths as ``width``.
     """
-    recs = prefix_records(paths, {str(k): F.lit(k) for k in ks}, width)
-    one = recs.select(*RECORD, F.explode("prefixes").alias("p")).select(*RECORD, F.col("p.name").cast("long").alias("kk"), "p.k", "p.s", "p.won", "p.tokens")
+    b = prefix_ballots(paths, ks, width)
+    one = of_prefixes(b, ks, width)
     key = [*CELL, "kk"]
-    s, k = F.col("s"), F.col("k")
-    seeds = one.groupBy(*key, "seed").agg((F.sum("s") / F.sum("k")).alias("acc")).groupBy(*key).agg(F.count("*").alias("n_seeds"), F.avg("acc").alias("seed_mean"), F.stddev_samp("acc").alias("seed_std"))
-    base = one.groupBy(*key).agg(F.count("*").alias("n"), (F.sum("s") / F.sum("k")).alias("mean_path_acc"), F.avg("won").alias("mv_acc"), F.avg(majority(s, k)).alias("binary_acc"), F.avg("tokens").alias("tokens"))
-    r = pair_correlations(recs.select(*CELL, F.col("paths").alias("k"), "mask"))
+    s, k, n = F.col("s"), F.col("k"), F.col("n")
+    paired = lambda x: F.when(k > 1, x.cast("double") / (k * (k - 1)))
+    sums = {"n": n, "s": n * s, "k": n * k, "won": n * F.col("won"), "binary": n * majority(s, k), "tokens": F.col("tokens"), "pairs": F.when(k > 1, n), "agree": n * paired(s * (s - 1) + (k - s) * (k - s - 1)), "both": n * paired(s * (s - 1))}
+    seeds = one.groupBy(*key, "seed").agg(*[F.sum(x).alias(name) for name, x in sums.items()]).withColumn("acc", F.col("s") / F.col("k"))
+    base = seeds.groupBy(*key).agg(*[F.sum(x).alias(x) for x in sums], F.count("*").alias("n_seeds"), F.avg("acc").alias("seed_mean"), F.stddev_samp("acc").alias("seed_std"))
+    p = F.col("mean_path_acc")
+    base = base.select(
+        *key, "n", (s / k).alias("mean_path_acc"), (F.col("won") / n).alias("mv_acc"), (F.col("binary") / n).alias("binary_acc"), (F.col("tokens") / n).alias("tokens"), "n_seeds", "seed_mean", "seed_std",
+        (F.col("agree") / F.col("pairs")).alias("agreement"), (F.col("both") / F.col("pairs")).alias("both"),
+    ).withColumn("c_hat", F.when(p * (1 - p) > 0, (F.col("both") - p * p) / (p * (1 - p)))).drop("both")
+    r = pair_correlations(b.select(*CELL, paths_below(F.col("there"), width, width).alias("k"), "mask", "n"), weight="n")
     rho = r.withColumn("kk", F.explode(F.array(*[F.lit(k).cast("long") for k in ks]))).where("j < kk").groupBy(*key).agg(F.avg("r").alias("rho"))
-    out = base.join(seeds, key).join(agreement(one, key), key).join(pooled_c(one, key).drop("p_bar"), key).join(rho, key, "left")
+    out = base.join(rho, key, "left")
     out = out.withColumn("keff", k_eff(F.col("kk"), F.col("rho"), strict=True)).withColumn("ceiling", ceiling(F.col("rho")))
     return out.withColumn("pct_ceiling", F.col("keff") / F.col("ceiling"))
 

@@ -84,6 +84,45 @@ def dealt(b: DataFrame) -> DataFrame:
     return b.repartition(tasks, *CELL, F.pmod(F.hash("mask", "there"), F.lit(tasks)))
 
 
+def prefix_ballots(paths: DataFrame, ks: tuple[int, ...], width: int = WORD_PATHS) -> DataFrame:
+    """Ballots by seed, as in ``ballots``, with bit i of ``won`` for a plurality answer of the first ks[i] paths that is
+    correct, as in ``prefix_records``, and the tokens of these paths, ``tokens_i``, added up over the n records."""
+    inside = [F.sum(F.when(F.col("path") < k, F.col("gen_len")).otherwise(0)) for k in ks]
+    mine = lambda vote=None: _packed(_words(width, vote))
+    by_answer = paths.dropna(subset=CELL).groupBy(*RECORD, "answer").agg(
+        mine().alias("mask"), mine(F.lit(1).cast("long")).alias("there"), F.min("path").alias("first"), F.max("y").alias("y"), *[x.alias(f"tokens_{i}") for i, x in enumerate(inside)]
+    )
+    # the most votes, then the earliest first path, then whether it is correct: one number
+    votes = [paths_below(F.col("there"), k, width) for k in ks]
+    rank = [F.when(F.col("answer").isNotNull() & (n > 0), F.shiftleft(n, 32) + (F.lit((1 << 31) - 1) - F.col("first")) * 2 + F.col("y")) for n in votes]
+    words = -(-width // WORD_PATHS)
+    both = lambda m: F.sum(m) if words == 1 else F.array(*[F.sum(F.get(m, F.lit(i))) for i in range(words)])
+    recs = by_answer.groupBy(*RECORD).agg(both("mask").alias("mask"), both("there").alias("there"), *[F.max(r).alias(f"best_{i}") for i, r in enumerate(rank)], *[F.sum(f"tokens_{i}").alias(f"tokens_{i}") for i in range(len(ks))])
+    won = sum((F.shiftleft(F.coalesce(F.col(f"best_{i}"), F.lit(0)).bitwiseAND(F.lit(1).cast("long")), i) for i in range(len(ks))), F.lit(0).cast("long"))
+    recs = recs.select(*CELL, "seed", "mask", "there", won.alias("won"), *[f"tokens_{i}" for i in range(len(ks))])
+    counted = recs.groupBy(*CELL, "seed", "mask", "there", "won").agg(F.count("*").alias("n"), *[F.sum(f"tokens_{i}").alias(f"tokens_{i}") for i in range(len(ks))])
+    return dealt(written(counted))
+
+
+def of_prefixes(b: DataFrame, ks: tuple[int, ...], width: int = WORD_PATHS) -> DataFrame:
+    """``prefix_ballots`` with a row for each of ks: paths k, correct ones s, won, the tokens of all n records."""
+    one = [
+        F.struct(
+            F.lit(k).cast("long").alias("kk"), paths_below(F.col("there"), k, width).alias("k"), paths_below(F.col("mask"), k, width).alias("s"),
+            F.shiftright("won", i).bitwiseAND(F.lit(1).cast("long")).alias("won"), F.col(f"tokens_{i}").alias("tokens"),
+        )
+        for i, k in enumerate(ks)
+    ]
+    return b.select(*CELL, "seed", "n", F.explode(F.array(*one)).alias("p")).select(*CELL, "seed", "n", "p.*")
+
+
+def paths_below(mask: Column, k: int, width: int) -> Column:
+    """How many of the first k paths a mask has."""
+    words = [mask] if width <= WORD_PATHS else [F.get(mask, F.lit(i)) for i in range(-(-width // WORD_PATHS))]
+    low = [(1 << min(WORD_PATHS, max(0, k - i * WORD_PATHS))) - 1 for i in range(len(words))]
+    return sum((F.bit_count(w.bitwiseAND(F.lit(x).cast("long"))) for w, x in zip(words, low) if x), F.lit(0)).cast("long")
+
+
 def slot_sums(b: DataFrame, width: int = WORD_PATHS) -> DataFrame:
     """(cell, path, w, of): of the ballots that have a path their number and that of those it is correct in. Bytes of the
     masks are counted first, then their bits."""

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ballotry.operators import correlation as co
 from ballotry.operators import inference as inf
@@ -107,3 +108,33 @@ def test_arm_statistics_derive_paths_once(spark):
     s = y.sum(1)
     both, p = np.mean(s * (s - 1) / (32 * 31)), y.mean()
     assert got.c_hat == pytest.approx((both - p * p) / (p * (1 - p)))
+
+
+def test_exact_k_derives_paths_once(spark):
+    from .test_votes import counted
+
+    paths, y, rows = sample(spark)
+    df, n = counted(spark, paths)
+    got = {r.kk: r for r in co.exact_k(df).collect()}
+    assert n.value == len(rows)
+    for k, r in got.items():
+        s = y[:, :k].sum(1)
+        assert r.binary_acc == pytest.approx(np.mean((2 * s > k) + 0.5 * (2 * s == k))) and r.tokens == pytest.approx(sum(10 + j for j in range(k)))
+        accs = [y[i::3, :k].mean() for i in range(3)]
+        assert r.seed_mean == pytest.approx(np.mean(accs)) and r.seed_std == pytest.approx(np.std(accs, ddof=1))
+        p = y[:, :k].mean()
+        if k > 1:
+            both = np.mean(s * (s - 1) / (k * (k - 1)))
+            assert r.agreement == pytest.approx(np.mean((s * (s - 1) + (k - s) * (k - s - 1)) / (k * (k - 1)))) and r.c_hat == pytest.approx((both - p * p) / (p * (1 - p)))
+
+
+def test_prefix_ballots_equal_records(spark):
+    """Missing paths, null answers and ties, in masks of one word and of three."""
+    paths, _, _ = sample(spark, 40)
+    some = paths.where("(instance_id + path) % 5 <> 0")
+    far = some.withColumn("path", F.col("path") * 5)
+    for df, ks, width in ((some, (1, 3, 8, 32), 63), (far, (1, 15, 64, 126, 160), 160)):
+        want = vo.prefix_records(df, {str(k): F.lit(k) for k in ks}, width).select("seed", F.explode("prefixes").alias("p")).selectExpr("seed", "cast(p.name as long) kk", "p.k", "p.s", "cast(p.won as long) won", "p.tokens")
+        want = want.groupBy("seed", "kk", "k", "s", "won").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+        got = vo.of_prefixes(vo.prefix_ballots(df, ks, width), ks, width).groupBy("seed", "kk", "k", "s", "won").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
